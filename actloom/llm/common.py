@@ -63,11 +63,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches so that whole texts of many rows do not meet in one worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound Arrow batches by bytes, so that whole texts of many rows do not meet in one worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
