@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, substring_dedup
+from . import exact_dedup, line_dedup, quality_classifier, quality_rules, simhash_dedup, substring_dedup
 
-MODULES = (exact_dedup, substring_dedup)
+MODULES = (quality_rules, exact_dedup, substring_dedup, simhash_dedup, line_dedup, quality_classifier)
 
 
 def queries() -> dict:
