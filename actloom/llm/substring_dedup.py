@@ -24,12 +24,13 @@ into zstd batches in the shared folder; requests and replies are packed numpy ar
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, load, release, small_batches, table
+from .common import drop_table, load, new_path, release, small_batches, table
 
 LENGTH = 50
 GRAM = 20
@@ -121,13 +122,33 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys * _M1) >> np.uint64(40)).astype(np.int64) % n
 
 
+def _squeeze(*columns) -> bytes:
+    """Columns as one zstd frame: the byte length of each, then their bytes."""
+    import zstandard
+
+    head = np.array([len(columns), *(c.nbytes for c in columns)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+
+
+def _expand(blob: bytes, *kinds):
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
+    at, out = 8 + 8 * len(sizes), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
 def _emit(pa, batch_id: int, n: int, keys, *columns):
     """Request rows (bucket, batch, packed columns) and the order that the entries take in them."""
     bucket = _bucket(keys, n)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
     stops = np.r_[cuts[1:], len(order)]
-    rows = [b"".join(np.ascontiguousarray(c[order[i:j]]).tobytes() for c in (keys, *columns)) for i, j in zip(cuts, stops, strict=True)]
+    rows = [_squeeze(*(c[order[i:j]] for c in (keys, *columns))) for i, j in zip(cuts, stops, strict=True)]
     buckets = bucket[order[cuts]] if len(cuts) else cuts
     return order, (buckets.tolist(), [batch_id] * len(rows), rows)
 
@@ -198,16 +219,15 @@ def _round1(n):
     return run
 
 
-def _by_bucket(batches, width, answer):
+def _by_bucket(batches, kinds, answer):
     """Give ``answer`` all entries of a bucket at once; send each blob's replies back to its batch."""
     import pyarrow as pa
 
     now, ids, blobs = None, [], []
 
     def done():
-        data = [np.frombuffer(b, np.uint8) for b in blobs]
-        counts = [len(d) // width for d in data]
-        replies = answer(data, counts)
+        data = [_expand(b, *kinds) for b in blobs]
+        replies = answer([np.concatenate(c) for c in zip(*data, strict=True)], [len(d[0]) for d in data])
         return _record(pa, [now] * len(ids), ids, replies)
 
     for batch in batches:
@@ -230,8 +250,7 @@ def _answer1(batches):
     """Bits: is the anchor in another batch or document too?"""
 
     def answer(data, counts):
-        keys = np.concatenate([d[: 8 * c].view(np.uint64) for d, c in zip(data, counts, strict=True)])
-        several = np.concatenate([d[8 * c :] for d, c in zip(data, counts, strict=True)]).astype(bool)
+        keys, several = data[0], data[1].astype(bool)
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         same = np.zeros(len(k), bool)
@@ -243,14 +262,14 @@ def _answer1(batches):
         shared[order] |= same
         return [np.packbits(x).tobytes() for x in _split(shared, counts)]
 
-    return _by_bucket(batches, 9, answer)
+    return _by_bucket(batches, (np.uint64, np.uint8), answer)
 
 
 def _answer_pairs(batches):
     """For each (anchor, rank, document): the smallest document with that pair, and whether the anchor has other pairs."""
 
     def answer(data, counts):
-        k1, k2, doc = (np.concatenate([d[8 * c * i : 8 * c * (i + 1)].view(t) for d, c in zip(data, counts, strict=True)]) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
+        k1, k2, doc = data
         order = np.lexsort((doc, k2, k1))
         a, b, d = k1[order], k2[order], doc[order]
         new1 = np.r_[True, a[1:] != a[:-1]]
@@ -263,19 +282,19 @@ def _answer_pairs(batches):
         other = np.empty(len(k1), np.uint8)
         reply[order] = least
         other[order] = pairs[group] > 1
-        return [x.tobytes() + y.tobytes() for x, y in zip(_split(reply, counts), _split(other, counts), strict=True)]
+        return [_squeeze(x, y) for x, y in zip(_split(reply, counts), _split(other, counts), strict=True)]
 
-    return _by_bucket(batches, 24, answer)
+    return _by_bucket(batches, (np.uint64, np.uint64, np.int64), answer)
 
 
 def _read_pairs(replies: list[tuple[int, bytes]], total: int):
     """Replies of a batch in the order of its requests."""
     least, other, at = np.zeros(total, np.int64), np.zeros(total, bool), 0
     for _, blob in sorted(replies):
-        n = len(blob) // 9
-        least[at : at + n] = np.frombuffer(blob, np.int64, n)
-        other[at : at + n] = np.frombuffer(blob, np.uint8, n, 8 * n).astype(bool)
-        at += n
+        found, several = _expand(blob, np.int64, np.uint8)
+        least[at : at + len(found)] = found
+        other[at : at + len(found)] = several
+        at += len(found)
     return least, other
 
 
@@ -300,7 +319,7 @@ def _round2(n):
                 ids, ends, buf = _open(packed_ids, lens, body)
                 keys, first, last, doc = _blocks(buf, ends)
                 anchors, several = _unique_anchors(keys, ids[doc])
-                order, _ = _emit(pa, batch_id, n, anchors, several)
+                order = np.argsort(_bucket(anchors, n), kind="stable")
                 bits, at = np.zeros(len(anchors), bool), 0
                 count = np.bincount(_bucket(anchors, n), minlength=n) if len(anchors) else np.zeros(n, np.int64)
                 for r in sorted(replies or [], key=lambda r: r["bucket"]):
@@ -314,7 +333,7 @@ def _round2(n):
                 order, (buckets, _, rows) = _emit(pa, batch_id, n, k1, k2, least)
                 where = np.empty(len(order), np.int64)
                 where[order] = np.arange(len(order))
-                state = b"".join(x.tobytes() for x in (keys, first, last, doc, where[place] if len(place) else place))
+                state = _squeeze(keys, first.astype(np.uint32), (last - first).astype(np.uint8), (where[place] if len(place) else place).astype(np.uint32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([0] * len(rows) + [1], pa.int32()), pa.array([*buckets, 0], pa.int32()), pa.array([batch_id] * (len(rows) + 1), pa.int64()), pa.array([*rows, state], pa.binary())],
                     names=["kind", "bucket", "batch_id", "data"],
@@ -332,10 +351,10 @@ def _round3(n):
         for batch in batches:
             for batch_id, packed_ids, lens, body, state, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, ends, buf = _open(packed_ids, lens, body)
-                m = len(state) // 40
-                keys = np.frombuffer(state, np.uint64, m)
-                first, last, doc, place = (np.frombuffer(state, np.int64, m, 8 * m * i) for i in range(1, 5))
-                total = int(place.max()) + 1 if m else 0
+                keys, first, run, place = _expand(state, np.uint64, np.uint32, np.uint8, np.uint32)
+                first = first.astype(np.int64)
+                last, doc = first + run, np.searchsorted(ends, first, side="right")
+                total = int(place.max()) + 1 if len(place) else 0
                 least, other = _read_pairs([(r["bucket"], r["data"]) for r in replies or []], total)
                 own = ids[doc]
                 gone = least[place] < own
@@ -347,9 +366,9 @@ def _round3(n):
                 order, (buckets, _, rows) = _emit(pa, batch_id, n, k1, k2, small)
                 where = np.empty(len(order), np.int64)
                 where[order] = np.arange(len(order))
-                spans = np.concatenate([[gone.sum(), len(at)], first[gone], last[gone], at, owner, where[window] if len(window) else window]).astype(np.int64)
+                spans = _squeeze(first[gone].astype(np.uint32), (last - first)[gone].astype(np.uint8), at.astype(np.uint32), (where[window] if len(window) else window).astype(np.uint32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(rows) + [1], pa.int32()), pa.array([*buckets, 0], pa.int32()), pa.array([batch_id] * (len(rows) + 1), pa.int64()), pa.array([*rows, spans.tobytes()], pa.binary())],
+                    [pa.array([0] * len(rows) + [1], pa.int32()), pa.array([*buckets, 0], pa.int32()), pa.array([batch_id] * (len(rows) + 1), pa.int64()), pa.array([*rows, spans], pa.binary())],
                     names=["kind", "bucket", "batch_id", "data"],
                 )
 
@@ -362,12 +381,11 @@ def _finish(batches):
     for batch in batches:
         for _, packed_ids, lens, body, state, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids, ends, buf = _open(packed_ids, lens, body)
-            x = np.frombuffer(state, np.int64)
-            g, w = int(x[0]), int(x[1])
-            first, last = x[2 : 2 + g], x[2 + g : 2 + 2 * g]
-            at, owner, place = (x[2 + 2 * g + w * i : 2 + 2 * g + w * (i + 1)] for i in range(3))
-            least, _ = _read_pairs([(r["bucket"], r["data"]) for r in replies or []], int(place.max()) + 1 if w else 0)
-            hit = at[least[place] < ids[owner]] if w else at
+            first, run, at, place = _expand(state, np.uint32, np.uint8, np.uint32, np.uint32)
+            first, at = first.astype(np.int64), at.astype(np.int64)
+            last, owner = first + run, np.searchsorted(ends, at, side="right")
+            least, _ = _read_pairs([(r["bucket"], r["data"]) for r in replies or []], int(place.max()) + 1 if len(place) else 0)
+            hit = at[least[place] < ids[owner]] if len(at) else at
             edge = np.zeros(len(buf) + 1, np.int32)
             np.add.at(edge, first, 1)
             np.add.at(edge, last + LENGTH, -1)
@@ -392,16 +410,33 @@ _BATCH = ("batch_id", "ids", "lens", "body")
 
 
 def _resolve(requests: DataFrame, n: int, answer, name: str) -> DataFrame:
-    """Requests meet by bucket; the replies, gathered by batch."""
+    """Requests meet by bucket; each reply goes back to its batch."""
     spark = requests.sparkSession
-    replies = table(requests.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _REQUEST), name)
+    replies = table(requests.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _REQUEST), name, "none")
+    del requests
     release(spark)
     return replies
 
 
-def _with_replies(texts: DataFrame, replies: DataFrame) -> DataFrame:
+def _with_replies(texts: DataFrame, replies: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """The batches, which lie bucketed on disk and do not move, with what belongs to them."""
     gathered = replies.groupBy("batch_id").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
-    return texts.join(gathered.hint("shuffle_merge"), "batch_id", "left")
+    if state is not None:
+        texts = texts.join(state.hint("merge"), "batch_id")
+    out = texts.join(gathered.hint("merge"), "batch_id", "left")
+    return out.select(*_BATCH, *([] if state is None else ["state"]), "replies")
+
+
+def _batches(src: DataFrame) -> DataFrame:
+    """Packed texts, bucketed by batch in the shared folder, so that no later join shuffles them."""
+    spark = src.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    packed = src.mapInArrow(_pack, "batch_id long, ids binary, lens binary, body binary")
+    name, path = f"actloom_{uuid.uuid4().hex}", new_path(spark, "batches")
+    packed.repartition(n, "batch_id").write.bucketBy(n, "batch_id").option("path", path).option("compression", "none").saveAsTable(name)
+    del packed
+    release(spark)
+    return spark.table(name)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,30 +449,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    texts = table(src.mapInArrow(_pack, "batch_id long, ids binary, lens binary, body binary"), "batches", "none")
+    texts = _batches(docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")))
     n = max(16, texts.count() // 2)
-    tasks = max(spark.sparkContext.defaultParallelism, min(n, 20_000))
-    flags = _resolve(texts.repartition(tasks, "batch_id").mapInArrow(_round1(n), _REQUEST), n, _answer1, "anchors")
-    made = table(_with_replies(texts, flags).select(*_BATCH, "replies").mapInArrow(_round2(n), "kind int, " + _REQUEST), "blocks", "none")
+    made_schema = "kind int, " + _REQUEST
+    flags = _resolve(texts.select(*_BATCH).mapInArrow(_round1(n), _REQUEST), n, _answer1, "anchors")
+    made = table(_with_replies(texts, flags).mapInArrow(_round2(n), made_schema), "blocks", "none")
+    drop_table(flags)
     release(spark)
     blocks = _resolve(made.filter("kind = 0").drop("kind"), n, _answer_pairs, "block-replies")
     state = made.filter("kind = 1").select("batch_id", F.col("data").alias("state"))
-    asked = table(
-        _with_replies(texts.join(state.hint("shuffle_merge"), "batch_id"), blocks).select(*_BATCH, "state", "replies").mapInArrow(_round3(n), "kind int, " + _REQUEST),
-        "windows",
-        "none",
-    )
-    for old in (flags, made, blocks):
-        drop_table(old)
+    asked = table(_with_replies(texts, blocks, state).mapInArrow(_round3(n), made_schema), "windows", "none")
+    drop_table(made)
+    drop_table(blocks)
     release(spark)
     windows = _resolve(asked.filter("kind = 0").drop("kind"), n, _answer_pairs, "window-replies")
     state = asked.filter("kind = 1").select("batch_id", F.col("data").alias("state"))
-    out = (
-        _with_replies(texts.join(state.hint("shuffle_merge"), "batch_id"), windows)
-        .select(*_BATCH, "state", "replies")
-        .mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    )
+    out = _with_replies(texts, windows, state).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("doc_id", id_col)
 
 
