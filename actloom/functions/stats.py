@@ -8,6 +8,7 @@ import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def float_list(values) -> Column:
@@ -68,7 +69,7 @@ def _upper_tail(t: float) -> float:
     return math.erfc(t / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided(t):
     import pandas as pd
 

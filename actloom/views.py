@@ -21,8 +21,8 @@ SELECT l_orderkey AS ctx, l_linenumber AS id,
     WHEN 10 THEN concat('Limitations: future work on corpus ', s, '; weight decay 1e-4. momentum 0.9')
     ELSE concat('Interval [0.', s, ', 0.', p, '] and 1.5 ± 0.', n, '; Results and Experiments are significant')
   END AS text
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, cast(l_linenumber AS string) AS n,
-             cast(l_suppkey % 10 AS string) AS s, cast(10 + l_partkey % 20 AS string) AS p FROM lineitem)
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, cast(l_linenumber AS string) AS n,
+             cast(min(l_suppkey) % 10 AS string) AS s, cast(10 + min(l_partkey) % 20 AS string) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)
 """
 
 #: Acts with roles, references and calls of every kind; ``operation`` and ``target_type`` are the first call's.
@@ -43,7 +43,8 @@ SELECT concat(cast(l_orderkey AS string), '#', lpad(cast(l_linenumber AS string)
   concat('turn', cast(l_linenumber % 3 AS string), '_', cast(l_partkey % 4 AS string)) AS seg_id,
   CASE m % 10 WHEN 0 THEN 0.0 WHEN 1 THEN 1500000000000.0 ELSE 1400000000.0 + 40000000.0 * (l_orderkey % 9) END AS timestamp,
   l_orderkey * 10 + l_linenumber AS pos
-FROM (SELECT *, l_partkey + l_suppkey + l_linenumber AS m FROM lineitem)
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_partkey) + min(l_suppkey) + l_linenumber AS m
+      FROM lineitem GROUP BY l_orderkey, l_linenumber)
 """
 
 #: Moves of threads: a thread is a user, a move an event.
@@ -93,7 +94,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views it names put before it as common table expressions."""
     used = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in sql]
-    body = sql.strip()
+    body, recursive = sql.strip(), ""
+    if body.upper().startswith("WITH RECURSIVE "):
+        body, recursive = "WITH " + body[15:], "RECURSIVE "
     if not used:
-        return body
-    return "WITH " + ", ".join(used) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+        return sql.strip()
+    return "WITH " + recursive + ", ".join(used) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
