@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,20 @@ def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_table(df: DataFrame, name: str, column: str = "kind") -> tuple[DataFrame, DataFrame]:
+    """Two frames from one pass: the rows with 0 and with 1 in ``column``, in folders that can be dropped alone."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "none").partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    made = [f"{path}/{column}={i}" for i in (0, 1)]
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in made:  # a kind without rows has no folder
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(p))
+    return tuple(spark.read.schema(schema).parquet(p) for p in made)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`table`, once nothing reads it any more."""
     spark = df.sparkSession
@@ -58,9 +73,11 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs whose frames are gone; its cleaner works beside us."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
