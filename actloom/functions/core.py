@@ -210,4 +210,4 @@ def json_object(c) -> Column:
 def code_block(c) -> Column:
     """What a fenced block holds, or the whole text."""
     inner = F.regexp_extract(c, r"(?s)```[a-zA-Z]*\n(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(c))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(c), r"^\s+|\s+$", "")
