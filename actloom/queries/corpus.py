@@ -102,11 +102,10 @@ def _j01(s, d):
     return a.select("act_id", "forum_id", "issue_id").join(last, "forum_id", "left").select("act_id", F.coalesce("issue_id", "other").alias("issue_id"))
 
 
-@query("j07_missing_expected", "SELECT p_brand FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49.5)")
+@query("j07_missing_expected", "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def _j07(s, d):
-    sold = view(s, d, "lineitem").filter("l_quantity > 49.5").select(F.col("l_partkey").alias("p_partkey"))
-    part = view(s, d, "part").select("p_partkey", "p_brand")
-    return part.select("p_brand").distinct().join(part.join(sold, "p_partkey", "left_semi").select("p_brand"), "p_brand", "left_anti")
+    sold = view(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return view(s, d, "part").select("p_partkey", "p_brand").join(sold, "p_partkey", "left_anti")
 
 
 @query("j09_queries_in_segments", """SELECT q, count(*) AS n, count(DISTINCT ctx) AS n_ctx FROM papers JOIN (SELECT unnest(['net3', 'corpus', 'alpha']) AS q) ON contains(lower(text), q) GROUP BY q""")
