@@ -105,3 +105,82 @@ def stub_run(threads: DataFrame) -> DataFrame:
     move = F.struct(F.lit("Reviewer").alias("role"), F.lit("missing").alias("status"), F.lit("clarification").alias("action_type"), F.lit(1).alias("n_requests"), F.lit(0).alias("n_commitments"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(BUDGET)), state.cast(STATE), lambda s, _: transition(s, move).cast(STATE))
     return threads.select("issue_id", end.alias("s")).select("issue_id", "s.*")
+
+
+# --- whole runs ------------------------------------------------------------------------------------------
+
+EVENT = "struct<round:int,role:string,action_type:string,n_claims:int,n_cited:int,phase:string,budget:int>"
+
+
+def stub_action(status) -> tuple[Column, Column, Column]:
+    """(action_type, n_claims, n_requests) of the stub policy after the gate: a cited claim with evidence, else a
+    clarification with one request."""
+    ok = F.coalesce(status == "ok", F.lit(False))
+    return F.when(ok, F.lit("evidence_response")).otherwise(F.lit("clarification")), ok.cast("int"), (~ok).cast("int")
+
+
+def _move(state: Column, status: Column) -> Column:
+    action, _, requests = stub_action(status)
+    return F.struct(next_role(state["phase"], state["last_role"]).alias("role"), status.alias("status"), action.alias("action_type"), requests.alias("n_requests"), F.lit(0).alias("n_commitments"))
+
+
+def _play(state: Column, status: Column, number: Column) -> tuple[Column, Column]:
+    """State and event after one move of the stub policy."""
+    move = _move(state, status)
+    after = transition(state, move).cast(STATE)
+    claims = stub_action(status)[1]
+    event = F.struct(number.cast("int").alias("round"), move["role"].alias("role"), move["action_type"].alias("action_type"), claims.alias("n_claims"), claims.alias("n_cited"), after["phase"].alias("phase"), after["budget"].alias("budget"))
+    return after, event.cast(EVENT)
+
+
+def run_rounds(threads: DataFrame, max_rounds: int = BUDGET, per_round: int | None = None, phase: str = "Open") -> DataFrame:
+    """Events of a run: threads (issue_id, pos, status of their evidence) play by the stub policy.
+
+    Without ``per_round`` every active thread moves in each round, so a run is a fold inside each thread's row.
+    With it, each round's first active threads by ``pos`` move; rounds are few, and only the selected ids of a
+    round meet the threads. Gives issue_id, the event's fields and the thread's status.
+    """
+    rows = threads.select("issue_id", "pos", "status").withColumn("state", start_state(phase=phase).cast(STATE))
+    if not per_round:
+        start = F.struct(F.col("state").alias("s"), F.array().cast(f"array<{EVENT}>").alias("e"))
+
+        def play(acc, i):
+            after, event = _play(acc["s"], F.col("status"), i)
+            return F.when(acc["s"]["phase"] == "Closed", acc).otherwise(F.struct(after.alias("s"), F.concat(acc["e"], F.array(event)).alias("e")))
+
+        folded = rows.select("issue_id", "status", F.aggregate(F.sequence(F.lit(0), F.lit(max_rounds - 1)), start, play, lambda a: a["e"]).alias("e"))
+        return folded.select("issue_id", "status", F.explode("e").alias("x")).select("issue_id", "status", "x.*")
+    events = None
+    for i in range(max_rounds):
+        active = rows.filter((F.col("state.phase") != "Closed") & (F.col("state.budget") > 0))
+        chosen = active.orderBy("pos", "issue_id").limit(per_round).select("issue_id", F.lit(True).alias("plays"))
+        after, event = _play(F.col("state"), F.col("status"), F.lit(i))
+        rows = rows.join(chosen, "issue_id", "left").withColumn("event", F.when(F.col("plays"), event)).withColumn("state", F.when(F.col("plays"), after).otherwise(F.col("state"))).drop("plays")
+        now = rows.filter("event is not null").select("issue_id", "status", "event.*")
+        events = now if events is None else events.unionAll(now)
+        rows = rows.drop("event")
+    return events
+
+
+def demo_ledger(moves: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The demo's ledger: requests are numbered and never cleared, an author without evidence commits, and closing
+    needs evidence. Rows (role, intent, status); gives phase and the three counts."""
+    start = F.struct(F.lit("Open").alias("phase"), F.lit(0).alias("observations"), F.lit(0).alias("requests"), F.lit(0).alias("commitments"))
+
+    def step(s, m):
+        ok, author = F.coalesce(m["status"] == "ok", F.lit(False)), m["role"] == "Author"
+        asks = (m["role"] == "Reviewer") & (m["intent"] == "RequestEvidence")
+        closes = (m["role"] == "Reviewer") & (m["intent"] == "CloseIssue") & ok
+        phase = F.when(closes, F.lit("Closed")).when(author, F.lit("Negotiation")).when(asks, F.lit("EvidencePending")).otherwise(s["phase"])
+        return F.struct(phase.alias("phase"), (s["observations"] + (author & ok).cast("int")).alias("observations"), (s["requests"] + asks.cast("int")).alias("requests"), (s["commitments"] + (author & ~ok).cast("int")).alias("commitments"))
+
+    row = F.struct(*order, "role", "intent", "status")
+    folded = moves.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("m"))
+    return folded.select(key, F.aggregate("m", start, step).alias("s")).select(key, "s.*")
+
+
+def demo_need(intent, issue) -> Column:
+    """struct<type, query>: the evidence that a request of the demo needs; null for other intents."""
+    need = lambda kind, query: F.struct(F.lit(kind).alias("type"), F.lit(query).alias("query"))
+    found = F.when(issue == "T1", need("metric_definition", "Metric M definition")).when(issue == "T2", need("figure_evidence", "Figure 1 ablation")).otherwise(need("general_evidence", "General evidence request"))
+    return F.when(intent == "RequestEvidence", found)

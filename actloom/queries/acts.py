@@ -341,3 +341,19 @@ def _top(s, d):
 @query("g17_row_sample")
 def _sample(s, d):
     return cluster.row_sample(view(s, d, "documents").select("doc_id", "lang"), "doc_id", 50)
+
+
+@query("s15_embeddings")
+def _embed(s, d):
+    from ..sources.providers import HashingEmbedder, embed
+
+    out = embed(view(s, d, "documents").select("doc_id", "text"), "text", HashingEmbedder())
+    return out.select("doc_id", F.round(cluster.l2_norm(F.col("embedding")), 4).alias("norm"), "embedding_error")
+
+
+@query("g08_grouped_embeddings")
+def _grouped(s, d):
+    from ..sources.providers import HashingEmbedder, grouped_embeddings
+
+    keyed = cluster.with_group_key(view(s, d, "documents").select("doc_id", "text"), bits=8)
+    return grouped_embeddings(keyed, ["group_key"], "text", "doc_id", HashingEmbedder())

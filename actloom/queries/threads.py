@@ -143,3 +143,42 @@ def _ordinal(s, d):
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'missing') AS n_missing, count(*) FILTER (WHERE status = 'fail') AS n_fail FROM moves GROUP BY 1""")
 def _windowed(s, d):
     return windowed_status(view(s, d, "moves"), length="1 day").drop("end")
+
+
+_START = "SELECT user_id AS issue_id, min(event_id) AS pos, CASE WHEN user_id % 3 = 0 THEN 'ok' ELSE 'missing' END AS status FROM {events} GROUP BY user_id"
+_RUN = """
+RECURSIVE f AS (
+  SELECT issue_id, pos, status, -1 AS round, 'Negotiation' AS phase, 6 AS budget, NULL::VARCHAR AS role, NULL::VARCHAR AS action_type, 0 AS n_claims FROM (@start)
+  UNION ALL
+  SELECT issue_id, pos, status, round + 1, CASE WHEN budget <= 1 THEN 'Closed' WHEN r = 'Author' THEN 'Negotiation' WHEN status <> 'ok' THEN 'EvidencePending' ELSE phase END, budget - 1, r,
+    CASE WHEN status = 'ok' THEN 'evidence_response' ELSE 'clarification' END, (status = 'ok')::INT
+  FROM (SELECT *, CASE WHEN phase = 'Negotiation' AND coalesce(role, '') <> 'Author' THEN 'Author' ELSE 'Reviewer' END AS r FROM f WHERE phase <> 'Closed' AND round < 5))
+""".replace("@start", _START.replace("{events}", "events")).strip()
+
+
+@query("t06_round_run", f"WITH {_RUN} SELECT issue_id, status, round, role, action_type, n_claims, n_claims AS n_cited, phase, budget FROM f WHERE round >= 0")
+def _rounds(s, d):
+    return arena.run_rounds(s.sql(_START, events=view(s, d, "events")), phase="Negotiation")
+
+
+@query("t06_limited_rounds", f"WITH {_RUN} SELECT issue_id, status, round, role, action_type, n_claims, n_claims AS n_cited, phase, budget FROM f WHERE round >= 0 AND issue_id IN (SELECT issue_id FROM f WHERE round = -1 ORDER BY pos, issue_id LIMIT 20)")
+def _limited(s, d):
+    return arena.run_rounds(s.sql(_START, events=view(s, d, "events")), per_round=20, phase="Negotiation")
+
+
+_DEMO = "SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'Author' ELSE 'Reviewer' END AS role, CASE event_type WHEN 'signup' THEN 'RequestEvidence' WHEN 'error' THEN 'CloseIssue' ELSE 'Respond' END AS intent, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'missing' END AS status FROM {events}"
+
+
+@query("t07_demo_ledger", f"""
+SELECT user_id, coalesce(arg_max(CASE WHEN role = 'Author' THEN 'Negotiation' WHEN intent = 'CloseIssue' THEN 'Closed' ELSE 'EvidencePending' END, event_id) FILTER (WHERE role = 'Author' OR intent = 'RequestEvidence' OR (intent = 'CloseIssue' AND status = 'ok')), 'Open') AS phase,
+  count(*) FILTER (WHERE role = 'Author' AND status = 'ok')::INTEGER AS observations, count(*) FILTER (WHERE role = 'Reviewer' AND intent = 'RequestEvidence')::INTEGER AS requests, count(*) FILTER (WHERE role = 'Author' AND status <> 'ok')::INTEGER AS commitments
+FROM ({_DEMO.replace('{events}', 'events')}) GROUP BY user_id""")
+def _demo_ledger(s, d):
+    return arena.demo_ledger(s.sql(_DEMO, events=view(s, d, "events")), "user_id", ["event_id"])
+
+
+@query("p24_demo_needs", f"""
+SELECT event_id, CASE WHEN intent = 'RequestEvidence' THEN CASE event_id % 3 WHEN 1 THEN 'metric_definition' WHEN 2 THEN 'figure_evidence' ELSE 'general_evidence' END END AS type FROM ({_DEMO.replace('{events}', 'events')})""")
+def _needs(s, d):
+    rows = s.sql(_DEMO, events=view(s, d, "events"))
+    return rows.select("event_id", arena.demo_need(F.col("intent"), F.concat(F.lit("T"), F.col("event_id") % 3))["type"].alias("type"))

@@ -259,3 +259,28 @@ def test_label_memory_and_samples(spark):
     sizes = cluster.size_summary(cluster.cluster_sizes(rows.withColumn("k", F.col("id") % 4), ["k"])).first()
     assert tuple(sizes) == (12, 12.5, 12.5, 13)
     assert retrieval.split_forums(spark.createDataFrame([("a", -3), ("b", 2), ("c", 0)], "forum_id string, c int"), "c", 1).first().forum_id == "a"
+
+
+def test_failing_provider_gives_nulls(spark):
+    from actloom.sources.providers import HashingEmbedder, embed, labels, stub_labels
+
+    rows = spark.createDataFrame([("a b",), (None,)], "t string")
+
+    def broken(texts):
+        raise OSError("down")
+
+    out = embed(rows, "t", broken).collect()
+    assert all(r.embedding is None and "down" in r.embedding_error for r in out)
+    assert all(r.embedding is None for r in embed(rows, "t", lambda x: [[1.0]] * 9).collect())
+    good = {r.t: r.embedding for r in embed(rows, "t", HashingEmbedder(8)).collect()}
+    assert abs(sum(x * x for x in good["a b"]) - 1) < 1e-6 and not any(good[None])
+    assert [r.label for r in labels(rows, stub_labels, "t").collect()] == ["a b", ""]
+
+
+def test_runs_with_and_without_a_round_limit(spark):
+    threads = spark.createDataFrame([(f"i{i}", i, "ok" if i % 2 else "missing") for i in range(5)], "issue_id string, pos int, status string")
+    all_ = arena.run_rounds(threads, 9)
+    assert all_.count() == 5 * 6 and all_.filter("phase = 'Closed'").count() == 5
+    few = arena.run_rounds(threads, 7, per_round=2)
+    by_round = {r["round"]: r.ids for r in few.groupBy("round").agg(F.array_sort(F.collect_list("issue_id")).alias("ids")).collect()}
+    assert by_round == {**{i: ["i0", "i1"] for i in range(6)}, 6: ["i2", "i3"]}
