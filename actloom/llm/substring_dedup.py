@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, load, new_path, release, small_batches, table
+from .common import drop_table, load, new_path, release, small_batches, split_table, table
 
 LENGTH = 50
 GRAM = 20
@@ -147,7 +147,7 @@ def _emit(pa, batch_id: int, n: int, keys, *columns):
     bucket = _bucket(keys, n)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-    stops = np.r_[cuts[1:], len(order)]
+    stops = np.r_[cuts[1:], len(order)][: len(cuts)]
     rows = [_squeeze(*(c[order[i:j]] for c in (keys, *columns))) for i, j in zip(cuts, stops, strict=True)]
     buckets = bucket[order[cuts]] if len(cuts) else cuts
     return order, (buckets.tolist(), [batch_id] * len(rows), rows)
@@ -412,6 +412,7 @@ _BATCH = ("batch_id", "ids", "lens", "body")
 def _resolve(requests: DataFrame, n: int, answer, name: str) -> DataFrame:
     """Requests meet by bucket; each reply goes back to its batch."""
     spark = requests.sparkSession
+    release(spark)  # the shuffle of the step before
     replies = table(requests.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _REQUEST), name, "none")
     del requests
     release(spark)
@@ -451,19 +452,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     texts = _batches(docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")))
     n = max(16, texts.count() // 2)
-    made_schema = "kind int, " + _REQUEST
+    made = "kind int, " + _REQUEST
     flags = _resolve(texts.select(*_BATCH).mapInArrow(_round1(n), _REQUEST), n, _answer1, "anchors")
-    made = table(_with_replies(texts, flags).mapInArrow(_round2(n), made_schema), "blocks", "none")
+    asked, state = split_table(_with_replies(texts, flags).mapInArrow(_round2(n), made), "blocks")
     drop_table(flags)
-    release(spark)
-    blocks = _resolve(made.filter("kind = 0").drop("kind"), n, _answer_pairs, "block-replies")
-    state = made.filter("kind = 1").select("batch_id", F.col("data").alias("state"))
-    asked = table(_with_replies(texts, blocks, state).mapInArrow(_round3(n), made_schema), "windows", "none")
-    drop_table(made)
+    blocks = _resolve(asked, n, _answer_pairs, "block-replies")
+    drop_table(asked)
+    state = state.select("batch_id", F.col("data").alias("state"))
+    asked, settled = split_table(_with_replies(texts, blocks, state).mapInArrow(_round3(n), made), "windows")
+    drop_table(state)
     drop_table(blocks)
-    release(spark)
-    windows = _resolve(asked.filter("kind = 0").drop("kind"), n, _answer_pairs, "window-replies")
-    state = asked.filter("kind = 1").select("batch_id", F.col("data").alias("state"))
+    windows = _resolve(asked, n, _answer_pairs, "window-replies")
+    drop_table(asked)
+    state = settled.select("batch_id", F.col("data").alias("state"))
     out = _with_replies(texts, windows, state).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("doc_id", id_col)
 
