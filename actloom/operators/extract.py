@@ -211,46 +211,59 @@ def clean_segments(segments: DataFrame) -> DataFrame:
     return segments.select("ctx", F.when(usable, number).alias("id"), F.when(usable, F.col("text")).alias("text"))
 
 
-def extract(segments: DataFrame, name: str, params: dict | None = None) -> DataFrame:
-    """Observations of one operator, one row a context.
-
-    Rows with a null text or id are ignored but keep their context alive. Without its required parameter an
-    operator gives status missing and type evidence for each context.
-    """
+def _parts(name: str, params: dict | None) -> tuple[Column, Callable[[Column], dict[str, Column]]]:
+    """An operator as an aggregate over a context's segments, and its observation from the aggregate's result."""
     op, given = OPERATORS[name], params
     params = params if isinstance(params, dict) else {}
     empty = F.array().cast("array<string>")
     needed = str(params.get(op.required) or "").strip() if op.required else "-"
-    if op.needs_params and given is None:
-        hit, status = F.lit(False), F.lit("fail")
-    elif not needed:
-        hit, status = F.lit(False), None
+    fails = op.needs_params and given is None
+    if fails or not needed:
+        hit = F.lit(False)
     else:
-        hit, status = F.coalesce(op.matches(F.col("text"), params) & F.col("id").isNotNull(), F.lit(False)), None
+        hit = F.coalesce(op.matches(F.col("text"), params) & F.col("id").isNotNull(), F.lit(False))
     row = F.struct(F.col("id"), F.col("text"), (op.items(F.col("text"), params) if op.items and needed else empty).alias("items"))
     found = F.array_sort(F.collect_list(F.when(hit, row)))
     if op.bounded:
         found = F.slice(found, 1, (_limit_positive if op.positive_limit else _limit)(params.get("max_matches")))
-    out = segments.groupBy("ctx").agg(found.alias("m"))
-    items = F.flatten(F.transform("m", lambda x: x["items"]))
-    if op.distinct:
-        items = F.array_distinct(items)
-    if name == "Extract_Hyperparameters":
-        items = last_values(items)
-    kind = F.lit("text" if needed else "evidence")
-    prov = F.transform("m", lambda x: x["id"])
-    out = out.select(
-        "ctx",
-        kind.alias("type"),
-        (status if status is not None else F.when(F.size("m") > 0, F.lit("ok")).otherwise(F.lit("missing"))).alias("status"),
-        (prov if name == "Extract_List_Items" else F.array_distinct(prov)).alias("prov"),
-        F.transform("m", lambda x: x["text"]).alias("match_texts"),
-        items.alias("items"),
-        F.lit(needed if op.required else "").alias("query"),
-    )
+
+    def observation(m: Column) -> dict[str, Column]:
+        items = F.flatten(F.transform(m, lambda x: x["items"]))
+        if op.distinct:
+            items = F.array_distinct(items)
+        if name == "Extract_Hyperparameters":
+            items = last_values(items)
+        prov = F.transform(m, lambda x: x["id"])
+        return {
+            "type": F.lit("text" if needed else "evidence"),
+            "status": F.lit("fail") if fails else F.when(F.size(m) > 0, F.lit("ok")).otherwise(F.lit("missing")),
+            "prov": prov if name == "Extract_List_Items" else F.array_distinct(prov),
+            "match_texts": F.transform(m, lambda x: x["text"]),
+            "items": items,
+            "query": F.lit(needed if op.required else ""),
+        }
+
+    return found, observation
+
+
+def extract(segments: DataFrame, name: str, params: dict | None = None) -> DataFrame:
+    """Observations of one operator, one row a context.
+
+    Rows with a null text or id are ignored but keep their context alive. Without its required parameter an
+    operator gives status missing and type evidence for each context.
+    """
+    found, observation = _parts(name, params)
+    out = segments.groupBy("ctx").agg(found.alias("m")).select("ctx", *[c.alias(k) for k, c in observation(F.col("m")).items()])
     return out.withColumn("id", observation_id(F.col("type"), F.col("prov")))
 
 
+def extract_many(segments: DataFrame, calls: list[tuple[str, str, dict | None]]) -> DataFrame:
+    """Several operators (label, name, parameters) in one scan and one aggregation: columns label_status and so on."""
+    parts = [(label, *_parts(name, params)) for label, name, params in calls]
+    out = segments.groupBy("ctx").agg(*[found.alias(f"__{label}") for label, found, _ in parts])
+    return out.select("ctx", *[c.alias(f"{label}_{k}") for label, _, see in parts for k, c in see(F.col(f"__{label}")).items() if k not in ("type", "query")])
+
+
 def last_values(pairs: Column) -> Column:
     """Of key=value items in order, each key's last, keys in order of first appearance."""
     key = lambda x: F.substring_index(x, "=", 1)

@@ -1,7 +1,8 @@
 """Composite checks: small graphs of extraction operators over the same segments, joined by context.
 
-Every skill gives one row a context: ctx, type, status, supported, prov and what it found or missed. The
-operators of a skill are evaluated set-wise; a failing step decides the status instead of stopping a run.
+Every skill gives one row a context: ctx, type, status, supported, prov and what it found or missed. All the
+operators of a skill run in one scan and one aggregation; a failing step decides the status instead of
+stopping a run.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import ordered_union
-from .extract import OPERATORS, extract
+from .extract import OPERATORS, extract, extract_many
 
 VERDICT = "verification_result"
 
@@ -38,15 +39,6 @@ def budget_texts(texts: Column, most: int) -> Column:
     return F.aggregate(texts, start, step, lambda s: s["kept"])
 
 
-def _side_by_side(segments: DataFrame, calls: list[tuple[str, str, dict]]) -> DataFrame:
-    """Several operators' results in one row a context; all come out of shuffles on ctx, so joins add none."""
-    frames = []
-    for label, name, params in calls:
-        o = extract(segments, name, params)
-        frames.append(o.select("ctx", *[F.col(c).alias(f"{label}_{c}") for c in ("status", "prov", "match_texts", "items")]))
-    return reduce(lambda a, b: a.join(b, "ctx"), frames)
-
-
 def _verdict(df: DataFrame, ok: Column, supported: Column, prov: Column, kind: str = VERDICT, **more: Column) -> DataFrame:
     return df.select("ctx", F.lit(kind).alias("type"), F.when(ok, F.lit("ok")).otherwise(F.lit("missing")).alias("status"), supported.alias("supported"), prov.alias("prov"), *[v.alias(k) for k, v in more.items()])
 
@@ -68,7 +60,7 @@ def verify_claim(segments, queries, regex: bool = False, case_sensitive: bool =
     queries = _as_list(queries)
     if not queries:
         return _unasked(segments)
-    wide = _side_by_side(segments, [(f"q{i}", "Extract_Span", {"query": q, "regex": regex, "case_sensitive": case_sensitive}) for i, q in enumerate(queries)])
+    wide = extract_many(segments, [(f"q{i}", "Extract_Span", {"query": q, "regex": regex, "case_sensitive": case_sensitive}) for i, q in enumerate(queries)])
     hits = F.array_compact(F.array(*[F.when(F.col(f"q{i}_status") == "ok", F.lit(q)) for i, q in enumerate(queries)]))
     prov = ordered_union(*[F.col(f"q{i}_prov") for i in range(len(queries))])
     texts = F.concat(*[F.col(f"q{i}_match_texts") for i in range(len(queries))])
@@ -107,7 +99,7 @@ def _required(found: dict[str, Column], requirements) -> Column:
 def check_setup(segments, requirements=(), metrics=()):
     metrics = _as_list(metrics)
     calls = [("dataset", "Extract_Dataset_Info", {}), ("splits", "Extract_Split_Info", {}), ("hyperparameters", "Extract_Hyperparameters", {}), ("training", "Extract_Training_Details", {})]
-    wide = _side_by_side(segments, calls + [(f"m{i}", "Extract_Metric_Values", {"metric": m}) for i, m in enumerate(metrics)])
+    wide = extract_many(segments, calls + [(f"m{i}", "Extract_Metric_Values", {"metric": m}) for i, m in enumerate(metrics)])
     found = {label: F.col(f"{label}_status") == "ok" for label, _, _ in calls}
     if metrics:
         found["metrics"] = reduce(lambda a, b: a | b, [F.col(f"m{i}_status") == "ok" for i in range(len(metrics))])
@@ -122,7 +114,7 @@ def check_results(segments, expected: dict | None, tolerance: float = 0.0):
     if not expected:
         return _unasked(segments)
     names = list(expected)
-    wide = _side_by_side(segments, [(f"m{i}", "Extract_Metric_Values", {"metric": m}) for i, m in enumerate(names)])
+    wide = extract_many(segments, [(f"m{i}", "Extract_Metric_Values", {"metric": m}) for i, m in enumerate(names)])
     near = lambda i, e: F.exists(f"m{i}_items", lambda v: F.coalesce(F.abs(v.try_cast("double") - F.lit(float(e))) <= tolerance, F.lit(False)))
     found = [F.col(f"m{i}_status") == "ok" for i in range(len(names))]
     agree = [f & near(i, expected[m]) for i, (m, f) in enumerate(zip(names, found, strict=True))]
@@ -135,7 +127,7 @@ def verify_equation(segments, eq_id, assumption_terms=()):
     if not eq_id:
         return _unasked(segments)
     terms = _as_list(assumption_terms)
-    wide = _side_by_side(segments, [("e", "Extract_Equation", {"eq_id": eq_id})] + [(f"t{i}", "Extract_Span", {"query": t}) for i, t in enumerate(terms)])
+    wide = extract_many(segments, [("e", "Extract_Equation", {"eq_id": eq_id})] + [(f"t{i}", "Extract_Span", {"query": t}) for i, t in enumerate(terms)])
     ok = F.col("e_status") == "ok"
     missing = F.array_compact(F.array(*[F.when(F.col(f"t{i}_status") != "ok", F.lit(t)) for i, t in enumerate(terms)])) if terms else _texts(())
     prov = F.when(ok, ordered_union(F.col("e_prov"), *[F.col(f"t{i}_prov") for i in range(len(terms))])).otherwise(F.col("e_prov"))
@@ -145,7 +137,7 @@ def verify_equation(segments, eq_id, assumption_terms=()):
 def check_reproducibility(segments, requirements=(), code_urls=(), data_urls=(), available: dict | None = None):
     """``available`` holds code and data flags from a remote check; without it any link counts."""
     calls = [("links", "Extract_Code_Data_Links", {}), ("hyperparameters", "Extract_Hyperparameters", {}), ("compute", "Extract_Compute_Resources", {}), ("training", "Extract_Training_Details", {})]
-    wide = _side_by_side(segments, calls)
+    wide = extract_many(segments, calls)
     found = {kind: F.lit(bool(given)) | (F.size("links_items") > 0) for kind, given in (("code", code_urls), ("data", data_urls))}
     if available is not None:
         found = {kind: F.lit(bool(available.get(kind))) for kind in ("code", "data")}
@@ -155,7 +147,7 @@ def check_reproducibility(segments, requirements=(), code_urls=(), data_urls=(),
 
 
 def _summary(segments, calls, max_chars):
-    wide = _side_by_side(segments, calls)
+    wide = extract_many(segments, calls)
     texts = budget_texts(F.concat(*[F.col(f"{c[0]}_match_texts") for c in calls]), max_chars)
     return _verdict(wide, F.size(texts) > 0, F.size(texts) > 0, ordered_union(*[F.col(f"{c[0]}_prov") for c in calls]), "evidence_summary", evidence_texts=texts)
 

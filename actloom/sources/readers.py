@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CALL = "struct<operation:string,tool:string,name:string,target_type:string>"
@@ -99,9 +99,9 @@ def flatten_mining(records: DataFrame) -> DataFrame:
 
 
 def forum_order(acts: DataFrame, pos: str = "pos") -> DataFrame:
-    """Forums in order of first appearance."""
-    first = acts.groupBy("forum_id").agg(F.min(pos).alias("first"))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("first", "forum_id")))
+    """Forums with the position of their first act, by which they are ordered; numbering is left to whoever
+    has cut them to a few, so that no task numbers all forums."""
+    return acts.groupBy("forum_id").agg(F.min(pos).alias("first"))
 
 
 def page_counts(spark: SparkSession, pattern: str) -> DataFrame:

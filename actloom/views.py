@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The hint deals lines by order, which serves the grouping by line and every later grouping by context, so
+#: one shuffle does for both. DuckDB takes it for a comment.
 #: (ctx, id, text): segments of paper-like prose, in which every extraction pattern is met and missed.
 PAPERS = """
 SELECT l_orderkey AS ctx, l_linenumber AS id,
@@ -22,7 +24,8 @@ SELECT l_orderkey AS ctx, l_linenumber AS id,
     ELSE concat('Interval [0.', s, ', 0.', p, '] and 1.5 ± 0.', n, '; Results and Experiments are significant')
   END AS text
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, cast(l_linenumber AS string) AS n,
-             cast(min(l_suppkey) % 10 AS string) AS s, cast(10 + min(l_partkey) % 20 AS string) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)
+             cast(min(l_suppkey) % 10 AS string) AS s, cast(10 + min(l_partkey) % 20 AS string) AS p
+      FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) GROUP BY l_orderkey, l_linenumber)
 """
 
 #: Acts with roles, references and calls of every kind; ``operation`` and ``target_type`` are the first call's.
