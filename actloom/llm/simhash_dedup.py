@@ -108,7 +108,9 @@ def allocate(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int
             cost = {}
             for t in range(-1, min(2, radius) + 1):
                 probes = 0 if t < 0 else sum(sum(1 for _ in combinations(range(len(bits)), k)) if len(bits) < 24 or k < 2 else len(bits) * (len(bits) - 1) // 2 for k in range(t + 1))
-                cost[t] = ROW_COST * total * probes + PAIR_COST * scale * _within(sample, bits, t) if t >= 0 else 0.0
+                pairs = scale * _within(sample, bits, t)
+                copies = 1 + 2 * pairs / max(1, total) / BLOCK  # blocks that a row is dealt to
+                cost[t] = ROW_COST * total * probes * copies + PAIR_COST * pairs if t >= 0 else 0.0
             after: dict[int, tuple[float, list[int]]] = {}
             for done, (paid, ts) in state.items():
                 for t, c in cost.items():

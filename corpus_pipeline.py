@@ -26,9 +26,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_lines(docs, line_bitmaps(docs))
 
 
+#: Bits that near copies may differ by. Of the pairs that share 80 % of their five-word shingles in the 10,000
+#: documents of sf0.1, 16 % lie within 3 bits and 79 % within 7; of all pairs within 7 bits, 1 % share under half.
+NEAR_BITS = 7
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: the one with the smallest id."""
-    keep = simhash_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    keep = simhash_components(docs, radius=NEAR_BITS).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi").select(*docs.columns)
 
 

@@ -45,7 +45,7 @@ def test_lines_equal_brute_force(stages):
 
 def test_one_document_of_each_component(stages):
     rows = [(r.doc_id, print_of(r.text)) for r in stages[2].collect()]
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted({c for _, _, c in classes(rows)})
+    assert sorted(r.doc_id for r in stages[3].collect()) == sorted({c for _, _, c in classes(rows, corpus_pipeline.NEAR_BITS)})
 
 
 def test_mix_repeats_and_cuts_whole_texts(stages):
