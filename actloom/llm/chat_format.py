@@ -39,18 +39,31 @@ def _spans(turns):
     return F.aggregate(turns, state, step, lambda s: s["spans"])
 
 
-def preference_format(turns: DataFrame) -> DataFrame:
-    """Rows (pair_id, chosen boolean, turn, role, text) to one row for each pair that has both sides.
+_TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
+def _turn():
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def gather_turns(turns: DataFrame) -> DataFrame:
+    """Rows (pair_id, chosen boolean, turn, role, text) to one row a pair: pair_id, chosen_turns, rejected_turns.
+
+    Null roles and texts count as empty strings. Turns are ordered by turn, then role, then text, so ties and
+    repeated rows have one order. Rows without a pair_id or side are left out, as they belong to no pair.
+    """
+    side = lambda flag: F.array_sort(F.collect_list(F.when(F.col("chosen") == F.lit(flag), _turn())))
+    return turns.filter("pair_id is not null and chosen is not null").groupBy("pair_id").agg(side(True).alias("chosen_turns"), side(False).alias("rejected_turns"))
+
+
+def preference_format(pairs: DataFrame) -> DataFrame:
+    """One row for each pair (pair_id, chosen_turns, rejected_turns) that has both sides.
 
     Gives pair_id, n_prompt_turns, prompt, chosen, rejected (strings), chosen_spans, rejected_spans (arrays of
-    start, end). Null roles and texts count as empty strings. Turns are ordered by turn, then role, then text,
-    so ties and repeated rows have one order. Rows without a pair_id are left out, as they belong to no
-    pair. If one side is a prefix of the other its completion is empty; if no turn is shared the prompt is.
+    start, end). If one side is a prefix of the other its completion is empty; if no turn is shared the prompt
+    is.
     """
-    one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    side = lambda flag: F.array_sort(F.collect_list(F.when(F.col("chosen") == F.lit(flag), one)))
-    both = turns.filter("pair_id is not null and chosen is not null").groupBy("pair_id").agg(side(True).alias("a"), side(False).alias("b"))
-    both = both.filter((F.size("a") > 0) & (F.size("b") > 0))
+    both = pairs.select("pair_id", F.col("chosen_turns").alias("a"), F.col("rejected_turns").alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
     same = F.zip_with("a", "b", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     prefix = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("a"))
     cut = both.withColumn("n", prefix.cast("int"))
@@ -71,17 +84,30 @@ def answer_pairs(conversations: DataFrame) -> DataFrame:
 
     Chosen is the conversation itself. Rejected is the same up to its last assistant turn, which is
     replaced by the last assistant turn of the neighbouring conversation (ids 2k and 2k + 1) and ends it.
-    Conversations without an assistant turn, or whose neighbour has none, make no pair.
+    Conversations without an assistant turn, or whose neighbour has none, make no pair. Both neighbours come
+    together in one shuffle.
     """
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").filter("conv_id is not null")
-    answers = turns.filter(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("answer"))
-    known = answers.select("conv_id", F.col("last.turn").alias("last")).join(other, "conv_id")
-    chosen = turns.join(known.select("conv_id"), "conv_id", "left_semi").select(F.col("conv_id").alias("pair_id"), F.lit(True).alias("chosen"), "turn", "role", "text")
-    kept = turns.join(known.select("conv_id", "last"), "conv_id").filter(F.col("turn") < F.col("last"))
-    kept = kept.select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("chosen"), "turn", "role", "text")
-    swapped = known.select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("chosen"), F.col("last").alias("turn"), F.lit(TRAINED).alias("role"), F.col("answer").alias("text"))
-    return chosen.unionAll(kept).unionAll(swapped)
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").filter("conv_id is not null")
+    turn = F.struct(F.col("conv_id").bitwiseAND(1).alias("odd"), *[_turn()[k].alias(k) for k in ("turn", "role", "text")])
+    met = rows.groupBy(F.shiftright("conv_id", 1).alias("k")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    for odd in (0, 1):
+        met = met.withColumn(f"t{odd}", _of("t", odd).cast(_TURNS)).withColumn(f"last{odd}", F.array_max(F.filter(f"t{odd}", lambda x: x["role"] == TRAINED)))
+    made = []
+    for odd in (0, 1):
+        own, last, answer = F.col(f"t{odd}"), F.col(f"last{odd}"), F.col(f"last{1 - odd}")
+        swapped = F.struct(last["turn"].alias("turn"), F.lit(TRAINED).alias("role"), answer["text"].alias("text"))
+        kept = _before(own, last["turn"])
+        pair = F.struct((F.shiftleft("k", 1) + odd).alias("pair_id"), own.alias("chosen_turns"), F.concat(kept, F.array(swapped)).cast(_TURNS).alias("rejected_turns"))
+        made.append(F.when(last.isNotNull() & answer.isNotNull(), pair))
+    return met.select(F.explode(F.array_compact(F.array(*made))).alias("p")).select("p.*")
+
+
+def _of(name: str, odd: int):
+    return F.transform(F.filter(name, lambda x: x["odd"] == odd), lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text")))
+
+
+def _before(turns, limit):
+    return F.filter(turns, lambda x: x["turn"] < limit)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 from actloom.llm import common
-from actloom.llm.chat_format import answer_pairs, preference_format
+from actloom.llm.chat_format import answer_pairs, gather_turns, preference_format
 from actloom.llm.exact_dedup import build_directory, exact_dedup
 from actloom.llm.license_scan import license_scan
 from actloom.llm.line_dedup import drop_lines, line_bitmaps, line_dedup
@@ -101,14 +101,14 @@ def test_chat_edges(spark):
     assert set(rows) == {0, 1}
     assert rows[0].n_prompt_turns == 1 and rows[0].prompt == "<||>\nhi<|end|>\n" and rows[0].chosen.count("yes") == 2
     same = spark.createDataFrame([(7, c, i, "user", "a") for c in (True, False) for i in range(3)] + [(8, True, 0, "user", "a")], "pair_id long, chosen boolean, turn long, role string, text string")
-    (r,) = preference_format(same).collect()
+    (r,) = preference_format(gather_turns(same)).collect()
     assert (r.pair_id, r.n_prompt_turns, r.chosen, r.rejected, r.chosen_spans) == (7, 3, "", "", [])
-    assert preference_format(spark.createDataFrame([], same.schema)).collect() == []
+    assert preference_format(gather_turns(spark.createDataFrame([], same.schema))).collect() == []
 
 
 def test_spans_cover_the_assistant(spark):
     rows = [(1, True, 0, "user", "q"), (1, True, 1, "assistant", "good"), (1, True, 2, "user", "more"), (1, True, 3, "assistant", "fine"), (1, False, 0, "user", "q"), (1, False, 1, "assistant", "bad")]
-    (r,) = preference_format(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string")).collect()
+    (r,) = preference_format(gather_turns(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string"))).collect()
     assert [r.chosen[s.start : s.end] for s in r.chosen_spans] == ["good<|end|>\n", "fine<|end|>\n"]
     assert [r.rejected[s.start : s.end] for s in r.rejected_spans] == ["bad<|end|>\n"]
 
