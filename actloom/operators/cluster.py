@@ -16,27 +16,51 @@ def hash_tokens(text) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(*STOPWORDS))
 
 
+def _fingerprints(bits: int):
+    """Texts to group keys, an Arrow batch at a time. A word's digest is taken once a worker, and a text's words are
+    counted first, so the work follows distinct words. Built-in expressions took about ten times as long, as they
+    digest every word of every text and walk them once for each bit."""
+    import hashlib
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    token, stop, known = re.compile("[a-z0-9]+"), frozenset(STOPWORDS), {}
+
+    def signs(word: str):
+        if (found := known.get(word)) is None:
+            if len(known) > 200_000:
+                known.clear()
+            digest = np.frombuffer(hashlib.md5(word.encode()).digest()[:8], np.uint8)
+            found = known[word] = np.unpackbits(digest)[:bits].astype(np.int64) * 2 - 1
+        return found
+
+    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+
+    def key(text) -> int:
+        words = Counter(w for w in token.findall((text or "").lower()) if w not in stop)
+        if not words:
+            return 0
+        total = np.stack([signs(w) for w in words]).T @ np.fromiter(words.values(), np.int64, len(words))
+        return int(weights[total >= 0].sum())
+
+    def run(texts):
+        return texts.map(key, na_action=None).astype("int64")
+
+    return run
+
+
 def with_group_key(df: DataFrame, text: str = "text", bits: int = 12, name: str = "group_key") -> DataFrame:
     """Adds the top ``bits`` bits of each text's 64-bit SimHash over MD5 of its tokens; 0 without tokens.
 
-    A bit is set if at least half of the tokens set it. ``bits`` is 1 to 32, so only the digests' first hex
-    digits are read.
+    A bit is set if at least half of the tokens set it. ``bits`` is 1 to 63, a key being a signed long.
     """
-    if not 1 <= bits <= 32:
-        raise ValueError("bits must be 1 to 32")
-    nibbles = (bits + 3) // 4
-    heads = F.transform(hash_tokens(text), lambda w: F.conv(F.substring(F.md5(w), 1, nibbles), 16, 10).cast("long"))
-
-    def weigh(bit):
-        shift = 4 * nibbles - 1 - bit
-        return lambda s, h: s + F.when(F.shiftright(h, shift).bitwiseAND(1) == 1, 1).otherwise(-1)
-
-    total = F.lit(0).cast("long")
-    for i in range(bits):
-        held = F.aggregate(F.col("__heads"), F.lit(0), weigh(i)) >= 0
-        total = total + F.when(held, F.lit(1 << (bits - 1 - i)).cast("long")).otherwise(F.lit(0).cast("long"))
-    keyed = F.when(F.size(F.col("__heads")) == 0, F.lit(0).cast("long")).otherwise(total)
-    return df.withColumn("__heads", heads).withColumn(name, keyed).drop("__heads")
+    if not 1 <= bits <= 63:
+        raise ValueError("bits must be 1 to 63")
+    from pyspark.sql.types import LongType
+
+    return df.withColumn(name, F.pandas_udf(_fingerprints(bits), LongType())(F.col(text)))
 
 
 def representatives(df: DataFrame, key: list[str], text: str, pos: str, reps: int = 1, seed: int = 42) -> DataFrame:
