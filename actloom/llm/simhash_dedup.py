@@ -235,7 +235,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = table(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     roots = components(linked(nodes, radius, sample, block))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written, so that the join deals both sides anew and AQE can split a component that holds many rows
+    lows = table(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     known = named.select("fp", "root").join(lows, "root").select("fp", "component_id")
     return prints.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
