@@ -1,6 +1,7 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. Features are word 1- to 3-grams that hold at least one licence word; a multinomial
+Paragraphs are lines; where a line is not confirmed, it is also read joined with the lines after it, as notices are
+often hard-wrapped. Features are word 1- to 3-grams that hold at least one licence word; a multinomial
 logistic regression over that sparse vocabulary tells licence families from ordinary text. It is trained on
 the driver on the templates below, altered by a seeded generator, against ordinary and misleading text
 (licence words in other sentences). Its temperature is calibrated on altered templates of a held-out draw,
@@ -113,6 +114,7 @@ class Classifier:
                 for g in self._all_grams(t):
                     self.grams.setdefault(g, len(self.grams))
         self.pairs = {k: [frozenset(zip(t, t[1:], strict=False)) for t in ts] for k, ts in made.items()}
+        self.reach = 2 * max(len(t) for ts in made.values() for t in ts)
         rng = np.random.default_rng(seed)
         x, y = self._draw(rng, made, 120)
         self.weights = self._fit(x, y)
@@ -198,6 +200,36 @@ class Classifier:
         return name, sure, like, like >= CONFIRM
 
 
+def scan_text(model: Classifier, body: bytes) -> tuple[int, list[dict]]:
+    """Non-blank lines of a text, and its findings in order.
+
+    Runs of lines without a blank one between are joined, from each line on, up to ``model.reach`` words after the
+    first line; the join that is most similar to a template is one finding at its first line, if it is confirmed, in
+    place of those of its lines. Confirmed lines stand for themselves and are never joined.
+    """
+    words = [words_of(line) for line in body.split(b"\n")]
+    signs = {i for i, w in enumerate(words) if w and not model.signs.isdisjoint(w)}
+    found = {i: model.predict(words[i]) for i in sorted(signs)}
+    sure = {i for i, x in found.items() if x[3]}
+    used = -1
+    for i in sorted({k for s in signs for k in (s - 1, s)}):
+        if i <= used or i < 0 or not words[i] or i in sure:
+            continue
+        joined, best, j = list(words[i]), None, i + 1
+        while j < len(words) and words[j] and j not in sure and len(joined) - len(words[i]) < model.reach:
+            joined += words[j]
+            if (x := model.predict(joined))[3] and (best is None or x[2] > best[0][2]):
+                best = x, j
+            j += 1
+        if best:
+            for k in range(i, best[1] + 1):
+                found.pop(k, None)
+            found[i], used = best
+    names = ("family", "probability", "similarity", "confirmed")
+    hits = [{"paragraph": i} | dict(zip(names, (x[0], round(x[1], 6), round(x[2], 6), x[3]), strict=True)) for i, x in sorted(found.items()) if x[0] != NONE]
+    return sum(1 for w in words if w), hits
+
+
 def _scan(shared):
     def run(batches):
         import pyarrow as pa
@@ -207,14 +239,7 @@ def _scan(shared):
         for batch in batches:
             counts, out = [], []
             for body in batch.column(1).to_pylist():
-                hits, n = [], 0
-                for i, line in enumerate(body.split(b"\n")):
-                    if words := words_of(line):
-                        n += 1
-                        if not model.signs.isdisjoint(words):
-                            family, p, like, sure = model.predict(words)
-                            if family != NONE:
-                                hits.append({"paragraph": i, "family": family, "probability": round(p, 6), "similarity": round(like, 6), "confirmed": sure})
+                n, hits = scan_text(model, body)
                 counts.append(n)
                 out.append(hits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, found)], names=["id", "n_paragraphs", "found"])

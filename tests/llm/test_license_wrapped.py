@@ -1,0 +1,37 @@
+import textwrap
+
+import pytest
+
+from actloom.llm.license_scan import TEMPLATES, Classifier, scan_text
+
+
+@pytest.fixture(scope="module")
+def model():
+    return Classifier()
+
+
+NOTICES = {
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met",
+}
+
+
+@pytest.mark.parametrize("family", sorted(NOTICES))
+def test_wrapped_notices_are_confirmed(model, family):
+    n, found = scan_text(model, f"Some words before.\n\n{NOTICES[family]}\n\nSome words after.".encode())
+    assert n == 5
+    assert [(x["family"], x["paragraph"], x["confirmed"]) for x in found] == [(family, 2, True)]
+
+
+def test_long_templates_at_any_width(model):
+    for family, templates in TEMPLATES.items():
+        for t in templates:
+            for width in (30, 50, 72):
+                if len(t) > 80:
+                    _, found = scan_text(model, "\n".join(textwrap.wrap(t, width)).encode())
+                    assert {x["family"] for x in found if x["confirmed"]} == {family}, (t, width)
+
+
+def test_lines_are_not_joined_over_blank_ones(model):
+    _, found = scan_text(model, NOTICES["GPL"].replace("\n", "\n\n").encode())
+    assert not any(x["confirmed"] for x in found)
