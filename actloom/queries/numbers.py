@@ -56,7 +56,7 @@ def _p(s, d):
 
 @query("m06_bootstrap_ci")
 def _bootstrap(s, d):
-    rows = view(s, d, "orders").filter("o_custkey % 50 = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+    rows = view(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return stats.bootstrap_ci(rows, ["o_custkey"], "o_totalprice", "o_orderkey", n_boot=200, seed=7)
 
 
@@ -129,7 +129,9 @@ def _k16(s, d):
 
 @query("k17_effect_with_ci")
 def _k17(s, d):
-    rows = view(s, d, "lineitem").filter("l_orderkey % 200 = 1")
+    rows = view(s, d, "lineitem")
     e = stats.effect_size(stats.two_samples(rows, ["l_linenumber"], "l_returnflag", "A", "R", "l_quantity")).select("l_linenumber", "effect_size")
-    ci = stats.bootstrap_ci(rows.select("l_linenumber", "l_orderkey", "l_quantity"), ["l_linenumber"], "l_quantity", "l_orderkey", n_boot=100)
-    return e.join(ci, "l_linenumber")
+    held = rows.groupBy("l_linenumber").agg(F.when(F.count("l_quantity") >= 2, "ok").otherwise("missing").alias("status"))
+    ci = stats.bootstrap_ci_distributed(rows.filter("l_quantity is not null"), ["l_linenumber"], "l_quantity", "l_orderkey", n_boot=100)
+    ends = [F.when(F.col("status") == "ok", stats.rounded(F.col(c))).alias(c) for c in ("lower", "upper")]
+    return e.join(held, "l_linenumber").join(ci, "l_linenumber", "left").select("l_linenumber", "effect_size", "status", *ends)
