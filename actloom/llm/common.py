@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     where = spark.conf.get("spark.actloom.local.dir", None)
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="actloom-")
@@ -39,28 +40,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of a write as it ends, on all nodes; the table written replaces them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with dropped_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def split_table(df: DataFrame, name: str, column: str = "kind") -> tuple[DataFrame, DataFrame]:
-    """Two frames from one pass: the rows with 0 and with 1 in ``column``, in folders that can be dropped alone."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "none").partitionBy(column).parquet(path)
-    schema = df.drop(column).schema
-    made = [f"{path}/{column}={i}" for i in (0, 1)]
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for p in made:  # a kind without rows has no folder
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(p))
-    return tuple(spark.read.schema(schema).parquet(p) for p in made)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`table`, once nothing reads it any more."""
     spark = df.sparkSession
@@ -72,14 +72,6 @@ def drop_table(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose frames are gone; its cleaner works beside us."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound Arrow batches by bytes, so that whole texts of many rows do not meet in one worker at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -1,44 +1,47 @@
-"""Removal of repeated 50-byte strings by distributed, sparse prefix doubling.
+"""Removal of repeated 50-byte strings by distributed prefix doubling over sampled positions.
 
 A byte is removed if a 50-byte string covering it also starts in a document with a smaller id.
 
-Plain prefix doubling sorts one (rank, position) pair per byte and round, more than ten times the input
-in shuffles. The positions are therefore sampled by content first: of every 50-byte window, the 20-byte
-gram with the smallest hash is its anchor, so equal windows always have equal anchors, and neighbouring
-windows mostly share one (about one anchor per 17 bytes). Doubling then runs over those positions, and
-each round regroups ("re-ranks") only what is not yet unique:
-
-round 1   rank of length 20: the anchor gram. Anchors found in one batch and document only are unique
-          and drop out with all their windows, as no equal window can exist elsewhere.
-round 2   the pair (anchor rank, rank of the first and the last window that share the anchor), covering up
-          to 100 bytes. Where a smaller document has the same block, all its windows are settled.
-round 3   past the threshold: for anchors that still head different blocks, the pair (anchor rank, window
-          rank) of length exactly 50, for one document of each block.
-
-Ranks are 64-bit hashes built by doubling; two windows are taken as equal if both the anchor's 64 bits and
-the window's own 64 bits agree. Each round merges equal entries of a batch before the shuffle, so a string
-that a third of all documents hold costs one entry a batch, never a pair of documents. Texts are packed
-into zstd batches in the shared folder; requests and replies are packed numpy arrays.
+Doubling that sorts a (position, rank) row for every byte in every round shuffles more than ten times the
+input. Positions are therefore sampled by content: of every 50-byte window the 20-byte gram of smallest hash is the
+anchor, so equal windows have equal anchors and neighbouring windows mostly share one (one anchor in 17 bytes).
+Spark then sorts narrow rows (rank pair, document, batch) round by round, and each round asks only for what the
+rounds before left open:
+
+round 1   rank of length 20: the anchor alone. An anchor found in one document only is unique and drops out with all
+          its windows, as no equal window can exist elsewhere.
+round 2   the rank pair (anchor, block), a block being the run of windows that share an anchor: its first window, its
+          last window and their distance, 50 to 99 bytes. Rows are range-partitioned and sorted by the pair; the first
+          row of a run names the smallest document, which settles all windows of the block in later documents.
+round 3   past the threshold: for anchors that head several blocks, the pair (anchor, window) of length exactly 50,
+          for the first document of each block.
+
+Rows grow in proportion to the input: a batch gives one row for each distinct pair, so a string that a third of
+all documents hold costs one row a batch, and runs are streamed in sort order with constant memory. The partitions of
+round 2 are cut by pair, so an anchor with many contexts is spread; where a partition's edge cuts an anchor it counts
+as heading several blocks, which costs a question and never a result. Texts are packed once into zstd batches,
+bucketed in the shared folder, and never move again; all that a round needs is computed from them anew.
+
+Two strings are taken as equal if the anchors' 64 bits and the pair's other 64 bits agree.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, load, new_path, release, small_batches, split_table, table
+from .common import drop_table, load, new_path, small_batches, table
 
 LENGTH = 50
 GRAM = 20
 WINDOWS = LENGTH - GRAM + 1  # grams in a window
 RUN = LENGTH  # windows a block may hold, so that its first and last window cover it
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 16
-NULL_ID = np.iinfo(np.int64).max
+ID_MAX = np.iinfo(np.int64).max
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S1, _S2 = np.uint64(29), np.uint64(32)
@@ -58,7 +61,7 @@ def _loads(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
 
 
-def _window_hash(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _window_rank(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64-bit rank of the LENGTH bytes from each position in ``at``."""
     words = _loads(buf)
     h = words[at] * _M2
@@ -68,405 +71,434 @@ def _window_hash(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _blocks(buf: np.ndarray, ends: np.ndarray):
-    """(anchor rank, first window, last window, document index) of each run of windows with one anchor."""
-    keys, firsts, lasts, owners = [], [], [], []
-    begin, n_docs = 0, len(ends)
-    doc = 0
-    while doc < n_docs:  # groups of whole documents, small enough for the CPU's cache
-        stop = max(doc + 1, int(np.searchsorted(ends, begin + CHUNK_BYTES, side="right")))
-        end = int(ends[stop - 1])
-        part = buf[begin:end]
-        if len(part) >= LENGTH:
-            words = _loads(part)
-            n = len(part) - GRAM + 1
-            gram = _mix(_mix(words[:n] * _M2, words[8 : 8 + n]), words[GRAM - 8 : GRAM - 8 + n])
-            low, span = gram, 1
-            while span * 2 <= WINDOWS:
-                low = np.minimum(low[:-span], low[span:])
-                span *= 2
-            if span < WINDOWS:
-                low = np.minimum(low[: -(WINDOWS - span)], low[WINDOWS - span :])
-            new = np.empty(len(low), bool)
-            new[0] = True
-            np.not_equal(low[1:], low[:-1], out=new[1:])
-            bounds = ends[doc:stop] - begin
-            valid = np.ones(len(low), bool)  # windows that stay inside their document
-            for b in bounds[:-1].tolist():
-                valid[max(0, b - LENGTH + 1) : b] = False
-                if b < len(low):
-                    new[b] = True
-            new[1:] |= valid[1:] & ~valid[:-1]
-            first = np.flatnonzero(new & valid)
-            if len(first):
-                tail = np.flatnonzero((new | ~valid))
-                at = np.searchsorted(tail, first, side="right")
-                last = np.where(at < len(tail), tail[np.minimum(at, len(tail) - 1)], len(low)) - 1
-                if (extra := (last - first) // RUN).any():  # long runs, as in a text of one repeated word
-                    rep = np.repeat(np.arange(len(first)), extra + 1)
-                    step = np.arange(len(rep)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
-                    f = first[rep] + step * RUN
-                    last = np.minimum(last[rep], f + RUN - 1)
-                    first = f
-                keys.append(low[first])
-                firsts.append(first + begin)
-                lasts.append(last + begin)
-                owners.append(doc + np.searchsorted(bounds, first, side="right"))
-        begin, doc = end, stop
+    """(anchor rank, first window, last window, document index) of each run of windows with one anchor.
+
+    Works in pieces of CHUNK_BYTES, long documents included. A piece's edge cuts a run in two, which changes blocks but
+    not the windows they hold.
+    """
+    keys, firsts, lasts = [], [], []
+    for begin in range(0, len(buf) - LENGTH + 1, CHUNK_BYTES):
+        part = buf[begin : begin + CHUNK_BYTES + LENGTH - 1]
+        words = _loads(part)
+        n = len(part) - GRAM + 1
+        gram = _mix(_mix(words[:n] * _M2, words[8 : 8 + n]), words[GRAM - 8 : GRAM - 8 + n])
+        low, span = gram, 1
+        while span * 2 <= WINDOWS:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < WINDOWS:
+            low = np.minimum(low[: -(WINDOWS - span)], low[WINDOWS - span :])
+        new = np.empty(len(low), bool)
+        new[0] = True
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        valid = np.ones(len(low), bool)  # windows that stay inside their document
+        inside = ends[np.searchsorted(ends, begin, side="right") : np.searchsorted(ends, begin + len(part), side="left")]
+        for b in np.unique(inside - begin).tolist():
+            valid[max(0, b - LENGTH + 1) : b] = False
+            if b < len(low):
+                new[b] = True
+        new[1:] |= valid[1:] & ~valid[:-1]
+        first = np.flatnonzero(new & valid)
+        if not len(first):
+            continue
+        tail = np.flatnonzero(new | ~valid)
+        at = np.searchsorted(tail, first, side="right")
+        last = np.where(at < len(tail), tail[np.minimum(at, len(tail) - 1)], len(low)) - 1
+        if (extra := (last - first) // RUN).any():  # long runs, as in a text of one repeated word
+            rep = np.repeat(np.arange(len(first)), extra + 1)
+            step = np.arange(len(rep)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
+            f = first[rep] + step * RUN
+            last = np.minimum(last[rep], f + RUN - 1)
+            first = f
+        keys.append(low[first])
+        firsts.append(first + begin)
+        lasts.append(last + begin)
     if not keys:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, empty
-    return tuple(np.concatenate(x) for x in (keys, firsts, lasts, owners))
-
+    first = np.concatenate(firsts)
+    return np.concatenate(keys), first, np.concatenate(lasts), np.searchsorted(ends, first, side="right")
 
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys * _M1) >> np.uint64(40)).astype(np.int64) % n
 
+def _block_rank(buf, first, last):
+    """Rank of a whole block: those of its first and last window, and their distance."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    return _mix(_mix(_window_rank(buf, first), _window_rank(buf, last)), (last - first).astype(np.uint64))
 
-def _squeeze(*columns) -> bytes:
-    """Columns as one zstd frame: the byte length of each, then their bytes."""
-    import zstandard
 
-    head = np.array([len(columns), *(c.nbytes for c in columns)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+def bucket_of(x: int, n: int) -> int:
+    """The bucket that Spark gives to a long: Murmur3 with seed 42, modulo n."""
+    m = 0xFFFFFFFF
+    rol = lambda v, r: ((v << r) | (v >> (32 - r))) & m
+    h = 42
+    for k in (x & m, (x >> 32) & m):
+        k = rol(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        h = (rol(h ^ k, 13) * 5 + 0xE6546B64) & m
+    h ^= 8
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % n
 
 
-def _expand(blob: bytes, *kinds):
-    import zstandard
+def _pack(n: int, batch_bytes: int):
+    """Whole documents in zstd batches of about ``batch_bytes``; a task's batches all lie in one bucket of ``n``."""
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
-    at, out = 8 + 8 * len(sizes), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
-        at += n
-    return out
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        number = task << 36
+        squeeze = zstandard.ZstdCompressor(level=3)
+        ids, texts, held = [], [], 0
+
+        def out():
+            nonlocal number
+            number += 1
+            while bucket_of(number, n) != task % n:
+                number += 1
+            lens = np.array([len(t) for t in texts], np.int64)
+            null = np.array([d is None for d in ids], bool)
+            known = np.array([ID_MAX if d is None else d for d in ids], np.int64)
+            cells = [known.tobytes(), null.tobytes(), lens.tobytes(), squeeze.compress(b"".join(texts))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c], pa.binary()) for c in cells)], names=list(_BATCH))
 
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(d)
+                texts.append(t or b"")
+                held += len(texts[-1])
+                if held >= batch_bytes or len(ids) >= 50_000:
+                    yield out()
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield out()
 
-def _emit(pa, batch_id: int, n: int, keys, *columns):
-    """Request rows (bucket, batch, packed columns) and the order that the entries take in them."""
-    bucket = _bucket(keys, n)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-    stops = np.r_[cuts[1:], len(order)][: len(cuts)]
-    rows = [_squeeze(*(c[order[i:j]] for c in (keys, *columns))) for i, j in zip(cuts, stops, strict=True)]
-    buckets = bucket[order[cuts]] if len(cuts) else cuts
-    return order, (buckets.tolist(), [batch_id] * len(rows), rows)
+    return run
 
 
-def _record(pa, buckets, batch_ids, rows):
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(batch_ids, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "batch_id", "data"])
+_BATCH = ("batch_id", "ids", "nulls", "lens", "body")
 
 
-def _pack(batches):
-    """Whole documents in zstd batches of about BATCH_BYTES."""
-    import pyarrow as pa
+def _open(ids, nulls, lens, body):
     import zstandard
-    from pyspark import TaskContext
 
-    base, made = TaskContext.get().partitionId() << 32, 0
-    ids, texts, held = [], [], 0
-    squeeze = zstandard.ZstdCompressor(level=3)
+    lens = np.frombuffer(lens, np.int64)
+    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    return np.frombuffer(ids, np.int64), np.frombuffer(nulls, bool), np.cumsum(lens), buf
 
-    def out():
-        lens = np.array([len(t) for t in texts], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([base + made]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([lens.tobytes()], pa.binary()), pa.array([squeeze.compress(b"".join(texts))], pa.binary())],
-            names=["batch_id", "ids", "lens", "body"],
-        )
 
-    for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(NULL_ID if d is None else d)
-            texts.append(t or b"")
-            held += len(texts[-1])
-            if held >= BATCH_BYTES or len(ids) >= 50_000:
-                yield out()
-                ids, texts, held, made = [], [], 0, made + 1
-    if ids:
-        yield out()
-
-
-def _open(ids, lens, body):
-    import zstandard
+def _rows(columns: dict):
+    import pyarrow as pa
 
-    lens = np.frombuffer(lens, np.int64)
-    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    return np.frombuffer(ids, np.int64), np.cumsum(lens), buf
+    return pa.table({n: pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for n, c in columns.items()})
 
 
-def _unique_anchors(keys, docs):
-    """Distinct anchors of a batch, and whether two of its documents hold them."""
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], docs[order]
-    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    if not len(k):
-        return k, np.zeros(0, np.uint8)
-    several = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
-    return k[start], several.astype(np.uint8)
+def _distinct(k1, k2, docs):
+    """Distinct pairs, their smallest documents, and whether they stand in several documents."""
+    order = np.lexsort((docs, k2, k1))
+    a, b, d = k1[order], k2[order], docs[order]
+    if not len(a):
+        return a, b, d, np.zeros(0, bool)
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    stop = np.r_[start[1:], len(a)] - 1
+    return a[start], b[start], d[start], d[start] != d[stop]
 
 
-def _round1(n):
-    def run(batches):
-        import pyarrow as pa
+def _owner(batch_id: int, several):
+    """A row's batch and its flag in one number."""
+    return np.int64(batch_id) * 2 + several.astype(np.int64)
 
-        for batch in batches:
-            for batch_id, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, ends, buf = _open(*packed)
-                keys, _, _, doc = _blocks(buf, ends)
-                keys, several = _unique_anchors(keys, ids[doc])
-                yield _record(pa, *_emit(pa, batch_id, n, keys, several)[1])
 
-    return run
+def _anchors(batches):
+    """Round 1: the distinct anchors of each batch."""
+    for batch in batches:
+        for batch_id, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, _, ends, buf = _open(*packed)
+            keys, _, _, doc = _blocks(buf, ends)
+            keys, _, _, several = _distinct(keys, np.zeros(len(keys), np.uint64), ids[doc])
+            yield from _rows({"anchor": keys, "owner": _owner(batch_id, several)}).to_batches(max_chunksize=100_000)
 
 
-def _by_bucket(batches, kinds, answer):
-    """Give ``answer`` all entries of a bucket at once; send each blob's replies back to its batch."""
+def _shared(batches):
+    """Anchors in rank order: those of two batches or documents, to each batch that holds them."""
     import pyarrow as pa
 
-    now, ids, blobs = None, [], []
+    held = None  # the last row, whose next one is not known yet
 
-    def done():
-        data = [_expand(b, *kinds) for b in blobs]
-        replies = answer([np.concatenate(c) for c in zip(*data, strict=True)], [len(d[0]) for d in data])
-        return _record(pa, [now] * len(ids), ids, replies)
+    def out(k, owner, shared):
+        owner = owner[shared] >> 1
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(k[shared])], names=["batch_id", "anchor"])
 
     for batch in batches:
-        for b, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != now and ids:
-                yield done()
-                ids, blobs = [], []
-            now = b
-            ids.append(i)
-            blobs.append(x)
-    if ids:
-        yield done()
+        k, owner = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(k):
+            continue
+        before = None if held is None else held[2]  # whether the held row's predecessor is equal to it
+        if held is not None:
+            k, owner = np.r_[held[0], k], np.r_[held[1], owner]
+        same = k[1:] == k[:-1]
+        shared = (owner & 1).astype(bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        if before:
+            shared[0] = True
+        if len(k) > 1:
+            yield out(k[:-1], owner[:-1], shared[:-1])
+        held = k[-1:], owner[-1:], bool(same[-1]) if len(same) else bool(before)
+    if held is not None:
+        yield out(held[0], held[1], np.array([held[2] or bool(held[1][0] & 1)]))
 
 
-def _split(values, counts):
-    return np.split(values, np.cumsum(counts)[:-1])
+def _texts_of(table):
+    """The one batch of a group, opened."""
+    return _open(*(table.column(n)[0].as_py() for n in _BATCH[1:]))
 
 
-def _answer1(batches):
-    """Bits: is the anchor in another batch or document too?"""
+def _column(table, name, kind=np.uint64):
+    return table.column(name).to_numpy().astype(np.int64, copy=False).view(kind)
 
-    def answer(data, counts):
-        keys, several = data[0], data[1].astype(bool)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        same = np.zeros(len(k), bool)
-        if len(k) > 1:
-            eq = k[1:] == k[:-1]
-            same[1:] |= eq
-            same[:-1] |= eq
-        shared = several.copy()
-        shared[order] |= same
-        return [np.packbits(x).tobytes() for x in _split(shared, counts)]
-
-    return _by_bucket(batches, (np.uint64, np.uint8), answer)
-
-
-def _answer_pairs(batches):
-    """For each (anchor, rank, document): the smallest document with that pair, and whether the anchor has other pairs."""
-
-    def answer(data, counts):
-        k1, k2, doc = data
-        order = np.lexsort((doc, k2, k1))
-        a, b, d = k1[order], k2[order], doc[order]
-        new1 = np.r_[True, a[1:] != a[:-1]]
-        new2 = new1.copy()
-        new2[1:] |= b[1:] != b[:-1]
-        least = d[np.flatnonzero(new2)][np.cumsum(new2) - 1]
-        group = np.cumsum(new1) - 1
-        pairs = np.bincount(group, weights=new2).astype(np.int64)
-        reply = np.empty(len(k1), np.int64)
-        other = np.empty(len(k1), np.uint8)
-        reply[order] = least
-        other[order] = pairs[group] > 1
-        return [_squeeze(x, y) for x, y in zip(_split(reply, counts), _split(other, counts), strict=True)]
-
-    return _by_bucket(batches, (np.uint64, np.uint64, np.int64), answer)
-
-
-def _read_pairs(replies: list[tuple[int, bytes]], total: int):
-    """Replies of a batch in the order of its requests."""
-    least, other, at = np.zeros(total, np.int64), np.zeros(total, bool), 0
-    for _, blob in sorted(replies):
-        found, several = _expand(blob, np.int64, np.uint8)
-        least[at : at + len(found)] = found
-        other[at : at + len(found)] = several
-        at += len(found)
-    return least, other
-
-
-def _least_docs(k1, k2, docs):
-    """Distinct (k1, k2) of a batch with their smallest document; and each entry's place among them."""
-    order = np.lexsort((docs, k2, k1))
-    a, b = k1[order], k2[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return a[new], b[new], docs[order][new], place
 
+def _pairs(texts, live):
+    """Round 2: the distinct (anchor, block) pairs of a batch whose anchors are shared."""
+    ids, _, ends, buf = _texts_of(texts)
+    keys, first, last, doc = _blocks(buf, ends)
+    keep = _within(keys, _column(live, "anchor"))
+    keys, first, last, doc = keys[keep], first[keep], last[keep], doc[keep]
+    a, b, d, several = _distinct(keys, _block_rank(buf, first, last), ids[doc])
+    return _rows({"anchor": a, "pair": b, "doc": d, "owner": _owner(texts.column("batch_id")[0].as_py(), several)})
 
-def _round2(n):
-    """Blocks of shared anchors: requests (kind 0), and the batch with its blocks for later (kind 1)."""
 
-    def run(batches):
-        import pyarrow as pa
+def _within(values, some):
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-        for batch in batches:
-            for batch_id, packed_ids, lens, body, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, ends, buf = _open(packed_ids, lens, body)
-                keys, first, last, doc = _blocks(buf, ends)
-                anchors, several = _unique_anchors(keys, ids[doc])
-                order = np.argsort(_bucket(anchors, n), kind="stable")
-                bits, at = np.zeros(len(anchors), bool), 0
-                count = np.bincount(_bucket(anchors, n), minlength=n) if len(anchors) else np.zeros(n, np.int64)
-                for r in sorted(replies or [], key=lambda r: r["bucket"]):
-                    c = int(count[r["bucket"]])
-                    bits[order[at : at + c]] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=c).astype(bool)
-                    at += c
-                keep = bits[np.searchsorted(anchors, keys)] if len(keys) else np.zeros(0, bool)
-                keys, first, last, doc = keys[keep], first[keep], last[keep], doc[keep]
-                rank = _mix(_mix(_window_hash(buf, first), _window_hash(buf, last)), (last - first).astype(np.uint64)) if len(keys) else keys
-                k1, k2, least, place = _least_docs(keys, rank, ids[doc])
-                order, (buckets, _, rows) = _emit(pa, batch_id, n, k1, k2, least)
-                where = np.empty(len(order), np.int64)
-                where[order] = np.arange(len(order))
-                state = _squeeze(keys, first.astype(np.uint32), (last - first).astype(np.uint8), (where[place] if len(place) else place).astype(np.uint32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(rows) + [1], pa.int32()), pa.array([*buckets, 0], pa.int32()), pa.array([batch_id] * (len(rows) + 1), pa.int64()), pa.array([*rows, state], pa.binary())],
-                    names=["kind", "bucket", "batch_id", "data"],
-                )
+    return pc.is_in(pa.array(values), value_set=pa.array(some)).to_numpy(zero_copy_only=False) if len(some) else np.zeros(len(values), bool)
 
-    return run
 
+def _settle(ask: bool):
+    """Rows (anchor, pair, doc, owner) in sort order to replies (batch_id, kind, anchor, pair, least).
 
-def _round3(n):
-    """Settle whole blocks; ask for the single windows of the others."""
+    ``least`` is the smallest document of a run of equal pairs. Kind 0: later documents hold the pair. Kind 1, only if
+    ``ask``: besides, the anchor heads other pairs, so the windows of the first document are still open. Rows that
+    nothing follows from get no reply. A run is never cut by a partition's edge; an anchor may be, and then asks.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        held, now, begun = [], None, False  # rows whose anchor has had one pair so far are told later
+        lead = None  # (anchor, pair, least) of the run that the last row belongs to
+        many = False  # whether the last row's anchor is known to have several pairs
+        edge = True  # whether the last row's anchor is the partition's first
         for batch in batches:
-            for batch_id, packed_ids, lens, body, state, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, ends, buf = _open(packed_ids, lens, body)
-                keys, first, run, place = _expand(state, np.uint64, np.uint32, np.uint8, np.uint32)
-                first = first.astype(np.int64)
-                last, doc = first + run, np.searchsorted(ends, first, side="right")
-                total = int(place.max()) + 1 if len(place) else 0
-                least, other = _read_pairs([(r["bucket"], r["data"]) for r in replies or []], total)
-                own = ids[doc]
-                gone = least[place] < own
-                ask = other[place] & (least[place] == own)
-                rep = (last - first + 1)[ask]
-                at = np.repeat(first[ask], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
-                owner = np.repeat(doc[ask], rep)
-                k1, k2, small, window = _least_docs(np.repeat(keys[ask], rep), _window_hash(buf, at) if len(at) else np.zeros(0, np.uint64), ids[owner])
-                order, (buckets, _, rows) = _emit(pa, batch_id, n, k1, k2, small)
-                where = np.empty(len(order), np.int64)
-                where[order] = np.arange(len(order))
-                spans = _squeeze(first[gone].astype(np.uint32), (last - first)[gone].astype(np.uint8), at.astype(np.uint32), (where[window] if len(window) else window).astype(np.uint32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(rows) + [1], pa.int32()), pa.array([*buckets, 0], pa.int32()), pa.array([batch_id] * (len(rows) + 1), pa.int64()), pa.array([*rows, spans], pa.binary())],
-                    names=["kind", "bucket", "batch_id", "data"],
-                )
+            a, b, d, owner = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            n = len(a)
+            if not n:
+                continue
+            new1 = np.r_[lead is None or a[0] != lead[0], a[1:] != a[:-1]]
+            new2 = new1 | np.r_[lead is None or b[0] != lead[1], b[1:] != b[:-1]]
+            start = np.flatnonzero(new2)
+            run_of = np.cumsum(new2) - 1
+            least = np.where(run_of >= 0, d[start[np.maximum(run_of, 0)]] if len(start) else 0, lead[2] if lead else 0)
+            told = (d != least) | ((owner & 1) > 0)
+            if ask:
+                group = np.cumsum(new1)  # 0: the anchor that the batch before ended with
+                pairs = np.bincount(group, weights=new2, minlength=group[-1] + 1).astype(np.int64)
+                several = pairs > 1
+                if not new1[0]:
+                    several[0] = many or pairs[0] > 0  # a further pair of an anchor that had one
+                touches = np.zeros(len(pairs), bool)
+                touches[0] = edge and not new1[0]
+                if not begun:
+                    touches[group[0]] = True
+                open_ = (several | touches)[group]
+                # the batch's last anchor may go on: hold its rows back while it has one pair
+                last = group == group[-1]
+                wait = last & ~open_
+                if len(held) and (not new1[0]):  # rows held from before share this batch's first anchor
+                    if several[0]:
+                        yield from _reply(pa, held, True)
+                        held = []
+                    elif group[-1] > 0:
+                        yield from _reply(pa, held, False)
+                        held = []
+                elif len(held):
+                    yield from _reply(pa, held, False)
+                    held = []
+                many, edge = bool(several[-1]), bool(touches[-1])
+                some = ~wait & (told | open_)
+                if some.any():
+                    yield _settled(pa, a[some], b[some], least[some], owner[some], open_[some])
+                if wait.any():
+                    # of one pair: only its first row can ask later, others are told now
+                    now_told = wait & told
+                    if now_told.any():
+                        yield _settled(pa, a[now_told], b[now_told], least[now_told], owner[now_told], np.zeros(int(now_told.sum()), bool))
+                    head = np.flatnonzero(wait & (d == least))[:1]
+                    if len(head) and not held:
+                        held = [(a[head], b[head], least[head], owner[head])]
+            elif told.any():
+                yield _settled(pa, a[told], b[told], least[told], owner[told], np.zeros(int(told.sum()), bool))
+            lead, begun = (a[-1], b[-1], least[-1]), True
+        if held:  # the partition's last anchor may go on in the next partition
+            yield from _reply(pa, held, True)
 
     return run
 
 
-def _finish(batches):
+def _reply(pa, held, ask: bool):
+    if ask:
+        for a, b, least, owner in held:
+            yield _settled(pa, a, b, least, owner, np.ones(len(a), bool))
+
+
+def _settled(pa, a, b, least, owner, ask):
+    return pa.RecordBatch.from_arrays([pa.array(owner >> 1), pa.array(ask.astype(np.int32)), pa.array(a), pa.array(b), pa.array(least)], names=["batch_id", "kind", "anchor", "pair", "least"])
+
+
+def _lookup(k1, k2, replies):
+    """For each pair: the smallest document a reply names (its own place in order otherwise), and whether any asks."""
+    least = np.full(len(k1), ID_MAX, np.int64)
+    ask = np.zeros(len(k1), bool)
+    a, b = _column(replies, "anchor"), _column(replies, "pair")
+    if not len(a) or not len(k1):
+        return least, ask
+    names = np.unique(np.concatenate([a, k1]), return_inverse=True)[1].astype(np.uint64)
+    others = np.unique(np.concatenate([b, k2]), return_inverse=True)[1].astype(np.uint64)
+    code = (names << np.uint64(32)) | others
+    known, want = code[: len(a)], code[len(a) :]
+    order = np.argsort(known, kind="stable")
+    known = known[order]
+    start = np.flatnonzero(np.r_[True, known[1:] != known[:-1]])
+    low = np.minimum.reduceat(_column(replies, "least", np.int64)[order], start)
+    asks = np.maximum.reduceat(replies.column("kind").to_numpy()[order], start) > 0
+    known = known[start]
+    at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+    hit = known[at] == want
+    least[hit] = low[at[hit]]
+    ask[hit] = asks[at[hit]]
+    return least, ask
+
+
+def _open_windows(texts, replies):
+    """Blocks settled by round 2 and the windows it leaves open, found from the batch and its replies."""
+    ids, nulls, ends, buf = _texts_of(texts)
+    keys, first, last, doc = _blocks(buf, ends)
+    keep = _within(keys, _column(replies, "anchor"))
+    keys, first, last, doc = keys[keep], first[keep], last[keep], doc[keep]
+    least, ask = _lookup(keys, _block_rank(buf, first, last), replies)
+    gone = least < ids[doc]
+    ask &= least == ids[doc]
+    rep = (last - first + 1)[ask]
+    at = np.repeat(first[ask], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
+    return ids, nulls, ends, buf, first[gone], last[gone], np.repeat(keys[ask], rep), at, np.repeat(doc[ask], rep)
+
+
+def _windows(texts, replies):
+    """Round 3: the distinct (anchor, window) pairs that round 2 left open."""
+    ids, _, _, buf, _, _, keys, at, doc = _open_windows(texts, replies)
+    a, b, d, several = _distinct(keys, _window_rank(buf, at) if len(at) else np.zeros(0, np.uint64), ids[doc])
+    return _rows({"anchor": a, "pair": b, "doc": d, "owner": _owner(texts.column("batch_id")[0].as_py(), several)})
+
+
+def _finish(texts, replies):
+    """Removed spans and kept bytes of each document."""
     import pyarrow as pa
-
-    for batch in batches:
-        for _, packed_ids, lens, body, state, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, ends, buf = _open(packed_ids, lens, body)
-            first, run, at, place = _expand(state, np.uint32, np.uint8, np.uint32, np.uint32)
-            first, at = first.astype(np.int64), at.astype(np.int64)
-            last, owner = first + run, np.searchsorted(ends, at, side="right")
-            least, _ = _read_pairs([(r["bucket"], r["data"]) for r in replies or []], int(place.max()) + 1 if len(place) else 0)
-            hit = at[least[place] < ids[owner]] if len(at) else at
-            edge = np.zeros(len(buf) + 1, np.int32)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + LENGTH, -1)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + LENGTH, -1)
-            drop = np.cumsum(edge[:-1]) > 0
-            begins = drop.copy()
-            begins[1:] &= ~drop[:-1]
-            rows, begin = [], 0
-            for d, end in zip(ids.tolist(), ends.tolist(), strict=True):
-                part = drop[begin:end]
-                removed = int(part.sum())
-                spans = int(begins[begin:end].sum()) + int(removed > 0 and bool(part[0]) and not begins[begin]) if removed else 0
-                kept = buf[begin:end][~part] if removed else buf[begin:end]
-                rows.append((None if d == NULL_ID else d, end - begin, removed, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-                begin = end
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-_REQUEST = "bucket int, batch_id long, data binary"
-_BATCH = ("batch_id", "ids", "lens", "body")
-
-
-def _resolve(requests: DataFrame, n: int, answer, name: str) -> DataFrame:
-    """Requests meet by bucket; each reply goes back to its batch."""
-    spark = requests.sparkSession
-    release(spark)  # the shuffle of the step before
-    replies = table(requests.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _REQUEST), name, "none")
-    del requests
-    release(spark)
-    return replies
-
-
-def _with_replies(texts: DataFrame, replies: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """The batches, which lie bucketed on disk and do not move, with what belongs to them."""
-    gathered = replies.groupBy("batch_id").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
-    if state is not None:
-        texts = texts.join(state.hint("merge"), "batch_id")
-    out = texts.join(gathered.hint("merge"), "batch_id", "left")
-    return out.select(*_BATCH, *([] if state is None else ["state"]), "replies")
-
-
-def _batches(src: DataFrame) -> DataFrame:
-    """Packed texts, bucketed by batch in the shared folder, so that no later join shuffles them."""
+    import pyarrow.compute as pc
+
+    last_round = pc.equal(replies.column("round"), 3)
+    ids, nulls, ends, buf, first, last, keys, at, doc = _open_windows(texts, replies.filter(pc.invert(last_round)))
+    if len(at):
+        least, _ = _lookup(keys, _window_rank(buf, at), replies.filter(last_round))
+        at = at[least < ids[doc]]
+    edge = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + LENGTH, -1)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + LENGTH, -1)
+    drop = np.cumsum(edge[:-1]) > 0
+    begins = np.r_[0, ends[:-1]]
+    first_byte = np.zeros(len(buf) + 1, bool)
+    first_byte[begins] = True
+    first_byte[-1] = True
+    turn = np.flatnonzero(np.r_[drop[:1], drop[1:] != drop[:-1]] | (drop & first_byte[:-1])) if len(buf) else np.zeros(0, np.int64)
+    start = turn[drop[turn]]  # a span starts where removal does, and at each document's first byte
+    stop = np.flatnonzero(drop & np.r_[~drop[1:] | first_byte[1:-1], True]) + 1 if len(buf) else start
+    of = np.searchsorted(ends, start, side="right")
+    cuts = np.searchsorted(of, np.arange(len(ends) + 1))
+    pairs = pa.StructArray.from_arrays([pa.array(start - begins[of]), pa.array(stop - begins[of])], names=["start", "end"])
+    kept = [buf[b:e][~drop[b:e]].tobytes() if j > i else buf[b:e].tobytes() for b, e, i, j in zip(begins.tolist(), ends.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.table({
+        "id": pa.array(ids, mask=nulls), "n_bytes": pa.array(ends - begins), "spans": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pairs), "kept": pa.array(kept, pa.binary()),
+    })
+
+
+def _batches(src: DataFrame, batch_bytes: int) -> DataFrame:
+    """Packed texts, bucketed by batch in the shared folder, so that no later join moves them.
+
+    Batch numbers are chosen so that a task writes to one bucket; the texts are not shuffled for it. The table's name
+    is dropped from the catalogue at once, its files when the application ends.
+    """
     spark = src.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = src.mapInArrow(_pack, "batch_id long, ids binary, lens binary, body binary")
+    n = max(1, min(src.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    packed = src.mapInArrow(_pack(n, batch_bytes), "batch_id long, ids binary, nulls binary, lens binary, body binary")
     name, path = f"actloom_{uuid.uuid4().hex}", new_path(spark, "batches")
-    packed.repartition(n, "batch_id").write.bucketBy(n, "batch_id").option("path", path).option("compression", "none").saveAsTable(name)
-    del packed
-    release(spark)
-    return spark.table(name)
+    packed.write.bucketBy(n, "batch_id").option("path", path).option("compression", "none").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _with(texts: DataFrame, replies: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` over each batch and the replies that belong to it."""
+    return texts.groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(_only_batches(step), schema)
+
+
+def _only_batches(step):
+    def run(left, right):
+        return step(left, right)
+
+    return run
+
+
+_ROW = "anchor long, pair long, doc long, owner long"
+_REPLY = "batch_id long, kind int, anchor long, pair long, least long"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per input row: id, n_bytes, spans (array of start, end in bytes, removed), kept (the bytes left).
 
-    Null and empty texts have no bytes and lose none. A null id counts as larger than every id, so such a
-    row loses to rows with an id and never to another null. Rows repeating an id do not remove each
-    other's bytes. Texts shorter than 50 bytes are never touched. Extra columns are ignored and an empty
-    table gives an empty result.
+    Null and empty texts have no bytes and lose none. A null id counts as larger than every id, so such a row loses to
+    rows with an id and never to another null (nor to the id 2^63 - 1). Rows repeating an id do not remove each other's
+    bytes. Texts shorter than 50 bytes are never touched; a very long text is a batch of its own and is worked through
+    in pieces. Extra columns are ignored and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = _batches(docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")))
-    n = max(16, texts.count() // 2)
-    made = "kind int, " + _REQUEST
-    flags = _resolve(texts.select(*_BATCH).mapInArrow(_round1(n), _REQUEST), n, _answer1, "anchors")
-    asked, state = split_table(_with_replies(texts, flags).mapInArrow(_round2(n), made), "blocks")
-    drop_table(flags)
-    blocks = _resolve(asked, n, _answer_pairs, "block-replies")
-    drop_table(asked)
-    state = state.select("batch_id", F.col("data").alias("state"))
-    asked, settled = split_table(_with_replies(texts, blocks, state).mapInArrow(_round3(n), made), "windows")
-    drop_table(state)
-    drop_table(blocks)
-    windows = _resolve(asked, n, _answer_pairs, "window-replies")
-    drop_table(asked)
-    state = settled.select("batch_id", F.col("data").alias("state"))
-    out = _with_replies(texts, windows, state).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("doc_id", id_col)
+    texts = _batches(docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")), batch_bytes)
+    anchors = texts.select(*_BATCH).mapInArrow(_anchors, "anchor long, owner long")
+    live = table(anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "batch_id long, anchor long"), "anchors")
+    pairs = table(_with(texts, live, _pairs, _ROW), "pairs")
+    drop_table(live)
+    dealt = pairs.repartitionByRange("anchor", "pair").sortWithinPartitions("anchor", "pair", "doc")
+    settled = table(dealt.mapInArrow(_settle(True), _REPLY), "blocks")
+    drop_table(pairs)
+    asked = _with(texts, settled, _windows, _ROW).repartition("anchor", "pair").sortWithinPartitions("anchor", "pair", "doc")
+    windows = table(asked.mapInArrow(_settle(False), _REPLY), "windows")
+    replies = settled.withColumn("round", F.lit(2)).unionAll(windows.withColumn("round", F.lit(3)))
+    out = _with(texts, replies, _finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumnRenamed("id", id_col)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The digest of :func:`repeated_spans`: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    out = repeated_spans(docs, id_col, text_col, **options)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
