@@ -1,91 +1,127 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The units are characters folded to 64 symbols (case, digits, blanks, line ends and punctuation stay
-apart), the order is four. That bounds every table by 64 ** 4 entries whatever the corpus, so the model can
-be sent to all tasks (67 MB at most) and texts are never shuffled, while the counts come from all trusted
-documents and grow with them.
+The units are UTF-8 bytes, none of them folded, so the model knows every script and word form; n-grams of ORDER bytes
+are one long number, their context and suffix its leading and trailing bytes. All tables are sharded by n-gram and grow
+with the text; none is sent to the driver or broadcast.
 
-Training is a chain of sharded count joins: each task counts its trusted texts' 4-grams, partial counts
-meet by 4-gram, lower orders take continuation counts from the order above, and each order's probabilities
-join counts with context totals (by context) and with the order below (by suffix).
+Training, over trusted texts only: each batch counts its n-grams, partial counts meet by n-gram, lower orders take
+continuation counts from the order above, and each order's probabilities join counts with context totals (by context)
+and with the order below (by suffix):
 
     p_k(w | h) = max(c(hw) - D(c(hw)), 0) / c(h.) + (D1 N1(h) + D2 N2(h) + D3 N3+(h)) / c(h.) * p_(k-1)(w | h')
 
-with D1, D2, D3+ of each order from its counts of counts, and order 1 interpolated with 1/64. A document is
-kept if its perplexity is at most the quantile, by language, of the trusted documents' own perplexities
-times a slack factor.
+with D1, D2, D3+ of each order from its counts of counts, and order 1 interpolated with 1/256.
+
+Scoring: each batch of documents asks for its distinct n-grams once; the distinct n-grams of all batches join the
+model order by order, backing off with the contexts' weights where they are not seen, and the probabilities go back to
+the batches that asked. Texts never move. A document is kept if its perplexity is at most a quantile of its language's
+held-out trusted documents: one trusted document in HELD is not trained on, so that the limit is not that of
+documents the model knows by heart. Short texts have unsteady perplexities, so the quantile is taken by
+language and class of length.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table
+from .batches import column, each_batch, meta_rows, pack_batches, rows_of, text_bytes, with_replies
+from .common import drop_table, load, small_batches, table
 
-ORDER = 4
-SYMBOLS = 64
+ORDER = 5  # 7 at most, as an n-gram is a positive long
+BATCH_BYTES = 32 << 20
+HELD = 4  # one trusted document in so many sets limits and is not trained on
 QUANTILE = 0.99
-SLACK = 1.25
-BROADCAST_IDS = 2_000_000  # trusted ids that may be broadcast; above it they are joined by a shuffle
-BROADCAST_LANGS = 100_000  # languages whose limits may be broadcast; above it AQE splits the join
-LINE_END = 55
-
-
-def symbol_table() -> np.ndarray:
-    """Byte to symbol; 255 for UTF-8 continuation bytes, which are left out."""
-    t = np.full(256, 62, np.uint8)  # other ASCII punctuation
-    t[97:123] = np.arange(26)
-    t[65:91] = np.arange(26, 52)
-    t[48:58] = 52
-    t[[32, 9]] = 53
-    t[[10, 13, 11, 12]] = LINE_END
-    t[ord(".")], t[ord(",")] = 56, 57
-    for group, symbol in (("!?", 58), ("'\"-:;()", 59), ("#*$%&", 60), ("|<>[]{}\\/~^_=+@`", 61)):
-        t[[ord(c) for c in group]] = symbol
-    t[0x80:0xC0] = 255
-    t[0xC0:0xE0] = 54  # two-byte letters
-    t[0xE0:] = 63  # all longer ones
-    return t
-
-
-_TABLE = symbol_table()
-
-
-def codes(bodies: list[bytes]):
-    """(code of the 4-gram that ends at each symbol, symbols of each text). Texts start after three line ends."""
-    buf = np.frombuffer(b"".join(bodies), np.uint8)
-    symbols = _TABLE[buf]
-    real = symbols != 255
-    ends = np.cumsum([len(b) for b in bodies]).astype(np.int64)
-    before = np.concatenate([[0], np.cumsum(real)])
-    sizes = np.diff(np.concatenate([[0], before[ends]])) if len(bodies) else np.zeros(0, np.int64)
-    pad = ORDER - 1
-    padded = np.full(int(sizes.sum()) + pad * len(bodies), LINE_END, np.uint32)
-    at = np.arange(int(sizes.sum())) + pad * (np.repeat(np.arange(len(bodies)), sizes) + 1)
-    padded[at] = symbols[real]
-    code = padded[at]
-    for k in range(1, ORDER):
-        code = code | (padded[at - k] << np.uint32(6 * k))
-    return code.astype(np.int64), sizes
-
-
-def _count(batches):
-    import pyarrow as pa
-
-    counts = np.zeros(SYMBOLS**ORDER, np.uint32)
-    any_seen = False
-    for batch in batches:
-        code, _ = codes(batch.column(0).to_pylist())
-        found, n = np.unique(code, return_counts=True)
-        counts[found] += n.astype(np.uint32)
-        any_seen = True
-    if any_seen:
-        seen = np.flatnonzero(counts)
-        for i in range(0, len(seen), 200_000):
-            part = seen[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["code", "c"])
+SLACK = 1.05
+CLASSES = (200, 1000)  # bytes from which a text is of the next class of length
+FEW = 100  # held-out documents below which a limit also looks at all languages and lengths together
+GRID = 1000  # bins of perplexity for a unit of its logarithm
+PIECE = 1 << 20
+PAD = 10  # texts start after line ends
+
+
+def pieces(ends: np.ndarray, buf: np.ndarray, order: int = ORDER):
+    """(first position, n-gram that ends at each position) for pieces of the texts, long ones included."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    for begin in range(0, len(buf), PIECE):
+        stop = min(len(buf), begin + PIECE)
+        code = buf[begin:stop].astype(np.uint64)
+        doc = np.searchsorted(ends, begin, side="right")
+        inside = starts[doc : np.searchsorted(starts, stop, side="left")]
+        for k in range(1, order):
+            back = np.full(stop - begin, PAD, np.uint64)
+            low = max(0, k - begin)
+            back[low:] = buf[begin - k + low : stop - k]
+            # the first k positions of a text look back past its start
+            at = (inside[:, None] + np.arange(k)).ravel() - begin
+            owner_end = np.repeat(ends[np.searchsorted(ends, inside, side="right")] if len(inside) else inside, k) - begin
+            at = at[(at >= 0) & (at < stop - begin) & (at < owner_end)]
+            back[at] = PAD
+            code |= back << np.uint64(8 * k)
+        yield begin, code.view(np.int64)
+
+
+def _counts(order: int):
+    """n-grams of the rows that ``marks`` (row) names."""
+
+    def step(batch_id, meta, ends, buf, marks):
+        import pyarrow as pa
+
+        rows = np.unique(column(marks, "row"))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        found = []
+        if len(rows):
+            some = np.concatenate([buf[starts[i] : ends[i]] for i in rows.tolist()])
+            for _, code in pieces(np.cumsum((ends - starts)[rows]), some, order):
+                values, n = np.unique(code, return_counts=True)
+                found.append(pa.table({"code": values, "c": n.astype(np.int64)}))
+        if not found:
+            return pa.table({"code": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        return pa.concat_tables(found).group_by("code").aggregate([("c", "sum")]).rename_columns(["code", "c"])
+
+    return step
+
+
+def _wanted(order: int):
+    """The distinct n-grams of a batch."""
+
+    def step(batch_id, meta, ends, buf):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = [pc.unique(pa.array(code)) for _, code in pieces(ends, buf, order)]
+        codes = pc.unique(pa.chunked_array(found, pa.int64())).to_numpy()
+        return rows_of({"batch_id": np.full(len(codes), batch_id, np.int64), "code": codes})
+
+    return step
+
+
+def _score(order: int):
+    """Rows of a batch with their size in bytes and perplexity."""
+
+    def step(batch_id, meta, ends, buf, replies):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        log_p = np.log(replies.column("p").to_numpy())
+        known = pc.SetLookupOptions(value_set=replies.column("code").combine_chunks())
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        total = np.zeros(len(ends), np.float64)
+        for begin, code in pieces(ends, buf, order):
+            at = pc.index_in(pa.array(code), options=known).to_numpy()
+            run = np.concatenate([[0.0], np.cumsum(log_p[at])])
+            first = np.searchsorted(ends, begin, side="right")
+            last = np.searchsorted(starts, begin + len(code), side="left")
+            a = np.clip(starts[first:last] - begin, 0, len(code))
+            b = np.clip(ends[first:last] - begin, 0, len(code))
+            total[first:last] += run[b] - run[a]
+        sizes = ends - starts
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.round(np.exp(-total / sizes), 6)
+        return meta.append_column("size", pa.array(sizes)).append_column("perplexity", pa.array(value, pa.float64(), mask=sizes == 0))
+
+    return step
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -96,113 +132,109 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.0), k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-class Model:
-    """Seen probabilities and back-off weights of each order, and the dense table of log probabilities."""
-
-    def __init__(self, seen: list[tuple[np.ndarray, np.ndarray]], weights: list[tuple[np.ndarray, np.ndarray]]):
-        self.seen, self.weights, self._dense = seen, weights, None
-
-    def log_p(self) -> np.ndarray:
-        if self._dense is None:
-            below = np.full(1, 1.0 / SYMBOLS, np.float32)
-            for order, ((code, p), (ctx, g)) in enumerate(zip(self.seen, self.weights, strict=True), 1):
-                gamma = np.ones(SYMBOLS ** (order - 1), np.float32)
-                gamma[ctx] = g
-                if order == 1:
-                    full = np.full(SYMBOLS, gamma[0] * below[0], np.float32)
-                else:
-                    full = (gamma.reshape(SYMBOLS, -1, 1) * below.reshape(1, -1, SYMBOLS)).reshape(-1)
-                full[code] = p
-                below = full
-            self._dense = np.log(below, out=below)
-        return self._dense
-
-    def __getstate__(self):
-        return {"seen": self.seen, "weights": self.weights, "_dense": None}
-
-
-def _arrays(df: DataFrame, *names: str):
-    t = df.select(*names).toArrow()
-    return tuple(t.column(n).to_numpy() for n in names)
-
-
-def train(texts: DataFrame, text_col: str = "body") -> Model:
-    """The model of all rows' UTF-8 bytes. No rows: the uniform model."""
-    counts = {ORDER: table(texts.select(text_col).mapInArrow(_count, "code int, c long").groupBy("code").agg(F.sum("c").alias("c")), "grams")}
-    for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("code").bitwiseAND(SYMBOLS**k - 1).alias("code")
-        counts[k] = table(counts[k + 1].groupBy(suffix).agg(F.count(F.lit(1)).alias("c")), "grams")
-    seen, weights, below = [], [], None
-    for k in range(1, ORDER + 1):
-        n = {r.c: r.n for r in counts[k].filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-        d1, d2, d3 = discounts(*(n.get(i, 0) for i in (1, 2, 3, 4)))
-        c = counts[k].withColumn("ctx", F.shiftright("code", 6)).withColumn("suffix", F.col("code").bitwiseAND(SYMBOLS ** (k - 1) - 1))
-        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        totals = c.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(d).alias("cut")).withColumn("gamma", F.col("cut") / F.col("total"))
-        p = c.join(totals, "ctx")
-        lower = F.lit(1.0 / SYMBOLS)
-        if below is not None:
-            p = p.join(below.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix", "left")
-            lower = F.coalesce("q", F.lit(0.0))  # a seen gram's suffix is always seen
-        below = table(p.select("code", (F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("total") + F.col("gamma") * lower).alias("p")), "model")
-        code, value = _arrays(below, "code", "p")
-        seen.append((code.astype(np.int32), value.astype(np.float32)))
-        ctx, g = _arrays(totals, "ctx", "gamma")
-        weights.append((ctx.astype(np.int32), g.astype(np.float32)))
-    return Model(seen, weights)
-
-
-def _score(model):
-    def run(batches):
-        import pyarrow as pa
-
-        log_p = model.value.log_p()
-        for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            code, sizes = codes(bodies)
-            total = np.concatenate([[0.0], np.cumsum(log_p[code], dtype=np.float64)])
-            ends = np.cumsum(sizes)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                value = np.exp(-(total[ends] - total[ends - sizes]) / sizes)
-            found = pa.array(np.round(value, 6), pa.float64(), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "fp", "lang", "trusted")), found], names=["id", "fp", "lang", "trusted", "perplexity"])
+def _suffixes(code: str, order: int):
+    """(k, last k bytes) of an n-gram for k from 1 to ``order``, as rows."""
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(code).bitwiseAND((1 << 8 * k) - 1).alias("code")) for k in range(1, order + 1)])).alias("s")
 
-    return run
 
+def _tail():
+    """The last k - 1 bytes of a k-gram ``code``."""
+    return F.expr("code & (shiftleft(1L, 8 * (k - 1)) - 1)")
 
-def _trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with the flag ``trusted``; the ids are broadcast if their counted number allows it."""
-    ids = ids.distinct().withColumn("__t", F.lit(True))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "id", "left").withColumn("trusted", F.coalesce("__t", F.lit(False))).drop("__t")
 
+def train(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """From counted n-grams (code, c) the two tables of the model, for orders k from 1 to ``order``:
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    (k, code, a), the discounted share of each seen k-gram in its context, and (k, ctx, g), the weight that each seen
+    context gives to the order below. No rows: empty tables. A context has 256 followers at most, so no key is hot.
+    """
+    counted = grams.groupBy("code").agg(F.sum("c").alias("c")).select(_suffixes("code", order), "c")
+    seen = table(counted.select("s.k", "s.code", "c").groupBy("k", "code").agg(F.sum("c").alias("c")), "grams")
+    lower = seen.filter("k > 1").select((F.col("k") - 1).alias("k"), _tail().alias("code")).groupBy("k", "code").agg(F.count(F.lit(1)).alias("c"))
+    counts = table(lower.unionAll(seen.filter(F.col("k") == order)), "counts")
+    drop_table(seen)
+    n = {(r.k, r.c): r.n for r in counts.filter("c <= 4").groupBy("k", "c").agg(F.count(F.lit(1)).alias("n")).collect()}  # 4 an order
+    cut = F.lit(None).cast("double")
+    for k in range(1, order + 1):
+        d1, d2, d3 = discounts(*(n.get((k, i), 0) for i in (1, 2, 3, 4)))
+        cut = F.when(F.col("k") == k, F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)).otherwise(cut)
+    c = counts.withColumn("ctx", F.shiftright("code", 8)).withColumn("d", cut)
+    totals = table(c.groupBy("k", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("cut")), "totals")
+    shares = c.join(totals.drop("cut"), ["k", "ctx"]).select("k", "code", ((F.col("c") - F.col("d")) / F.col("total")).alias("a"))
+    return table(shares, "shares"), totals.select("k", "ctx", (F.col("cut") / F.col("total")).alias("g"))
+
+
+def probabilities(wanted: DataFrame, model: tuple[DataFrame, DataFrame], order: int = ORDER) -> DataFrame:
+    """(code, p) for every distinct n-gram of ``wanted``: the shares of its suffixes, weighted by their contexts."""
+    shares, weights = model
+    suffixes = wanted.select("code").distinct().select(_suffixes("code", order)).select("s.k", "s.code").distinct()
+    met = suffixes.join(shares, ["k", "code"], "left").withColumn("ctx", F.shiftright("code", 8)).join(weights, ["k", "ctx"], "left")
+    met = table(met.select("k", "code", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("g", F.lit(1.0)).alias("g")), "met")
+    p = met.filter("k = 1").select("code", (F.col("a") + F.col("g") / 256).alias("p"))
+    for k in range(2, order + 1):
+        below = p.select(F.col("code").alias("tail"), F.col("p").alias("q"))
+        p = met.filter(F.col("k") == k).withColumn("tail", _tail()).join(below, "tail").select("code", (F.col("a") + F.col("g") * F.col("q")).alias("p"))
+    return p
+
+
+def _limits(sure: DataFrame, quantile: float) -> tuple[DataFrame, DataFrame]:
+    """(lang, class, limit, n), and the same over everything; exact over a grid of 1/GRID in the logarithm."""
+    binned = sure.select("lang", "class", F.ceil(F.log("perplexity") * GRID).alias("bin"))
+
+    def cut(rows, keys):
+        counted = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin"))
+        whole = F.sum("c").over(Window.partitionBy(*keys))
+        found = counted.withColumns({"upto": upto, "n": whole}).filter(F.col("upto") >= quantile * F.col("n"))
+        return found.groupBy(*keys).agg(F.exp(F.min("bin") / GRID).alias("limit"), F.max("n").alias("n"))
+
+    return cut(binned, ["lang", "class"]), cut(binned, [])
+
+
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    quantile: float = QUANTILE,
+    slack: float = SLACK,
+    order: int = ORDER,
+    batch_bytes: int = BATCH_BYTES,
+) -> DataFrame:
     """One row per input row: id, fp (hash of the text), lang, trusted, perplexity, limit, kept.
 
-    Trusted documents are those labelled quality 1 and not toxic. Null and empty texts have no perplexity
-    and are rejected. Null languages form one language of their own; a language without trusted documents
-    takes the limit over all of them, and without any trusted document everything with text is kept. Null ids
-    are never trusted; repeated ids share their label. Extra columns are ignored.
+    Trusted documents are those labelled quality 1 and not toxic. Null and empty texts have no perplexity and are
+    rejected. Null languages form one language of their own. A language (or length) with fewer than FEW held-out
+    documents takes the larger of its limit and that over all of them; without any held-out document everything with
+    text is kept. Null ids are never trusted; repeated ids share their label. A very long text is worked through in
+    pieces. Extra columns are ignored and an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark, "2m")
-    body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), body.alias("body"))
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("id is not null and q = 1 and x = 0")
-    src = _trusted(src, table(good.select("id"), "trusted"))
-    model = spark.sparkContext.broadcast(train(src.filter("trusted")))
-    scored = table(src.mapInArrow(_score(model), "id long, fp long, lang string, trusted boolean, perplexity double"), "scores")
-    sure = scored.filter("trusted and perplexity is not null")
-    limits = sure.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("lang_limit"))
-    overall = sure.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("x")).first().x
-    limit = F.coalesce("lang_limit", F.lit(overall).cast("double"), F.lit(float("inf"))) * slack
-    # one row a language; a hot language must not meet its rows in one task, so the counted side is broadcast
-    limits = table(limits, "limits")
-    if limits.count() <= BROADCAST_LANGS:
-        limits = F.broadcast(limits)
-    out = scored.join(limits, "lang", "left").withColumn("limit", limit)
+    small_batches(spark)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), text_bytes(F.col(text_col)))
+    kept_columns = "id long, fp long, lang string"
+    texts = pack_batches(src, batch_bytes)
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("id is not null and q = 1 and x = 0").select("id")
+    good = table(good.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(HELD)) == 0), "trusted")
+    marks = meta_rows(texts, kept_columns).select("batch_id", "row", "id").join(good.filter("not held"), "id").select("batch_id", "row")
+    model = train(with_replies(texts, marks, _counts(order), "code long, c long"), order)
+    wanted = table(texts.mapInArrow(each_batch(_wanted(order)), "batch_id long, code long"), "wanted")
+    p = table(probabilities(wanted, model, order), "p")
+    replies = table(wanted.join(p, "code").select("batch_id", "code", F.col("p").cast("float").alias("p")), "replies")
+    drop_table(wanted)
+    scored = table(with_replies(texts, replies, _score(order), kept_columns + ", size long, perplexity double"), "scores")
+    drop_table(replies)
+    drop_table(texts)
+    kind = sum(((F.col("size") >= c).cast("int") for c in CLASSES), F.lit(0))
+    scored = scored.withColumn("class", kind).join(good, "id", "left").withColumn("trusted", F.col("held").isNotNull())
+    own, every = _limits(scored.filter("held and perplexity is not null"), quantile)
+    most = every.select(F.col("limit").alias("most"))  # one row or none
+    most = most.unionAll(spark.range(1).select(F.lit(float("inf")).alias("most"))).agg(F.min("most").alias("most")).first().most
+    own = table(own.select("lang", "class", F.when(F.col("n") < FEW, F.greatest("limit", F.lit(most))).otherwise(F.col("limit")).alias("own")), "limits")
+    # a (language, length) may hold a third of all rows: they are met by AQE's skew join, as both sides are written
+    limit = F.coalesce("own", F.lit(most)) * slack
+    out = scored.join(own, ["lang", "class"], "left").withColumn("limit", limit)
     return out.select("id", "fp", F.nullif("lang", F.lit("\0")).alias("lang"), "trusted", "perplexity", "limit", (F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.col("limit"))).alias("kept"))
 
 

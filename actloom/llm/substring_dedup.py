@@ -27,19 +27,17 @@ Two strings are taken as equal if the anchors' 64 bits and the pair's other 64 b
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, load, new_path, small_batches, table
+from .batches import BATCH_BYTES, column, each_batch, pack_batches, rows_of, text_bytes, with_replies
+from .common import drop_table, load, small_batches, table
 
 LENGTH = 50
 GRAM = 20
 WINDOWS = LENGTH - GRAM + 1  # grams in a window
 RUN = LENGTH  # windows a block may hold, so that its first and last window cover it
-BATCH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 16
 ID_MAX = np.iinfo(np.int64).max
 
@@ -127,76 +125,6 @@ def _block_rank(buf, first, last):
     return _mix(_mix(_window_rank(buf, first), _window_rank(buf, last)), (last - first).astype(np.uint64))
 
 
-def bucket_of(x: int, n: int) -> int:
-    """The bucket that Spark gives to a long: Murmur3 with seed 42, modulo n."""
-    m = 0xFFFFFFFF
-    rol = lambda v, r: ((v << r) | (v >> (32 - r))) & m
-    h = 42
-    for k in (x & m, (x >> 32) & m):
-        k = rol(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
-        h = (rol(h ^ k, 13) * 5 + 0xE6546B64) & m
-    h ^= 8
-    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
-    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
-    h ^= h >> 16
-    return (h - (1 << 32) if h >> 31 else h) % n
-
-
-def _pack(n: int, batch_bytes: int):
-    """Whole documents in zstd batches of about ``batch_bytes``; a task's batches all lie in one bucket of ``n``."""
-
-    def run(batches):
-        import pyarrow as pa
-        import zstandard
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        number = task << 36
-        squeeze = zstandard.ZstdCompressor(level=3)
-        ids, texts, held = [], [], 0
-
-        def out():
-            nonlocal number
-            number += 1
-            while bucket_of(number, n) != task % n:
-                number += 1
-            lens = np.array([len(t) for t in texts], np.int64)
-            null = np.array([d is None for d in ids], bool)
-            known = np.array([ID_MAX if d is None else d for d in ids], np.int64)
-            cells = [known.tobytes(), null.tobytes(), lens.tobytes(), squeeze.compress(b"".join(texts))]
-            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([c], pa.binary()) for c in cells)], names=list(_BATCH))
-
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(d)
-                texts.append(t or b"")
-                held += len(texts[-1])
-                if held >= batch_bytes or len(ids) >= 50_000:
-                    yield out()
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield out()
-
-    return run
-
-
-_BATCH = ("batch_id", "ids", "nulls", "lens", "body")
-
-
-def _open(ids, nulls, lens, body):
-    import zstandard
-
-    lens = np.frombuffer(lens, np.int64)
-    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    return np.frombuffer(ids, np.int64), np.frombuffer(nulls, bool), np.cumsum(lens), buf
-
-
-def _rows(columns: dict):
-    import pyarrow as pa
-
-    return pa.table({n: pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for n, c in columns.items()})
-
-
 def _distinct(k1, k2, docs):
     """Distinct pairs, their smallest documents, and whether they stand in several documents."""
     order = np.lexsort((docs, k2, k1))
@@ -213,14 +141,18 @@ def _owner(batch_id: int, several):
     return np.int64(batch_id) * 2 + several.astype(np.int64)
 
 
-def _anchors(batches):
-    """Round 1: the distinct anchors of each batch."""
-    for batch in batches:
-        for batch_id, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, _, ends, buf = _open(*packed)
-            keys, _, _, doc = _blocks(buf, ends)
-            keys, _, _, several = _distinct(keys, np.zeros(len(keys), np.uint64), ids[doc])
-            yield from _rows({"anchor": keys, "owner": _owner(batch_id, several)}).to_batches(max_chunksize=100_000)
+def _anchors(batch_id, meta, ends, buf):
+    """Round 1: the distinct anchors of a batch."""
+    keys, _, _, doc = _blocks(buf, ends)
+    keys, _, _, several = _distinct(keys, np.zeros(len(keys), np.uint64), _ids(meta)[doc])
+    return rows_of({"anchor": keys, "owner": _owner(batch_id, several)})
+
+
+def _ids(meta):
+    """Ids of a batch; null counts as the largest number."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(meta.column("id"), ID_MAX).to_numpy()
 
 
 def _shared(batches):
@@ -253,23 +185,13 @@ def _shared(batches):
         yield out(held[0], held[1], np.array([held[2] or bool(held[1][0] & 1)]))
 
 
-def _texts_of(table):
-    """The one batch of a group, opened."""
-    return _open(*(table.column(n)[0].as_py() for n in _BATCH[1:]))
-
-
-def _column(table, name, kind=np.uint64):
-    return table.column(name).to_numpy().astype(np.int64, copy=False).view(kind)
-
-
-def _pairs(texts, live):
+def _pairs(batch_id, meta, ends, buf, live):
     """Round 2: the distinct (anchor, block) pairs of a batch whose anchors are shared."""
-    ids, _, ends, buf = _texts_of(texts)
     keys, first, last, doc = _blocks(buf, ends)
-    keep = _within(keys, _column(live, "anchor"))
+    keep = _within(keys, column(live, "anchor", np.uint64))
     keys, first, last, doc = keys[keep], first[keep], last[keep], doc[keep]
-    a, b, d, several = _distinct(keys, _block_rank(buf, first, last), ids[doc])
-    return _rows({"anchor": a, "pair": b, "doc": d, "owner": _owner(texts.column("batch_id")[0].as_py(), several)})
+    a, b, d, several = _distinct(keys, _block_rank(buf, first, last), _ids(meta)[doc])
+    return rows_of({"anchor": a, "pair": b, "doc": d, "owner": _owner(batch_id, several)})
 
 
 def _within(values, some):
@@ -364,7 +286,7 @@ def _lookup(k1, k2, replies):
     """For each pair: the smallest document a reply names (its own place in order otherwise), and whether any asks."""
     least = np.full(len(k1), ID_MAX, np.int64)
     ask = np.zeros(len(k1), bool)
-    a, b = _column(replies, "anchor"), _column(replies, "pair")
+    a, b = column(replies, "anchor", np.uint64), column(replies, "pair", np.uint64)
     if not len(a) or not len(k1):
         return least, ask
     names = np.unique(np.concatenate([a, k1]), return_inverse=True)[1].astype(np.uint64)
@@ -374,7 +296,7 @@ def _lookup(k1, k2, replies):
     order = np.argsort(known, kind="stable")
     known = known[order]
     start = np.flatnonzero(np.r_[True, known[1:] != known[:-1]])
-    low = np.minimum.reduceat(_column(replies, "least", np.int64)[order], start)
+    low = np.minimum.reduceat(column(replies, "least")[order], start)
     asks = np.maximum.reduceat(replies.column("kind").to_numpy()[order], start) > 0
     known = known[start]
     at = np.minimum(np.searchsorted(known, want), len(known) - 1)
@@ -384,34 +306,35 @@ def _lookup(k1, k2, replies):
     return least, ask
 
 
-def _open_windows(texts, replies):
+def _open_windows(ids, ends, buf, replies):
     """Blocks settled by round 2 and the windows it leaves open, found from the batch and its replies."""
-    ids, nulls, ends, buf = _texts_of(texts)
     keys, first, last, doc = _blocks(buf, ends)
-    keep = _within(keys, _column(replies, "anchor"))
+    keep = _within(keys, column(replies, "anchor", np.uint64))
     keys, first, last, doc = keys[keep], first[keep], last[keep], doc[keep]
     least, ask = _lookup(keys, _block_rank(buf, first, last), replies)
     gone = least < ids[doc]
     ask &= least == ids[doc]
     rep = (last - first + 1)[ask]
     at = np.repeat(first[ask], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
-    return ids, nulls, ends, buf, first[gone], last[gone], np.repeat(keys[ask], rep), at, np.repeat(doc[ask], rep)
+    return first[gone], last[gone], np.repeat(keys[ask], rep), at, np.repeat(doc[ask], rep)
 
 
-def _windows(texts, replies):
+def _windows(batch_id, meta, ends, buf, replies):
     """Round 3: the distinct (anchor, window) pairs that round 2 left open."""
-    ids, _, _, buf, _, _, keys, at, doc = _open_windows(texts, replies)
+    ids = _ids(meta)
+    _, _, keys, at, doc = _open_windows(ids, ends, buf, replies)
     a, b, d, several = _distinct(keys, _window_rank(buf, at) if len(at) else np.zeros(0, np.uint64), ids[doc])
-    return _rows({"anchor": a, "pair": b, "doc": d, "owner": _owner(texts.column("batch_id")[0].as_py(), several)})
+    return rows_of({"anchor": a, "pair": b, "doc": d, "owner": _owner(batch_id, several)})
 
 
-def _finish(texts, replies):
+def _finish(batch_id, meta, ends, buf, replies):
     """Removed spans and kept bytes of each document."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    ids = _ids(meta)
     last_round = pc.equal(replies.column("round"), 3)
-    ids, nulls, ends, buf, first, last, keys, at, doc = _open_windows(texts, replies.filter(pc.invert(last_round)))
+    first, last, keys, at, doc = _open_windows(ids, ends, buf, replies.filter(pc.invert(last_round)))
     if len(at):
         least, _ = _lookup(keys, _window_rank(buf, at), replies.filter(last_round))
         at = at[least < ids[doc]]
@@ -433,38 +356,10 @@ def _finish(texts, replies):
     pairs = pa.StructArray.from_arrays([pa.array(start - begins[of]), pa.array(stop - begins[of])], names=["start", "end"])
     kept = [buf[b:e][~drop[b:e]].tobytes() if j > i else buf[b:e].tobytes() for b, e, i, j in zip(begins.tolist(), ends.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     return pa.table({
-        "id": pa.array(ids, mask=nulls), "n_bytes": pa.array(ends - begins), "spans": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pairs), "kept": pa.array(kept, pa.binary()),
+        "id": meta.column("id"), "n_bytes": pa.array(ends - begins), "spans": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pairs), "kept": pa.array(kept, pa.binary()),
     })
 
 
-def _batches(src: DataFrame, batch_bytes: int) -> DataFrame:
-    """Packed texts, bucketed by batch in the shared folder, so that no later join moves them.
-
-    Batch numbers are chosen so that a task writes to one bucket; the texts are not shuffled for it. The table's name
-    is dropped from the catalogue at once, its files when the application ends.
-    """
-    spark = src.sparkSession
-    n = max(1, min(src.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    packed = src.mapInArrow(_pack(n, batch_bytes), "batch_id long, ids binary, nulls binary, lens binary, body binary")
-    name, path = f"actloom_{uuid.uuid4().hex}", new_path(spark, "batches")
-    packed.write.bucketBy(n, "batch_id").option("path", path).option("compression", "none").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
-def _with(texts: DataFrame, replies: DataFrame, step, schema: str) -> DataFrame:
-    """``step`` over each batch and the replies that belong to it."""
-    return texts.groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(_only_batches(step), schema)
-
-
-def _only_batches(step):
-    def run(left, right):
-        return step(left, right)
-
-    return run
-
-
 _ROW = "anchor long, pair long, doc long, owner long"
 _REPLY = "batch_id long, kind int, anchor long, pair long, least long"
 
@@ -479,18 +374,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = _batches(docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")), batch_bytes)
-    anchors = texts.select(*_BATCH).mapInArrow(_anchors, "anchor long, owner long")
+    texts = pack_batches(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col))), batch_bytes)
+    anchors = texts.mapInArrow(each_batch(_anchors), "anchor long, owner long")
     live = table(anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "batch_id long, anchor long"), "anchors")
-    pairs = table(_with(texts, live, _pairs, _ROW), "pairs")
+    pairs = table(with_replies(texts, live, _pairs, _ROW), "pairs")
     drop_table(live)
     dealt = pairs.repartitionByRange("anchor", "pair").sortWithinPartitions("anchor", "pair", "doc")
     settled = table(dealt.mapInArrow(_settle(True), _REPLY), "blocks")
     drop_table(pairs)
-    asked = _with(texts, settled, _windows, _ROW).repartition("anchor", "pair").sortWithinPartitions("anchor", "pair", "doc")
+    asked = with_replies(texts, settled, _windows, _ROW).repartition("anchor", "pair").sortWithinPartitions("anchor", "pair", "doc")
     windows = table(asked.mapInArrow(_settle(False), _REPLY), "windows")
     replies = settled.withColumn("round", F.lit(2)).unionAll(windows.withColumn("round", F.lit(3)))
-    out = _with(texts, replies, _finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = with_replies(texts, replies, _finish, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

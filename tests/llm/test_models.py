@@ -5,77 +5,13 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
-from pyspark.sql import functions as F
-
 from actloom.llm.license_scan import TEMPLATES, Classifier, words_of
 from actloom.llm.line_dedup import line_dedup
 from actloom.llm.mixing import apportion, first_words, mix, targets
 from actloom.llm.packing import boundaries, op8_packing
-from actloom.llm.quality_classifier import LINE_END, _TABLE, codes, discounts, op10_quality_classifier, train
 from actloom.llm.quality_rules import quality_rules, repeated_words
 
 
-def symbols(b):
-    return [int(x) for x in _TABLE[np.frombuffer(b, np.uint8)] if x != 255]
-
-
-def brute_model(texts):
-    """Interpolated modified Kneser-Ney of order 4 with plain dictionaries."""
-    grams = Counter()
-    for t in texts:
-        s = [LINE_END] * 3 + symbols(t)
-        grams.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    counts = {4: grams}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    d = {k: discounts(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4))) for k, c in counts.items()}
-
-    def p(g):
-        k = len(g)
-        if k == 0:
-            return 1 / 64
-        same = [(x, c) for x, c in counts[k].items() if x[:-1] == g[:-1]]
-        if not same:
-            return p(g[1:])
-        total = sum(c for _, c in same)
-        cut = lambda c: d[k][min(c, 3) - 1]
-        c = counts[k].get(g, 0)
-        return (max(c - cut(c), 0) if c else 0) / total + sum(cut(c) for _, c in same) / total * p(g[1:])
-
-    return p
-
-
-def test_kneser_ney_equals_brute_force(spark):
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("abcde é.\n") for _ in range(rng.randrange(0, 90))).encode() for _ in range(25)]
-    model = train(spark.createDataFrame([(bytearray(t),) for t in texts], "body binary").repartition(3))
-    p, dense = brute_model(texts), model.log_p()
-    code, sizes = codes([b"abc de\xc3\xa9a", b"", b"zz ab"])
-    assert sizes.tolist() == [8, 0, 5]
-    for c in code.tolist():
-        g = tuple(c >> (6 * i) & 63 for i in (3, 2, 1, 0))
-        assert math.isclose(math.exp(dense[c]), p(g), rel_tol=1e-4)
-    for ctx in (0, 5000, 12345):
-        assert math.isclose(np.exp(dense[ctx * 64 : ctx * 64 + 64].astype(float)).sum(), 1, rel_tol=1e-3)
-
-
-def test_classifier_tells_held_out_junk_from_good_text(spark):
-    """Half of the labels train, the other half judges."""
-    from actloom.llm.quality_classifier import quality_scores
-
-    d = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{d}/labels.parquet")
-    judged = labels.filter("pmod(xxhash64(doc_id), 2) = 0")
-    scores = quality_scores(spark.read.parquet(f"{d}/documents.parquet"), labels.filter("pmod(xxhash64(doc_id), 2) = 1"))
-    rate = {r.quality: r.kept for r in scores.join(judged, scores.id == judged.doc_id).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert rate[1] > 0.95 and rate[0] < 0.3
-
-
-def test_every_document_is_scored(spark, sf_dir):
-    assert op10_quality_classifier(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-
-
 def test_licence_families_on_a_held_out_draw():
     model, rng = Classifier(), random.Random(9)
     right = total = confirmed = 0

@@ -5,7 +5,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from actloom.llm.substring_dedup import LENGTH, bucket_of, op5_substring_dedup, repeated_spans, substring_dedup
+from actloom.llm.batches import bucket_of
+from actloom.llm.substring_dedup import LENGTH, op5_substring_dedup, repeated_spans, substring_dedup
 
 
 def brute(rows):
