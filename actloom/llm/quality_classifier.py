@@ -104,7 +104,7 @@ def _score(order: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        log_p = np.log(replies.column("p").to_numpy())
+        log_p = np.log(replies.column("p").to_numpy().astype(np.float64))
         known = pc.SetLookupOptions(value_set=replies.column("code").combine_chunks())
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         total = np.zeros(len(ends), np.float64)
