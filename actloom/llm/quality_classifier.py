@@ -38,9 +38,15 @@ CLASSES = (200, 1000)  # bytes from which a text is of the next class of length
 FEW = 100  # held-out documents below which a limit also looks at all languages and lengths together
 GRID = 1000  # bins of perplexity for a unit of its logarithm
 PIECE = 1 << 20
+SEED = 31
 PAD = 10  # texts start after line ends
 
 
+def is_held(id_col: str):
+    """Whether a trusted document sets limits instead of training."""
+    return F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(HELD)) == 0
+
+
 def pieces(ends: np.ndarray, buf: np.ndarray, order: int = ORDER):
     """(first position, n-gram that ends at each position) for pieces of the texts, long ones included."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -125,11 +131,16 @@ def _score(order: int):
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Chen and Goodman's D1, D2, D3+ from the counts of counts; 0.5, 1, 1.5 where these are missing."""
+    """Chen and Goodman's D1, D2, D3+ from the counts of counts.
+
+    0.5, 1, 1.5 where these are missing or odd: without a discount a context leaves nothing to unseen n-grams.
+    """
+    plain = (0.5, 1.0, 1.5)
     if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5
+        return plain
     y = n1 / (n1 + 2 * n2)
-    return tuple(float(min(max(d, 0.0), k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
+    found = tuple(k - (k + 1) * y * more / n for k, n, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return found if min(found) > 0 else plain
 
 
 def _suffixes(code: str, order: int):
@@ -216,7 +227,7 @@ def quality_scores(
     kept_columns = "id long, fp long, lang string"
     texts = pack_batches(src, batch_bytes)
     good = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("id is not null and q = 1 and x = 0").select("id")
-    good = table(good.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(HELD)) == 0), "trusted")
+    good = table(good.withColumn("held", is_held("id")), "trusted")
     marks = meta_rows(texts, kept_columns).select("batch_id", "row", "id").join(good.filter("not held"), "id").select("batch_id", "row")
     model = train(with_replies(texts, marks, _counts(order), "code long, c long"), order)
     wanted = table(texts.mapInArrow(each_batch(_wanted(order)), "batch_id long, code long"), "wanted")

@@ -105,7 +105,7 @@ def test_whole_query_equals_brute_force(spark):
     rows, labels = some_documents()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    held = {r.doc_id for r in marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(q.HELD)) == 0).collect()}
+    held = {r.doc_id for r in marked.filter(q.is_held("doc_id")).collect()}
     want = brute_query(rows, labels, held, q.ORDER)
     got = q.quality_scores(docs, marked, batch_bytes=20_000).collect()
     assert len(got) == len(rows)
