@@ -1,12 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
-import hashlib
-
 import pytest
 
 from actloom.llm import common
 from actloom.llm.chat_format import answer_pairs, gather_turns, preference_format
-from actloom.llm.exact_dedup import build_directory, exact_dedup
+from actloom.llm.exact_dedup import exact_dedup
 from actloom.llm.license_scan import license_scan
 from actloom.llm.line_dedup import drop_lines, line_bitmaps, line_dedup
 from actloom.llm.mixing import mix, mixed_documents
@@ -66,25 +64,6 @@ def test_reruns_agree(docs, labels, name):
     assert run() == run()
 
 
-def test_exact_dedup_collisions_and_ties(docs, spark):
-    from pyspark.sql import functions as F
-
-    want = {}
-    for t, d, *_ in ROWS:
-        want.setdefault(t or "", []).append(d)
-    for key in (None, lambda c: F.lit(5).cast("long"), lambda c: F.length(c).cast("long")):  # all texts in one chain, and many
-        for r in exact_dedup(docs, key=key, capacity=2).collect():
-            text = next(t or "" for t in (x[0] for x in ROWS) if hashlib.sha256((t or "").encode()).hexdigest() == r.text_sha256)
-            ids = [d for d in want[text] if d is not None]
-            assert (r.keep_id, r.group_size, r.kept) == (max(ids) if ids else None, len(want[text]), r.doc_id == (max(ids) if ids else None))
-
-
-def test_directory_doubles_and_covers_all_prefixes():
-    depth, slots = build_directory({0: 10, 1: 10, 7: 1, 15: 90}, 10, 4)
-    assert depth == 4 and slots[0] != slots[1] and slots[8] == slots[11] and sorted(slots) == slots
-    assert build_directory({}, 10, 4) == (0, [0])
-
-
 def test_stages_keep_the_columns(docs, labels):
     assert keep_good(docs, labels).columns == docs.columns
     kept = drop_lines(docs, line_bitmaps(docs))
