@@ -1,11 +1,11 @@
 """Line deduplication: range-partitioned line hashes, streamed in order, giving per-document keep bitmaps.
 
-Lines long enough to count become (128-bit hash, document, position) rows. The rows are range-partitioned
-on (hash, document) and sorted within partitions by hash, document (largest first) and position, so a hot
-line is spread over as many partitions as its rows need. Each partition is streamed: the first document of
+Lines long enough to count become (128-bit hash, document, positions) rows, one for each document that holds a line.
+The rows are range-partitioned on (hash, document) and sorted within partitions by hash and document (largest first),
+so a hot line is spread over as many partitions as its rows need. Each partition is streamed: the first document of
 a hash is the one that keeps its lines; lines of later documents are dropped once enough documents have
-been seen. A hash cut by a partition's edge is left pending; its document counts (two hashes a partition at
-most) are added up and sent back to the pending rows. Dropped positions become one zlib-compressed bitmap
+been seen. A hash cut by a partition's edge is left pending, as is one with more than HELD undecided rows; their document
+counts (two hashes a partition, and one for HELD rows, at most) are added up and sent back to the pending rows. Dropped positions become one zlib-compressed bitmap
 a document. Text never takes part in the sort; it meets its bitmap once.
 """
 
@@ -22,6 +22,7 @@ from .common import load, small_batches, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+HELD = 10_000  # rows of an undecided hash that a task holds; rows of one id may be many
 NULL_ID = np.iinfo(np.int64).min
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -33,13 +34,15 @@ def _hashes(min_chars: int):
         for batch in batches:
             out = ([], [], [], [], [])
             for d, f, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held: dict[bytes, list[int]] = {}
                 for pos, line in enumerate(text.split(b"\n")):
                     line = line.strip().lower()  # of bytes: the six ASCII blanks, A-Z only
                     if len(line) >= min_chars and len(line.translate(None, _CONTINUATION)) >= min_chars:
-                        h = hashlib.blake2b(line, digest_size=16).digest()
-                        for column, x in zip(out, (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), d, f, pos), strict=True):
-                            column.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                        held.setdefault(hashlib.blake2b(line, digest_size=16).digest(), []).append(pos)
+                for h, at in held.items():
+                    for column, x in zip(out, (int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), d, f, np.array(at, np.int32).tobytes()), strict=True):
+                        column.append(x)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["hi", "lo", "id", "fp", "pos"])
 
     return run
@@ -66,6 +69,8 @@ def _stream(min_docs: int):
                     out.append((1, hi, lo, d, f, pos, int(new)))
                 elif docs < min_docs:
                     held.append((1, hi, lo, d, f, pos, int(new)))
+                    if len(held) > HELD:
+                        out, held, cut = out + held, [], True
                 else:
                     out += [(0, *x[1:]) for x in held if x[3] != first]
                     held = []
@@ -74,13 +79,13 @@ def _stream(min_docs: int):
             if out:
                 yield _rows(pa, out)
         if key is not None and not cut:
-            yield _rows(pa, held if docs < min_docs else [(2, *key, first, 0, 0, docs)])
+            yield _rows(pa, held if docs < min_docs else [(2, *key, first, 0, b"", docs)])
 
     return run
 
 
 def _rows(pa, rows):
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
     names = ["kind", "hi", "lo", "id", "fp", "pos", "docs"]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
@@ -91,8 +96,9 @@ def _bitmaps(batches):
 
     for batch in batches:
         out = []
-        for positions in batch.column(2).to_pylist():
-            keep = np.ones(max(positions) + 1, bool)
+        for packed in batch.column(2).to_pylist():
+            positions = np.frombuffer(b"".join(packed), np.int32)
+            keep = np.ones(int(positions.max()) + 1, bool)
             keep[positions] = False
             out.append(zlib.compress(np.packbits(keep).tobytes() if len(keep) % 8 == 0 else np.packbits(np.r_[keep, np.ones(-len(keep) % 8, bool)]).tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "fp", "keep_bits"])
@@ -119,14 +125,14 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     i, f = _keyed(docs, id_col, text_col)
     src = docs.select(i, f, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("__body"))
-    lines = table(src.mapInArrow(_hashes(min_chars), "hi long, lo long, id long, fp long, pos int"), "lines")
-    dealt = lines.repartitionByRange("hi", "lo", F.desc("id")).sortWithinPartitions("hi", "lo", F.desc("id"), "fp", "pos")
-    found = table(dealt.mapInArrow(_stream(min_docs), "kind int, hi long, lo long, id long, fp long, pos int, docs long"), "drops")
+    lines = table(src.mapInArrow(_hashes(min_chars), "hi long, lo long, id long, fp long, pos binary"), "lines")
+    dealt = lines.repartitionByRange("hi", "lo", F.desc("id")).sortWithinPartitions("hi", "lo", F.desc("id"), "fp")
+    found = table(dealt.mapInArrow(_stream(min_docs), "kind int, hi long, lo long, id long, fp long, pos binary, docs long"), "drops")
     cut = found.filter("kind > 0").groupBy("hi", "lo").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).filter(f"n >= {min_docs}")
-    # hashes cut by an edge: at most two for each partition, so this side is small whatever the corpus
-    late = found.filter("kind = 1").join(F.broadcast(cut), ["hi", "lo"]).filter("id < top")
+    # hashes cut by an edge, at most two for each partition, and those with more than HELD rows: dealt or broadcast by size
+    late = found.filter("kind = 1").join(table(cut, "cut"), ["hi", "lo"]).filter("id < top")
     drops = found.filter("kind = 0").select("id", "fp", "pos").unionAll(late.select("id", "fp", "pos"))
-    return drops.groupBy("id", "fp").agg(F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, "id long, fp long, keep_bits binary")
+    return drops.groupBy("id", "fp").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "id long, fp long, keep_bits binary")
 
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -3,28 +3,31 @@
 The words to take are cut into BLOCKS equal blocks. Sources get blocks by highest quotients of their targets
 (t / 1, t / 3, t / 5 ...), then each source's blocks go to its shards the same way, by shard size, so every
 shard has an integer quota. A source has about one shard for 256 blocks: 4,096 shards plus one a source at
-most over all sources, so the quota tables are bounded whatever the corpus, and a hot source has many shards.
-In a shard documents stand in a seeded order; a quota takes the shard's whole stream as often as it fits, then
-the stream's first blocks, which may cut one document. Only ids and sizes are shuffled.
+most over all sources, so the quota tables are bounded by the sources, and a hot source has many shards.
+
+In a shard documents stand in a seeded order, cut into blocks of equal words. A quota takes the shard's whole stream as
+often as it fits; of the last pass it selects as many blocks as are left, from a seeded block on and around the
+shard's end. As the order is seeded too, that is a uniform choice of blocks, and it cuts two documents a shard instead
+of two a block. Only ids and sizes are shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import random
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, n_words, small_batches, table
+from .common import load, n_words, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 REPEAT = 2  # a document, and so a source, is taken twice at most
 BLOCKS = 1 << 20
 SHARD_BLOCKS = 256
-MAX_SOURCES = 100_000  # sources are a configured list; more are refused, as their table goes to the driver
 SEED = 17
 
 
@@ -77,90 +80,72 @@ def apportion(votes, seats: int, caps=None) -> list[int]:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """One row per input row: id, fp (hash of the text), size, source_size, target, taken.
-
-    A null text has size 0; a null source is one source, last in order. Null and repeated ids are rows of
-    their own; fully equal rows come in any order, which their sums do not show. taken is at most twice size.
-    An empty table gives an empty result and extra columns are ignored.
+    """One row per input row: id, fp (hash of the text), size, source_size, target, taken, copies.
+
+    ``taken`` counts the words of the selected blocks, ``copies`` the times that a block or pass takes the document's
+    first word: whole documents in place of cut ones. A null text has size 0; a null source is one source, last in
+    order. Null and repeated ids are rows of their own; fully equal rows come in any order, which their sums do not
+    show. taken is at most twice size and copies at most 2. The table of sources (a name and some numbers each) goes to
+    the driver. A very long text is one size like any other. An empty table gives an empty result and extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = table(src, "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [int(r["size"]) for r in found]
+    found = [(r.source, int(r["size"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).toLocalIterator()]
+    found.sort(key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [s for _, s in found]
     aims = targets(sizes, weights, share)
     block = max(1, math.ceil(share * sum(sizes) / blocks))
     seats = apportion(aims, round(sum(aims) / block), [math.ceil(REPEAT * s / block) for s in sizes])
     shards = [max(1, math.ceil(s / (SHARD_BLOCKS * block))) for s in sizes]
+    # a row a source, and a row a shard: both are broadcast or dealt by their size, as the planner sees it
     plan = spark.createDataFrame(
-        [(i, r.source, s, t, k) for i, (r, s, t, k) in enumerate(zip(found, sizes, aims, shards, strict=True))],
+        [(i, name, s, t, k) for i, ((name, s), t, k) in enumerate(zip(found, aims, shards, strict=True))],
         "number int, source string, source_size long, target double, shards int",
     )
-    # the plan has MAX_SOURCES rows at most, the quotas 4,096 more
-    plan = F.broadcast(plan)
     named = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop("source")
-    dealt = named.withColumn("shard", F.pmod(F.xxhash64("id", "fp", F.lit(seed)), F.col("shards")).cast("int"))
+    dealt = table(named.withColumn("shard", F.pmod(F.xxhash64("id", "fp", F.lit(seed)), F.col("shards")).cast("int")), "dealt")
     per = {}
-    for r in dealt.groupBy("number", "shard").agg(F.sum("size").alias("size")).collect():
+    for r in dealt.groupBy("number", "shard").agg(F.sum("size").alias("size")).toLocalIterator():
         per.setdefault(r.number, []).append((r.shard, int(r["size"])))
     quotas = []
     for number, held in per.items():
         held.sort()
         whole = aims[number] >= REPEAT * sizes[number]  # all of it, last part blocks included
         got = apportion([s for _, s in held], seats[number], [math.floor(REPEAT * s / block) for _, s in held])
-        quotas += [(number, shard, s, REPEAT * s if whole else q * block) for (shard, s), q in zip(held, got, strict=True)]
-    quotas = F.broadcast(spark.createDataFrame(quotas, "number int, shard int, shard_size long, quota long"))
+        quotas += [(number, shard, s, *selected(s, REPEAT * s if whole else q * block, block, (number, shard, seed))) for (shard, s), q in zip(held, got, strict=True)]
+    quotas = spark.createDataFrame(quotas, "number int, shard int, shard_size long, passes int, begin long, stop long")
     order = Window.partitionBy("number", "shard").orderBy(F.xxhash64("id", "fp", F.lit(seed + 1)), "id", "fp", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quotas, ["number", "shard"])
-    passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0))
-    rest = F.col("quota") - passes * F.col("shard_size")
-    taken = passes * F.col("size") + F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return out.select(F.col("id").alias(id_col), "fp", "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def first_words(text: str | None, n: int) -> str | None:
-    """The text up to the end of its n-th word."""
-    import re
-
-    if text is None:
-        return None
-    at = 0
-    for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text), 1):
-        at = m.end()
-        if k == n:
-            break
-    return text[:at]
+    out = dealt.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quotas, ["number", "shard"])
+    # the selected words are [begin, stop); what lies past the shard's end goes on at its start
+    beyond = F.col("stop") - F.col("shard_size")
+    inside = lambda a, b: F.greatest(F.least(F.col("at") + F.col("size"), b) - F.greatest(F.col("at"), a), F.lit(0))
+    taken = F.col("passes") * F.col("size") + inside(F.col("begin"), F.col("stop")) + inside(F.lit(0), beyond)
+    first = ((F.col("at") >= F.col("begin")) & (F.col("at") < F.col("stop"))) | (F.col("at") < beyond)
+    return out.select(F.col("id").alias(id_col), "fp", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("passes") + first.cast("int")).alias("copies"))
+
 
+def selected(size: int, quota: int, block: int, seed) -> tuple[int, int, int]:
+    """(passes, first word, end) of a shard's selection; an end past ``size`` goes on at the shard's start."""
+    if size <= 0:
+        return 0, 0, 0
+    begin = random.Random(repr(seed)).randrange(-(-size // block)) * block
+    return quota // size, begin, begin + quota % size
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **options) -> DataFrame:
-    """The mix itself: whole copies of documents, and the cut ones, with the columns of ``docs``.
 
-    Fully equal rows share the words taken from them evenly.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, whole, with the columns of ``docs``.
+
+    Rows of equal id and text share their copies evenly, rounded down. Documents without a word take part like
+    others. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("fp").alias("__fp"))
-    plan = plan.agg(F.max("size").alias("__size"), F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__taken")).filter("__taken > 0")
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    plan = plan.select("__id", "__fp", F.floor(F.col("__copies") / F.col("__rows")).cast("int").alias("__times")).filter("__times > 0")
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = keyed.join(plan, keyed[id_col].cast("long").eqNullSafe(plan["__id"]) & (keyed["__key"] == plan["__fp"]))
-    full = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    part = F.col("__taken") % F.col("__size")
-    pieces = F.concat(F.array_repeat(F.col("__size"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__piece", F.explode(pieces))
-
-    @F.pandas_udf("string")
-    def cut(text, piece, size):
-        import pandas as pd
-
-        return pd.Series([t if p >= s else first_words(t, p) for t, p, s in zip(text, piece, size, strict=True)], dtype=object)
-
-    out = out.withColumn(text_col, cut(F.col(text_col), F.col("__piece"), F.col("__size")))
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__piece") >= F.col("__size"), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*docs.columns)
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__time")).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents")).drop("fp")
+    return mix(load(spark, sf_dir, "documents")).drop("fp", "copies")

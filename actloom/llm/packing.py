@@ -1,7 +1,8 @@
 """Packing into optimal length buckets.
 
-A histogram of all lengths, exact up to 1,024 and in 64 steps an octave above (rounded up), has 4,500 bins at
-most whatever the corpus. Dynamic programming over it chooses the bucket boundaries that minimise padding.
+A histogram of all lengths, exact up to 1,024 and in 64 steps an octave above, has 4,500 bins at most whatever the
+corpus; each bin knows its true greatest length. Dynamic programming over it chooses, among these lengths, the bucket
+boundaries that minimise padding.
 Inside a bucket documents are numbered in a seeded order without gaps: the number inside a (bucket, salt)
 group plus the size of the groups before it, so no bucket is numbered in one task. A batch takes
 ``budget // boundary`` documents, padded to the boundary; a document longer than the budget is a batch alone.
@@ -24,7 +25,7 @@ SEED = 11
 
 
 def binned(length):
-    """Length rounded up to its histogram bin."""
+    """The histogram bin of a length, named by the length that it is rounded up to."""
     step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(length)) - 1 - STEPS, F.lit(0)))
     return F.when(length <= EXACT, length).otherwise(((length + step - 1) / step).cast("long") * step)
 
@@ -64,21 +65,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
 
     Tokens are words. Null and empty texts have length 0 and fill batches of the first bucket without using
     its budget up faster than one token each. Rows that repeat an id, and null ids, are packed one by one.
-    Ties in the seeded order fall to the id, then to the length. An empty table gives an empty result and
-    extra columns are ignored.
+    The seeded order is by id and row number, which also spread null and repeated ids over the salts. A very long text
+    is one length like any other. An empty table gives an empty result and extra columns are ignored.
     """
     spark = docs.sparkSession
-    sized = table(docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("n_tokens")), "lengths")
-    bins = sized.groupBy(binned(F.col("n_tokens")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    ends = boundaries([r.bin for r in bins], [r.n for r in bins], buckets) or [0]
+    sized = table(docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("n_tokens"), F.monotonically_increasing_id().alias("rid")), "lengths")
+    bins = sized.groupBy(binned(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n")).collect()
+    ends = boundaries([r.top for r in bins], [r.n for r in bins], buckets) or [0]
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(i)) for i, e in enumerate(ends)], F.lit(len(ends) - 1))
-    salt = F.pmod(F.xxhash64("id", "n_tokens", F.lit(seed)), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("id", "rid", F.lit(seed)), F.lit(SALTS)).cast("int")
     placed = sized.withColumn("bucket", bucket).withColumn("salt", salt)
     sizes = placed.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     # at most buckets * SALTS rows
     offsets = F.broadcast(sizes.select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    inside = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "n_tokens")
+    inside = Window.partitionBy("bucket", "salt").orderBy(F.xxhash64("id", "rid", F.lit(seed + 1)), "rid")
     caps = F.element_at(F.array(*[F.lit(max(1, budget // max(1, e))).cast("long") for e in ends]), F.col("bucket") + 1)
     upto = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1)
     rank = F.col("offset") + F.col("rank") - 1

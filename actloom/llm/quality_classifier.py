@@ -58,7 +58,8 @@ def pieces(ends: np.ndarray, buf: np.ndarray, order: int = ORDER):
         for k in range(1, order):
             back = np.full(stop - begin, PAD, np.uint64)
             low = max(0, k - begin)
-            back[low:] = buf[begin - k + low : stop - k]
+            if low < stop - begin:
+                back[low:] = buf[begin - k + low : stop - k]
             # the first k positions of a text look back past its start
             at = (inside[:, None] + np.arange(k)).ravel() - begin
             owner_end = np.repeat(ends[np.searchsorted(ends, inside, side="right")] if len(inside) else inside, k) - begin

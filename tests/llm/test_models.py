@@ -7,7 +7,7 @@ from collections import Counter
 
 from actloom.llm.license_scan import TEMPLATES, Classifier, words_of
 from actloom.llm.line_dedup import line_dedup
-from actloom.llm.mixing import apportion, first_words, mix, targets
+from actloom.llm.mixing import apportion, mix, targets
 from actloom.llm.packing import boundaries, op8_packing
 from actloom.llm.quality_rules import quality_rules, repeated_words
 
@@ -74,10 +74,6 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - t) <= max(2, 0.01 * t) for s, t in aim.items())
 
 
-def test_first_words():
-    assert first_words(" a b\tc", 2) == " a b" and first_words("a", 5) == "a" and first_words(None, 1) is None
-
-
 def test_boundaries_are_optimal():
     rng = random.Random(6)
     for _ in range(60):
@@ -134,3 +130,19 @@ def test_a_hot_line_over_many_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert out == {i: (4, 0 if i == 299 else 2) for i in range(300)}
+
+
+def test_rows_of_one_id_hold_a_line_without_bound(spark, monkeypatch):
+    """Null ids are one document: its rows of a line are not held, and the line counts as one document more."""
+    from actloom.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "HELD", 3)
+    hot, cool = "h" * 45, "c" * 45
+    rows = [(None, f"{hot}\n{i}") for i in range(40)] + [(i, f"{hot}\n{cool}\n{hot}") for i in range(4)] + [(None, cool)]
+    rows += [(i, f"{cool}x" * 2) for i in range(9)]
+    out = sorted((r.doc_id, r.n_dropped) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 4").collect())
+    nulls = [r.n_dropped for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id is null").collect()]
+    # hot and cool stand in four documents and the null one, of which the largest id keeps its lines; the second rows'
+    # line stands in nine
+    assert sorted(n for _, n in out) == [0, 1, 1, 1, 1, 3, 3, 3]
+    assert nulls == [1] * 41
