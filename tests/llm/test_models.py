@@ -5,40 +5,12 @@ import math
 import random
 from collections import Counter
 
-from actloom.llm.license_scan import TEMPLATES, Classifier, words_of
 from actloom.llm.line_dedup import line_dedup
 from actloom.llm.mixing import apportion, mix, targets
 from actloom.llm.packing import boundaries, op8_packing
 from actloom.llm.quality_rules import quality_rules, repeated_words
 
 
-def test_licence_families_on_a_held_out_draw():
-    model, rng = Classifier(), random.Random(9)
-    right = total = confirmed = 0
-    for family, ts in TEMPLATES.items():
-        for t in ts:
-            for _ in range(10):
-                words = [w for w in words_of(t.encode()) if rng.random() > 0.05]
-                words = [b"foo%d" % rng.randrange(50) for _ in range(rng.randrange(6))] + words
-                name, p, like, sure = model.predict(words)
-                total, right, confirmed = total + 1, right + (name == family), confirmed + sure
-    assert right / total > 0.95 and confirmed / total > 0.9
-    for text in ("the apache helicopter landed", "his license was renewed", "an open letter to the public", "Theand thble reingwh", ""):
-        name, _, _, sure = model.predict(words_of(text.encode()))
-        assert not sure, (text, name)
-    assert {model.predict(words_of(ts[0].encode()))[0] for ts in TEMPLATES.values()} == set(TEMPLATES)
-
-
-def test_licence_lines_of_the_table(spark, sf_dir):
-    from actloom.llm.license_scan import op1_license_scan
-
-    #: licence lines that the documents hold, and their families
-    lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    want = {r.doc_id: ",".join(sorted({f for x, f in lines.items() if x in (r.text or "").split("\n")})) for r in docs}
-    assert {r.doc_id: r.families for r in op1_license_scan(spark, sf_dir).collect()} == want
-
-
 def brute_seats(votes, seats):
     got = [0] * len(votes)
     for _ in range(seats):
