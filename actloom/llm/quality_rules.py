@@ -1,10 +1,11 @@
 """Quality rules: base counts of each text, and cross-document line frequency by host.
 
-Every line is normalised and hashed (128 bits). For each host the documents that hold a line are counted;
-a line above the host's limit is boilerplate and is taken out of all its documents. A document that keeps
-too few of its words is depleted and rejected. One scan gives the base counts and a row's distinct lines;
-the line counts are pre-aggregated before their shuffle, and the removed words meet their documents by a
-row number written with the base counts, so texts are never shuffled.
+Every line is normalised and hashed (128 bits). For each host the documents that hold a line are counted; a line in
+more than LINE_DOCS of them is boilerplate and is taken out of all its documents, whatever the host's size. A document
+that keeps too few of its words is depleted and rejected. One scan gives the base counts and a row's distinct lines
+with their positions; the line counts are pre-aggregated before their shuffle, and what is removed meets its document
+by a row number written with the base counts, so texts are not shuffled for the verdicts; cleaned texts meet their
+removed lines once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import load, small_batches, table
 
 LINE_DOCS = 20  # a line may stand in so many documents of a host
-LINE_SHARE = 0.01  # and in so large a share of them; above both it is removed
 KEEP_SHARE = 0.5  # of its words that a document must keep
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -61,61 +61,96 @@ def base_counts(body: bytes):
 def _scan(batches):
     import pyarrow as pa
 
-    line_type = pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("words", pa.int64())]))
+    line_type = pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("words", pa.int64()), ("pos", pa.binary())]))
     for batch in batches:
         rows, lines = [], []
-        for body in batch.column(3).to_pylist():
+        for body in batch.column("body").to_pylist():
             rows.append(base_counts(body))
-            held: dict[bytes, int] = {}
-            for line in body.split(b"\n"):
+            held: dict[bytes, list] = {}
+            for at, line in enumerate(body.split(b"\n")):
                 if words := line.lower().split():
-                    h = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                    held[h] = held.get(h, 0) + len(words)
-            lines.append([{"hi": int.from_bytes(h[:8], "big", signed=True), "lo": int.from_bytes(h[8:], "big", signed=True), "words": n} for h, n in held.items()])
+                    x = held.setdefault(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), [0, []])
+                    x[0] += len(words)
+                    x[1].append(at)
+            lines.append([{"hi": int.from_bytes(h[:8], "big", signed=True), "lo": int.from_bytes(h[8:], "big", signed=True), "words": n, "pos": np.array(at, np.int32).tobytes()} for h, (n, at) in held.items()])
         counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *counts, pa.array(lines, line_type)], names=["rid", "id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
-
-
-def quality_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    line_docs: int = LINE_DOCS,
-    line_share: float = LINE_SHARE,
-    keep_share: float = KEEP_SHARE,
-) -> DataFrame:
-    """One row per input row: id, base counts, base_failed, n_removed_words, depleted, kept.
+        named = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ROW), *counts, pa.array(lines, line_type)], names=[*_ROW, *named])
 
-    A null or empty text has no words and fails the base rules. Null hosts form one host of their own; null
-    and repeated ids are kept as they are, each row being a document. Lines are normalised by lower-casing
-    A-Z and single spaces between words; lines without a word are ignored. An empty table gives an empty
-    result and extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+
+_ROW = ("rid", "id", "host", "fp")
+
+
+def _host(column: str):
+    return F.coalesce(F.col(column).cast("string"), F.lit("\0"))
+
+
+def _fingerprint(text_col: str, host_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), _host(host_col))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, keep_share: float) -> tuple[DataFrame, DataFrame]:
+    """(verdict of each row, removed lines of each row: rid, id, fp, words, pos)."""
+    small_batches(docs.sparkSession)
     src = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).cast("long").alias("id"),
-        F.col(host_col).cast("string").alias("host"),
+        _host(host_col).alias("host"),
+        _fingerprint(text_col, host_col).alias("fp"),
         F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"),
     )
-    base = "rid long, id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    scanned = table(src.mapInArrow(_scan, base + ", lines array<struct<hi:long,lo:long,words:long>>"), "scanned")
-    lines = scanned.select("rid", F.coalesce("host", F.lit("\0")).alias("host"), F.explode("lines").alias("x")).select("rid", "host", "x.hi", "x.lo", "x.words")
-    sizes = scanned.groupBy(F.coalesce("host", F.lit("\0")).alias("host")).agg(F.count(F.lit(1)).alias("docs"))
-    counted = lines.groupBy("host", "hi", "lo").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > line_docs)
-    above = table(counted.join(sizes, "host").filter(F.col("held") > line_share * F.col("docs")).select("host", "hi", "lo"), "above")
-    removed = lines.join(above, ["host", "hi", "lo"], "left_semi").groupBy("rid").agg(F.sum("words").alias("n_removed_words"))
-    out = scanned.drop("lines", "host").join(removed, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    base = "rid long, id long, host string, fp long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    scanned = table(src.mapInArrow(_scan, base + ", lines array<struct<hi:long,lo:long,words:long,pos:binary>>"), "scanned")
+    keys = scanned.select("host", F.explode("lines").alias("x")).select("host", "x.hi", "x.lo")
+    above = table(keys.groupBy("host", "hi", "lo").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > line_docs).select("host", "hi", "lo"), "above")
+    lines = scanned.select("rid", "id", "fp", "host", F.explode("lines").alias("x")).select("rid", "id", "fp", "host", "x.*")
+    removed = lines.join(above, ["host", "hi", "lo"], "left_semi").select("rid", "id", "fp", "words", "pos")
+    lost = removed.groupBy("rid").agg(F.sum("words").alias("n_removed_words"))
+    out = scanned.drop("lines", "host").join(lost, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed_words") < keep_share * F.col("n_words")
+    return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted), removed
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """One row per input row: id, base counts, base_failed, n_removed_words, depleted, kept.
+
+    A null or empty text has no words and fails the base rules. Null hosts form one host of their own; null
+    and repeated ids are kept as they are, each row being a document. Lines are normalised by lower-casing
+    A-Z and single spaces between words; lines without a word are ignored. A very long text is one row of counts. An
+    empty table gives an empty result and extra columns are ignored.
+    """
+    out, _ = _judged(docs, id_col, text_col, host_col, line_docs, keep_share)
     return out.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "n_removed_words", depleted.alias("depleted"), (~failed & ~depleted).alias("kept"),
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "depleted", "kept",
     )
 
 
+def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The kept documents without their boilerplate lines, with the columns of ``docs``.
+
+    Rows of equal id, text and host have the same verdict and the same lines.
+    """
+    out, removed = _judged(docs, id_col, text_col, host_col, line_docs, keep_share)
+    kept = out.filter("kept").select("rid", "id", "fp")
+    gone = removed.groupBy("rid").agg(F.collect_list("pos").alias("pos"))
+    plan = kept.join(gone, "rid", "left").groupBy("id", "fp").agg(F.first("pos").alias("__pos")).withColumnsRenamed({"id": "__id", "fp": "__fp"})
+    keyed = docs.withColumns({"__own": F.col(id_col).cast("long"), "__print": _fingerprint(text_col, host_col)})
+
+    @F.pandas_udf("string")
+    def left(text, positions):
+        import pandas as pd
+
+        def cut(t, packed):
+            drop = set(np.frombuffer(b"".join(packed), np.int32).tolist())
+            return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop)
+
+        return pd.Series([t if p is None else cut(t, p) for t, p in zip(text, positions, strict=True)], dtype=object)
+
+    joined = keyed.join(plan, keyed["__own"].eqNullSafe(plan["__id"]) & (keyed["__print"] == plan["__fp"]))
+    return joined.withColumn(text_col, left(F.col(text_col), F.col("__pos"))).select(*docs.columns)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"))
 
@@ -140,8 +175,7 @@ rep AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
 norm AS (
   SELECT doc_id, host, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k, sum(len(w)) AS n
   FROM lines GROUP BY ALL),
-hosts AS (SELECT host, count(*) AS docs FROM t GROUP BY host),
-above AS (SELECT host, k FROM norm JOIN hosts USING (host) GROUP BY host, k, docs HAVING count(*) > 20 AND count(*) > 0.01 * docs),
+above AS (SELECT host, k FROM norm GROUP BY host, k HAVING count(*) > 20),
 gone AS (SELECT doc_id, sum(n) AS n FROM norm SEMI JOIN above USING (host, k) GROUP BY doc_id),
 j AS (
   SELECT base.*, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words

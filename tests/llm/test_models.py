@@ -8,7 +8,7 @@ from collections import Counter
 from actloom.llm.line_dedup import line_dedup
 from actloom.llm.mixing import apportion, mix, targets
 from actloom.llm.packing import boundaries, op8_packing
-from actloom.llm.quality_rules import quality_rules, repeated_words
+from actloom.llm.quality_rules import cleaned_documents, quality_rules, repeated_words
 
 
 def brute_seats(votes, seats):
@@ -89,6 +89,17 @@ def test_boilerplate_depletes_a_document(spark):
     assert all(out[i].n_removed_words == 15 and out[i].kept for i in range(30))
     assert out[100].n_removed_words == 0 and out[100].kept
     assert out[99].n_removed_words == 30
+    texts = {r.doc_id: r.text for r in cleaned_documents(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert texts == {i: unique(i, 60) for i in range(30)} | {100: rows[-1][2]} | ({99: rows[30][2].split("\n")[-1]} if out[99].kept else {})
+
+
+def test_a_frequent_line_goes_from_a_host_of_any_size(spark):
+    """21 documents are above the limit among 40 and among 4,000."""
+    line = "home | about | contact"
+    text = lambda h, i: " ".join(f"{h}{i}x{j}" for j in range(60))
+    rows = [(n * 10_000 + i, f"h{n}", (f"{line}\n" if i < 21 else "") + text(f"h{n}", i)) for n in (40, 4000) for i in range(n)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)).filter("n_removed_words > 0").collect()
+    assert sorted(r.doc_id for r in out) == [n * 10_000 + i for n in (40, 4000) for i in range(21)] and all(r.n_removed_words == 5 for r in out)
 
 
 def test_a_hot_line_over_many_partitions(spark):
