@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Words that take no part in a text's fingerprint. Fixed values.
 STOPWORDS = (
-    "a an and are as at be by can could did do does for from has have if in is it its may might of on or our please should that the their this to we were will with would you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "did", "do", "does", "for", "from", "has", "have", "if", "in", "is", "it", "its", "may", "might", "of", "on", "or", "our",
+    "please", "should", "that", "the", "their", "this", "to", "we", "were", "will", "with", "would", "you", "your",
+)
 
 
 def hash_tokens(text) -> Column:
@@ -17,36 +20,38 @@ def hash_tokens(text) -> Column:
 
 
 def _fingerprints(bits: int):
-    """Texts to group keys, an Arrow batch at a time. A word's digest is taken once a worker, and a text's words are
-    counted first, so the work follows distinct words. Built-in expressions took about ten times as long, as they
-    digest every word of every text and walk them once for each bit."""
+    """Texts to group keys, an Arrow batch at a time: words are split and numbered in Arrow, each distinct word is
+    digested once, and a text's votes are sums over its words' numbers."""
     import hashlib
-    import re
-    from collections import Counter
 
     import numpy as np
 
-    token, stop, known = re.compile("[a-z0-9]+"), frozenset(STOPWORDS), {}
-
-    def signs(word: str):
-        if (found := known.get(word)) is None:
-            if len(known) > 200_000:
-                known.clear()
-            digest = np.frombuffer(hashlib.md5(word.encode()).digest()[:8], np.uint8)
-            found = known[word] = np.unpackbits(digest)[:bits].astype(np.int64) * 2 - 1
-        return found
-
     weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
-    def key(text) -> int:
-        words = Counter(w for w in token.findall((text or "").lower()) if w not in stop)
-        if not words:
-            return 0
-        total = np.stack([signs(w) for w in words]).T @ np.fromiter(words.values(), np.int64, len(words))
-        return int(weights[total >= 0].sum())
+    def votes(words) -> np.ndarray:
+        """A row of -1 and 1 for each word; of 0 for words that take no part."""
+        out = np.zeros((len(words), bits), np.int8)
+        for i, w in enumerate(words):
+            if w and w not in STOPWORDS:
+                out[i] = np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8))[:bits].astype(np.int8) * 2 - 1
+        return out
 
     def run(texts):
-        return texts.map(key, na_action=None).astype("int64")
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = np.zeros(len(texts), np.int64)
+        for begin in range(0, len(texts), 512):
+            part = pa.array(texts.iloc[begin : begin + 512], pa.string(), from_pandas=True).fill_null("")
+            split = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(part), "[^a-z0-9]+", " "), " "), " ")
+            numbered = pc.list_flatten(split).dictionary_encode()
+            table, code = votes(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
+            starts = split.offsets.to_numpy()[:-1]  # an empty text is one empty word, so no text is without one
+            total = np.add.reduceat(table[code], starts, axis=0, dtype=np.int32)
+            some = np.add.reduceat(table.any(axis=1)[code], starts, dtype=np.int32) > 0
+            out[begin : begin + len(part)] = np.where(some, (total >= 0) @ weights, 0)
+        return pd.Series(out)
 
     return run
 
@@ -68,7 +73,7 @@ def representatives(df: DataFrame, key: list[str], text: str, pos: str, reps: in
     longest = df.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max_by(F.struct(pos, text), F.struct(F.length(text), -F.col(pos))).alias("top"))
     if reps <= 1:
         return longest.select(*key, "size", F.col(f"top.{pos}").alias(pos), F.col(f"top.{text}").alias(text), F.lit(1).alias("rank"))
-    order = Window.partitionBy(*key).orderBy((F.col(pos) != F.col("__top")).cast("int"), F.xxhash64(F.col(pos), F.lit(seed)), pos)
+    order = Window.partitionBy(*key).orderBy((F.col(pos) != F.col("__top")).cast("int"), *seeded(pos, seed))
     named = df.join(longest.select(*key, "size", F.col(f"top.{pos}").alias("__top")), key)
     return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= reps).select(*key, "size", pos, text, "rank")
 
@@ -99,20 +104,23 @@ def squared_distance(a, b) -> Column:
 def assign(vectors: DataFrame, centers: DataFrame, id_col: str, vector: str, center_id: str = "cid", center: str = "centroid", most: int = 10_000) -> DataFrame:
     """Nearest center of each vector, the smallest id on a tie.
 
-    The centers, which are k rows by definition, are counted; up to ``most`` they travel as one array in a
-    broadcast row and the argmin runs inside each vector's row, so nothing is multiplied out or shuffled.
+    The centers, k rows by definition, travel as arrays of about ``most`` in broadcast rows; the argmin runs inside each
+    vector's row, block after block, so nothing is multiplied out or shuffled.
     """
-    k = centers.count()
-    if k > most:
-        raise ValueError(f"{k} centers; at most {most}")
-    packed = centers.agg(F.array_sort(F.collect_list(F.struct(F.col(center_id).alias("c"), F.col(center).alias("v")))).alias("__centers"))
-    joined = vectors.join(F.broadcast(packed))
-    best = F.array_min(F.transform("__centers", lambda s: F.struct(squared_distance(F.col(vector), s["v"]).alias("d"), s["c"].alias("c"))))
-    return joined.withColumn("__best", best).select(id_col, F.col("__best.c").alias(center_id), F.col("__best.d").alias("distance"))
-
-
-def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, max_iter: int = 50, scope: str | None = None) -> DataFrame:
-    """k-means++ clusters by Spark's own KMeans, which iterates over partial sums by partition."""
+    blocks = max(1, -(-centers.count() // most))
+    best, rows = None, vectors
+    for i in range(blocks):
+        some = centers.filter(F.pmod(F.xxhash64(center_id), F.lit(blocks)) == i) if blocks > 1 else centers
+        packed = some.agg(F.array_sort(F.collect_list(F.struct(F.col(center_id).alias("c"), F.col(center).alias("v")))).alias("__centers"))
+        near = F.array_min(F.transform("__centers", lambda s: F.struct(squared_distance(F.col(vector), s["v"]).alias("d"), s["c"].alias("c"))))
+        rows = rows.join(F.broadcast(packed)).withColumn("__best", near if best is None else F.least(F.col("__best"), near)).drop("__centers")
+        best = True
+    return rows.select(id_col, F.col("__best.c").alias(center_id), F.col("__best.d").alias("distance"))
+
+
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, max_iter: int = 50) -> DataFrame:
+    """k-means clusters of the whole table by Spark's own KMeans (k-means|| start), which iterates over partial sums by
+    partition."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -121,6 +129,67 @@ def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, max_iter: int = 5
     return model.transform(data).drop("__v")
 
 
+def seeded(pos: str, seed: int) -> list[Column]:
+    """A random order that any engine can repeat: MD5 of position and seed."""
+    return [F.md5(F.concat_ws(":", F.col(pos).cast("string"), F.lit(str(seed)))), F.col(pos)]
+
+
+def kmeans_scoped(df: DataFrame, scope: str, vector: str, pos: str, k: int, seed: int = 42, max_iter: int = 10) -> DataFrame:
+    """k-means inside each scope (a forum, a source): adds cluster_id, numbered from 0 in each.
+
+    All scopes are iterated together: a round joins rows with their scope's centers (one array a scope) and takes
+    partial means by (scope, cluster, dimension). A scope with fewer rows than k has one cluster a row at the start. Ends
+    when no center moves, or after ``max_iter`` rounds.
+    """
+    start = Window.partitionBy(scope).orderBy(*seeded(pos, seed))
+    centers = df.withColumn("cluster_id", F.row_number().over(start) - 1).filter(F.col("cluster_id") < k).select(scope, "cluster_id", F.col(vector).cast("array<double>").alias("centroid"))
+    centers = written(centers, "centers")
+
+    def assigned(now):
+        packed = written(now.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("__centers")), "packed")
+        near = F.array_min(F.transform("__centers", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]), c["cluster_id"].alias("id"))))
+        return df.join(packed, scope).withColumn("cluster_id", near["id"]).drop("__centers")
+
+    for _ in range(max_iter):
+        long = assigned(centers).select(scope, "cluster_id", F.posexplode(vector).alias("i", "x")).groupBy(scope, "cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        means = long.groupBy(scope, "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+        # a center without members stays
+        moved = written(centers.join(means, [scope, "cluster_id"], "left").select(scope, "cluster_id", F.coalesce("mean", "centroid").alias("centroid"), squared_distance("centroid", F.coalesce("mean", "centroid")).alias("step")), "centers")
+        centers = moved.drop("step")
+        if not moved.filter("step > 1e-12").limit(1).count():
+            break
+    return assigned(centers)
+
+
+def kmeans_minibatch(df: DataFrame, vector: str, pos: str, k: int, seed: int = 42, max_iter: int = 50, batch: int = 1024) -> DataFrame:
+    """Mini-batch k-means for large n times k: (pos, cid, distance) of every row.
+
+    Each round moves its batch's centers by members / members so far. All rounds' batches, max_iter * batch rows of the
+    table by a seeded draw, come in one pass, since they are what the method samples; every row is then assigned.
+    """
+    import numpy as np
+
+    total = df.count()
+    share = min(1.0, batch / max(1, total))
+    draws = F.filter(F.sequence(F.lit(0), F.lit(max_iter)), lambda i: F.pmod(F.xxhash64(F.col(pos), i, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = df.select(F.explode(draws).alias("round"), pos, F.col(vector).cast("array<double>").alias("v")).orderBy("round", pos).collect()
+    first = df.orderBy(*seeded(pos, seed)).limit(k).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    centers = np.array([r.v for r in first])
+    seen = np.zeros(len(centers))
+    rounds: dict[int, list] = {}
+    for r in drawn:
+        rounds.setdefault(r["round"], []).append(r.v)
+    for i in sorted(rounds):
+        points = np.array(rounds[i])
+        nearest = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) if len(points) * len(centers) < 1e6 else np.array([((p - centers) ** 2).sum(axis=1).argmin() for p in points])
+        for c in np.unique(nearest):
+            members = points[nearest == c]
+            seen[c] += len(members)
+            centers[c] += (members.mean(axis=0) - centers[c]) * len(members) / seen[c]
+    table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cid int, centroid array<double>")
+    return assign(df, table, pos, vector)
+
+
 def cluster_sizes(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
 
@@ -135,23 +204,30 @@ def largest(sizes: DataFrame, key: list[str], n: int = 10) -> DataFrame:
 
 def samples(df: DataFrame, key: list[str], pos: str, n: int = 6, seed: int = 42) -> DataFrame:
     """Up to ``n`` members of each cluster by a seeded hash; the rank filter prunes before the shuffle."""
-    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.col(pos), F.lit(seed)), pos)
+    order = Window.partitionBy(*key).orderBy(*seeded(pos, seed))
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
 def row_sample(df: DataFrame, pos: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by a seeded hash, in their own order."""
-    return df.orderBy(F.xxhash64(F.col(pos), F.lit(seed)), pos).limit(n).orderBy(pos)
-
-
-def reuse_labels(labels: list[tuple[str, str]], memory: int = 50) -> list[tuple[str, str, bool]]:
-    """(cluster, label) in cluster order to (cluster, cluster whose label it takes, reused): a label met among
-    the last ``memory`` new ones is reused. Sequential by definition, over cluster labels only."""
-    recent: list[tuple[str, str]] = []
-    out = []
-    for cluster, label in labels:
-        held = next((c for c, known in recent if known == label), None)
-        out.append((cluster, held or cluster, held is not None))
-        if held is None:
-            recent = [*recent, (cluster, label)][-memory:]
-    return out
+    return df.orderBy(*seeded(pos, seed)).limit(n).orderBy(pos)
+
+
+def label_memory(df: DataFrame, scope: str, order: str, cluster: str, label: str, memory: int = 50) -> DataFrame:
+    """(scope, cluster, taken, reused): a label met among the scope's last ``memory`` new ones takes that cluster.
+
+    Sequential by definition, so each scope's clusters, k by definition, are folded in order inside one row.
+    """
+    entry = "struct<id:string,label:string>"
+    rows = df.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(cluster).cast("string").alias("id"), F.col(label).alias("label")))).alias("r"))
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("memory"), F.array().cast("array<struct<id:string,taken:string,reused:boolean>>").alias("out"))
+
+    def step(s, r):
+        known = F.get(F.filter(s["memory"], lambda m: m["label"] == r["label"]), F.lit(0))
+        longer = F.concat(s["memory"], F.array(F.struct(r["id"].alias("id"), r["label"].alias("label"))))
+        kept = F.slice(longer, F.greatest(F.size(longer) - memory + 1, F.lit(1)), F.lit(memory))
+        told = F.struct(r["id"].alias("id"), F.coalesce(known["id"], r["id"]).alias("taken"), known.isNotNull().alias("reused"))
+        return F.struct(F.when(known.isNull(), kept).otherwise(s["memory"]).alias("memory"), F.concat(s["out"], F.array(told)).alias("out"))
+
+    folded = rows.select(scope, F.explode(F.aggregate("r", start, step, lambda s: s["out"])).alias("x"))
+    return folded.select(scope, F.col("x.id").alias(cluster), "x.taken", "x.reused")

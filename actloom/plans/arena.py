@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 BUDGET = 6
 STATE = "struct<phase:string,budget:int,observations:int,requests:int,commitments:int,last_role:string,moves:int>"
 
@@ -52,11 +54,19 @@ def replay(moves: DataFrame, key: str, order: list[str], budget: int = BUDGET) -
     return folded.select(key, state.alias("s")).select(key, "s.*")
 
 
+def _schedule_order(order: str) -> list[Column]:
+    value = lambda c, names, low: F.coalesce(*[F.when(F.col(c) == n, F.lit(v)) for n, v in names.items()], F.lit(low))
+    return [F.desc(value("phase", {"Open": 3, "EvidencePending": 2, "Negotiation": 1}, 0)), F.desc(value("severity", {"high": 3, "medium": 2, "low": 1}, 1)), F.col(order)]
+
+
 def schedule(threads: DataFrame, order: str = "pos") -> DataFrame:
     """Open and funded threads by phase, then severity, then order."""
-    value = lambda c, names, low: F.coalesce(*[F.when(F.col(c) == n, F.lit(v)) for n, v in names.items()], F.lit(low))
-    active = threads.filter((F.col("phase") != "Closed") & (F.col("budget") > 0))
-    return active.orderBy(F.desc(value("phase", {"Open": 3, "EvidencePending": 2, "Negotiation": 1}, 0)), F.desc(value("severity", {"high": 3, "medium": 2, "low": 1}, 1)), order)
+    return threads.filter((F.col("phase") != "Closed") & (F.col("budget") > 0)).orderBy(*_schedule_order(order))
+
+
+def scheduled(threads: DataFrame, order: str = "pos") -> DataFrame:
+    """The same threads with their place in the schedule as ``rank``, numbered over range partitions."""
+    return numbered(threads.filter((F.col("phase") != "Closed") & (F.col("budget") > 0)), _schedule_order(order), "rank")
 
 
 def selected(active: DataFrame, order: DataFrame, per_round: int, pos: str = "pos", honor_order: bool = False) -> DataFrame:
@@ -179,6 +189,15 @@ def demo_ledger(moves: DataFrame, key: str, order: list[str]) -> DataFrame:
     return folded.select(key, F.aggregate("m", start, step).alias("s")).select(key, "s.*")
 
 
+def fixed_rounds(threads: DataFrame, key: str) -> DataFrame:
+    """The demo's run: each thread's three moves, a request, an answer and a close, by the ledger of :func:`demo_ledger`.
+
+    Threads have the status of the evidence that their moves find.
+    """
+    moves = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(role).alias("role"), F.lit(intent).alias("intent")) for n, (role, intent) in enumerate((("Reviewer", "RequestEvidence"), ("Author", "ProvideEvidence"), ("Reviewer", "CloseIssue")))])
+    return demo_ledger(threads.select(key, "status", F.explode(moves).alias("m")).select(key, "status", "m.*"), key, ["n"])
+
+
 def demo_need(intent, issue) -> Column:
     """struct<type, query>: the evidence that a request of the demo needs; null for other intents."""
     need = lambda kind, query: F.struct(F.lit(kind).alias("type"), F.lit(query).alias("query"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 from ..functions.core import role_of_three, turn_id, year_of
 
 
@@ -31,10 +33,14 @@ def forum_years(stats: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def _ranked(stats: DataFrame, most: int | None) -> DataFrame:
-    """The first forums in order; the limit comes before the numbering, so one task numbers ``most`` rows."""
+    """The first forums in order; the limit comes before the numbering, so one task numbers ``most`` rows.
+
+    Without a limit they are numbered over range partitions.
+    """
     chosen = stats.select("forum_id", "first", *([c for c in ("year",) if c in stats.columns])).orderBy("first", "forum_id")
-    if most:
-        chosen = chosen.limit(most)
+    if not most:
+        return numbered(chosen, [F.col("first"), F.col("forum_id")], "rank")
+    chosen = chosen.limit(most)
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy("first", "forum_id")))
 
 
@@ -59,7 +65,12 @@ def temporal_splits(stats: DataFrame, train_years, test_years, train: int = 1600
 
 
 def status_counts(moves: DataFrame) -> DataFrame:
-    """Observation statuses of each forum; a move's forum is what stands before # in its thread's id."""
+    """Observation statuses of each forum; a move's forum is what stands before # in its thread's id.
+
+    Where rows have a ``type``, only moves count, as a run's log holds other events too.
+    """
+    if "type" in moves.columns:
+        moves = moves.filter("type = 'move'")
     forum = F.when(F.contains("thread_id", F.lit("#")), F.substring_index("thread_id", "#", 1))
     each = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "missing", "fail")]
     return moves.filter("status is not null").groupBy(forum.alias("forum_id")).agg(*each).filter("coalesce(forum_id, '') <> ''")

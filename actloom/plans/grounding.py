@@ -30,13 +30,14 @@ def _answers():
 def reground(acts: DataFrame, segments: DataFrame, max_matches: int = 5) -> DataFrame:
     """Acts with status, provenance (first matching segments) and observation id.
 
-    Acts meet the segments of their own context only, by an equi-join; a context is one paper, so no pair
+    The distinct questions of a context meet its segments by an equi-join; a context is one paper, so no pair
     across papers is formed, and only ids come out of the join.
     """
     calls = routed(acts).select("act_id", "forum_id", "query", "call.*")
-    hit = calls.join(segments.select(F.col("ctx").cast("string").alias("forum_id"), F.col("id").alias("seg"), "text"), "forum_id").filter(_answers())
-    found = hit.groupBy("act_id").agg(F.slice(F.array_sort(F.collect_set("seg")), 1, max_matches).alias("prov"))
-    out = calls.join(found, "act_id", "left").withColumn("prov", F.coalesce("prov", F.array().cast("array<int>")))
+    asked = calls.select("forum_id", "skill", "value").distinct()
+    hit = asked.join(segments.select(F.col("ctx").cast("string").alias("forum_id"), F.col("id").alias("seg"), "text"), "forum_id").filter(_answers())
+    found = hit.groupBy("forum_id", "skill", "value").agg(F.slice(F.array_sort(F.collect_set("seg")), 1, max_matches).alias("prov"))
+    out = calls.join(found, ["forum_id", "skill", "value"], "left").withColumn("prov", F.coalesce("prov", F.array().cast("array<int>")))
     out = out.withColumn("status", F.when(F.size("prov") > 0, F.lit("ok")).otherwise(F.lit("missing")))
     return out.withColumn("observation_id", observation_id(F.lit("text"), F.col("prov")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def before_appendix(segments: DataFrame, heading: str = r"(?i)^(appendix|supplementary|additional experiments)") -> DataFrame:
     """Segments before the first appendix heading of their context."""
@@ -12,43 +14,36 @@ def before_appendix(segments: DataFrame, heading: str = r"(?i)^(appendix|supplem
     return segments.join(cut, "ctx", "left").filter("__cut is null or id < __cut").drop("__cut")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 3, terms: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Best documents of each query (item_id, text) over its first ``terms`` words.
+def bm25(docs: DataFrame, queries: DataFrame, top: int = 3, terms: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Best documents of each query (item_id, text) over its distinct words, or its first ``terms`` words.
 
-    Only terms of queries are counted: the vocabulary, checked to be small, is broadcast against the
-    exploded documents; scores are partial sums by (query, document).
+    Documents are reduced to the words that some query asks for, packed into one row a document: what meets the
+    queries then is narrow, and a common word is a joined row only with the queries that hold it. Scores are partial
+    sums by (query, document); each task keeps its best before the last shuffle.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
-    asked = queries.select("item_id", F.explode(F.array_distinct(F.slice(words(F.col("text")), 1, terms))).alias("t"))
-    vocabulary = asked.select("t").distinct()
-    if vocabulary.count() <= 1_000_000:
-        vocabulary = F.broadcast(vocabulary)
-    split = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    of = words(F.col("text"))
+    asked = queries.select("item_id", F.explode(F.array_distinct(F.slice(of, 1, terms) if terms else of)).alias("t"))
+    split = docs.select("doc_id", of.alias("w")).withColumn("len", F.size("w"))
     size = split.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tf = split.select("doc_id", "len", F.explode("w").alias("t")).join(vocabulary, "t", "left_semi").groupBy("doc_id", "t", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = split.select("doc_id", "len", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").groupBy("doc_id", "t", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    rows = asked.join(tf, "t").join(df, "t").crossJoin(F.broadcast(size))  # one row
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("len") / F.col("avg_len")))
-    scores = rows.groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 5).alias("score"))
+    weighed = tf.join(df, "t").crossJoin(F.broadcast(size)).select("t", "doc_id", weight.alias("s"))  # one row
+    scores = asked.join(weighed, "t").groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 5).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def severity(forums: DataFrame, by: str = "score_change", key: str = "forum_id") -> DataFrame:
-    """Terciles of a forum measure as low, medium, high.
-
-    The numbering is global: rows are ranked inside value groups and offset by the group counts, so no task
-    sorts all forums."""
-    counts = forums.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    offset = F.coalesce(F.sum("__n").over(Window.orderBy(F.col(by).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__n").over(Window.partitionBy())
-    placed = counts.select(F.col(by).alias("__v"), offset.alias("__o"), total.alias("__t"))
-    inside = F.row_number().over(Window.partitionBy(by).orderBy(key))
-    rows = forums.withColumn("__i", inside).join(placed, F.col(by).eqNullSafe(F.col("__v")))
-    at, size, extra = F.col("__o") + F.col("__i"), F.floor(F.col("__t") / 3), F.col("__t") % 3
+    """Terciles of a forum measure as low, medium, high; nulls come last. Numbers are dealt over range partitions of
+    (measure, key), so neither a frequent value nor the whole table is one task."""
+    rows = numbered(forums, [F.col(by).asc_nulls_last(), F.col(key)], "__at")
+    total = forums.agg(F.count(F.lit(1)).alias("__t"))
+    size, extra = F.floor(F.col("__t") / 3), F.col("__t") % 3
     one, two = size + (extra >= 1).cast("int"), 2 * size + F.least(extra, F.lit(2))
-    name = F.when(at <= one, F.lit("low")).when(at <= two, F.lit("medium")).otherwise(F.lit("high"))
-    return rows.withColumn("severity", name).drop("__i", "__v", "__o", "__t")
+    name = F.when(F.col("__at") <= one, F.lit("low")).when(F.col("__at") <= two, F.lit("medium")).otherwise(F.lit("high"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("severity", name).drop("__at", "__t")  # one row
 
 
 def change_after(moves: DataFrame, key: str, order: str, seeks: Column, changes: Column, within: int = 5) -> DataFrame:

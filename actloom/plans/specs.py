@@ -22,34 +22,95 @@ def dag_primitives(dag) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(dag, name))))
 
 
-def spec_issues(existing: list[str]) -> Column:
+#: Fields that a specification's checks read.
+SPEC = f"""struct<action:string,kind:string,name:string,need_summary:string,goal:string,external:boolean,uses_controlled_llm:boolean,n_tests:int,
+  test_statuses:array<string>,n_tests_without_segments:int,n_bad_segments:int,dag:array<{STEP}>,outputs:array<string>,spec_names:array<string>,stub_names:array<string>>"""
+
+
+def spec_issues(existing: list[str], primitives: str | None = None) -> Column:
     """Issue codes of a specification row.
 
     Columns: action, kind, name, need_summary, goal, external, uses_controlled_llm, n_tests, test_statuses
     (array), n_tests_without_segments, n_bad_segments, dag (array<STEP>), outputs (array of names), spec_names
-    (array), stub_names (array; null if a test has none). A skipped specification has no issues.
+    (array), stub_names (array; null if a test has none). A skipped specification has no issues. ``primitives`` names
+    a column of nested specifications (array<SPEC>): the first one with issues adds primitive_spec_invalid, its name and
+    its issues.
     """
-    prims = dag_primitives(F.col("dag"))
+    found = _issues(F.col, existing)
+    if primitives:
+        nested = F.filter(F.transform(primitives, lambda p: F.struct(F.coalesce(F.nullif(p["name"], F.lit("")), F.lit("unknown")).alias("name"), _issues(lambda c: p[c], existing).alias("found"))), lambda x: F.size(x["found"]) > 0)
+        first = F.get(nested, F.lit(0))
+        invalid = F.concat(F.lit("primitive_spec_invalid:"), first["name"], F.lit(":"), F.array_join(first["found"], ","))
+        found = F.when(F.col("action") == "skip", found).otherwise(F.array_compact(F.concat(found, F.array(F.when(first.isNotNull(), invalid)))))
+    return found
+
+
+def _issues(of: Callable[[str], Column], existing: list[str]) -> Column:
+    prims = dag_primitives(of("dag"))
     known = F.array(*[F.lit(e) for e in existing]) if existing else F.array().cast("array<string>")
     absent = F.array_except(prims, known)
-    unspecified = F.array_except(absent, F.col("spec_names"))
-    has_prims = (F.col("kind") == "skill") & (F.size(prims) > 0)
-    goal = F.lower(F.concat_ws(" ", "need_summary", "goal", "name"))
+    unspecified = F.array_except(absent, of("spec_names"))
+    has_prims = (of("kind") == "skill") & (F.size(prims) > 0)
+    goal = F.lower(F.concat_ws(" ", of("need_summary"), of("goal"), of("name")))
     code = lambda when, text: F.when(F.coalesce(when, F.lit(False)), text if isinstance(text, Column) else F.lit(text))
     # the checks of tests stop at the first finding; missing tests count as one
-    broken = F.when(F.col("n_tests") == 0, F.lit("no_tests")).when(~F.col("external") & (F.col("n_tests_without_segments") > 0), F.lit("test_missing_segments")).when(F.col("n_bad_segments") > 0, F.lit("segment_missing_id_or_text"))
+    broken = F.when(of("n_tests") == 0, F.lit("no_tests")).when(~of("external") & (of("n_tests_without_segments") > 0), F.lit("test_missing_segments")).when(of("n_bad_segments") > 0, F.lit("segment_missing_id_or_text"))
     found = F.array_compact(F.array(
         broken,
-        code(~F.array_contains("test_statuses", "ok"), "no_ok_test"),
-        code((F.col("kind") == "skill") & (F.size("dag") == 0) & ~F.col("uses_controlled_llm"), "skill_without_dag_or_controlled_llm"),
-        code(has_prims & (F.size(absent) > 0) & (F.size("spec_names") == 0), "missing_primitive_specs"),
-        code(has_prims & (F.size("spec_names") > 0) & (F.size(unspecified) > 0), F.concat(F.lit("missing_primitive_specs_for:"), F.array_join(unspecified, ","))),
-        code(has_prims & F.col("stub_names").isNull(), "missing_primitive_stubs"),
-        code(has_prims & (F.size(F.array_except(prims, F.col("stub_names"))) > 0), "incomplete_primitive_stubs"),
-        code(~F.array_contains("outputs", "prov"), "outputs_missing_prov"),
+        code(~F.array_contains(of("test_statuses"), "ok"), "no_ok_test"),
+        code((of("kind") == "skill") & (F.size(of("dag")) == 0) & ~of("uses_controlled_llm"), "skill_without_dag_or_controlled_llm"),
+        code(has_prims & (F.size(absent) > 0) & (F.size(of("spec_names")) == 0), "missing_primitive_specs"),
+        code(has_prims & (F.size(of("spec_names")) > 0) & (F.size(unspecified) > 0), F.concat(F.lit("missing_primitive_specs_for:"), F.array_join(unspecified, ","))),
+        code(has_prims & of("stub_names").isNull(), "missing_primitive_stubs"),
+        code(has_prims & (F.size(F.array_except(prims, of("stub_names"))) > 0), "incomplete_primitive_stubs"),
+        code(~F.array_contains(of("outputs"), "prov"), "outputs_missing_prov"),
         code(contains_any(goal, VAGUE) & ~contains_any(goal, ACTIONS), "vague_goal_or_summary"),
     ))
-    return F.when(F.col("action") == "skip", F.array().cast("array<string>")).otherwise(found)
+    return F.when(of("action") == "skip", F.array().cast("array<string>")).otherwise(found)
+
+
+#: A payload as it is proposed; nested primitives have no primitives of their own.
+_PRIMITIVE = f"action:string,skip_reason:string,kind:string,candidate_kind:string,name:string,label:string,need_summary:string,summary:string,spec:struct<goal:string,dag:array<{STEP}>>,tests:array<string>,dependencies:array<string>"
+PAYLOAD = f"struct<{_PRIMITIVE},primitive_specs:array<struct<{_PRIMITIVE}>>>"
+
+
+def _normal(p: Column, fallback: Column, kind: Column | None = None) -> list[Column]:
+    text = lambda *names: F.coalesce(*[F.nullif(p[n], F.lit("")) for n in names])
+    one_of = lambda c, names: F.when(c.isin(*names), c).otherwise(F.lit(names[0]))
+    own = one_of(F.lower(F.trim(F.coalesce(text("kind", "candidate_kind"), F.lit("")))), ("primitive", "skill"))
+    spec = p["spec"]
+    # a skill without a graph has an empty one; other kinds may have none
+    dag = F.coalesce(spec["dag"], F.when(own == "skill", F.array().cast(f"array<{STEP}>")))
+    return [
+        one_of(F.lower(F.trim(F.coalesce(p["action"], F.lit("")))), ("accept", "skip")).alias("action"),
+        F.coalesce(p["skip_reason"], F.lit("")).alias("skip_reason"),
+        (own if kind is None else kind).alias("kind"),
+        F.coalesce(text("name", "label"), fallback).alias("name"),
+        F.coalesce(text("need_summary", "summary"), F.lit("")).alias("need_summary"),
+        F.struct(spec["goal"].alias("goal"), dag.alias("dag")).alias("spec"),
+        F.coalesce(p["tests"], F.array().cast("array<string>")).alias("tests"),
+        F.filter(F.coalesce(p["dependencies"], F.array().cast("array<string>")), lambda d: F.coalesce(d, F.lit("")) != "").alias("dependencies"),
+    ]
+
+
+def normalized_spec(payload: Column, fallback: Column) -> Column:
+    """A proposed specification (struct PAYLOAD, or null) in its normal form.
+
+    Unknown actions become accept and unknown kinds primitive; name and summary may stand under their other keys, and a
+    missing name is the fallback, that of the nth nested specification being <name>_Primitive_<n>. Nested ones are
+    always primitives.
+    """
+    own = _normal(payload, fallback)
+    name = F.coalesce(F.nullif(payload["name"], F.lit("")), F.nullif(payload["label"], F.lit("")), fallback)
+    nested = F.coalesce(payload["primitive_specs"], F.array().cast(f"array<struct<{_PRIMITIVE}>>"))
+    made = F.transform(nested, lambda p, i: F.struct(*_normal(p, F.concat(name, F.lit("_Primitive_"), (i + 1).cast("string")), F.lit("primitive"))))
+    return F.struct(*own, made.alias("primitive_specs"))
+
+
+def test_totals(results, status: str = "status"):
+    """Passed, failed, timed out and all runs of a library's tests."""
+    each = [F.count_if(F.col(status) == s).alias(n) for s, n in (("pass", "passed"), ("fail", "failed"), ("timeout", "timed_out"))]
+    return results.agg(*each, F.count(F.lit(1)).alias("total"))
 
 
 @dataclass

@@ -128,6 +128,44 @@ def _spec(s, d):
     return t.select("p_partkey", F.array_join(specs.spec_issues(["Extract_Span"]), ";").alias("issues"))
 
 
+@query("p11_nested_specs", """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'primitive_spec_invalid:' || CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'P' END || ':no_tests,no_ok_test,outputs_missing_prov' ELSE '' END AS issues FROM part""")
+def _nested(s, d):
+    k = F.col("p_partkey")
+
+    def spec(name, tests, statuses, outputs):
+        none = F.array().cast("array<string>")
+        return F.struct(
+            F.lit("accept").alias("action"), F.lit("primitive").alias("kind"), name.alias("name"), F.lit("").alias("need_summary"), F.lit("find it").alias("goal"), F.lit(True).alias("external"), F.lit(False).alias("uses_controlled_llm"),
+            tests.cast("int").alias("n_tests"), statuses.alias("test_statuses"), F.lit(0).alias("n_tests_without_segments"), F.lit(0).alias("n_bad_segments"), F.array().cast(f"array<{specs.STEP}>").alias("dag"), outputs.alias("outputs"), none.alias("spec_names"), none.alias("stub_names"),
+        ).cast(specs.SPEC)
+
+    ok, prov, none = F.array(F.lit("ok")), F.array(F.lit("prov")), F.array().cast("array<string>")
+    good, odd = spec(F.lit("G"), F.lit(1), ok, prov), k % 2 == 1
+    other = spec(F.when(k % 3 == 0, "").otherwise("P"), F.when(odd, 0).otherwise(1), F.when(odd, none).otherwise(ok), F.when(odd, none).otherwise(prov))
+    t = view(s, d, "part").select("p_partkey", good.alias("g"), F.array(good, other).alias("primitives")).select("p_partkey", "g.*", "primitives")
+    return t.select("p_partkey", F.array_join(specs.spec_issues([], "primitives"), ";").alias("issues"))
+
+
+@query("p10_spec_normalise", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'skip' ELSE 'accept' END AS action, CASE p_partkey % 3 WHEN 0 THEN 'skill' ELSE 'primitive' END AS kind,
+  CASE WHEN p_partkey % 5 > 0 THEN 'N' || p_partkey WHEN p_partkey % 2 = 0 THEN 'L' || p_partkey ELSE 'F' || p_partkey END AS name,
+  CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS need_summary, CASE WHEN p_partkey % 3 = 0 THEN 0 END::INTEGER AS n_steps, 1::INTEGER AS n_dependencies,
+  CASE WHEN p_partkey % 5 > 0 THEN 'N' || p_partkey WHEN p_partkey % 2 = 0 THEN 'L' || p_partkey ELSE 'F' || p_partkey END || '_Primitive_1' AS first_nested, 'primitive' AS nested_kind, 2::INTEGER AS n_nested FROM part""")
+def _normalise(s, d):
+    payload = s.sql(
+        """SELECT p_partkey, to_json(named_struct(
+          'action', CASE p_partkey % 4 WHEN 0 THEN 'accept' WHEN 1 THEN ' SKIP ' WHEN 2 THEN 'maybe' END, 'kind', CASE p_partkey % 3 WHEN 1 THEN 'Primitive' WHEN 2 THEN 'other' END,
+          'candidate_kind', CASE p_partkey % 3 WHEN 0 THEN ' Skill' END, 'name', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('N', p_partkey) END, 'label', CASE WHEN p_partkey % 10 = 0 THEN concat('L', p_partkey) END,
+          'need_summary', CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN p_brand END, 'summary', CASE WHEN p_partkey % 7 > 0 THEN p_brand END, 'dependencies', array('numpy', '', NULL),
+          'primitive_specs', array(named_struct('kind', 'skill', 'name', ''), named_struct('kind', 'skill', 'name', 'own')))) AS payload FROM {part}""",
+        part=view(s, d, "part"),
+    )
+    out = payload.select("p_partkey", specs.normalized_spec(F.from_json("payload", specs.PAYLOAD), F.concat(F.lit("F"), F.col("p_partkey").cast("string"))).alias("x"))
+    first = F.get("x.primitive_specs", F.lit(0))
+    return out.select("p_partkey", "x.action", "x.kind", "x.name", "x.need_summary", F.when(F.col("x.spec.dag").isNotNull(), F.size("x.spec.dag")).alias("n_steps"), F.size("x.dependencies").alias("n_dependencies"), first["name"].alias("first_nested"), first["kind"].alias("nested_kind"), F.size("x.primitive_specs").alias("n_nested"))
+
+
 @query("p12_dag_primitives", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'A,' || p_brand ELSE p_brand END AS primitives FROM part")
 def _dag(s, d):
     step = lambda t, n, p: F.struct(F.lit(t).alias("type"), n.alias("name"), p.alias("primitive"))
@@ -270,7 +308,9 @@ def _reps(s, d):
     return cluster.representatives(cluster.with_group_key(view(s, d, "documents").select("doc_id", "text")), ["group_key"], "text", "doc_id")
 
 
-@query("g05_more_representatives")
+@query("g05_more_representatives", f"""
+WITH k AS ({KEYED}), t AS (SELECT group_key, count(*) AS size, arg_min(doc_id, (-length(text), doc_id)) AS top FROM k GROUP BY group_key)
+SELECT group_key, size, doc_id, text, rank FROM (SELECT k.group_key, size, doc_id, text, row_number() OVER (PARTITION BY k.group_key ORDER BY doc_id <> top, md5(doc_id || ':42'), doc_id)::INTEGER AS rank FROM k JOIN t USING (group_key)) WHERE rank <= 3""")
 def _reps3(s, d):
     return cluster.representatives(cluster.with_group_key(view(s, d, "documents").select("doc_id", "text")), ["group_key"], "text", "doc_id", 3)
 
@@ -300,7 +340,21 @@ def _assign(s, d):
 
 @query("g09_kmeans")
 def _kmeans(s, d):
-    return cluster.kmeans(view(s, d, "embeddings"), "embedding", cluster_count(500)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    e = view(s, d, "embeddings")
+    return cluster.kmeans(e, "embedding", cluster_count(e.count())).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query("g09_kmeans_scoped", "SELECT label, count(*) AS size FROM embeddings GROUP BY label")
+def _kmeans_scoped(s, d):
+    """Sizes of the scopes, summed over their clusters."""
+    out = cluster.kmeans_scoped(view(s, d, "embeddings"), "label", "embedding", "vec_id", 3, max_iter=4)
+    return out.groupBy("label", "cluster_id").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.sum("n").alias("size"))
+
+
+@query("g10_kmeans_minibatch")
+def _kmeans_minibatch(s, d):
+    e = view(s, d, "embeddings")
+    return cluster.kmeans_minibatch(e, "embedding", "vec_id", cluster_count(e.count()), max_iter=10).groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
 
 
 def cluster_count(n):
@@ -323,7 +377,7 @@ def _scoped(s, d):
     return cluster.cluster_sizes(cluster.with_group_key(view(s, d, "documents")), ["source", "group_key"])
 
 
-@query("g14_samples")
+@query("g14_samples", "SELECT * FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id)::INTEGER AS rank FROM embeddings) WHERE rank <= 6")
 def _samples(s, d):
     return cluster.samples(view(s, d, "embeddings").select("vec_id", "label"), ["label"], "vec_id")
 
@@ -338,7 +392,7 @@ def _top(s, d):
     return cluster.largest(cluster.cluster_sizes(cluster.with_group_key(view(s, d, "documents")), ["group_key"]), ["group_key"])
 
 
-@query("g17_row_sample")
+@query("g17_row_sample", "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 50")
 def _sample(s, d):
     return cluster.row_sample(view(s, d, "documents").select("doc_id", "lang"), "doc_id", 50)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..plans import corpus_stats, grounding, retrieval
+from ..operators import cluster
+from ..plans import corpus_stats, grounding, retrieval, specs
+from ..sources import readers
 from ..views import view
 
 QUERIES, ORACLES = {}, {}
@@ -95,11 +97,14 @@ def _a05(s, d):
     return corpus_stats.status_counts(view(s, d, "moves"))
 
 
-@query("j01_issue_assignment", "SELECT a.act_id, coalesce(a.issue_id, b.issue_id) AS issue_id FROM acts a LEFT JOIN (SELECT forum_id, arg_max(issue_id, pos) AS issue_id FROM acts GROUP BY forum_id) b USING (forum_id)")
+@query("j01_issue_assignment", """
+WITH g AS (SELECT act_id, arg_max(issue_id, n) AS issue_id FROM (SELECT act_id, 'first' AS issue_id, 0 AS n FROM acts WHERE act_index % 2 = 1 UNION ALL SELECT act_id, 'given_' || act_index, 1 FROM acts WHERE act_index % 4 = 1) GROUP BY act_id)
+SELECT a.act_id, coalesce(a.issue_id, g.issue_id) AS issue_id FROM acts a LEFT JOIN g USING (act_id)""")
 def _j01(s, d):
+    """An act without an issue takes that of its own assignment, the last one given."""
     a = view(s, d, "acts")
-    last = a.filter("issue_id is not null").groupBy("forum_id").agg(F.max_by("issue_id", "pos").alias("other"))
-    return a.select("act_id", "forum_id", "issue_id").join(last, "forum_id", "left").select("act_id", F.coalesce("issue_id", "other").alias("issue_id"))
+    given = a.filter("act_index % 2 = 1").select("act_id", F.lit("first").alias("issue_id"), F.lit(0).alias("pos")).unionAll(a.filter("act_index % 4 = 1").select("act_id", F.concat(F.lit("given_"), F.col("act_index").cast("string")), F.lit(1)))
+    return readers.assigned_issues(a.select("act_id", "issue_id"), given)
 
 
 @query("j07_missing_expected", "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -128,6 +133,23 @@ def _w06(s, d):
     return view(s, d, "acts").select("act_id", F.count(F.lit(1)).over(w).alias("n_recent"))
 
 
+@query("w06_label_memory", "SELECT forum_id, act_id, arg_min(act_id, act_index) OVER (PARTITION BY forum_id, issue_id) AS taken, act_index > min(act_index) OVER (PARTITION BY forum_id, issue_id) AS reused FROM acts WHERE issue_id IS NOT NULL")
+def _w06_memory(s, d):
+    """A forum has fewer issues than the memory of 50, so a label takes its first act."""
+    return cluster.label_memory(view(s, d, "acts").filter("issue_id is not null"), "forum_id", "act_index", "act_id", "issue_id")
+
+
+@query("a08_test_totals", "SELECT count(*) FILTER (WHERE status = 'ok') AS passed, count(*) FILTER (WHERE status = 'fail') AS failed, count(*) FILTER (WHERE status = 'missing') AS timed_out, count(*) AS total FROM moves")
+def _a08(s, d):
+    named = F.when(F.col("status") == "ok", "pass").when(F.col("status") == "missing", "timeout").otherwise(F.col("status"))
+    return specs.test_totals(view(s, d, "moves").select(named.alias("status")))
+
+
+@query("p22_intents", "SELECT intent, min(event_id) AS first FROM moves GROUP BY intent")
+def _p22(s, d):
+    return readers.intents(view(s, d, "moves").select("intent", F.col("event_id").alias("pos")))
+
+
 @query("set_union_prov", "SELECT ctx, array_to_string(list_sort(list_distinct(list(id))), ',') AS prov FROM (SELECT ctx, id FROM papers WHERE contains(text, 'Net') UNION ALL SELECT ctx, id FROM papers WHERE contains(text, 'Baseline')) GROUP BY ctx")
 def _union(s, d):
     p = view(s, d, "papers")
@@ -158,7 +180,7 @@ def _appendix(s, d):
 
 @query("d02_bm25", """
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM docs),
-q AS (SELECT item_id, list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 8)) AS w FROM benchmark), qt AS (SELECT item_id, unnest(w) AS t FROM q),
+q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), qt AS (SELECT item_id, unnest(w) AS t FROM q),
 tf AS (SELECT doc_id, t, len, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t, len(w) AS len FROM docs) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 5) AS score FROM qt JOIN tf USING (t) JOIN df USING (t) CROSS JOIN n GROUP BY item_id, doc_id)

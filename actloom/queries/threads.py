@@ -107,13 +107,17 @@ def _pool(s, d):
 
 
 @query("t_schedule", f"""
-SELECT issue_id, row_number() OVER (ORDER BY CASE phase WHEN 'Open' THEN 3 WHEN 'EvidencePending' THEN 2 ELSE 1 END DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, pos)::INTEGER AS rank
-FROM ({_POOL.replace('{events}', 'events')}) WHERE phase <> 'Closed' AND budget > 0 ORDER BY rank LIMIT 50""")
+SELECT issue_id, row_number() OVER (ORDER BY CASE phase WHEN 'Open' THEN 3 WHEN 'EvidencePending' THEN 2 ELSE 1 END DESC, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, pos) AS rank
+FROM ({_POOL.replace('{events}', 'events')}) WHERE phase <> 'Closed' AND budget > 0""")
 def _schedule(s, d):
-    top = arena.schedule(_pool(s, d)).limit(50)
-    phase = F.when(F.col("phase") == "Open", 3).when(F.col("phase") == "EvidencePending", 2).otherwise(1)
-    severity = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    return top.select("issue_id", F.row_number().over(Window.orderBy(phase.desc(), severity.desc(), "pos")).alias("rank"))
+    return arena.scheduled(_pool(s, d)).select("issue_id", "rank")
+
+
+@query("t08_fixed_rounds", f"""
+SELECT issue_id, CASE WHEN severity = 'high' THEN 'Closed' ELSE 'Negotiation' END AS phase, CASE WHEN severity = 'high' THEN 1 ELSE 0 END AS observations, 1 AS requests, CASE WHEN severity = 'high' THEN 0 ELSE 1 END AS commitments
+FROM ({_POOL.replace('{events}', 'events')})""")
+def _fixed(s, d):
+    return arena.fixed_rounds(_pool(s, d).select("issue_id", F.when(F.col("severity") == "high", "ok").otherwise("missing").alias("status")), "issue_id")
 
 
 @query("j05_round_selection", f"SELECT issue_id FROM ({_POOL.replace('{events}', 'events')}) WHERE phase <> 'Closed' AND budget > 0 AND severity = 'high' ORDER BY pos LIMIT 10")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import files
+
 CALL = "struct<operation:string,tool:string,name:string,target_type:string>"
 MINING = f"""forum_id string, forum string, title string, timestamp double,
   analysis struct<mining_results:array<struct<role:string,strategic_intent:string,action:string,grounding_ref:string,
@@ -48,6 +50,56 @@ def read_context_segments(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.schema(SEGMENTS).json(pattern).select(F.url_decode(name).alias("ctx"), "id", "text")
 
 
+def read_contexts(spark: SparkSession, path: str) -> DataFrame:
+    """Contexts as the writer lays them out, one folder of JSON lines a forum: (ctx, id, text)."""
+    rows = spark.read.schema(SEGMENTS + ", forum_id string").option("inferSchema", False).json(path)
+    return rows.select(F.col("forum_id").alias("ctx"), "id", "text")
+
+
+def acts_or_mining(spark: SparkSession, acts_path: str | None, mining_path: str) -> DataFrame:
+    """Acts from their file if it is there, else flattened from the mining records; ``first`` grows with the file's order.
+
+    Mined acts of a record without a forum have no id. Gives act_id, forum_id, title, timestamp, role, intent, action,
+    source_seg_ids, pos.
+    """
+    fs, target = files(spark, acts_path or mining_path)
+    if acts_path and (fs.exists(target) or fs.globStatus(target)):
+        acts = in_file_order(read_records(spark, acts_path, ACTS + ", forum string"))
+        forum = F.coalesce(F.nullif("forum_id", F.lit("")), F.nullif("forum", F.lit("")))
+        return acts.select("act_id", forum.alias("forum_id"), "title", "timestamp", "role", "intent", "action", F.coalesce("source_seg_ids", F.array().cast("array<string>")).alias("source_seg_ids"), "pos")
+    records = in_file_order(read_records(spark, mining_path, MINING))
+    forum = F.coalesce(F.nullif("forum_id", F.lit("")), F.nullif("forum", F.lit("")))
+    rows = records.select(forum.alias("forum_id"), "title", "timestamp", "pos", F.posexplode("analysis.mining_results").alias("i", "x"))
+    return rows.select(
+        F.when(F.col("forum_id").isNotNull(), F.format_string("%s#%04d", "forum_id", "i")).alias("act_id"), "forum_id", "title", "timestamp",
+        F.col("x.role").alias("role"), F.col("x.strategic_intent").alias("intent"), F.col("x.action").alias("action"), F.coalesce("x.source_seg_ids", F.array().cast("array<string>")).alias("source_seg_ids"), "pos",
+    )
+
+
+#: Intents where no list is given. Fixed values.
+INTENTS = ("Request_Evidence", "Clarify", "Respond", "Close_Issue")
+
+
+def intents(records: DataFrame, pos: str = "pos") -> DataFrame:
+    """(intent, first): distinct labels in the order in which they first appear; the fixed ones if there are none."""
+    fixed = "(VALUES " + ", ".join(f"('{x}', {i}L)" for i, x in enumerate(INTENTS)) + ") AS t(intent, first)"
+    label = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("label", "intent") if c in records.columns])
+    found = records.select(label.alias("intent"), pos).filter("intent is not null").groupBy("intent").agg(F.min(pos).alias("first"))
+    default = records.sparkSession.sql(f"SELECT * FROM {fixed}")
+    none = found.limit(1).agg(F.count(F.lit(1)).alias("n"))
+    return found.unionAll(default.crossJoin(none).filter("n = 0").drop("n"))
+
+
+def demo_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(ctx, text, images) of a folder of papers: each one's first markdown file and its number of images."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    folder = lambda depth: F.element_at(F.split("path", "/"), -depth)
+    text = listed.option("pathGlobFilter", "*.[mM][dD]").load(root).select(folder(2).alias("ctx"), "path", F.decode("content", "UTF-8").alias("text"))
+    first = text.groupBy("ctx").agg(F.min_by("text", "path").alias("text"))
+    images = listed.option("pathGlobFilter", "*.{png,jpg,jpeg,svg,webp,PNG,JPG,JPEG}").load(root).filter(folder(2) == "images").select(folder(3).alias("ctx"))
+    return first.join(images.groupBy("ctx").agg(F.count(F.lit(1)).alias("images")), "ctx", "left").select("ctx", "text", F.coalesce("images", F.lit(0)).alias("images"))
+
+
 def resolve_contexts(threads: DataFrame, *candidates: DataFrame) -> DataFrame:
     """Each thread's segments from the first candidate (ctx, segments) that has them; an empty array otherwise."""
     out, names = threads, []
@@ -82,6 +134,12 @@ def last_wins(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), pos).alias("r")).select(key, "r.*")
 
 
+def assigned_issues(acts: DataFrame, assignments: DataFrame, pos: str = "pos") -> DataFrame:
+    """(act_id, issue_id): the act's own issue, else that of its last assignment (act_id, issue_id)."""
+    given = last_wins(assignments.filter("coalesce(issue_id, '') <> ''").select("act_id", F.col("issue_id").alias("__given"), pos), "act_id", pos)
+    return acts.join(given, "act_id", "left").select("act_id", F.coalesce(F.nullif("issue_id", F.lit("")), "__given").alias("issue_id"))
+
+
 def first_wins(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     rest = [c for c in df.columns if c not in (key, pos)]
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), pos).alias("r")).select(key, "r.*")

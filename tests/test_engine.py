@@ -251,8 +251,10 @@ def test_registry():
 
 
 def test_label_memory_and_samples(spark):
-    assert cluster.reuse_labels([("1", "a"), ("2", "b"), ("3", "a")]) == [("1", "1", False), ("2", "2", False), ("3", "1", True)]
-    assert cluster.reuse_labels([("1", "a"), ("2", "b"), ("3", "a")], 1)[2] == ("3", "3", False)
+    labels = spark.createDataFrame([("s", 1, "1", "a"), ("s", 2, "2", "b"), ("s", 3, "3", "a"), ("t", 9, "4", "a")], "s string, n int, c string, l string")
+    taken = lambda memory: {r.c: (r.taken, r.reused) for r in cluster.label_memory(labels, "s", "n", "c", "l", memory).collect()}
+    assert taken(50) == {"1": ("1", False), "2": ("2", False), "3": ("1", True), "4": ("4", False)}
+    assert taken(1)["3"] == ("3", False)
     rows = spark.range(50).withColumn("k", F.lit(1))
     assert cluster.samples(rows, ["k"], "id", 6).count() == 6 and cluster.row_sample(rows, "id", 5).count() == 5
     assert cluster.normalized(F.array(F.lit(0.0))) is not None
@@ -284,3 +286,50 @@ def test_runs_with_and_without_a_round_limit(spark):
     few = arena.run_rounds(threads, 7, per_round=2)
     by_round = {r["round"]: r.ids for r in few.groupBy("round").agg(F.array_sort(F.collect_list("issue_id")).alias("ids")).collect()}
     assert by_round == {**{i: ["i0", "i1"] for i in range(6)}, 6: ["i2", "i3"]}
+
+
+def test_scoped_and_minibatch_kmeans(spark):
+    """Two tight clouds in each scope, and in all: members of a cloud share a cluster."""
+    rows = [(i, "s" if i % 2 else "t", [float(i % 4 // 2) * 50 + i * 0.01, float(i % 2)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, scope string, v array<double>").repartition(3)
+    out = cluster.kmeans_scoped(df, "scope", "v", "id", 2).collect()
+    for scope in "st":
+        clouds = {(r.id % 4 // 2, r.cluster_id) for r in out if r.scope == scope}
+        assert len(out) == 80 and len(clouds) == 2 and {c for _, c in clouds} == {0, 1}
+    one = cluster.kmeans_scoped(df, "scope", "v", "id", 100, max_iter=1)
+    assert one.groupBy("scope", "cluster_id").count().filter("count > 1").count() == 0
+    mini = {r.id: r.cid for r in cluster.kmeans_minibatch(df, "v", "id", 2, batch=40).collect()}
+    assert len({(i % 4 // 2, c) for i, c in mini.items()}) == 2
+
+
+def test_assignment_in_blocks_of_centers(spark):
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "id long, v array<double>")
+    centers = spark.createDataFrame([(c, [float(c)]) for c in range(0, 40, 3)], "cid long, centroid array<double>")
+    whole, blocks = (sorted(map(tuple, cluster.assign(vectors, centers, "id", "v", most=m).collect())) for m in (100, 4))
+    assert whole == blocks and all(cid == min(range(0, 40, 3), key=lambda c: (abs(c - i), c)) for i, cid, _ in whole)
+
+
+def test_numbers_over_range_partitions(spark):
+    from actloom.plans.numbering import numbered
+
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), [F.col("b").desc(), F.col("a")]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.n)] == sorted(rows, key=lambda r: (-r[1], r[0])) and sorted(r.n for r in got) == list(range(1, 1001))
+
+
+def test_reports_do_not_cut_rows(spark):
+    from actloom.sources.sinks import latex_rows
+
+    df = spark.range(3).select("id", F.lit(None).cast("string").alias("x"))
+    assert latex_rows(df.orderBy("id"), ["id", "x"]) == "\n".join(f"{i} & -- \\\\" for i in range(3))
+    with pytest.raises(ValueError):
+        latex_rows(df, ["id"], most=2)
+
+
+def test_fixed_intents_where_none_are_given(spark):
+    from actloom.sources.readers import INTENTS, intents
+
+    empty = spark.createDataFrame([], "label string, intent string, pos long")
+    assert [r.intent for r in intents(empty).orderBy("first").collect()] == list(INTENTS)
+    some = spark.createDataFrame([("b", None, 2), ("", "a", 1), ("b", "c", 0), (None, None, 3)], empty.schema)
+    assert [r.intent for r in intents(some).orderBy("first").collect()] == ["b", "a"]
