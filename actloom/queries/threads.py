@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans import arena, grounding
-from ..streaming.ledger import windowed_status
+from ..sources.scratch import scratch
+from ..streaming.ledger import ledgers, windowed_status
 from ..views import view
 from .acts import ROUTED
 
@@ -44,6 +45,19 @@ def _ledger(s, d):
     return _states(s, d)
 
 
+@query("t04_streamed_ledger", f"WITH {_REPLAY.strip()} {_FINAL}")
+def _streamed(s, d):
+    """The stateful operator over the moves as a stream: the last state of each thread."""
+    source, out, check = (scratch(s, n) for n in ("moves", "states", "progress"))
+    view(s, d, "moves").write.parquet(source)
+    stream = ledgers(s.readStream.schema(s.read.parquet(source).schema).parquet(source), order=["ts", "event_id"])
+    keep = lambda states, number: states.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+    stream.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    states = s.read.parquet(out)
+    rest = [c for c in states.columns if c not in ("thread_id", "batch")]
+    return states.groupBy("thread_id").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select("thread_id", "x.*")
+
+
 @query("t03_next_role", f"WITH {_REPLAY.strip()} SELECT thread_id, CASE WHEN phase = 'Negotiation' AND coalesce(last_role, '') <> 'Author' THEN 'Author' ELSE 'Reviewer' END AS next_role FROM ({_FINAL})")
 def _next(s, d):
     return _states(s, d).select("thread_id", arena.next_role(F.col("phase"), F.col("last_role")).alias("next_role"))
