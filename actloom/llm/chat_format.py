@@ -84,8 +84,8 @@ def answer_pairs(conversations: DataFrame) -> DataFrame:
 
     Chosen is the conversation itself. Rejected is the same up to its last assistant turn, which is
     replaced by the last assistant turn of the neighbouring conversation (ids 2k and 2k + 1) and ends it.
-    Conversations without an assistant turn, or whose neighbour has none, make no pair. Both neighbours come
-    together in one shuffle.
+    Conversations without an assistant turn, or whose neighbour has none, make no pair, nor do two equal answers, which
+    prefer nothing. Both neighbours come together in one shuffle.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").filter("conv_id is not null")
     turn = F.struct(F.col("conv_id").bitwiseAND(1).alias("odd"), *[_turn()[k].alias(k) for k in ("turn", "role", "text")])
@@ -98,7 +98,7 @@ def answer_pairs(conversations: DataFrame) -> DataFrame:
         swapped = F.struct(last["turn"].alias("turn"), F.lit(TRAINED).alias("role"), answer["text"].alias("text"))
         kept = _before(own, last["turn"])
         pair = F.struct((F.shiftleft("k", 1) + odd).alias("pair_id"), own.alias("chosen_turns"), F.concat(kept, F.array(swapped)).cast(_TURNS).alias("rejected_turns"))
-        made.append(F.when(last.isNotNull() & answer.isNotNull(), pair))
+        made.append(F.when(last.isNotNull() & answer.isNotNull() & (last["text"] != answer["text"]), pair))
     return met.select(F.explode(F.array_compact(F.array(*made))).alias("p")).select("p.*")
 
 
@@ -121,7 +121,7 @@ SQL = {
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 answers AS (
   SELECT conv_id, max(turn) AS last, arg_max(text, (turn, text)) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id),
-known AS (SELECT a.conv_id, a.last, b.answer FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)),
+known AS (SELECT a.conv_id, a.last, b.answer FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1) WHERE coalesce(a.answer, '') <> coalesce(b.answer, '')),
 turns AS (
   SELECT conv_id AS pair_id, true AS chosen, turn, role, text FROM t SEMI JOIN known USING (conv_id)
   UNION ALL SELECT t.conv_id, false, turn, role, text FROM t JOIN known USING (conv_id) WHERE turn < last

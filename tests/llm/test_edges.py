@@ -85,6 +85,14 @@ def test_chat_edges(spark):
     assert preference_format(gather_turns(spark.createDataFrame([], same.schema))).collect() == []
 
 
+def test_equal_answers_make_no_pair_and_long_turns_stay_whole(spark):
+    long = "a long turn " * (10 << 20 >> 3)
+    turns = [(2, 0, "user", "q"), (2, 1, "assistant", "same"), (3, 0, "user", "p"), (3, 1, "assistant", "same"), (4, 0, "user", "q"), (4, 1, "assistant", long), (5, 0, "user", "q"), (5, 1, "assistant", None)]
+    rows = {r.pair_id: r for r in preference_format(answer_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    assert set(rows) == {4, 5}
+    assert long in rows[4].chosen and rows[4].rejected == "<|assistant|>\n<|end|>\n" and rows[5].rejected == rows[4].chosen
+
+
 def test_spans_cover_the_assistant(spark):
     rows = [(1, True, 0, "user", "q"), (1, True, 1, "assistant", "good"), (1, True, 2, "user", "more"), (1, True, 3, "assistant", "fine"), (1, False, 0, "user", "q"), (1, False, 1, "assistant", "bad")]
     (r,) = preference_format(gather_turns(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string"))).collect()
