@@ -1,14 +1,17 @@
 """Near copies: candidates by SimHash links and MinHash bands, every one verified on the whole texts.
 
 Two texts are near copies if their sets of distinct 5-word shingles have a Jaccard similarity of 0.8 or more.
-Candidates are the SimHash links of simhash_dedup and, as these alone miss a fifth of the near copies, texts
+Candidates are the SimHash links of simhash_dedup and, as these alone miss a part of the near copies, texts
 that share one of BANDS bands of ROWS minima: a pair at exactly 0.8 shares none in 0.3 % of cases, one at 0.85 in
 0.004 %. Candidate links only form candidate groups, so a chance link costs time and never a document.
 
-In a candidate group all pairs of distinct texts count as candidates. A group is cut into bounded blocks whose
-pairs are dealt out to tasks; a task compares texts until they are known to be in one component and gives a
-spanning forest of the links that hold. Components are then found over these links only. Texts of the same words
-are one node, and texts without a candidate are never sent for verification.
+A candidate group is dealt to parts of bounded size. First each part compares its texts with one another and with
+the group's leader, which settles groups of one part, and all copies of a leader, in rows linear in the group. Where
+several components are left in a group of several parts, the texts outside its largest component, in blocks, meet
+all its texts, in blocks; texts of the largest one are not compared with one another again. A task compares texts until
+they are known to be in one component and gives a spanning forest of the links that hold. Components are then found
+over these links only. Texts of the same words are one node, and texts without a candidate are never sent for
+verification.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 from .components import components
-from .simhash_dedup import _LOWER, SEED, fingerprint, linked
+from .simhash_dedup import _LOWER, RADIUS, SEED, fingerprint, linked
 
 WORDS = 5
 ALIKE = (4, 5)  # similarity from which texts are near copies, as a fraction
@@ -80,8 +83,8 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "hi", "lo", "fp", "size", "bands"])
 
 
-def verified_forest(sets: list[np.ndarray], alike=ALIKE):
-    """Pairs (i, j) that span the links of ``sets``."""
+def verified_forest(sets: list[np.ndarray], alike=ALIKE, joined: int = 0):
+    """Pairs (i, j) that span the links of ``sets``, of which the first ``joined`` are known to be in one component."""
     n = len(sets)
     if n < 2:
         return []
@@ -92,7 +95,8 @@ def verified_forest(sets: list[np.ndarray], alike=ALIKE):
     most, of = alike
     edges, free = [], np.arange(n)
     while len(free):
-        ahead, free = [int(free[0])], free[1:]
+        first = max(1, joined) if not edges and len(free) == n else 1
+        ahead, free = free[:first].tolist(), free[first:]
         while ahead and len(free):
             p = ahead.pop()
             mine = number[starts[p] : starts[p + 1]]
@@ -119,22 +123,24 @@ def _verify(batches):
     """Rows (root, i, j, node, body) sorted by (root, i, j): one pair of blocks after the other."""
     import pyarrow as pa
 
-    now, held = None, {}
+    now, held, core = None, {}, set()
 
     def done():
-        nodes = list(held)
-        edges = np.array(verified_forest([held[x] for x in nodes]), np.int64).reshape(-1, 2)
+        nodes = sorted(held, key=lambda x: (x not in core, x))
+        edges = np.array(verified_forest([held[x] for x in nodes], joined=len(core)), np.int64).reshape(-1, 2)
         ids = np.array(nodes, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], names=["u", "v"])
 
     for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in ("root", "i", "j", "node", "body")]
-        for root, i, j, node, body in zip(*cols, strict=True):
+        cols = [batch.column(n).to_pylist() for n in ("root", "i", "j", "node", "body", "core")]
+        for root, i, j, node, body, joined in zip(*cols, strict=True):
             if (root, i, j) != now:
                 if held:
                     yield done()
-                now, held = (root, i, j), {}
+                now, held, core = (root, i, j), {}, set()
             held[node] = shingles(body)
+            if joined:
+                core.add(node)
     if held:
         yield done()
 
@@ -149,13 +155,59 @@ def candidate_groups(nodes: DataFrame, radius: int) -> DataFrame:
     shared = values.join(firsts, "value").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     roots = components(links.unionAll(shared))
     grouped = table(nodes.select("node", "size").join(roots, "node").select("node", "size", "root"), "grouped")
-    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1))
-    sizes = table(sizes.select("root", F.least(blocks, F.col("n")).cast("int").alias("blocks")), "blocks")
-    return grouped.join(sizes, "root").select("node", "root", "blocks")
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("leader")).filter("n > 1")
+    sizes = table(sizes.select("root", "leader", _blocks("n", "bytes").alias("blocks")), "blocks")
+    return grouped.join(sizes, "root").select("node", "size", "root", "blocks", "leader")
 
 
-def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7) -> DataFrame:
+def _blocks(n: str, size: str):
+    return F.least(F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+
+def _block(count: str):
+    return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+
+
+def _compared(dealt: DataFrame) -> DataFrame:
+    """Verified edges of rows (root, i, j, node, body, core), a task's texts at a time."""
+    keys = ("root", "i", "j")
+    return table(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify, "u long, v long"), "verified")
+
+
+def verified_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u, v) that span the links of candidate groups (node, size, root, blocks, leader, rid); texts are (rid, body)."""
+    no = F.lit(False).alias("core")
+    own = members.select("root", _block("blocks").alias("i"), "node", "rid")
+    # the leader goes to every part of its group: a row a part
+    lead = members.filter("node = leader and blocks > 1").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "node", "rid")
+    parts = own.unionAll(lead).distinct().select("root", "i", F.col("i").alias("j"), "node", "rid", no)
+    first = _compared(parts.join(texts, "rid"))
+
+    # groups of several parts in which several components are left
+    large = members.filter("blocks > 1").select("node", "size", "root", "rid")
+    named = table(_named(large, first), "named")
+    parts = named.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    core = parts.groupBy("root").agg(F.max(F.struct("n", "bytes", "part")).alias("c"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    core = core.select("root", F.col("c.part").alias("core_part"), F.col("c.n").alias("core_n"), F.col("c.bytes").alias("core_bytes"), (F.col("n") - F.col("c.n")).alias("rest_n"), (F.col("bytes") - F.col("c.bytes")).alias("rest_bytes"))
+    core = table(core.select("root", "core_part", _blocks("core_n", "core_bytes").alias("a"), _blocks("rest_n", "rest_bytes").alias("b")), "cores")
+    left = named.join(core, "root").withColumn("core", F.col("part") == F.col("core_part"))
+    # blocks 0 to a - 1 hold the largest component, a to a + b - 1 the rest; a block of the rest meets every block
+    mine = F.when(F.col("core"), _block("a")).otherwise(F.col("a") + _block("b"))
+    rest = F.sequence(F.col("a"), F.col("a") + F.col("b") - 1)
+    every = F.sequence(F.lit(0), F.col("a") + F.col("b") - 1)
+    meets = F.when(F.col("core"), rest).otherwise(F.filter(every, lambda x: x != F.col("mine")))
+    left = left.withColumn("mine", mine).withColumn("other", F.explode(meets))
+    pairs = left.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "rid", "core")
+    return first.unionAll(_compared(pairs.join(texts, "rid")))
+
+
+def _named(large: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with the component that ``edges`` put them in."""
+    found = components(edges).select("node", F.col("root").alias("part"))
+    return large.join(found, "node", "left").select("node", "size", "root", "rid", F.coalesce("part", "node").alias("part"))
+
+
+def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies.
 
     That is the row with the smallest id, null ids last; rows of one id and equal words are copies like any
@@ -172,16 +224,9 @@ def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     lows = scanned.groupBy("hi", "lo").agg(F.min(place).alias("best")).select("best", F.col("best.rid").alias("rid"))
     nodes = table(lows.join(scanned.drop("id", "hi", "lo"), "rid").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = candidate_groups(nodes, radius).join(nodes.select("node", "rid"), "node")
+    members = table(candidate_groups(nodes, radius).join(nodes.select("node", "rid"), "node"), "members")
     texts = src.select(F.col("__rid").alias("rid"), body.alias("body"))
-    dealt = members.join(texts, "rid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
-    dealt = dealt.withColumn("other", F.explode(others))
-    # every two blocks meet; pairs inside a block are compared wherever it is
-    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "body")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    edges = dealt.mapInArrow(_verify, "u long, v long")
-    roots = components(edges)
+    roots = components(verified_links(members, texts))
     named = nodes.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     keep = table(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__rid")), "keep")
     return src.join(keep, "__rid", "left_semi").select(*docs.columns)

@@ -58,10 +58,26 @@ def test_links_are_those_of_brute_force(spark, monkeypatch):
     rows = made()
     want = sorted((min((rows[i][0], rows[i][1]) for i in g) for g in groups(rows)), key=str)
     assert stay(spark, rows) == want
-    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 3)  # groups cut into blocks give the same rows
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 3)  # groups cut into parts and blocks give the same rows
     assert stay(spark, rows) == want
 
 
+def test_one_group_of_many_parts_and_components(spark, monkeypatch):
+    """All texts are candidates of each other; parts, leader, largest component and rest find what brute force finds."""
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 7)
+    rng = random.Random(12)
+    big = " ".join(f"w{rng.randrange(900)}" for _ in range(80))
+    chain = [big]
+    for _ in range(12):  # each is like the one before it, few are like the first
+        chain.append(edited(rng, chain[-1], 1))
+    rows = list(enumerate(chain + [edited(rng, big, 1) for _ in range(60)] + [t for _, t in made()[:60]]))
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "rid long, body binary")
+    members = spark.createDataFrame([(i, len(t), -1, -(-len(rows) // 7), 0, i) for i, t in rows], "node long, size long, root long, blocks int, leader long, rid long")
+    found = {r.node: r.root for r in near_copies.components(near_copies.verified_links(members, texts)).collect()}
+    want = {i: min(g) for g in groups(rows) for i in g}
+    assert {i: found.get(i, i) for i, _ in rows} == want
+
+
 def test_chance_prints_lose_no_document(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(" ".join(f"u{i}x{k}" for k in range(80)) for i in range(12))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -83,6 +99,8 @@ def test_the_forest_spans_the_links():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4], [2, 3, 4, 5], [9], [], [], [9])]
     assert len(verified_forest(sets)) == 3
     assert verified_forest([]) == []
+    known = [np.array(x, np.uint64) for x in ([1, 2], [8, 9], [1, 2, 3, 4, 5], [1, 2, 3, 4], [8, 9, 10, 11, 12])]
+    assert verified_forest(known, joined=2) == [(3, 2)]  # the first two are joined, and nothing is compared with itself
 
 
 def test_an_empty_table(spark):
