@@ -82,3 +82,13 @@ def test_a_stage_takes_an_empty_table_and_odd_rows(spark, sf_dir, stage):
 def test_run_gives_the_same_rows(spark, sf_dir, stages):
     got = Counter(map(str, corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").collect()))
     assert got == Counter(map(str, stages[5].select("doc_id", "n_tokens").collect()))
+
+
+def test_recall_and_precision_of_near_copies(spark):
+    """Against all pairs of sf0.01: every near copy goes, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {min(rows[i][0] for i in g) for g in groups(rows)}
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    copies = len(rows) - len(want)
+    assert len(got - want) <= 0.02 * copies and not want - got
