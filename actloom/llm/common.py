@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from itertools import repeat
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +87,39 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(col):
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+PIECE = 1 << 20  # bytes of a long text that are worked on at once
+_BLANK = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def word_pieces(body: bytes):
+    """The words of a text, as lists of those of about PIECE bytes, so that a long text is never split at once."""
+    begin = 0
+    while begin < len(body):
+        stop = begin + PIECE
+        blank = _BLANK.search(body, stop) if stop < len(body) else None
+        stop = blank.start() if blank else len(body)
+        if words := body[begin:stop].split():
+            yield words
+        begin = stop
+
+
+def shingle_hashes(words_of_pieces, shingle: int, seed: int):
+    """XXH64 of each run of ``shingle`` words, joined by spaces, as arrays; of all words if there are fewer."""
+    import xxhash
+
+    carry, some = [], False
+    for words in words_of_pieces:
+        words = carry + words
+        n = len(words) - shingle + 1
+        if n > 0:
+            text = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            parts = map(text.__getitem__, map(slice, starts[:n].tolist(), ends[shingle - 1 :].tolist()))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, n)
+            some = True
+        carry = words[len(words) - shingle + 1 :] if n > 0 and shingle > 1 else [] if n > 0 else words
+    if not some and carry:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), seed)], np.uint64)

@@ -16,13 +16,11 @@ verification.
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import shingle_hashes, small_batches, table, word_pieces
 from .components import components
 from .simhash_dedup import _LOWER, RADIUS, SEED, fingerprint, linked
 
@@ -35,19 +33,8 @@ _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=
 
 def shingles(body: bytes) -> np.ndarray:
     """Distinct XXH64 of the 5-word shingles, sorted; of all words if there are fewer; none without words."""
-    import xxhash
-
-    words = body.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    text = b" ".join(words)
-    if len(words) <= WORDS:
-        return np.array([xxhash.xxh64_intdigest(text, SEED)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    parts = map(text.__getitem__, map(slice, starts[: 1 - WORDS].tolist(), ends[WORDS - 1 :].tolist()))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(words) - WORDS + 1))
+    found = [np.zeros(0, np.uint64), *(np.unique(h) for h in shingle_hashes(word_pieces(body.translate(_LOWER)), WORDS, SEED))]
+    return np.unique(np.concatenate(found))
 
 
 def bands(found: np.ndarray) -> np.ndarray:

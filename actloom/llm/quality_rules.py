@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table
+from .common import load, small_batches, table, word_pieces
 
 LINE_DOCS = 20  # a line may stand in so many documents of a host
 KEEP_SHARE = 0.5  # of its words that a document must keep
@@ -28,12 +28,15 @@ _BLANK = b" \t\n\v\f\r"
 
 def repeated_words(words: list) -> int:
     """Words that lie in a 3-word window found twice or more, its first finding included."""
-    n = len(words)
+    number: dict = {}
+    return _repeated(np.array([number.setdefault(w, len(number)) for w in words], np.int64), len(number))
+
+
+def _repeated(ids: np.ndarray, size: int) -> int:
+    """The same for numbered words, of which ``size`` differ."""
+    n = len(ids)
     if n < 4:
         return 0
-    number: dict = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    size = len(number)
     pair = ids[:-1] * size + ids[1:]
     if size > 2_000_000:  # the product of three would not fit 63 bits
         pair = np.unique(pair, return_inverse=True)[1]
@@ -53,9 +56,11 @@ def repeated_words(words: list) -> int:
 
 def base_counts(body: bytes):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of one text."""
-    words = body.split()
+    number: dict = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in word_pieces(body)]
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     lines = [x for x in body.split(b"\n") if x.strip()]
-    return len(words), len(body.translate(None, _BLANK + _CONTINUATION)), len(body) - len(body.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+    return len(ids), len(body.translate(None, _BLANK + _CONTINUATION)), len(body) - len(body.translate(None, SYMBOLS)), len(lines) - len(set(lines)), _repeated(ids, len(number))
 
 
 def _scan(batches):

@@ -15,13 +15,13 @@ fingerprints, so copies count once.
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table
+from .common import load, shingle_hashes, small_batches, table, word_pieces
 from .components import components
 
 RADIUS = 3
@@ -35,24 +35,12 @@ SEED = 42
 
 def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
     """Bit i is set if it is set in over half of the shingles' XXH64; 0 for a text without words."""
-    import xxhash
-
-    words = body.translate(_LOWER).split()
-    if not words:
-        return 0
-    text = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(text, SEED)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    parts = map(text.__getitem__, map(slice, starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(word_pieces(body.translate(_LOWER)), shingle, SEED):
+        total += len(hashes)
+        for i in range(0, len(hashes), 4096):
+            ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits((2 * ones > total).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def _prints(shingle: int):
@@ -108,7 +96,8 @@ def allocate(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int
             cost = {}
             for t in range(-1, min(2, radius) + 1):
                 probes = 0 if t < 0 else sum(sum(1 for _ in combinations(range(len(bits)), k)) if len(bits) < 24 or k < 2 else len(bits) * (len(bits) - 1) // 2 for k in range(t + 1))
-                pairs = scale * _within(sample, bits, t)
+                # a sample without a pair says little of many rows: half a pair is the least it can mean
+                pairs = scale * max(_within(sample, bits, t), 0.5 if t >= 0 and total > len(sample) else 0.0)
                 copies = 1 + 2 * pairs / max(1, total) / BLOCK  # blocks that a row is dealt to
                 cost[t] = ROW_COST * total * probes * copies + PAIR_COST * pairs if t >= 0 else 0.0
             after: dict[int, tuple[float, list[int]]] = {}
@@ -226,7 +215,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint zero and link like any other. component_id is the smallest id
     reachable over links; null ids never give a component its name unless all its ids are null. Rows that
-    repeat an id are kept as they are. Extra columns are ignored and an empty table gives an empty result.
+    repeat an id are kept as they are. A very long text is worked through in pieces. Extra columns are ignored and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
