@@ -199,11 +199,27 @@ def _after(s, d):
     return retrieval.change_after(view(s, d, "moves"), "thread_id", "event_id", F.col("action_type") == "request", F.col("status") == "ok")
 
 
-@query("s08_library", "SELECT 21 AS primitives, 11 AS skills")
+#: The library's operators: name, kind, number of operators it needs. Fixed values.
+LIBRARY = (
+    ("Check_Ablation_Coverage", "skill", 1), ("Check_Baseline_Coverage", "skill", 1), ("Check_Citation_Support", "skill", 1),
+    ("Check_Experimental_Setup", "skill", 5), ("Check_Reproducibility_Checklist", "skill", 4), ("Check_Result_Consistency", "skill", 1),
+    ("Extract_Ablation_Info", "primitive", 0), ("Extract_Algorithm", "primitive", 0), ("Extract_Baseline_List", "primitive", 0),
+    ("Extract_Code_Data_Links", "primitive", 0), ("Extract_Compute_Resources", "primitive", 0), ("Extract_Dataset_Info", "primitive", 0),
+    ("Extract_Definition", "primitive", 0), ("Extract_Equation", "primitive", 0), ("Extract_Figure_Caption", "primitive", 0),
+    ("Extract_Hyperparameters", "primitive", 0), ("Extract_Limitations", "primitive", 0), ("Extract_List_Items", "primitive", 0),
+    ("Extract_Metric_Values", "primitive", 0), ("Extract_Notation_Definition", "primitive", 0), ("Extract_Section", "primitive", 0),
+    ("Extract_Span", "primitive", 0), ("Extract_Split_Info", "primitive", 0), ("Extract_Subsection", "primitive", 0),
+    ("Extract_Table", "primitive", 0), ("Extract_Training_Details", "primitive", 0), ("Resolve_Citation", "primitive", 0),
+    ("Summarize_Method_Evidence", "skill", 2), ("Summarize_Results_Evidence", "skill", 1), ("Verify_Claim_With_Evidence", "skill", 1),
+    ("Verify_Definition", "skill", 1), ("Verify_Equation_Assumption", "skill", 2),
+)
+
+
+@query("s08_library", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', {x})" for n, k, x in LIBRARY) + ") AS t(name, kind, n_needs)")
 def _library(s, d):
-    from ..plans.specs import library
-
-    kinds = [k for k, _, _ in library().entries.values()]
-    return s.range(1).select(F.lit(kinds.count("primitive")).alias("primitives"), F.lit(kinds.count("skill")).alias("skills"))
-
-
+    """The registry as a table; each needed operator is one of its rows."""
+    entries = specs.library().entries
+    rows = [(name, kind, list(needs)) for name, (kind, _, needs) in entries.items()]
+    table = s.createDataFrame(rows, "name string, kind string, needs array<string>")
+    known = F.array(*[F.lit(n) for n in entries])
+    return table.select("name", "kind", F.size(F.array_intersect("needs", known)).alias("n_needs"))
