@@ -25,7 +25,7 @@ def query(name, oracle=None):
 _ACT = ["act_id", "forum_id", "role", "intent", "action", "timestamp"]
 
 
-@query("k01_records_overwrite", f"SELECT {', '.join(_ACT)} FROM acts")
+@query("k01_records_overwrite", f"SELECT {', '.join(_ACT[:-1])}, timestamp::DOUBLE AS timestamp FROM acts")
 def _overwrite(s, d):
     """Written twice; the second time replaces the first."""
     path, acts = scratch(s, "records"), view(s, d, "acts").select(*_ACT)
@@ -172,7 +172,7 @@ def _pages(s, d):
     return readers.page_counts(s, f"{root}/*.pdf").select(F.url_decode("ctx").alias("ctx"), "pages")
 
 
-@query("s17_demo_folders", "SELECT 'paper' || r_regionkey AS ctx, r_name AS text, r_regionkey % 2 AS images FROM region")
+@query("s17_demo_folders", "SELECT 'paper' || r_regionkey AS ctx, r_name AS text, (r_regionkey % 2)::BIGINT AS images FROM region")
 def _demo(s, d):
     """A folder for each region: a markdown file, and an image in every other one."""
     root = scratch(s, "demo")
