@@ -26,14 +26,21 @@ def _fingerprints(bits: int):
 
     import numpy as np
 
-    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+    weights, stop = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64), frozenset(STOPWORDS)
+    known: dict[str, bytes] = {}  # digests of words met before, in bounded number
+
+    def digest(word: str) -> bytes:
+        if (found := known.get(word)) is None:
+            if len(known) > 500_000:
+                known.clear()
+            found = known[word] = hashlib.md5(word.encode()).digest()[:8]
+        return found
 
     def votes(words) -> np.ndarray:
         """A row of -1 and 1 for each word; of 0 for words that take no part."""
-        out = np.zeros((len(words), bits), np.int8)
-        for i, w in enumerate(words):
-            if w and w not in STOPWORDS:
-                out[i] = np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8))[:bits].astype(np.int8) * 2 - 1
+        digests = np.frombuffer(b"".join(map(digest, words)), np.uint8).reshape(-1, 8)
+        out = np.unpackbits(digests, axis=1)[:, :bits].astype(np.int8) * 2 - 1
+        out[[i for i, w in enumerate(words) if not w or w in stop]] = 0
         return out
 
     def run(texts):
@@ -42,8 +49,8 @@ def _fingerprints(bits: int):
         import pyarrow.compute as pc
 
         out = np.zeros(len(texts), np.int64)
-        for begin in range(0, len(texts), 512):
-            part = pa.array(texts.iloc[begin : begin + 512], pa.string(), from_pandas=True).fill_null("")
+        for begin in range(0, len(texts), 2048):
+            part = pa.array(texts.iloc[begin : begin + 2048], pa.string(), from_pandas=True).fill_null("")
             split = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(part), "[^a-z0-9]+", " "), " "), " ")
             numbered = pc.list_flatten(split).dictionary_encode()
             table, code = votes(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
