@@ -398,3 +398,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents"))
+
+
+#: Every 50-byte window of every text, in pieces of 1,000 positions so that no long string is walked for each of them.
+SQL = {
+    "op5_substring_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (
+  SELECT doc_id, c, substr(h, 2 * c + 1, 2 * 1049) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS c FROM d)),
+windows AS (
+  SELECT doc_id, c + i AS i, substr(h, 2 * i + 1, 100) AS w
+  FROM (SELECT doc_id, c, h, unnest(range(0, least(1000, length(h) // 2 - 49))) AS i FROM chunks WHERE length(h) >= 100)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE least < doc_id),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER o + 50, true) AS new FROM hits WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM marked),
+spans AS (SELECT doc_id, n, min(i) AS b, max(i) + 50 AS e FROM numbered GROUP BY doc_id, n),
+gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER o, 0) AS b, b AS e FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY b)
+  UNION ALL SELECT d.doc_id, coalesce(last, 0), length(h) // 2 FROM d LEFT JOIN (SELECT doc_id, max(e) AS last FROM spans GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, coalesce(string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b), '') AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - b) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+}
