@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, small_batches, table, word_pieces
+from .common import drop_table, shingle_hashes, small_batches, table, word_pieces
 from .components import components
 from .simhash_dedup import _LOWER, RADIUS, SEED, fingerprint, linked
 
@@ -28,6 +28,7 @@ WORDS = 5
 ALIKE = (4, 5)  # similarity from which texts are near copies, as a fraction
 BANDS, ROWS = 32, 8
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
+BROADCAST_ROWS = 1_000_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -212,8 +213,16 @@ def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lows = scanned.groupBy("hi", "lo").agg(F.min(place).alias("best")).select("best", F.col("best.rid").alias("rid"))
     nodes = table(lows.join(scanned.drop("id", "hi", "lo"), "rid").withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = table(candidate_groups(nodes, radius).join(nodes.select("node", "rid"), "node"), "members")
-    texts = src.select(F.col("__rid").alias("rid"), body.alias("body"))
+    # the texts of candidates alone are moved: a row number for each, broadcast if their number allows it
+    texts = table(src.select(F.col("__rid").alias("rid"), body.alias("body")).join(_small(members.select("rid")), "rid"), "texts")
     roots = components(verified_links(members, texts))
+    drop_table(texts)
     named = nodes.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    keep = table(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__rid")), "keep")
-    return src.join(keep, "__rid", "left_semi").select(*docs.columns)
+    keep = table(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid")), "keep")
+    gone = table(scanned.select("rid").join(keep, "rid", "left_anti"), "gone")
+    return src.join(_small(gone.select(F.col("rid").alias("__rid"))), "__rid", "left_anti").select(*docs.columns)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Row numbers, to be broadcast if they are counted to be at most BROADCAST_ROWS, and joined by a shuffle else."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
