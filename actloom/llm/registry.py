@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, license_scan, line_dedup, mixing, packing, prefix_trie, quality_classifier, quality_rules, simhash_dedup, spelling, substring_dedup
+from . import chat_format, exact_dedup, license_scan, line_dedup, main_text, mixing, packing, prefix_trie, quality_classifier, quality_rules, simhash_dedup, spelling, substring_dedup
 
-MODULES = (license_scan, quality_rules, mixing, exact_dedup, substring_dedup, chat_format, simhash_dedup, packing, line_dedup, quality_classifier, spelling, prefix_trie)
+MODULES = (license_scan, quality_rules, mixing, exact_dedup, substring_dedup, chat_format, simhash_dedup, packing, line_dedup, quality_classifier, main_text, spelling, prefix_trie)
 
 
 def queries() -> dict:
