@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import quantiles
 from ..sources.scratch import written
 
 #: Words that take no part in a text's fingerprint. Fixed values.
@@ -202,7 +203,10 @@ def cluster_sizes(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def size_summary(sizes: DataFrame) -> DataFrame:
-    return sizes.agg(F.min("size").alias("size_min"), F.percentile("size", F.lit(0.5)).alias("size_median"), F.avg("size").alias("size_mean"), F.max("size").alias("size_max"))
+    sizes = written(sizes.select("size"), "sizes")
+    median = quantiles(sizes, [], "size", {"size_median": 0.5})
+    rest = sizes.agg(F.min("size").alias("size_min"), F.avg("size").alias("size_mean"), F.max("size").alias("size_max"))
+    return rest.join(median, F.lit(True), "left").select("size_min", "size_median", "size_mean", "size_max")  # one row each
 
 
 def largest(sizes: DataFrame, key: list[str], n: int = 10) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import numbered
+from .quantiles import quantiles
 
 from ..functions.core import role_of_three, turn_id, year_of
+from ..sources.scratch import written
 
 
 def forum_stats(acts: DataFrame, thread_keys: tuple[str, ...] = ("issue_type",)) -> DataFrame:
@@ -77,30 +79,43 @@ def status_counts(moves: DataFrame) -> DataFrame:
 
 
 def _spread(name: str, c: Column, places: int = 6) -> list[Column]:
-    return [F.round(F.avg(c), places).alias(f"{name}_mean"), F.round(F.percentile(c, F.lit(0.25)), places).alias(f"{name}_p25"), F.round(F.percentile(c, F.lit(0.75)), places).alias(f"{name}_p75"), F.count(c).alias(f"{name}_count")]
+    return [F.round(F.avg(c), places).alias(f"{name}_mean"), F.count(c).alias(f"{name}_count")]
+
+
+def _quartiles(rows: DataFrame, by: str, measures: dict[str, Column], places: int = 6) -> DataFrame:
+    """(by, <name>_p25, <name>_p75 of each measure): the measures of a group are groups of one rank selection."""
+    long = rows.select(by, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in measures.items()])).alias("m")).select(by, "m.*")
+    found = quantiles(long, [by, "name"], "v", {"p25": 0.25, "p75": 0.75})
+    wide = [F.round(F.max(F.when(F.col("name") == n, F.col(p))), places).alias(f"{n}_{p}") for n in measures for p in ("p25", "p75")]
+    return found.groupBy(by).agg(*wide)
 
 
 def split_report(stats: DataFrame, splits: DataFrame, segments: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
-    """One row a split: forums, years, instances, spreads, role shares and, if given, status rates."""
+    """One row a split: forums, years, instances, spreads, role shares and, if given, status rates.
+
+    The joined forums are written once, as means and quartiles both read them."""
     rows = splits.join(stats, "forum_id")
     if segments is not None:
         rows = rows.join(segments, "forum_id", "left")
     if statuses is not None:
         rows = rows.join(statuses, "forum_id", "left")
+    rows = written(rows, "forums")
     some = lambda c: F.when(F.col(c) > 0, F.col(c))
     roles = F.greatest(F.sum(F.col("n_reviewer") + F.col("n_author") + F.col("n_meta")), F.lit(1))
-    out = [F.count(F.lit(1)).alias("forums"), F.sum("n_acts").alias("instances"), *_spread("threads", some("n_threads")), *_spread("turns", some("n_turns"))]
+    measures = {"threads": some("n_threads"), "turns": some("n_turns")}
+    out = [F.count(F.lit(1)).alias("forums"), F.sum("n_acts").alias("instances")]
     if "year" in rows.columns:
         out += [F.min("year").alias("year_min"), F.max("year").alias("year_max")]
     if "score_change" in rows.columns:
-        out += _spread("score", F.col("score_change").cast("double"))
+        measures["score"] = F.col("score_change").cast("double")
     if segments is not None:
-        out += _spread("segments", F.col("n_segments"))
+        measures["segments"] = F.col("n_segments")
+    out += [c for n, m in measures.items() for c in _spread(n, m)]
     out += [F.round(F.sum(c) / roles, 6).alias(n) for n, c in (("reviewer_share", "n_reviewer"), ("author_share", "n_author"), ("meta_share", "n_meta"))]
     if statuses is not None:
         total = F.nullif(F.sum(F.col("n_ok") + F.col("n_missing") + F.col("n_fail")), F.lit(0))
         out += [F.round(F.sum(f"n_{s}") / total, 6).alias(f"{s}_rate") for s in ("ok", "missing", "fail")]
-    return rows.groupBy("split").agg(*out)
+    return rows.groupBy("split").agg(*out).join(_quartiles(rows, "split", measures), "split", "left")
 
 
 def year_range(spec: str | None) -> list[int]:

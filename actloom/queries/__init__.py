@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import acts, corpus, extraction, files, lookups, numbers, skills, threads
+    from . import acts, corpus, extraction, files, lookups, numbers, replies, skills, threads
 
-    return (acts, extraction, skills, numbers, lookups, corpus, threads, files)
+    return (acts, extraction, skills, numbers, lookups, corpus, threads, files, replies)
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..plans.quantiles import quantiles
 from ..views import view
 
 QUERIES, ORACLES = {}, {}
@@ -84,7 +85,9 @@ def _floats(s, d):
 
 @query("m10_quantiles", "SELECT user_id % 10 AS k, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, count(value) AS n FROM events GROUP BY 1")
 def _quantiles(s, d):
-    return view(s, d, "events").groupBy((F.col("user_id") % 10).alias("k")).agg(F.percentile("value", F.lit(0.25)).alias("p25"), F.percentile("value", F.lit(0.75)).alias("p75"), F.count("value").alias("n"))
+    rows = view(s, d, "events").select((F.col("user_id") % 10).alias("k"), "value")
+    counts = rows.groupBy("k").agg(F.count("value").alias("n"))
+    return counts.join(quantiles(rows, ["k"], "value", {"p25": 0.25, "p75": 0.75}), "k", "left").select("k", "p25", "p75", "n")
 
 
 @query("m12_half_even", "SELECT l_orderkey, l_linenumber, round_even(cast(l_quantity AS BIGINT) / 2.0, 0) AS half FROM lineitem")

@@ -78,7 +78,32 @@ SELECT cast(o_custkey AS string) AS forum_id, min(year(o_orderdate)) AS year, ma
 FROM orders GROUP BY o_custkey
 """
 
-VIEWS = {"papers": PAPERS, "acts": ACTS, "moves": MOVES, "turns": TURNS, "meta": META}
+#: Replies of a labelling policy, one a document: JSON bare, fenced, broken, unclosed or among the document's own words.
+REPLIES = """
+SELECT doc_id, CASE doc_id % 14
+    WHEN 0 THEN concat('```json', chr(10), obj, chr(10), '```')
+    WHEN 1 THEN concat('Here it is:', chr(10), '```', chr(10), arr, chr(10), '``` and ', text)
+    WHEN 2 THEN obj
+    WHEN 3 THEN concat('  ', arr, chr(10))
+    WHEN 4 THEN concat(text, ' ', obj, ' ', text)
+    WHEN 5 THEN concat(text, ' ', arr, ' tail')
+    WHEN 6 THEN concat('{not json} ', obj)
+    WHEN 7 THEN concat(arr, ' and [1, 2')
+    WHEN 8 THEN concat('```json ', left(obj, length(obj) - 1), ' ``` ', arr)
+    WHEN 9 THEN left(obj, 30)
+    WHEN 10 THEN concat('say "[" then ', obj)
+    WHEN 11 THEN concat('```', chr(10), '```json ', obj, ' ``````')
+    WHEN 12 THEN text
+  END AS reply
+FROM (SELECT doc_id, text, obj, concat('[1, "{", {"other": []}, ', obj, ', {"label": "later"}]') AS arr
+  FROM (SELECT doc_id, text,
+      concat('{"action": "', CASE WHEN doc_id % 3 = 0 THEN 'reuse' ELSE 'new' END, '", "label": "', lang, ' ', cast(doc_id % 7 AS string), '", "note": "',
+        replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')),
+        '", "nested": {"a": [1, {"b": "]}"}, []]}}') AS obj
+    FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)))
+"""
+
+VIEWS = {"replies": REPLIES, "papers": PAPERS, "acts": ACTS, "moves": MOVES, "turns": TURNS, "meta": META}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -86,7 +111,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A logical view, or a driver's table, as a DataFrame; nothing is registered in the catalog."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text, bound = VIEWS[name], {}
+    text, bound = VIEWS[name].replace("{", "{{").replace("}", "}}"), {}
     for t in TABLES:
         if f"FROM {t}" in text:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
