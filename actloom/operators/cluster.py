@@ -145,57 +145,44 @@ def seeded(pos: str, seed: int) -> list[Column]:
 def kmeans_scoped(df: DataFrame, scope: str, vector: str, pos: str, k: int, seed: int = 42, max_iter: int = 10) -> DataFrame:
     """k-means inside each scope (a forum, a source): adds cluster_id, numbered from 0 in each.
 
-    All scopes are iterated together: a round joins rows with their scope's centers (one array a scope) and takes
-    partial means by (scope, cluster, dimension). A scope with fewer rows than k has one cluster a row at the start. Ends
-    when no center moves, or after ``max_iter`` rounds.
+    All scopes are iterated together: a round joins rows with their scope's centers, those at hand and those before (one
+    row a scope), and takes partial means by (scope, cluster, dimension) with the labels that changed. Ends when no label
+    changes, all being 0 before the first round, or after ``max_iter`` rounds. A scope with fewer rows than k has one cluster
+    a row at the start; a cluster that loses all members goes on from a row of its scope by a seeded hash.
     """
     start = Window.partitionBy(scope).orderBy(*seeded(pos, seed))
-    centers = df.withColumn("cluster_id", F.row_number().over(start) - 1).filter(F.col("cluster_id") < k).select(scope, "cluster_id", F.col(vector).cast("array<double>").alias("centroid"))
-    centers = written(centers, "centers")
-
-    def assigned(now):
-        packed = written(now.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("__centers")), "packed")
-        near = F.array_min(F.transform("__centers", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]), c["cluster_id"].alias("id"))))
-        return df.join(packed, scope).withColumn("cluster_id", near["id"]).drop("__centers")
-
-    for _ in range(max_iter):
-        long = assigned(centers).select(scope, "cluster_id", F.posexplode(vector).alias("i", "x")).groupBy(scope, "cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-        means = long.groupBy(scope, "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-        # a center without members stays
-        moved = written(centers.join(means, [scope, "cluster_id"], "left").select(scope, "cluster_id", F.coalesce("mean", "centroid").alias("centroid"), squared_distance("centroid", F.coalesce("mean", "centroid")).alias("step")), "centers")
-        centers = moved.drop("step")
-        if not moved.filter("step > 1e-12").limit(1).count():
+    first = df.withColumn("__n", F.row_number().over(start)).filter(F.col("__n") <= k)  # each task keeps k rows a scope
+    centers = written(first.select(scope, (F.col("__n") - 1).alias("cluster_id"), F.col(vector).cast("array<double>").alias("centroid"), F.lit(None).cast("array<double>").alias("before")), "centers")
+
+    def joined(now):
+        held = F.array_sort(F.collect_list(F.struct("cluster_id", "centroid", "before")))
+        packed = written(now.groupBy(scope).agg(held.alias("__centers")), "packed")
+        near = lambda which: F.array_min(F.transform("__centers", lambda c: F.struct(squared_distance(F.col(vector), c[which]).alias("d"), c["cluster_id"].alias("cluster_id"))))["cluster_id"]
+        return df.join(packed, scope), near
+
+    for i in range(1, max_iter + 1):
+        rows, near = joined(centers)
+        old = near("before") if i > 1 else F.lit(0)
+        dims = rows.select(scope, near("centroid").alias("cluster_id"), old.alias("old"), F.posexplode(vector).alias("i", "x"))
+        changed = F.sum(((F.col("i") == 0) & (F.col("cluster_id") != F.col("old"))).cast("int"))
+        long = dims.groupBy(scope, "cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), changed.alias("c"))
+        means = written(long.groupBy(scope, "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"), F.sum("c").alias("c")), "means")
+        if i == max_iter or not means.filter("c > 0").limit(1).count():
             break
-    return assigned(centers)
+        moved = centers.join(means, [scope, "cluster_id"], "left").select(scope, "cluster_id", F.col("mean").alias("centroid"), F.col("centroid").alias("before"))
+        empty = moved.filter("centroid IS NULL").select(scope, "cluster_id")
+        draw = F.min_by(F.col(vector).cast("array<double>"), F.struct(F.md5(F.concat_ws(":", F.col(pos).cast("string"), F.lit(str(seed)), F.lit(str(i)), F.col("cluster_id").cast("string"))), F.col(pos)))
+        drawn = df.join(empty, scope).groupBy(scope, "cluster_id").agg(draw.alias("drawn"))
+        centers = written(moved.join(drawn, [scope, "cluster_id"], "left").withColumn("centroid", F.coalesce("centroid", "drawn")).drop("drawn"), "centers")
+    rows, near = joined(centers)
+    return rows.withColumn("cluster_id", near("centroid")).drop("__centers")
 
 
 def kmeans_minibatch(df: DataFrame, vector: str, pos: str, k: int, seed: int = 42, max_iter: int = 50, batch: int = 1024) -> DataFrame:
-    """Mini-batch k-means for large n times k: (pos, cid, distance) of every row.
+    """Mini-batch k-means for large n times k: (pos, cid, distance) of every row; see :func:`.kmeans.minibatch`."""
+    from .kmeans import minibatch
 
-    Each round moves its batch's centers by members / members so far. All rounds' batches, max_iter * batch rows of the
-    table by a seeded draw, come in one pass, since they are what the method samples; every row is then assigned.
-    """
-    import numpy as np
-
-    total = df.count()
-    share = min(1.0, batch / max(1, total))
-    draws = F.filter(F.sequence(F.lit(0), F.lit(max_iter)), lambda i: F.pmod(F.xxhash64(F.col(pos), i, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    drawn = df.select(F.explode(draws).alias("round"), pos, F.col(vector).cast("array<double>").alias("v")).orderBy("round", pos).collect()
-    first = df.orderBy(*seeded(pos, seed)).limit(k).select(F.col(vector).cast("array<double>").alias("v")).collect()
-    centers = np.array([r.v for r in first])
-    seen = np.zeros(len(centers))
-    rounds: dict[int, list] = {}
-    for r in drawn:
-        rounds.setdefault(r["round"], []).append(r.v)
-    for i in sorted(rounds):
-        points = np.array(rounds[i])
-        nearest = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) if len(points) * len(centers) < 1e6 else np.array([((p - centers) ** 2).sum(axis=1).argmin() for p in points])
-        for c in np.unique(nearest):
-            members = points[nearest == c]
-            seen[c] += len(members)
-            centers[c] += (members.mean(axis=0) - centers[c]) * len(members) / seen[c]
-    table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cid int, centroid array<double>")
-    return assign(df, table, pos, vector)
+    return minibatch(df, pos, vector, k, seed, max_iter, batch).withColumnRenamed("cluster_id", "cid")
 
 
 def cluster_sizes(df: DataFrame, key: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..operators import cluster, gate
+from ..operators import cluster, gate, kmeans
 from ..plans import specs
 from ..sources import markdown, readers
 from ..views import view
@@ -351,6 +351,51 @@ def _kmeans_scoped(s, d):
     return out.groupBy("label", "cluster_id").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.sum("n").alias("size"))
 
 
+def _draw(i):
+    return f"(('0x' || substr(md5(vec_id || ':42:{i}'), 1, 13))::BIGINT + 1) / 4503599627370496.0"
+
+
+def _starts_sql(k):
+    """D^2 starts, unrolled: one step a start."""
+    steps = ["v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)", f"s0 AS MATERIALIZED (SELECT 0 AS cluster_id, vec_id, x FROM v ORDER BY {_draw(0)}, vec_id LIMIT 1)", "d0 AS MATERIALIZED (SELECT v.*, list_distance(v.x, s0.x) ** 2 AS d FROM v, s0)"]
+    for i in range(1, k):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT {i} AS cluster_id, vec_id, x FROM d{i - 1} ORDER BY CASE WHEN d > 0 THEN -ln({_draw(i)}) / d ELSE 'Infinity'::DOUBLE END, {_draw(i)}, vec_id LIMIT 1)")
+        steps.append(f"d{i} AS MATERIALIZED (SELECT r.vec_id, r.x, least(r.d, list_distance(r.x, s{i}.x) ** 2) AS d FROM d{i - 1} r, s{i})")
+    return ", ".join([*steps, "c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(k)) + ")"])
+
+
+def _rounds_sql(rounds, scope=""):
+    """Lloyd's rounds, unrolled: labels by the centers, then means; nothing changes once labels are stable."""
+    with_scope, using = (f", {scope}", f"USING ({scope})") if scope else ("", "ON true")
+    steps = []
+    for i in range(rounds):
+        steps.append(f"l{i} AS MATERIALIZED (SELECT v.vec_id, any_value(v.x) AS x{with_scope}, arg_min(cluster_id, (list_distance(v.x, c.x), cluster_id)) AS cluster_id FROM v JOIN c{i} c {using} GROUP BY v.vec_id{with_scope})")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster_id{with_scope}, list(m ORDER BY i) AS x FROM (SELECT cluster_id{with_scope}, i, avg(x[i]) AS m FROM l{i}, range(1, 65) r(i) GROUP BY ALL) GROUP BY cluster_id{with_scope})")
+    return ", ".join(steps)
+
+
+@query("g08_dsquared_starts", f"WITH {_starts_sql(6)} SELECT cluster_id, vec_id FROM c0")
+def _dsquared(s, d):
+    e = view(s, d, "embeddings")
+    starts = kmeans.dsquared_starts(e, "vec_id", "embedding", 6)
+    return s.createDataFrame([(i, row) for i, (row, _) in enumerate(starts)], "cluster_id int, vec_id long").join(e.select("vec_id"), "vec_id").select("cluster_id", "vec_id")
+
+
+@query("g09_kmeans_stable", f"WITH {_starts_sql(5)}, {_rounds_sql(8)} SELECT vec_id, cluster_id FROM l7")
+def _stable(s, d):
+    return kmeans.kmeans_stable(view(s, d, "embeddings"), "vec_id", "embedding", 5, max_iter=8).select("vec_id", "cluster_id")
+
+
+@query(
+    "g09_kmeans_scoped_labels",
+    f"""WITH v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+c0 AS MATERIALIZED (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id) - 1 AS cluster_id FROM v QUALIFY cluster_id < 3),
+{_rounds_sql(5, "label")} SELECT vec_id, label, cluster_id::INTEGER AS cluster_id FROM l4""",
+)
+def _scoped_labels(s, d):
+    return cluster.kmeans_scoped(view(s, d, "embeddings"), "label", "embedding", "vec_id", 3, max_iter=5).select("vec_id", "label", "cluster_id")
+
+
 @query("g10_kmeans_minibatch")
 def _kmeans_minibatch(s, d):
     e = view(s, d, "embeddings")
