@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped_shuffles, new_path
+from .common import dropped_shuffles, new_path, own_columns
 
 BATCH_BYTES = 8 << 20
 MOST_ROWS = 50_000
@@ -147,6 +147,66 @@ def with_replies(texts: DataFrame, replies: DataFrame, step, schema: str) -> Dat
     return texts.groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(run, schema)
 
 
+def bodies_of(ends: np.ndarray, buf: np.ndarray, rows) -> list[bytes]:
+    """The texts of some rows of a batch."""
+    return [buf[ends[r - 1] if r else 0 : ends[r]].tobytes() for r in rows]
+
+
+def fetched(texts: DataFrame, asked: DataFrame, schema: str) -> DataFrame:
+    """Columns of ``schema`` of the asked rows: the batches' own, ``body``, and those of ``asked`` (batch_id, row, ...).
+
+    Only what is asked for leaves its batch, whatever the number of rows asked for; other texts are not even unpacked.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+            return pa.table({n: pa.array([], kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)})
+        _, meta, lens, body = (left.column(c)[0].as_py() for c in COLUMNS)
+        rows = right.column("row").to_pylist()
+        held = read_meta(meta).take(pa.array(rows, pa.int32()))
+        found = {"body": pa.array(bodies_of(*open_texts(lens, body), rows), pa.binary())}
+        return pa.table({n: found[n] if n in found else held.column(n) if n in held.schema.names else right.column(n) for n in names})
+
+    return texts.groupBy("batch_id").cogroup(asked.groupBy("batch_id")).applyInArrow(run, schema)
+
+
+class Rows:
+    """Rows of any columns in batches, their text apart from the rest.
+
+    ``batches`` have, beside ``more``, the columns of ``docs`` under names of their own (c0, c1, ...), so that no name
+    of the caller's can clash with one in here. Rows come back with their own names and types.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str, more: dict):
+        self.schema, self.text = docs.schema, docs.columns.index(text_col)
+        own = [c.alias(f"c{i}") for i, c in enumerate(own_columns(docs)) if i != self.text]
+        text = F.col(text_col).cast("string")
+        self.batches = pack_batches(docs.select(*own, text.isNull().alias("no_text"), *[c.alias(n) for n, c in more.items()], text_bytes(text)))
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """All rows but those of ``gone`` (batch_id, row). No text is shuffled."""
+        names, text = self.schema.names, self.text
+
+        def step(batch_id, meta, ends, buf, replies):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            keep = np.ones(meta.num_rows, bool)
+            keep[replies.column("row").to_numpy()] = False
+            offsets = np.concatenate([[0], ends])
+            kind, width = (pa.LargeStringArray, np.int64) if offsets[-1] >= 1 << 31 else (pa.StringArray, np.int32)
+            body = kind.from_buffers(meta.num_rows, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(buf))
+            body = pc.if_else(meta.column("no_text"), pa.scalar(None, body.type), body)
+            out = pa.Table.from_arrays([body if i == text else meta.column(f"c{i}") for i in range(len(names))], names=names)
+            return out.filter(pa.array(keep))
+
+        return with_replies(self.batches, gone.select("batch_id", "row"), step, self.schema)
+
+
 def column(table, name: str, kind=np.int64) -> np.ndarray:
     """A column of longs without nulls as numpy, seen as ``kind``."""
     return table.column(name).to_numpy().astype(np.int64, copy=False).view(kind)

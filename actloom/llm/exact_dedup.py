@@ -1,13 +1,15 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
-1. Every text gets a 64-bit key and a SHA-256. The narrow entries (id, key, digest) are what is indexed.
+1. Every text gets a 64-bit key and a SHA-256. Texts lie in compressed batches in the shared folder (:mod:`.batches`);
+   the narrow entries (address, id, key, digest) are what is indexed.
 2. The directory maps key prefixes to buckets. It begins with one bucket; a bucket with more than its capacity of
    distinct keys is split by the next bit of the key, and the directory doubles when a bucket that is as deep as the
    directory splits. It is held run-length encoded (one entry a bucket), so doubling moves nothing and depth has no
    bound but the key's 64 bits, where equal keys are chained. The keys are counted in Spark, prefix by prefix, and
    finer only below prefixes that are still overfull. Directory and buckets are files in the shared folder.
-3. Owner tasks process key ranges, each a run of whole buckets. Texts of keys that occur once are settled by the index
-   and never move. The others go to their key's owner, which chains the different texts of a key and compares bytes;
+3. Owner tasks process key ranges, each a run of whole buckets; the entries of a key that holds more than a part of an
+   owner's fair share are dealt to all owners. Texts of keys that occur once are settled by the index and never move,
+   at any size: the others are fetched by address. They go to their key's owner, which chains the different texts of a key and compares bytes;
    each chain link is a class. Copies are compared and merged in every Arrow batch before the shuffle; a key with
    many rows is compared by sqrt(n) salted groups first, so that no owner gets all its texts.
 4. Entries meet the classes to get their group; AQE splits a key that holds many rows.
@@ -19,12 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table
+from .batches import fetched, meta_rows, pack_batches, text_bytes
+from .common import drop_table, load, small_batches, table
 
 CAPACITY = 20_000  # distinct keys in a bucket
 MOST_BUCKETS = 1 << 16  # capacity grows with the keys so that about so many buckets hold them
 HOT = 1_000  # rows of a key from which its texts are compared by salted groups first
-BROADCAST_KEYS = 1_000_000  # repeated keys that may be broadcast to the scan; above it they are joined by a shuffle
+HOT_PARTS = 4  # a key with more than one part in so many of an owner's fair share of rows is dealt to all owners
 FINER = 6  # bits by which a histogram looks below an overfull prefix
 
 
@@ -121,15 +124,21 @@ def _owner_starts(directory: Directory, sizes: list[int], owners: int) -> np.nda
     return directory.starts()[first]
 
 
-def _located(starts: np.ndarray, name: str):
-    """Add the number of the range of ``starts`` that a row's key lies in."""
+def _located(starts: np.ndarray, name: str, spread: np.ndarray | None = None):
+    """Add the number of the range of ``starts`` that a row's key lies in; rows of keys to ``spread`` go round."""
 
     def run(batches):
         import pyarrow as pa
 
+        turn = 0
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            at = pa.array((np.searchsorted(starts, key, side="right") - 1).astype(np.int32))
+            at = (np.searchsorted(starts, key, side="right") - 1).astype(np.int32)
+            if spread is not None and len(spread):
+                hot = np.flatnonzero(np.isin(key, spread))
+                at[hot] = (turn + np.arange(len(hot))) % len(starts)
+                turn += len(hot)
+            at = pa.array(at)
             yield pa.RecordBatch.from_arrays([at, *batch.columns], names=[name, *batch.schema.names])
 
     return run
@@ -210,21 +219,24 @@ def build_index(entries: DataFrame, keys: DataFrame, capacity: int | None = None
     """(directory table, bucket files, smallest key of each owner) in the shared folder.
 
     The directory has a row a bucket (bucket, depth, prefix, keys); a bucket's entries lie together in their owner's
-    file, in key order.
+    file, in key order. Entries of hot keys, HOT_PARTS an owner at most, lie in the files of all owners.
     """
     spark = entries.sparkSession
-    total = keys.count()
+    keys = keys if "n" in keys.columns else keys.withColumn("n", F.lit(1))
+    total, rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     directory, sizes = grow(_histogram(keys), capacity or max(CAPACITY, total // MOST_BUCKETS))
-    rows = [(i, d, p - (1 << 64) if p >> 63 else p, n) for i, ((d, p), n) in enumerate(zip(directory.leaves, sizes, strict=True))]
-    listed = table(spark.createDataFrame(rows, "bucket int, depth int, prefix long, keys long").coalesce(1), "directory")
+    leaves = [(i, d, p - (1 << 64) if p >> 63 else p, n) for i, ((d, p), n) in enumerate(zip(directory.leaves, sizes, strict=True))]
+    listed = table(spark.createDataFrame(leaves, "bucket int, depth int, prefix long, keys long").coalesce(1), "directory")
     starts = _owner_starts(directory, sizes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = keys.filter(F.col("n") > max(HOT, rows // (HOT_PARTS * len(starts)))).select("key").collect()
+    spread = np.array([r.key for r in hot], np.int64).view(np.uint64)
     columns = "id long, key long, digest string"
-    dealt = entries.mapInArrow(_located(starts, "owner"), "owner int, " + columns).repartitionById(len(starts), F.col("owner")).drop("owner")
+    dealt = entries.select("id", "key", "digest").mapInArrow(_located(starts, "owner", spread), "owner int, " + columns).repartitionById(len(starts), F.col("owner")).drop("owner")
     buckets = table(dealt.mapInArrow(_located(directory.starts(), "bucket"), "bucket int, " + columns).sortWithinPartitions("bucket", F.shiftrightunsigned("key", 1), "key"), "buckets")
     return listed, buckets, starts
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, key=None, hot: int = HOT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, key=None, hot: int = HOT) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. A null text counts as the empty text. A null id
@@ -235,21 +247,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    src = src.withColumn("key", (key or F.xxhash64)(F.col("body")))
-    entries = table(src.select("id", "key", F.sha2("body", 256).alias("digest")), "entries")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), (key or F.xxhash64)(text).alias("key"), F.sha2(text, 256).alias("digest"), text_bytes(text))
+    packed = pack_batches(src)
+    entries = table(meta_rows(packed, "id long, key long, digest string"), "entries")
     keys = table(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
     _, buckets, starts = build_index(entries, keys, capacity)
 
     # keys of one row need no comparison; the salts of a hot key are written with it
     salts = F.when(F.col("n") > hot, F.ceil(F.sqrt("n"))).otherwise(1).cast("int")
     repeated = table(keys.filter("n > 1").select("key", salts.alias("salts")), "repeated")
-    if repeated.count() <= broadcast_keys:
-        repeated = F.broadcast(repeated)
-    texts = src.join(repeated, "key").select("key", F.sha2("body", 256).alias("digest"), F.encode("body", "UTF-8").alias("body"), F.lit(1).cast("long").alias("n"), F.col("id").alias("top"), "salts")
+    asked = table(entries.join(repeated, "key").select("batch_id", "row", F.col("id").alias("top"), F.lit(1).cast("long").alias("n"), "salts"), "asked")
+    texts = fetched(packed, asked, _TEXTS)
     # merged twice as text, by the batch and by salted groups: a hot key's owner gets sqrt(n) texts
     merged = texts.mapInArrow(_merge, _TEXTS)
     salted = table(merged, "texts")
+    drop_table(packed)
     hot_rows = salted.filter("salts > 1").withColumn("salt", F.pmod(F.xxhash64("top", F.lit(3)), F.col("salts")).cast("int"))
     some = hot_rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_chain(True), _TEXTS)
     last = salted.filter("salts = 1").unionAll(some).withColumn("salt", F.lit(0))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table
+from .common import fresh, load, own_columns, small_batches, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -117,32 +117,40 @@ def kept_lines(text: str | bytes | None, bits: bytes | None):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str):
     """A document is told by its id (null: the smallest) and a hash of its text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__fp")
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Keep bitmaps (id, fp, keep_bits) of the documents that lose lines; all others keep everything."""
     small_batches(docs.sparkSession)
     i, f = _keyed(docs, id_col, text_col)
-    src = docs.select(i, f, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("__body"))
+    src = docs.select(i.alias("id"), f.alias("fp"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("body"))
     lines = table(src.mapInArrow(_hashes(min_chars), "hi long, lo long, id long, fp long, pos binary"), "lines")
     dealt = lines.repartitionByRange("hi", "lo", F.desc("id")).sortWithinPartitions("hi", "lo", F.desc("id"), "fp")
     found = table(dealt.mapInArrow(_stream(min_docs), "kind int, hi long, lo long, id long, fp long, pos binary, docs long"), "drops")
     cut = found.filter("kind > 0").groupBy("hi", "lo").agg(F.sum("docs").alias("n"), F.max("id").alias("top")).filter(f"n >= {min_docs}")
     # hashes cut by an edge, at most two for each partition, and those with more than HELD rows: dealt or broadcast by size
     late = found.filter("kind = 1").join(table(cut, "cut"), ["hi", "lo"]).filter("id < top")
-    drops = found.filter("kind = 0").select("id", "fp", "pos").unionAll(late.select("id", "fp", "pos"))
+    drops = found.filter("kind = 0").unionByName(late.select(*found.columns))
+    # rows of one id and text hold a line at the same places: one of them stands for all, so an array has a cell a line
+    drops = drops.groupBy("hi", "lo", "id", "fp").agg(F.min("pos").alias("pos"))
     return drops.groupBy("id", "fp").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "id long, fp long, keep_bits binary")
 
 
-def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    i, f = _keyed(docs, id_col, text_col)
-    named = bitmaps.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("keep_bits").alias("__bits"))
-    return docs.withColumns({"__id": i, "__fp": f}).join(named, ["__id", "__fp"], "left").drop("__id", "__fp")
+def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The documents with their bitmaps, and that column's name."""
+    (i, f), (own, own_fp, bits) = _keyed(docs, id_col, text_col), fresh(docs, "__id", "__fp", "__bits")
+    ki, kf = fresh(docs, "__kept_id", "__kept_fp")
+    named = bitmaps.select(F.col("id").alias(ki), F.col("fp").alias(kf), F.col("keep_bits").alias(bits))
+    keyed = docs.withColumns({own: i, own_fp: f})
+    return keyed.join(named, (F.col(own) == F.col(ki)) & (F.col(own_fp) == F.col(kf)), "left").select(*own_columns(docs), bits), bits
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The documents without the dropped lines, same columns; ``chars_col``, if there, is counted anew."""
+    """The documents without the dropped lines, same columns, whatever their names; ``chars_col``, if there, is counted anew.
+
+    Null texts stay null. A very long text is cut like any other; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def left(text, bits):
@@ -150,10 +158,11 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
 
         return pd.Series([t if b is None else kept_lines(t, b)[2] for t, b in zip(text, bits, strict=True)], dtype=object)
 
-    out = _with_bitmaps(docs, bitmaps, id_col, text_col).withColumn(text_col, left(F.col(text_col), F.col("__bits"))).drop("__bits")
+    out, bits = _with_bitmaps(docs, bitmaps, id_col, text_col)
+    out = out.withColumn(text_col, left(F.col(text_col), F.col(bits)))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*own_columns(docs))
 
 
 def _digest(batches):
@@ -168,13 +177,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_lines, n_dropped, kept_sha256.
 
     Null and empty texts are one empty line. Documents are told apart by id; rows that repeat an id count as
-    one document, and null ids count as one document below every other. A line that one document holds
+    one document, and null ids (and the smallest long) count as one document below every other. A line that one document holds
     several times stays or goes with all its repeats. Extra columns are ignored; an empty table gives an
     empty result.
     """
     bitmaps = line_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = _with_bitmaps(src, bitmaps, "doc_id", "text").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "__bits")
+    joined, bits = _with_bitmaps(src, bitmaps, "doc_id", "text")
+    joined = joined.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), bits)
     return joined.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string").withColumnRenamed("doc_id", id_col)
 
 

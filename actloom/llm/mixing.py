@@ -5,7 +5,7 @@ The words to take are cut into BLOCKS equal blocks. Sources get blocks by highes
 shard has an integer quota. A source has about one shard for 256 blocks: 4,096 shards plus one a source at
 most over all sources, so the quota tables are bounded by the sources, and a hot source has many shards.
 
-In a shard documents stand in a seeded order, cut into blocks of equal words. A quota takes the shard's whole stream as
+In a shard documents stand in a seeded order, cut into blocks of equal words; the rows of one id and text are counted first and go round the shards. A quota takes the shard's whole stream as
 often as it fits; of the last pass it selects as many blocks as are left, from a seeded block on and around the
 shard's end. As the order is seeded too, that is a uniform choice of blocks, and it cuts two documents a shard instead
 of two a block. Only ids and sizes are shuffled.
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, n_words, table
+from .common import fresh, load, n_words, own_columns, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -29,6 +29,7 @@ REPEAT = 2  # a document, and so a source, is taken twice at most
 BLOCKS = 1 << 20
 SHARD_BLOCKS = 256
 SEED = 17
+RUN = 10_000  # rows of one (id, text) that are opened at once
 
 
 def targets(sizes: list[int], weights=WEIGHTS, share: float = SHARE, most: float = REPEAT) -> list[float]:
@@ -91,8 +92,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = table(src, "sizes")
-    found = [(r.source, int(r["size"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).toLocalIterator()]
+    # rows of equal id and text are one row with their number, so that many of them are neither one sort nor one shard
+    sized = table(src.groupBy("id", "fp", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    found = [(r.source, int(r["size"])) for r in sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).toLocalIterator()]
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [s for _, s in found]
     aims = targets(sizes, weights, share)
@@ -105,9 +107,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "number int, source string, source_size long, target double, shards int",
     )
     named = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop("source")
-    dealt = table(named.withColumn("shard", F.pmod(F.xxhash64("id", "fp", F.lit(seed)), F.col("shards")).cast("int")), "dealt")
+    # the rows of one (id, text) go round the shards
+    home = F.pmod(F.xxhash64("id", "fp", F.lit(seed)), F.col("shards"))
+    turns = named.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.col("shards")) - 1)))
+    share = F.floor((F.col("n") - F.col("turn") + F.col("shards") - 1) / F.col("shards")).cast("long")
+    dealt = table(turns.withColumn("shard", ((home + F.col("turn")) % F.col("shards")).cast("int")).withColumn("n", share).drop("turn", "shards"), "dealt")
     per = {}
-    for r in dealt.groupBy("number", "shard").agg(F.sum("size").alias("size")).toLocalIterator():
+    for r in dealt.groupBy("number", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("size")).toLocalIterator():
         per.setdefault(r.number, []).append((r.shard, int(r["size"])))
     quotas = []
     for number, held in per.items():
@@ -117,7 +123,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         quotas += [(number, shard, s, *selected(s, REPEAT * s if whole else q * block, block, (number, shard, seed))) for (shard, s), q in zip(held, got, strict=True)]
     quotas = spark.createDataFrame(quotas, "number int, shard int, shard_size long, passes int, begin long, stop long")
     order = Window.partitionBy("number", "shard").orderBy(F.xxhash64("id", "fp", F.lit(seed + 1)), "id", "fp", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quotas, ["number", "shard"])
+    placed = dealt.withColumn("at", F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
+    # each row of a group has its own place: a group is opened in runs of bounded length
+    run = placed.withColumn("begin_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    run = run.withColumn("row", F.explode(F.sequence(F.col("begin_row"), F.least(F.col("begin_row") + RUN, F.col("n")) - 1)))
+    out = run.withColumn("at", F.col("at") + F.col("row") * F.col("size")).join(quotas, ["number", "shard"])
     # the selected words are [begin, stop); what lies past the shard's end goes on at its start
     beyond = F.col("stop") - F.col("shard_size")
     inside = lambda a, b: F.greatest(F.least(F.col("at") + F.col("size"), b) - F.greatest(F.col("at"), a), F.lit(0))
@@ -138,13 +148,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: each document as often as it is taken, whole, with the columns of ``docs``.
 
     Rows of equal id and text share their copies evenly, rounded down. Documents without a word take part like
-    others. An empty table gives an empty result.
+    others; a very long text comes whole or not at all. Columns keep their values, whatever their names. An empty
+    table gives an empty result.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    plan = plan.select("__id", "__fp", F.floor(F.col("__copies") / F.col("__rows")).cast("int").alias("__times")).filter("__times > 0")
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(plan, keyed[id_col].cast("long").eqNullSafe(plan["__id"]) & (keyed["__key"] == plan["__fp"]))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__time")).select(*docs.columns)
+    i, f, own, times, one = fresh(docs, "__id", "__fp", "__own", "__times", "__time")
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias(i), F.col("fp").alias(f)).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = plan.select(i, f, F.floor(F.col("copies") / F.col("rows")).cast("int").alias(times)).filter(F.col(times) > 0)
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(f)))
+    return joined.select(*own_columns(docs), F.explode(F.array_repeat(F.lit(1), F.col(times))).alias(one)).select(*own_columns(docs))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ the group's leader, which settles groups of one part, and all copies of a leader
 several components are left in a group of several parts, the texts outside its largest component, in blocks, meet
 all its texts, in blocks; texts of the largest one are not compared with one another again. A task compares texts until
 they are known to be in one component and gives a spanning forest of the links that hold. Components are then found
-over these links only. Texts of the same words are one node, and texts without a candidate are never sent for
-verification.
+over these links only. Texts of the same words are one node. Rows lie in compressed batches in the shared folder
+(:mod:`.batches`): texts of candidates are fetched by address, and rows that go are told to their batches, so texts without a
+candidate never move, whatever the numbers.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import Rows, bodies_of, each_batch, fetched
 from .common import drop_table, shingle_hashes, small_batches, table, word_pieces
 from .components import components
 from .simhash_dedup import _LOWER, RADIUS, SEED, fingerprint, linked
@@ -28,7 +30,6 @@ WORDS = 5
 ALIKE = (4, 5)  # similarity from which texts are near copies, as a fraction
 BANDS, ROWS = 32, 8
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
-BROADCAST_ROWS = 1_000_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,24 +52,35 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[i * ROWS * 8 : (i + 1) * ROWS * 8], i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _scan(batches):
+def _scan(batch_id, meta, ends, buf):
+    """Address, row number and id of each text with what its candidates are found by."""
     import hashlib
 
     import pyarrow as pa
 
-    for batch in batches:
-        keys, prints, cut, sizes = [], [], [], []
-        for body in batch.column(2).to_pylist():
-            key = hashlib.blake2b(b" ".join(body.translate(_LOWER).split()), digest_size=16).digest()
-            keys.append(np.frombuffer(key, np.int64))
-            prints.append(fingerprint(body))
-            cut.append(bands(shingles(body)))
-            sizes.append(len(body))
-        both = np.array(keys, np.int64).reshape(-1, 2)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *cut])))
-        cols = [batch.column(0), batch.column(1), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
-        yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "hi", "lo", "fp", "size", "bands"])
+    keys, prints, cut, sizes = [], [], [], []
+    for row in range(meta.num_rows):
+        body = bodies_of(ends, buf, [row])[0]
+        key = hashlib.blake2b(b" ".join(body.translate(_LOWER).split()), digest_size=16).digest()
+        keys.append(np.frombuffer(key, np.int64))
+        prints.append(fingerprint(body))
+        cut.append(bands(shingles(body)))
+        sizes.append(len(body))
+    both = np.array(keys, np.int64).reshape(-1, 2)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
+    return pa.table(
+        {
+            "batch_id": pa.array(np.full(meta.num_rows, batch_id, np.int64)),
+            "row": pa.array(np.arange(meta.num_rows, dtype=np.int32)),
+            "rid": meta.column("rid"),
+            "id": meta.column("id"),
+            "hi": pa.array(both[:, 0].copy()),
+            "lo": pa.array(both[:, 1].copy()),
+            "fp": pa.array(np.array(prints, np.uint64).view(np.int64)),
+            "size": pa.array(sizes, pa.int64()),
+            "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *cut]))),
+        }
+    )
 
 
 def verified_forest(sets: list[np.ndarray], alike=ALIKE, joined: int = 0):
@@ -199,30 +211,20 @@ def near_copy_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay: one of each group of near copies.
 
     That is the row with the smallest id, null ids last; rows of one id and equal words are copies like any
-    others, so one of them stays. Null and empty texts are copies of each other. An empty table gives an empty
-    result and the columns are those of ``docs``.
+    others, so one of them stays. Null and empty texts are copies of each other. A very long text is a batch alone. An empty
+    table gives an empty result; the columns are those of ``docs``, whatever their names.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    # row numbers are written, so that all later reads agree on them
-    src = table(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
-    body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    scan = src.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), body.alias("body")).mapInArrow(_scan, "rid long, id long, hi long, lo long, fp long, size long, bands array<long>")
-    scanned = table(scan, "scanned")
+    small_batches(docs.sparkSession)
+    # row numbers are written with the rows, so that all later reads agree on them
+    rows = Rows(docs, text_col, {"id": F.col(id_col).cast("long"), "rid": F.monotonically_increasing_id()})
+    scanned = table(rows.batches.mapInArrow(each_batch(_scan), "batch_id long, row int, rid long, id long, hi long, lo long, fp long, size long, bands array<long>"), "scanned")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     lows = scanned.groupBy("hi", "lo").agg(F.min(place).alias("best")).select("best", F.col("best.rid").alias("rid"))
     nodes = table(lows.join(scanned.drop("id", "hi", "lo"), "rid").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = table(candidate_groups(nodes, radius).join(nodes.select("node", "rid"), "node"), "members")
-    # the texts of candidates alone are moved: a row number for each, broadcast if their number allows it
-    texts = table(src.select(F.col("__rid").alias("rid"), body.alias("body")).join(_small(members.select("rid")), "rid"), "texts")
-    roots = components(verified_links(members, texts))
+    members = table(candidate_groups(nodes, radius).join(nodes.select("node", "rid", "batch_id", "row"), "node"), "members")
+    texts = table(fetched(rows.batches, members.select("batch_id", "row"), "rid long, body binary"), "texts")
+    roots = components(verified_links(members.drop("batch_id", "row"), texts))
     drop_table(texts)
     named = nodes.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     keep = table(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid")), "keep")
-    gone = table(scanned.select("rid").join(keep, "rid", "left_anti"), "gone")
-    return src.join(_small(gone.select(F.col("rid").alias("__rid"))), "__rid", "left_anti").select(*docs.columns)
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    """Row numbers, to be broadcast if they are counted to be at most BROADCAST_ROWS, and joined by a shuffle else."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return rows.without(scanned.select("batch_id", "row", "rid").join(keep, "rid", "left_anti"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import column, each_batch, meta_rows, pack_batches, rows_of, text_bytes, with_replies
-from .common import drop_table, load, small_batches, table
+from .common import drop_table, fresh, load, own_columns, small_batches, table
 
 ORDER = 5  # 7 at most, as an n-gram is a positive long
 BATCH_BYTES = 32 << 20
@@ -257,8 +257,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier keeps, with their columns."""
-    kept = quality_scores(docs, labels, id_col, text_col).filter("kept").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__fp": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    same = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__fp"] == kept["__fp"])
-    return keyed.join(kept, same, "left_semi").select(*docs.columns)
+    """The documents that the classifier keeps, with their columns, whatever their names.
+
+    Null and empty texts have no perplexity and go; rows of one id and text have one verdict. A very long text is scored
+    whole. An empty table gives an empty result.
+    """
+    i, f, ki, kf = fresh(docs, "__id", "__fp", "__kept_id", "__kept_fp")
+    kept = quality_scores(docs, labels, id_col, text_col).filter("kept").select(F.col("id").alias(ki), F.col("fp").alias(kf)).distinct()
+    keyed = docs.withColumns({i: F.col(id_col).cast("long"), f: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(kept, F.col(i).eqNullSafe(F.col(ki)) & (F.col(f) == F.col(kf)), "left_semi").select(*own_columns(docs))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small_batches, table, word_pieces
+from .common import PIECE, fresh, load, own_columns, small_batches, table, word_pieces
 
 LINE_DOCS = 20  # a line may stand in so many documents of a host
 KEEP_SHARE = 0.5  # of its words that a document must keep
@@ -28,59 +28,121 @@ _BLANK = b" \t\n\v\f\r"
 
 def repeated_words(words: list) -> int:
     """Words that lie in a 3-word window found twice or more, its first finding included."""
-    number: dict = {}
-    return _repeated(np.array([number.setdefault(w, len(number)) for w in words], np.int64), len(number))
+    return _repeated(_hashed(words))
 
 
-def _repeated(ids: np.ndarray, size: int) -> int:
-    """The same for numbered words, of which ``size`` differ."""
-    n = len(ids)
+def _hashed(words: list) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def _repeated(hashes: np.ndarray) -> int:
+    """The same for words' 64-bit hashes. Windows are equal if their mixed hashes are."""
+    n = len(hashes)
     if n < 4:
         return 0
-    pair = ids[:-1] * size + ids[1:]
-    if size > 2_000_000:  # the product of three would not fit 63 bits
-        pair = np.unique(pair, return_inverse=True)[1]
-    code = pair[:-1] * size + ids[2:]
-    order = np.argsort(code, kind="stable")
-    same = code[order[1:]] == code[order[:-1]]
-    if not same.any():
+    code = hashes[:-2] + hashes[1:-1] * _MIX[0] + hashes[2:] * _MIX[1]
+    ordered = np.sort(code)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
         return 0
-    twice = np.zeros(n - 2, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    del ordered
+    found = np.isin(code, twice)
     covered = np.zeros(n, bool)
     for i in range(3):
-        covered[i : n - 2 + i] |= twice
+        covered[i : n - 2 + i] |= found
     return int(covered.sum())
 
 
+def _line_pieces(body: bytes):
+    """The lines of a text, in lists of about PIECE bytes."""
+    begin = 0
+    while True:
+        stop = body.find(b"\n", begin + PIECE)
+        if stop < 0:
+            yield body[begin:].split(b"\n")
+            return
+        yield body[begin:stop].split(b"\n")
+        begin = stop + 1
+
+
+def _digests(lines: list) -> bytes:
+    return b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in lines])
+
+
+def _pairs(packed: list[bytes]) -> np.ndarray:
+    """Digests of 16 bytes as (hi, lo) records, which numpy puts in order."""
+    return np.frombuffer(b"".join(packed), [("hi", ">i8"), ("lo", ">i8")])
+
+
 def base_counts(body: bytes):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of one text."""
-    number: dict = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in word_pieces(body)]
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    lines = [x for x in body.split(b"\n") if x.strip()]
-    return len(ids), len(body.translate(None, _BLANK + _CONTINUATION)), len(body) - len(body.translate(None, SYMBOLS)), len(lines) - len(set(lines)), _repeated(ids, len(number))
+    hashes = [_hashed(words) for words in word_pieces(body)]
+    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    whole = _pairs([_digests([x for x in lines if x.strip()]) for lines in _line_pieces(body)])
+    repeats = len(whole) - len(np.unique(whole)) if len(whole) > 1 else 0
+    return len(hashes), len(body.translate(None, _BLANK + _CONTINUATION)), len(body) - len(body.translate(None, SYMBOLS)), repeats, _repeated(hashes)
+
+
+def text_lines(body: bytes):
+    """Distinct normalised lines of a text as columns: hi, lo, words of all their places, and those places, packed.
+
+    Lines are taken in pieces and kept as numbers, so a text of many short lines takes some times its size.
+    """
+    packed, words, places, at = [], [], [], 0
+    for lines in _line_pieces(body):
+        split = [x.lower().split() for x in lines]
+        some = np.fromiter((len(w) for w in split), np.int64, len(split))
+        packed.append(_digests([b" ".join(w) for w in split if w]))
+        words.append(some[some > 0])
+        places.append((np.flatnonzero(some) + at).astype(np.int32))
+        at += len(lines)
+    keys, words, places = _pairs(packed), np.concatenate(words), np.concatenate(places)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(words[order], first) if len(first) else np.zeros(0, np.int64)
+    return keys["hi"][first].astype(np.int64), keys["lo"][first].astype(np.int64), sums, np.concatenate([first, [len(keys)]]), places[order]
+
+
+LINES = 20_000  # lines in one row of the scan; a text with more has several rows
 
 
 def _scan(batches):
+    """One row a text with its counts, and its lines in that row and, where they are many, in rows that have lines only."""
     import pyarrow as pa
 
-    line_type = pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("words", pa.int64()), ("pos", pa.binary())]))
     for batch in batches:
-        rows, lines = [], []
-        for body in batch.column("body").to_pylist():
-            rows.append(base_counts(body))
-            held: dict[bytes, list] = {}
-            for at, line in enumerate(body.split(b"\n")):
-                if words := line.lower().split():
-                    x = held.setdefault(hashlib.blake2b(b" ".join(words), digest_size=16).digest(), [0, []])
-                    x[0] += len(words)
-                    x[1].append(at)
-            lines.append([{"hi": int.from_bytes(h[:8], "big", signed=True), "lo": int.from_bytes(h[8:], "big", signed=True), "words": n, "pos": np.array(at, np.int32).tobytes()} for h, (n, at) in held.items()])
-        counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        named = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ROW), *counts, pa.array(lines, line_type)], names=[*_ROW, *named])
+        held = [batch.column(c).to_pylist() for c in (*_ROW, "body")]
+        rows, parts, n = [], [], 0
+
+        def out(rows, parts):
+            hi, lo, words, sizes, places = ([p[k] for p in parts] for k in range(5))
+            lengths = np.concatenate([np.zeros(1, np.int64), *sizes])
+            binary = pa.BinaryArray.from_buffers(pa.binary(), len(lengths) - 1, [None, pa.py_buffer((4 * np.cumsum(lengths)).astype(np.int32).tobytes()), pa.py_buffer(np.concatenate([np.zeros(0, np.int32), *places]).tobytes())])
+            flat = pa.StructArray.from_arrays([*(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (hi, lo, words)), binary], names=["hi", "lo", "words", "pos"])
+            offsets = pa.array(np.cumsum([0, *(len(x) for x in hi)]).astype(np.int32))
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 5)
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat)], names=[*_ROW, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+
+        for *row, body in zip(*held, strict=True):
+            counts = base_counts(body)
+            hi, lo, words, bounds, places = text_lines(body)
+            for begin in range(0, max(1, len(hi)), LINES):
+                stop = min(begin + LINES, len(hi))
+                rows.append((*row, *(counts if begin == 0 else [None] * 5)))
+                parts.append((hi[begin:stop], lo[begin:stop], words[begin:stop], np.diff(bounds[begin : stop + 1]), places[bounds[begin] : bounds[stop]]))
+                n += stop - begin
+                if n >= LINES:
+                    yield out(rows, parts)
+                    rows, parts, n = [], [], 0
+        if rows:
+            yield out(rows, parts)
 
 
 _ROW = ("rid", "id", "host", "fp")
@@ -111,7 +173,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_doc
     lines = scanned.select("rid", "id", "fp", "host", F.explode("lines").alias("x")).select("rid", "id", "fp", "host", "x.*")
     removed = lines.join(above, ["host", "hi", "lo"], "left_semi").select("rid", "id", "fp", "words", "pos")
     lost = removed.groupBy("rid").agg(F.sum("words").alias("n_removed_words"))
-    out = scanned.drop("lines", "host").join(lost, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    out = scanned.filter("n_words IS NOT NULL").drop("lines", "host").join(lost, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed_words") < keep_share * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted), removed
@@ -139,8 +201,9 @@ def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out, removed = _judged(docs, id_col, text_col, host_col, line_docs, keep_share)
     kept = out.filter("kept").select("rid", "id", "fp")
     gone = removed.groupBy("rid").agg(F.collect_list("pos").alias("pos"))
-    plan = kept.join(gone, "rid", "left").groupBy("id", "fp").agg(F.first("pos").alias("__pos")).withColumnsRenamed({"id": "__id", "fp": "__fp"})
-    keyed = docs.withColumns({"__own": F.col(id_col).cast("long"), "__print": _fingerprint(text_col, host_col)})
+    i, f, own, own_fp, at = fresh(docs, "__id", "__fp", "__own", "__print", "__pos")
+    plan = kept.join(gone, "rid", "left").groupBy("id", "fp").agg(F.first("pos").alias(at)).withColumnsRenamed({"id": i, "fp": f})
+    keyed = docs.withColumns({own: F.col(id_col).cast("long"), own_fp: _fingerprint(text_col, host_col)})
 
     @F.pandas_udf("string")
     def left(text, positions):
@@ -152,8 +215,8 @@ def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return pd.Series([t if p is None else cut(t, p) for t, p in zip(text, positions, strict=True)], dtype=object)
 
-    joined = keyed.join(plan, keyed["__own"].eqNullSafe(plan["__id"]) & (keyed["__print"] == plan["__fp"]))
-    return joined.withColumn(text_col, left(F.col(text_col), F.col("__pos"))).select(*docs.columns)
+    joined = keyed.join(plan, F.col(own).eqNullSafe(F.col(i)) & (F.col(own_fp) == F.col(f)))
+    return joined.withColumn(text_col, left(F.col(text_col), F.col(at))).select(*own_columns(docs))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

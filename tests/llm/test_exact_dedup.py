@@ -80,7 +80,7 @@ KEYS = {
 
 
 @pytest.mark.parametrize("name", KEYS)
-@pytest.mark.parametrize("options", [{}, {"capacity": 2, "hot": 3, "broadcast_keys": 0}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 2, "hot": 3}])
 def test_groups_equal_brute_force(spark, name, options):
     rows = documents()
     groups = {}

@@ -59,7 +59,6 @@ def test_links_are_those_of_brute_force(spark, monkeypatch):
     want = sorted((min((rows[i][0], rows[i][1]) for i in g) for g in groups(rows)), key=str)
     assert stay(spark, rows) == want
     monkeypatch.setattr(near_copies, "BLOCK_TEXTS", 3)  # groups cut into parts and blocks give the same rows
-    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)  # and so do joins by a shuffle
     assert stay(spark, rows) == want
 
 
