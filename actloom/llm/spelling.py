@@ -29,6 +29,7 @@ DROP_EVERY = 31  # the query deletes a code point from one in so many (document,
 SHARD_WORDS = 500_000
 SHARD_CHARS = 8_000_000
 ROUND_BYTES = 48 << 20
+TASK_WORDS = 20_000  # words that a task of a round intersects
 COUNTED = 300_000  # words counted in a task before they are sent on
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -261,11 +262,12 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     """
     spark = vocabulary.sparkSession
     shards = table(vocabulary.select("word", "n").repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_shards, "start string, size long, trie binary"), "tries", "uncompressed")
+    tasks = max(1, -(-vocabulary.count() // TASK_WORDS))
     parts = []
     for starts in rounds_of([(r.start, r["size"]) for r in shards.select("start", "size").orderBy("start").toLocalIterator()]):
         held = shards.filter(F.col("start").isin(starts)).select("trie").collect()  # ROUND_BYTES at most
         shared = spark.sparkContext.broadcast([bytes(r.trie) for r in held])
-        parts.append(table(vocabulary.select("word").mapInArrow(_intersect(shared), "word string, near long, best long, form string"), "near"))
+        parts.append(table(vocabulary.select("word").repartition(tasks).mapInArrow(_intersect(shared), "word string, near long, best long, form string"), "near"))
         shared.destroy()
     drop_table(shards)
     if not parts:
