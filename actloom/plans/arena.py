@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .numbering import numbered
 
 BUDGET = 6
@@ -54,6 +55,48 @@ def replay(moves: DataFrame, key: str, order: list[str], budget: int = BUDGET) -
     return folded.select(key, state.alias("s")).select(key, "s.*")
 
 
+TEXT_STATE = "struct<phase:string,budget:int,observations:array<string>,requests:array<string>,commitments:array<string>,last_role:string,moves:int>"
+
+
+def text_transition(state: Column, move: Column) -> Column:
+    """As :func:`transition`, with the lists themselves: ids of observations, texts of requests and commitments.
+
+    A move has role, status, action_type, observation, requests and commitments; blank texts are left out.
+    """
+    ok = F.coalesce(move["status"] == "ok", F.lit(False))
+    asks = (move["role"] == "Reviewer") & move["action_type"].isin("request", "clarification")
+    author = move["role"] == "Author"
+    phase = F.when(asks, F.lit("EvidencePending")).when(author, F.lit("Negotiation")).otherwise(state["phase"])
+    closes = F.coalesce(move["action_type"] == "close", F.lit(False)) | (state["budget"] <= 1)
+    told = lambda name: F.filter(F.coalesce(move[name], F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    none = F.array().cast("array<string>")
+    after = F.struct(
+        F.when(closes, F.lit("Closed")).otherwise(phase).alias("phase"),
+        F.greatest(state["budget"] - 1, F.lit(0)).alias("budget"),
+        F.when(ok, F.concat(state["observations"], F.array(move["observation"]))).otherwise(state["observations"]).alias("observations"),
+        F.when(author & ok, none).otherwise(F.concat(state["requests"], told("requests"))).alias("requests"),
+        F.concat(state["commitments"], told("commitments")).alias("commitments"),
+        move["role"].alias("last_role"),
+        (state["moves"] + 1).alias("moves"),
+    )
+    return F.when(state["phase"] == "Closed", state).otherwise(after)
+
+
+def summaries(moves: DataFrame, key: str, order: list[str], budget: int = BUDGET) -> DataFrame:
+    """Each thread's summary after its moves: phase, budget, ids of observations, open requests and commitments as texts.
+
+    A thread ends at its budget, so its first ``budget`` moves are gathered, as in :func:`replay`.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    kept = moves.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= (budget or BUDGET))
+    row = F.struct(F.col("__n"), *[F.col(c) for c in ("role", "status", "action_type", "observation", "requests", "commitments")])
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit("Open").alias("phase"), F.lit(budget or BUDGET).alias("budget"), none.alias("observations"), none.alias("requests"), none.alias("commitments"), F.lit(None).cast("string").alias("last_role"), F.lit(0).alias("moves"))
+    folded = kept.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("m"))
+    state = F.aggregate("m", start.cast(TEXT_STATE), lambda s, m: text_transition(s, m).cast(TEXT_STATE))
+    return folded.select(key, state.alias("s")).select(key, "s.*")
+
+
 def _schedule_order(order: str) -> list[Column]:
     value = lambda c, names, low: F.coalesce(*[F.when(F.col(c) == n, F.lit(v)) for n, v in names.items()], F.lit(low))
     return [F.desc(value("phase", {"Open": 3, "EvidencePending": 2, "Negotiation": 1}, 0)), F.desc(value("severity", {"high": 3, "medium": 2, "low": 1}, 1)), F.col(order)]
@@ -147,8 +190,9 @@ def run_rounds(threads: DataFrame, max_rounds: int = BUDGET, per_round: int | No
     """Events of a run: threads (issue_id, pos, status of their evidence) play by the stub policy.
 
     Without ``per_round`` every active thread moves in each round, so a run is a fold inside each thread's row.
-    With it, each round's first active threads by ``pos`` move; rounds are few, and only the selected ids of a
-    round meet the threads. Gives issue_id, the event's fields and the thread's status.
+    With it, each round's first active threads by ``pos`` move. Rounds are few; only the selected ids of a round meet the
+    threads, and what a round leaves is written, so the next one reads it once. Gives issue_id, the event's fields
+    and the thread's status.
     """
     rows = threads.select("issue_id", "pos", "status").withColumn("state", start_state(phase=phase).cast(STATE))
     if not per_round:
@@ -165,28 +209,25 @@ def run_rounds(threads: DataFrame, max_rounds: int = BUDGET, per_round: int | No
         active = rows.filter((F.col("state.phase") != "Closed") & (F.col("state.budget") > 0))
         chosen = active.orderBy("pos", "issue_id").limit(per_round).select("issue_id", F.lit(True).alias("plays"))
         after, event = _play(F.col("state"), F.col("status"), F.lit(i))
-        rows = rows.join(chosen, "issue_id", "left").withColumn("event", F.when(F.col("plays"), event)).withColumn("state", F.when(F.col("plays"), after).otherwise(F.col("state"))).drop("plays")
-        now = rows.filter("event is not null").select("issue_id", "status", "event.*")
+        played = rows.join(chosen, "issue_id", "left").withColumn("event", F.when(F.col("plays"), event)).withColumn("state", F.when(F.col("plays"), after).otherwise(F.col("state"))).drop("plays")
+        played = written(played, "round")
+        now = played.filter("event is not null").select("issue_id", "status", "event.*")
         events = now if events is None else events.unionAll(now)
-        rows = rows.drop("event")
+        rows = played.drop("event")
     return events
 
 
 def demo_ledger(moves: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The demo's ledger: requests are numbered and never cleared, an author without evidence commits, and closing
     needs evidence. Rows (role, intent, status); gives phase and the three counts."""
-    start = F.struct(F.lit("Open").alias("phase"), F.lit(0).alias("observations"), F.lit(0).alias("requests"), F.lit(0).alias("commitments"))
-
-    def step(s, m):
-        ok, author = F.coalesce(m["status"] == "ok", F.lit(False)), m["role"] == "Author"
-        asks = (m["role"] == "Reviewer") & (m["intent"] == "RequestEvidence")
-        closes = (m["role"] == "Reviewer") & (m["intent"] == "CloseIssue") & ok
-        phase = F.when(closes, F.lit("Closed")).when(author, F.lit("Negotiation")).when(asks, F.lit("EvidencePending")).otherwise(s["phase"])
-        return F.struct(phase.alias("phase"), (s["observations"] + (author & ok).cast("int")).alias("observations"), (s["requests"] + asks.cast("int")).alias("requests"), (s["commitments"] + (author & ~ok).cast("int")).alias("commitments"))
-
-    row = F.struct(*order, "role", "intent", "status")
-    folded = moves.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("m"))
-    return folded.select(key, F.aggregate("m", start, step).alias("s")).select(key, "s.*")
+    ok, author = F.coalesce(F.col("status") == "ok", F.lit(False)), F.col("role") == "Author"
+    asks = (F.col("role") == "Reviewer") & (F.col("intent") == "RequestEvidence")
+    closes = (F.col("role") == "Reviewer") & (F.col("intent") == "CloseIssue") & ok
+    phase = F.when(closes, F.lit("Closed")).when(author, F.lit("Negotiation")).when(asks, F.lit("EvidencePending"))
+    # no move reads the state: the phase is that of the last move that sets one, and counts add up
+    last = F.max_by(phase, F.when(phase.isNotNull(), F.struct(*order)))
+    count = lambda c: F.count_if(c).cast("int")
+    return moves.groupBy(key).agg(F.coalesce(last, F.lit("Open")).alias("phase"), count(author & ok).alias("observations"), count(asks).alias("requests"), count(author & ~ok).alias("commitments"))
 
 
 def fixed_rounds(threads: DataFrame, key: str) -> DataFrame:

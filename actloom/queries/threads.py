@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans import arena, grounding
 from ..sources.scratch import scratch
-from ..streaming.ledger import ledgers, windowed_status
+from ..streaming import ledger
+from ..streaming.ledger import kept_by_batch, ledgers, windowed_status
 from ..views import view
 from .acts import ROUTED
 
@@ -51,13 +52,65 @@ def _streamed(s, d):
     source, out, check = (scratch(s, n) for n in ("moves", "states", "progress"))
     view(s, d, "moves").write.parquet(source)
     stream = ledgers(s.readStream.schema(s.read.parquet(source).schema).parquet(source), order=["ts", "event_id"])
-    keep = lambda states, number: states.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+    keep = lambda states, number: kept_by_batch(states, number, out)
     stream.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     states = s.read.parquet(out)
     rest = [c for c in states.columns if c not in ("thread_id", "batch")]
     return states.groupBy("thread_id").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select("thread_id", "x.*")
 
 
+#: Moves with the texts of what they ask for and promise.
+_TEXTS = """SELECT *, 'O' || event_id AS observation, CASE WHEN n_requests > 0 THEN ['request ' || event_id, ''] ELSE [] END AS requests,
+  CASE WHEN n_commitments > 0 THEN ['commitment ' || event_id] ELSE [] END AS commitments FROM moves"""
+_SUMMARY = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ts, event_id) AS n FROM ({_TEXTS})),
+f AS (
+  SELECT thread_id, 0::BIGINT AS n, 'Open' AS phase, 6 AS budget, []::VARCHAR[] AS observations, []::VARCHAR[] AS requests, []::VARCHAR[] AS commitments, NULL::VARCHAR AS last_role, 0 AS moves FROM m WHERE n = 1
+  UNION ALL
+  SELECT m.thread_id, m.n, CASE WHEN action_type = 'close' OR budget <= 1 THEN 'Closed' WHEN role = 'Reviewer' AND action_type IN ('request', 'clarification') THEN 'EvidencePending' WHEN role = 'Author' THEN 'Negotiation' ELSE phase END,
+    greatest(budget - 1, 0), CASE WHEN status = 'ok' THEN list_append(f.observations, m.observation) ELSE f.observations END,
+    CASE WHEN role = 'Author' AND status = 'ok' THEN [] ELSE list_concat(f.requests, list_filter(m.requests, lambda x: x <> '')) END, list_concat(f.commitments, m.commitments), role, f.moves + 1
+  FROM f JOIN m ON m.thread_id = f.thread_id AND m.n = f.n + 1 WHERE phase <> 'Closed')
+SELECT thread_id, phase, budget, array_to_string(observations, '|') AS observations, array_to_string(requests, '|') AS requests, array_to_string(commitments, '|') AS commitments, last_role, moves
+FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY n DESC) AS r FROM f) WHERE r = 1"""
+
+
+def _with_texts(s, d):
+    m, some = view(s, d, "moves"), F.array().cast("array<string>")
+    text = lambda what: F.concat(F.lit(what + " "), F.col("event_id").cast("string"))
+    asks = F.when(F.col("n_requests") > 0, F.array(text("request"), F.lit(""))).otherwise(some)
+    return m.withColumns({"observation": F.concat(F.lit("O"), F.col("event_id").cast("string")), "requests": asks, "commitments": F.when(F.col("n_commitments") > 0, F.array(text("commitment"))).otherwise(some)})
+
+
+def _joined(df):
+    return df.select("thread_id", "phase", "budget", *[F.array_join(c, "|").alias(c) for c in ledger.LISTS], "last_role", "moves")
+
+
+@query("t02_summaries", _SUMMARY)
+def _summaries(s, d):
+    return _joined(arena.summaries(_with_texts(s, d), "thread_id", ["ts", "event_id"]))
+
+
+@query("t04_streamed_summaries", _SUMMARY)
+def _streamed_summaries(s, d):
+    """The stateful operator with list states, over the moves as a stream of two micro-batches by time and a restart."""
+    source, out, check = (scratch(s, n) for n in ("moves", "states", "progress"))
+    rows = _with_texts(s, d)
+    cut = rows.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("cut"))  # one row
+    name, store = "spark.sql.streaming.stateStore.providerClass", s.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in ("ts <= cut", "ts > cut"):  # the second run goes on from the first one's checkpoint
+            rows.crossJoin(F.broadcast(cut)).filter(part).drop("cut").write.mode("append").parquet(source)
+            stream = ledger.summaries(s.readStream.schema(rows.schema).parquet(source), order=["ts", "event_id"])
+            keep = lambda states, number: kept_by_batch(states, number, out)
+            stream.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.unset(name) if store is None else s.conf.set(name, store)
+    states = s.read.parquet(out)
+    rest = [c for c in states.columns if c not in ("thread_id", "batch")]
+    return _joined(states.groupBy("thread_id").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select("thread_id", "x.*"))
+
+
 @query("t03_next_role", f"WITH {_REPLAY.strip()} SELECT thread_id, CASE WHEN phase = 'Negotiation' AND coalesce(last_role, '') <> 'Author' THEN 'Author' ELSE 'Reviewer' END AS next_role FROM ({_FINAL})")
 def _next(s, d):
     return _states(s, d).select("thread_id", arena.next_role(F.col("phase"), F.col("last_role")).alias("next_role"))

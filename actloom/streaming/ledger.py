@@ -51,3 +51,56 @@ def windowed_status(moves: DataFrame, ts: str = "ts", length: str = "1 hour", la
     """Statuses in tumbling windows with a watermark; works on a stream and on a table."""
     each = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "missing", "fail")]
     return moves.withWatermark(ts, late).groupBy(F.window(ts, length)).agg(*each).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_ok", "n_missing", "n_fail")
+
+
+LISTS = ("observations", "requests", "commitments")
+SUMMARY = "phase string, budget int, observations array<string>, requests array<string>, commitments array<string>, last_role string, moves int"
+
+
+def summaries(moves: DataFrame, key: str = "thread_id", order: list[str] | None = None, budget: int = BUDGET) -> DataFrame:
+    """The summaries of :func:`..plans.arena.summaries` over a stream (update mode).
+
+    A thread's state is one value (phase, budget, last role, moves) and three lists, each in the state store on its
+    own, so that a move appends and reads back no list that it does not change. Needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    order = order or ["event_id"]
+    kind = moves.schema[key].dataType.simpleString()
+
+    class Ledger(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.head = handle.getValueState("head", "phase string, budget int, last_role string, moves int")
+            self.lists = {n: handle.getListState(n, "text string") for n in LISTS}
+
+        def handleInputRows(self, k, rows, timers):
+            import pandas as pd
+
+            phase, budget_left, last_role, count = self.head.get() if self.head.exists() else ("Open", budget, None, 0)
+            for move in pd.concat(list(rows)).sort_values(order).itertuples(index=False):
+                if phase == "Closed":
+                    break
+                ok = move.status == "ok"
+                if ok:
+                    self.lists["observations"].appendValue((move.observation,))
+                if ok and move.role == "Author":
+                    self.lists["requests"].clear()
+                new = {n: [(t,) for t in (getattr(move, n) if getattr(move, n) is not None else ()) if t] for n in LISTS[1:]}
+                if new["requests"] and not (ok and move.role == "Author"):
+                    self.lists["requests"].appendList(new["requests"])
+                if new["commitments"]:
+                    self.lists["commitments"].appendList(new["commitments"])
+                phase, budget_left, _, _, _, last_role, count = step((phase, budget_left, 0, 0, 0, last_role, count), move.role, move.status, move.action_type, 0, 0)
+            self.head.update((phase, int(budget_left), last_role, int(count)))
+            told = {n: [[r[0] for r in self.lists[n].get()] if self.lists[n].exists() else []] for n in LISTS}
+            yield pd.DataFrame({key: [k[0]], "phase": [phase], "budget": [int(budget_left)], **told, "last_role": [last_role], "moves": [int(count)]})
+
+        def close(self) -> None:
+            pass
+
+    return moves.groupBy(key).transformWithStateInPandas(Ledger(), f"{key} {kind}, {SUMMARY}", "Update", "None")
+
+
+def kept_by_batch(states: DataFrame, number: int, path: str) -> None:
+    """Writes a micro-batch under its number; a batch that is tried again replaces what it wrote."""
+    states.write.mode("overwrite").parquet(f"{path}/batch={number}")
