@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import corpus_stats
-from ..sources import readers, sinks
+from ..sources import push, readers, sinks
 from ..sources.scratch import rename_part, scratch
 from ..views import view
 
@@ -51,6 +51,35 @@ def _sniff(s, d):
     return readers.sniff_records(s, path, "n_nationkey int, n_name string")
 
 
+@query("s02_mixed_layouts", "SELECT c_custkey, c_name FROM customer")
+def _mixed(s, d):
+    """A folder of three layouts: an array over many lines, JSON lines, and one object over many lines."""
+    root, rows = scratch(s, "mixed"), view(s, d, "customer").select("c_custkey", "c_name")
+    first = rows.agg(F.min("c_custkey").alias("low"))  # one row
+    parts = rows.crossJoin(F.broadcast(first))
+    lines = parts.filter("c_custkey % 2 = 1 AND c_custkey <> low").select(F.to_json(F.struct("c_custkey", "c_name")).alias("value"))
+    lines.write.text(f"{root}/lines")
+    one = parts.filter("c_custkey = low").select(F.to_json(F.struct("c_custkey", "c_name"), {"pretty": "true"}).alias("value"))
+    one.coalesce(1).write.text(f"{root}/object")
+    # each task's rows are one array: bracket, rows with commas before all but the first, bracket
+    kept = parts.filter("c_custkey % 2 = 0 AND c_custkey <> low").select(F.to_json(F.struct("c_custkey", "c_name")).alias("value"))
+
+    def framed(batches):
+        import pyarrow as pa
+
+        sep = "["
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out += [sep, value]
+                sep = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if sep == "[" else "]"])], names=["value"])
+
+    kept.mapInArrow(framed, "value string").write.text(f"{root}/array")
+    return readers.sniff_records(s, f"{root}/*", "c_custkey long, c_name string")
+
+
 @query("k03_document", "SELECT count(*) AS n, min(c_custkey) AS low, max(c_custkey) AS high FROM customer")
 def _document(s, d):
     report = sinks.document(view(s, d, "customer").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")))
@@ -172,6 +201,52 @@ def _pages(s, d):
     return readers.page_counts(s, f"{root}/*.pdf").select(F.url_decode("ctx").alias("ctx"), "pages")
 
 
+@query("s10_compressed_pages", "SELECT n_name AS ctx, (1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey))::INTEGER AS pages FROM nation")
+def _compressed_pages(s, d):
+    """A file a nation, with a page a customer and one more: a nested page tree inside compressed object streams."""
+    root, made = scratch(s, "papers"), scratch(s, "made")
+    counts = view(s, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = view(s, d, "nation").join(counts, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("pages"))
+
+    @F.pandas_udf("string")
+    def pdf(pages):
+        return pages.map(_pdf)
+
+    rows.select(F.url_encode("n_name").alias("ctx"), pdf("pages").alias("value")).repartition("ctx").write.partitionBy("ctx").text(made)
+    for r in rows.select(F.url_encode("n_name").alias("ctx")).collect():
+        rename_part(s, f"{made}/ctx={r.ctx}", f"{root}/{r.ctx}.pdf")
+    return readers.page_counts(s, f"{root}/*.pdf").select(F.url_decode("ctx").alias("ctx"), "pages")
+
+
+def _pdf(pages: int) -> str:
+    """A file of so many pages, ten a node of the tree, all objects in one stream, deflated and written in hexadecimal."""
+    import zlib
+
+    nodes = [list(range(b, min(b + 10, pages))) for b in range(0, pages, 10)]
+    at = {("node", i): 3 + i for i in range(len(nodes))} | {("page", i): 3 + len(nodes) + i for i in range(pages)}
+    kids = lambda kind, some: "[" + " ".join(f"{at[kind, i]} 0 R" for i in some) + "]"
+    found = {1: "<</Type/Catalog/Pages 2 0 R>>", 2: f"<</Type/Pages/Count {pages}/Kids {kids('node', range(len(nodes)))}>>"}
+    found |= {at["node", i]: f"<</Type/Pages/Parent 2 0 R/Count {len(some)}/Kids {kids('page', some)}>>" for i, some in enumerate(nodes)}
+    found |= {at["page", p]: f"<</Type /Page /Parent {at['node', p // 10]} 0 R>>" for p in range(pages)}
+    heads, body = [], ""
+    for number, text in found.items():
+        heads.append(f"{number} {len(body)}")
+        body += text + " "
+    head = " ".join(heads) + " "
+    packed = zlib.compress((head + body).encode()).hex() + ">"
+    last = 1 + max(found)
+    return f"%PDF-1.5\n{last} 0 obj\n<</Type/ObjStm/N {len(found)}/First {len(head)}/Filter[/ASCIIHexDecode/FlateDecode]/Length {len(packed)}>>\nstream\n{packed}\nendstream\nendobj\ntrailer<</Root 1 0 R>>\n%%EOF"
+
+
+@query("k10_pushed_moves", """SELECT 'move' AS event, thread_id, event_id, status FROM moves""")
+def _pushed(s, d):
+    """All moves pushed as a stream, then read back from what the epochs name."""
+    source, target, check = (scratch(s, n) for n in ("moves", "pushed", "progress"))
+    view(s, d, "moves").select("thread_id", "event_id", "status").write.parquet(source)
+    push.push(s.readStream.schema(s.read.parquet(source).schema).parquet(source), target, "move", check).awaitTermination()
+    return push.pushed(s, target).select("event", F.from_json("data", "thread_id string, event_id long, status string").alias("x")).select("event", "x.*")
+
+
 @query("s17_demo_folders", "SELECT 'paper' || r_regionkey AS ctx, r_name AS text, (r_regionkey % 2)::BIGINT AS images FROM region")
 def _demo(s, d):
     """A folder for each region: a markdown file, and an image in every other one."""

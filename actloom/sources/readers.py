@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.salvage import is_json, trimmed
+from .pdf import page_count
 from .scratch import files
 
 CALL = "struct<operation:string,tool:string,name:string,target_type:string>"
@@ -25,12 +27,28 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", path.endswith(".json")).json(path)
 
 
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, whole): whether each file below a path is one JSON document, or JSON lines.
+
+    A file is lines if its first line with text is a JSON value of its own; a single line that is an array is a document of
+    rows. First lines are told by place, not by order of arrival, and one aggregation reads all files.
+    """
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), trimmed(F.col("value")).alias("line")).filter("line <> ''")
+    heads = lines.groupBy("file").agg(F.min_by("line", "at").alias("head"), F.count(F.lit(1)).alias("n"))
+    return heads.select("file", (~is_json(F.col("head")) | ((F.col("n") == 1) & F.col("head").startswith("["))).alias("whole"))
+
+
 def sniff_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As :func:`read_records`, the layout being told by the content: an opening bracket, or a brace that does
-    not close on its own line, begins a whole document."""
-    lines = [r.value.strip() for r in spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()]
-    whole = bool(lines) and (lines[0].startswith("[") or (lines[0].startswith("{") and not lines[0].endswith("}")))
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", whole).json(path)
+    """As :func:`read_records`, each file's layout being told by its own content, so a folder may mix documents (an array
+    of rows, or one row) with JSON lines. Files without text have no rows."""
+    layouts = file_layouts(spark, path).collect()  # a row a file, as the listing itself
+    out = spark.createDataFrame([], schema)
+    for whole in (True, False):
+        files_ = [r.file for r in layouts if r.whole == whole]
+        if files_:
+            out = out.unionByName(spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", whole).json(files_))
+    return out
 
 
 def in_file_order(df: DataFrame, name: str = "pos") -> DataFrame:
@@ -163,10 +181,16 @@ def forum_order(acts: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def page_counts(spark: SparkSession, pattern: str) -> DataFrame:
-    """(ctx, pages) of PDF files by counting page objects, without a PDF library; unreadable files give 0."""
+    """(ctx, pages) of PDF files by walking their page trees; unreadable files give 0."""
+
+    @F.pandas_udf("int")
+    def pages(content):
+        import pandas as pd
+
+        return pd.Series([page_count(c) for c in content], dtype="int32")
+
     name = F.regexp_extract("path", r"([^/]+)\.pdf$", 1)
-    body = F.decode("content", "ISO-8859-1")
-    return spark.read.format("binaryFile").load(pattern).select(name.alias("ctx"), F.regexp_count(body, F.lit(r"/Type\s*/Page[^s]")).alias("pages"))
+    return spark.read.format("binaryFile").load(pattern).select(name.alias("ctx"), pages("content").alias("pages"))
 
 
 def event_files(spark: SparkSession, root: str, schema: str) -> DataFrame:
