@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .numbering import numbered
 
 
@@ -14,12 +15,18 @@ def before_appendix(segments: DataFrame, heading: str = r"(?i)^(appendix|supplem
     return segments.join(cut, "ctx", "left").filter("__cut is null or id < __cut").drop("__cut")
 
 
+LEVELS = 8  # blocks of a word's postings, by impact
+MARGIN = 1e-4  # below a threshold, as scores are rounded to 1e-5
+
+
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 3, terms: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Best documents of each query (item_id, text) over its distinct words, or its first ``terms`` words.
 
-    Documents are reduced to the words that some query asks for, packed into one row a document: what meets the
-    queries then is narrow, and a common word is a joined row only with the queries that hold it. Scores are partial
-    sums by (query, document); each task keeps its best before the last shuffle.
+    A posting is a word's part of a document's score. A word's postings lie in blocks by their impact, relative to the
+    word's largest. The documents of each word's ``top`` largest postings are scored first; the ``top``-th best of these scores is
+    reached by so many documents, so one that cannot reach it is out: of each word only the blocks are joined whose
+    bound, with the largest postings of the query's other words, gets there. Common words have small bounds, so most
+    of their documents are never met. The documents left are scored on all words.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
     of = words(F.col("text"))
@@ -27,14 +34,43 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = 3, terms: int | None =
     split = docs.select("doc_id", of.alias("w")).withColumn("len", F.size("w"))
     size = split.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     tf = split.select("doc_id", "len", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").groupBy("doc_id", "t", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(tf, "tf")
     df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("len") / F.col("avg_len")))
     weighed = tf.join(df, "t").crossJoin(F.broadcast(size)).select("t", "doc_id", weight.alias("s"))  # one row
-    scores = asked.join(weighed, "t").groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 5).alias("score"))
+    bounds = weighed.groupBy("t").agg(F.max("s").alias("most"))
+    level = F.least(F.floor(F.col("s") / F.col("most") * LEVELS), F.lit(LEVELS - 1)).cast("int")
+    postings = written(weighed.join(bounds, "t").select("t", "doc_id", "s", "most", level.alias("level")), "postings")
+    scores = _scored(_candidates(asked, postings, top), asked, postings)
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def _scored(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score) of pairs, over all words of the query."""
+    parts = pairs.join(asked, "item_id").join(postings.select("t", "doc_id", "s"), ["t", "doc_id"])
+    return parts.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 5).alias("score"))
+
+
+def _candidates(asked: DataFrame, postings: DataFrame, top: int) -> DataFrame:
+    """(item_id, doc_id) of the documents that may be among the best."""
+    nth = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("s"), "doc_id"))
+    first = postings.select("t", "doc_id", nth.alias("r")).filter(F.col("r") <= top)
+    seeds = _scored(asked.join(first, "t").select("item_id", "doc_id").distinct(), asked, postings)
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+    goals = written(seeds.withColumn("r", place).filter(F.col("r") <= top).filter(F.col("r") == top).select("item_id", (F.col("score") - MARGIN).alias("goal")), "goals")
+    bounds = asked.join(postings.select("t", "most").distinct(), "t")
+    of_query = Window.partitionBy("item_id")
+    known = bounds.join(goals, "item_id", "left").withColumn("goal", F.coalesce("goal", F.lit(0.0))).withColumn("others", F.sum("most").over(of_query) - F.col("most"))
+    # a document of small words only is met through none of them: from the smallest bound up, words whose bounds together miss the goal
+    small = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    essential = known.withColumn("small", small).filter(F.col("small") >= F.col("goal"))
+    levels = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.col("most") * (i + 1) / LEVELS + F.col("others") >= F.col("goal"))
+    blocks = essential.select("item_id", "t", "goal", "others", F.explode(levels).alias("level"))
+    met = blocks.join(postings, ["t", "level"]).filter(F.col("s") + F.col("others") >= F.col("goal"))
+    return met.select("item_id", "doc_id").distinct()
+
+
 def severity(forums: DataFrame, by: str = "score_change", key: str = "forum_id") -> DataFrame:
     """Terciles of a forum measure as low, medium, high; nulls come last. Numbers are dealt over range partitions of
     (measure, key), so neither a frequent value nor the whole table is one task."""
