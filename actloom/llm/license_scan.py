@@ -25,12 +25,12 @@ from .common import load, small_batches
 
 #: Licence families: names, short identifiers, and the wording of their notices. Fixed values.
 FAMILIES = {
-    "AGPL": (("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL"), ("AGPL-3.0-only", "AGPL-3.0-or-later"), (
+    "AGPL": (("GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL"), ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0"), (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",)),
     "Apache-2.0": (("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"), ("Apache-2.0",), (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.")),
-    "BSD": (("BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "Simplified BSD License", "New BSD License"), ("BSD-3-Clause", "BSD-2-Clause"), (
+    "BSD": (("BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "Simplified BSD License", "New BSD License", "BSD"), ("BSD-3-Clause", "BSD-2-Clause"), (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",)),
     "BSL-1.0": (("Boost Software License, Version 1.0", "Boost Software License"), ("BSL-1.0",), (
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
@@ -46,13 +46,13 @@ FAMILIES = {
         "Released into the public domain under CC0 1.0.")),
     "EPL-2.0": (("Eclipse Public License 2.0", "Eclipse Public License v2.0"), ("EPL-2.0",), (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",)),
-    "GPL": (("GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPL"), ("GPL-2.0-only", "GPL-3.0-only", "GPL-3.0-or-later"), (
+    "GPL": (("GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPL"), ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"), (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",)),
     "ISC": (("ISC License",), ("ISC",), (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
-    "LGPL": (("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "LGPL"), ("LGPL-2.1-only", "LGPL-3.0-or-later"), (
+    "LGPL": (("GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "LGPL"), ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0"), (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",)),
-    "MIT": (("MIT License", "MIT licence", "The MIT License (MIT)"), ("MIT",), (
+    "MIT": (("MIT License", "MIT licence", "The MIT License (MIT)", "MIT"), ("MIT",), (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",)),
     "MPL-2.0": (("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"), ("MPL-2.0",), (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",)),
@@ -68,10 +68,10 @@ FAMILIES = {
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions")),
 }
 #: How names and identifiers are put into notices.
-NAMED = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under a {}.", "License: {}", "distributed under the terms of the {}")
+NAMED = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under a {}.", "License: {}", "distributed under the terms of the {}", "Released under {}.", "is under {}.", "{} licensed")
 IDENTIFIED = ("SPDX-License-Identifier: {}", "License: {}")
 #: A line without one of these words, or of a family's own words, holds no notice. Fixed values.
-GATE = ("license", "licence", "licensed", "licenced", "spdx", "permission", "permitted", "redistribution", "redistribute", "rights", "copyright", "proprietary", "unencumbered", "unlicense", "waived", "dedication", "warranties", "liable", "anyone")
+GATE = ("license", "licence", "licensed", "licenced", "spdx", "permission", "permitted", "redistribution", "redistribute", "rights", "copyright", "proprietary", "unencumbered", "unlicense", "waived", "dedication", "warranties", "liable", "anyone", "released", "distributed")
 #: Negations and how many words before a notice they reach. Fixed values.
 NEGATIONS = ("not", "never", "no", "neither", "nor", "isn", "aren", "wasn", "cannot", "without")
 NEGATED_WITHIN = 4
@@ -89,6 +89,7 @@ FOLDS = 4
 LEAK = 0.05
 COVER, CLOSE = 0.6, 0.8  # of a template's word pairs that are found; of the pairs in their span that are the template's
 BACK = 8
+LONG = 8  # word pairs of a template that is looked for over more than two lines
 EXACT = 0.5  # probability that is enough where a template stands there word for word
 SEED = 5
 _KEEP = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -176,6 +177,30 @@ def _soft(z):
     return p / p.sum(axis=-1, keepdims=True)
 
 
+#: Words that stand between the licences of one notice, and the last words of what comes before the first. Fixed values.
+BETWEEN = frozenset((b"or", b"and"))
+LEADS = frozenset((b"under", b"identifier", b"license", b"licence", b"terms", b"the", b"either", b"both"))
+
+
+def alternatives(words) -> list[list[bytes]]:
+    """The notices of words that name several licences: what leads to the first one, before each of them."""
+    first = next((i for i, w in enumerate(words) if w in _OWN), None)
+    if first is None or BETWEEN.isdisjoint(words[first:]):
+        return []
+    lead = words[:first]
+    while lead and lead[-1] in (b"either", b"both"):
+        lead = lead[:-1]
+    parts, part = [], []
+    for w in [*words[first:], b"or"]:
+        if w not in BETWEEN:
+            part.append(w)
+        elif part:
+            parts.append(part)
+            part = []
+    tail = len(lead) and lead[-1] in LEADS
+    return [lead + (p[1:] if p[0] == b"the" and lead[-1] == b"the" else p) for p in parts] if tail and len(parts) > 1 else []
+
+
 def _pairs(made: dict) -> dict:
     """(words, word pairs) of each template."""
     return {k: [(len(t), frozenset(zip(t, t[1:], strict=False))) for t in ts] for k, ts in made.items()}
@@ -259,6 +284,17 @@ class Classifier:
             return NONE, sure, like, False
         return UNKNOWN, sure, like, False
 
+    def predict_all(self, words):
+        """The prediction, or of a notice of several licences one for each, if all but later words are confirmed."""
+        several = [x for x in map(self.predict, alternatives(words)) if x[3]]
+        if len({x[0] for x in several}) > 1:
+            best = {}
+            for x in several:
+                if x[0] not in best or x[1] > best[x[0]][1]:
+                    best[x[0]] = x
+            return [best[k] for k in sorted(best)]
+        return [self.predict(words)]
+
     def _denied(self, words) -> bool:
         """Whether a licence word comes soon after a negation."""
         at = [i for i, w in enumerate(words) if w in self.gate]
@@ -282,7 +318,7 @@ def scan_text(model: Classifier, body: bytes) -> tuple[int, list[dict]]:
     Lines are joined, from up to BACK lines before a licence word on, up to ``model.reach`` words after the first line
     and never over a blank line; joins are judged at lines that add word pairs of some template. The join that is most
     similar to a template is one finding at its first line, if it is confirmed, in place of those of its lines.
-    Confirmed lines stand for themselves and are never joined.
+    Confirmed lines stand for themselves and are never joined; one that names several licences is a finding for each.
     """
     words = [words_of(line) for line in body.split(b"\n")]
     number, paragraphs = [], 0
@@ -290,7 +326,8 @@ def scan_text(model: Classifier, body: bytes) -> tuple[int, list[dict]]:
         paragraphs += bool(w) and (i == 0 or not words[i - 1])
         number.append(paragraphs - 1)
     signs = {i for i, w in enumerate(words) if w and not model.gate.isdisjoint(w)}
-    found = {i: model.predict(words[i]) for i in sorted(signs)}
+    every = {i: model.predict_all(words[i]) for i in sorted(signs)}
+    found = {i: xs[0] for i, xs in every.items()}
     sure = {i for i, x in found.items() if x[3]}
     near = sorted({k for s in signs for k in range(max(0, s - BACK), s + 1) if number[k] == number[s] and words[k]})
     tells = lambda i: any(p in model.known for p in zip(words[i], words[i][1:], strict=False))
@@ -299,18 +336,23 @@ def scan_text(model: Classifier, body: bytes) -> tuple[int, list[dict]]:
         if i <= used or i in sure or not tells(i):
             continue
         joined, best, j = list(words[i]), None, i + 1
+        held = {p for p in zip(joined, joined[1:], strict=False) if p in model.known}
         while j < len(words) and words[j] and j not in sure and len(joined) - len(words[i]) < model.reach:
-            bridge = (joined[-1], words[j][0]) in model.known
+            new = {p for p in zip([joined[-1], *words[j]], words[j], strict=False) if p in model.known}
             joined += words[j]
-            if (bridge or tells(j)) and (x := model.predict(joined))[3] and (best is None or x[2] > best[0][2]):
+            held |= new
+            # more than two lines hold a long template or none, and most of its word pairs
+            if new and (j == i + 1 or len(held) >= COVER * LONG) and (x := model.predict(joined))[3] and (best is None or x[2] > best[0][2]):
                 best = x, j
             j += 1
         if best:
             for k in range(i, best[1] + 1):
                 found.pop(k, None)
+                every.pop(k, None)
             found[i], used = best
+            every[i] = [found[i]]
     names = ("family", "probability", "similarity", "confirmed")
-    hits = [{"line": i, "paragraph": number[i]} | dict(zip(names, (x[0], round(x[1], 6), round(x[2], 6), x[3]), strict=True)) for i, x in sorted(found.items()) if x[0] != NONE]
+    hits = [{"line": i, "paragraph": number[i]} | dict(zip(names, (x[0], round(x[1], 6), round(x[2], 6), x[3]), strict=True)) for i, xs in sorted(every.items()) for x in xs if x[0] != NONE]
     return paragraphs, hits
 
 

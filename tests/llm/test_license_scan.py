@@ -159,3 +159,35 @@ def test_long_text(spark, model):
     text = "plain words without end\n" * 2_000_000 + "Licensed under the ISC License."
     n, found = scan_text(model, text.encode())
     assert n == 1 and [(x["line"], x["family"]) for x in found] == [(2_000_000, "ISC")]
+
+
+@pytest.mark.parametrize(
+    ("line", "families"),
+    [
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL"]),
+        ("MIT licensed", ["MIT"]),
+        ("The code is under MIT.", ["MIT"]),
+        ("License: BSD", ["BSD"]),
+        ("Released under MIT", ["MIT"]),
+        ("Dual licensed under MIT and Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("Licensed under the MIT license or the GPL", ["GPL", "MIT"]),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+        ("Released under the WTFPL.", ["unknown"]),
+        ("mit students won the contest", []),
+        ("the band released a record in may", []),
+        ("the papers were distributed to all members of the house", []),
+        ("This is not licensed under the MIT License or the GPL.", []),
+    ],
+)
+def test_forms_of_naming(line, families):
+    assert sorted({h["family"] for h in scan_text(standard_classifier(), line.encode())[1]}) == families
+
+
+def test_joins_are_linear():
+    import time
+
+    model = standard_classifier()
+    for lines in (b"license the\n" * 20_000, b"\n".join(b"license the thing%d" % i for i in range(20_000))):
+        began = time.time()
+        scan_text(model, lines)
+        assert time.time() - began < 30
