@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import contains_any
@@ -113,6 +113,26 @@ def test_totals(results, status: str = "status"):
     return results.agg(*each, F.count(F.lit(1)).alias("total"))
 
 
+INDEX = "name string, kind string, code_path string, needs array<string>"
+
+
+def library_index(rows: DataFrame, order: list[str], last_wins: bool = False) -> DataFrame:
+    """The artifacts of index rows (name, kind, code_path, needs): one row a name, with the needs that the library lacks.
+
+    Rows without a name, a kind or a code path are left out. A name that comes twice is an error that names it, found when the
+    rows are read; with ``last_wins`` its last row by ``order`` counts. Needs are met by name in one join, so an
+    artifact that everything needs is a frequent key of narrow rows.
+    """
+    filled = rows.filter(" AND ".join(f"coalesce({c}, '') <> ''" for c in ("name", "kind", "code_path")))
+    row = F.struct("kind", "code_path", "needs")
+    one = filled.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max_by(row, F.struct(*order)).alias("r"))
+    twice = F.raise_error(F.concat(F.lit("duplicate artifact "), F.col("name")))
+    kept = one.withColumn("name", F.col("name") if last_wins else F.when(F.col("n") > 1, twice.cast("string")).otherwise(F.col("name"))).select("name", "r.*")
+    asked = kept.select("name", F.explode("needs").alias("need")).filter("coalesce(need, '') <> ''").distinct()
+    lacking = asked.join(kept.select(F.col("name").alias("need")), "need", "left_anti").groupBy("name").agg(F.array_sort(F.collect_list("need")).alias("missing"))
+    return kept.join(lacking, "name", "left").select("name", "kind", "code_path", "needs", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
 @dataclass
 class Registry:
     """Named operators with their dependencies. A name may be taken once unless ``last_wins``."""

@@ -247,6 +247,26 @@ def _pushed(s, d):
     return push.pushed(s, target).select("event", F.from_json("data", "thread_id string, event_id long, status string").alias("x")).select("event", "x.*")
 
 
+_INDEX = """SELECT 'art' || (p_partkey % 400) AS name, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'skill' ELSE 'primitive' END AS kind,
+  CASE WHEN p_partkey % 9 > 0 THEN 'code' || p_partkey || '.py' END AS code_path, p_partkey, ['art' || (p_partkey % 7), 'art' || (p_partkey % 1000)] AS needs FROM part"""
+
+
+@query("s08_library_index", f"""WITH i AS ({_INDEX}), k AS (SELECT name, arg_max(kind, p_partkey) AS kind, arg_max(code_path, p_partkey) AS code_path, arg_max(needs, p_partkey) AS needs FROM i WHERE kind <> '' AND code_path IS NOT NULL GROUP BY name),
+  m AS (SELECT name, string_agg(need, ',' ORDER BY need) AS missing FROM (SELECT DISTINCT name, unnest(needs) AS need FROM k) WHERE need NOT IN (SELECT name FROM k) GROUP BY name)
+SELECT name, kind, code_path, array_to_string(needs, ',') AS needs, coalesce(missing, '') AS missing FROM k LEFT JOIN m USING (name)""")
+def _library_index(s, d):
+    """An index of the parts as artifacts, one file in key order, some rows unfit and names taken again: the last one counts."""
+    path, key = scratch(s, "library"), F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("art"), n.cast("string"))
+    size = F.col("p_size") % 5
+    kind = F.when(size == 0, F.lit(None)).when(size == 1, F.lit("")).when(size == 2, F.lit("skill")).otherwise(F.lit("primitive"))
+    code = F.when(key % 9 > 0, F.concat(F.lit("code"), key.cast("string"), F.lit(".py")))
+    rows = view(s, d, "part").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
+    rows.select(name(key % 400).alias("name"), kind.alias("kind"), code.alias("code_path"), F.array(name(key % 7), name(key % 1000)).alias("needs")).write.json(path)
+    found = readers.read_library(s, path, last_wins=True)
+    return found.select("name", "kind", "code_path", F.array_join("needs", ",").alias("needs"), F.array_join("missing", ",").alias("missing"))
+
+
 @query("s17_demo_folders", "SELECT 'paper' || r_regionkey AS ctx, r_name AS text, (r_regionkey % 2)::BIGINT AS images FROM region")
 def _demo(s, d):
     """A folder for each region: a markdown file, and an image in every other one."""

@@ -193,6 +193,15 @@ def page_counts(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select(name.alias("ctx"), pages("content").alias("pages"))
 
 
+def read_library(spark: SparkSession, path: str, last_wins: bool = False) -> DataFrame:
+    """The artifacts that the index files below a folder list, in the order of file and line; see :func:`..plans.specs.library_index`."""
+    from ..plans.specs import INDEX, library_index
+
+    rows = spark.read.schema(INDEX).json(path)
+    placed = rows.withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()})
+    return library_index(placed, ["file", "block", "line"], last_wins)
+
+
 def event_files(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All events.jsonl below a folder."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "events.jsonl").json(root)

@@ -90,3 +90,14 @@ def test_summaries_keep_texts(spark):
     df = spark.createDataFrame([("t", *m) for m in moves], "thread_id string, event_id int, role string, status string, action_type string, observation string, requests array<string>, commitments array<string>")
     got = arena.summaries(df, "thread_id", ["event_id"]).first()
     assert got[:] == ("t", "Closed", 1, ["O1", "O3", "O5"], ["how?"], ["will add"], "Reviewer", 5)
+
+
+def test_library_index(spark, tmp_path):
+    rows = ['{"name": "a", "kind": "skill", "code_path": "x", "needs": ["b", "z"]}', '{"name": "b", "kind": "primitive", "code_path": "y"}', '{"name": "", "kind": "skill", "code_path": "x"}', '{"name": "c", "kind": "skill"}']
+    (tmp_path / "one.jsonl").write_text("\n".join(rows))
+    got = {r.name: (r.kind, r.missing) for r in readers.read_library(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a": ("skill", ["z"]), "b": ("primitive", [])}
+    (tmp_path / "two.jsonl").write_text('{"name": "b", "kind": "skill", "code_path": "w"}')
+    assert {r.name: r.code_path for r in readers.read_library(spark, f"file://{tmp_path}", last_wins=True).collect()} == {"a": "x", "b": "w"}
+    with pytest.raises(Exception, match="duplicate artifact b"):
+        readers.read_library(spark, f"file://{tmp_path}").collect()
