@@ -333,3 +333,13 @@ def test_fixed_intents_where_none_are_given(spark):
     assert [r.intent for r in intents(empty).orderBy("first").collect()] == list(INTENTS)
     some = spark.createDataFrame([("b", None, 2), ("", "a", 1), ("b", "c", 0), (None, None, 3)], empty.schema)
     assert [r.intent for r in intents(some).orderBy("first").collect()] == ["b", "a"]
+
+
+def test_p_values_are_those_of_the_error_function(spark):
+    import math
+
+    ts = [0.0, 1e-9, -0.3, 1.0, 1.96, -2.5, 4.0, 6.9, 7.2, 9.0, 37.0, None, float("nan")]
+    got = [r.p for r in spark.createDataFrame([(t,) for t in ts], "t double").select(stats.two_sided(F.col("t")).alias("p")).collect()]
+    for t, p in zip(ts, got, strict=True):
+        want = None if t is None or t != t else math.erfc(abs(t) / math.sqrt(2))
+        assert p is None if want is None else abs(p - want) <= 1e-14 + 1e-4 * want * (abs(t) > 7)
