@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped_shuffles, new_path, own_columns
+from .common import dropped_shuffles, new_path, own_columns, small_batches
 
 BATCH_BYTES = 8 << 20
 MOST_ROWS = 50_000
@@ -123,6 +123,7 @@ def each_batch(step):
 
 def meta_rows(texts: DataFrame, schema: str) -> DataFrame:
     """(batch_id, row, and the columns of ``schema``) of every row; texts are not read."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         import pyarrow as pa
@@ -131,7 +132,7 @@ def meta_rows(texts: DataFrame, schema: str) -> DataFrame:
             for batch_id, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 meta = read_meta(cell)
                 n = meta.num_rows
-                made = pa.table({"batch_id": pa.array(np.full(n, batch_id, np.int64)), "row": pa.array(np.arange(n, dtype=np.int32))} | {c: meta.column(c) for c in meta.schema.names})
+                made = pa.table({"batch_id": pa.array(np.full(n, batch_id, np.int64)), "row": pa.array(np.arange(n, dtype=np.int32))} | {c: meta.column(c) for c in names})
                 yield from made.to_batches(max_chunksize=100_000)
 
     return texts.select("batch_id", "meta").mapInArrow(run, f"batch_id long, row int, {schema}")
@@ -182,29 +183,40 @@ class Rows:
     """
 
     def __init__(self, docs: DataFrame, text_col: str, more: dict):
+        small_batches(docs.sparkSession)
         self.schema, self.text = docs.schema, docs.columns.index(text_col)
         own = [c.alias(f"c{i}") for i, c in enumerate(own_columns(docs)) if i != self.text]
         text = F.col(text_col).cast("string")
         self.batches = pack_batches(docs.select(*own, text.isNull().alias("no_text"), *[c.alias(n) for n, c in more.items()], text_bytes(text)))
 
-    def without(self, gone: DataFrame) -> DataFrame:
-        """All rows but those of ``gone`` (batch_id, row). No text is shuffled."""
+    def mapped(self, replies: DataFrame, change) -> DataFrame:
+        """``change(rows, replies)`` of each batch: its rows as an Arrow table of the caller's columns, and the rows of
+        ``replies`` (batch_id, row, ...) for it, maybe none. No text is shuffled, whatever the number of replies."""
         names, text = self.schema.names, self.text
 
-        def step(batch_id, meta, ends, buf, replies):
+        def step(batch_id, meta, ends, buf, told):
             import pyarrow as pa
             import pyarrow.compute as pc
 
-            keep = np.ones(meta.num_rows, bool)
-            keep[replies.column("row").to_numpy()] = False
             offsets = np.concatenate([[0], ends])
             kind, width = (pa.LargeStringArray, np.int64) if offsets[-1] >= 1 << 31 else (pa.StringArray, np.int32)
             body = kind.from_buffers(meta.num_rows, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(buf))
             body = pc.if_else(meta.column("no_text"), pa.scalar(None, body.type), body)
-            out = pa.Table.from_arrays([body if i == text else meta.column(f"c{i}") for i in range(len(names))], names=names)
-            return out.filter(pa.array(keep))
+            return change(pa.Table.from_arrays([body if i == text else meta.column(f"c{i}") for i in range(len(names))], names=names), told)
+
+        return with_replies(self.batches, replies, step, self.schema)
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """All rows but those of ``gone`` (batch_id, row)."""
+
+        def change(rows, told):
+            import pyarrow as pa
+
+            keep = np.ones(rows.num_rows, bool)
+            keep[told.column("row").to_numpy()] = False
+            return rows.filter(pa.array(keep))
 
-        return with_replies(self.batches, gone.select("batch_id", "row"), step, self.schema)
+        return self.mapped(gone.select("batch_id", "row"), change)
 
 
 def column(table, name: str, kind=np.int64) -> np.ndarray:

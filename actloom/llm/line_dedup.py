@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import Rows, meta_rows
 from .common import fresh, load, own_columns, small_batches, table
 
 MIN_CHARS = 40
@@ -152,17 +153,22 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     Null texts stay null. A very long text is cut like any other; an empty table gives an empty result.
     """
 
-    @F.pandas_udf("string")
-    def left(text, bits):
-        import pandas as pd
+    i, f = _keyed(docs, id_col, text_col)
+    rows = Rows(docs, text_col, {"id": i, "fp": f})
+    replies = table(meta_rows(rows.batches, "id long, fp long").join(bitmaps, ["id", "fp"]).select("batch_id", "row", "keep_bits"), "bitmaps")
+
+    def change(held, told):
+        import pyarrow as pa
 
-        return pd.Series([t if b is None else kept_lines(t, b)[2] for t, b in zip(text, bits, strict=True)], dtype=object)
+        texts = held.column(text_col).to_pylist()
+        for row, bits in zip(told.column("row").to_pylist(), told.column("keep_bits").to_pylist(), strict=True):
+            texts[row] = None if texts[row] is None else kept_lines(texts[row], bits)[2]
+        return held.set_column(held.schema.get_field_index(text_col), text_col, pa.array(texts, held.schema.field(text_col).type)) if told.num_rows else held
 
-    out, bits = _with_bitmaps(docs, bitmaps, id_col, text_col)
-    out = out.withColumn(text_col, left(F.col(text_col), F.col(bits)))
+    out = rows.mapped(replies, change)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*own_columns(docs))
+    return out
 
 
 def _digest(batches):

@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, load, n_words, own_columns, table
+from .batches import Rows, meta_rows
+from .common import load, n_words, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -151,12 +152,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others; a very long text comes whole or not at all. Columns keep their values, whatever their names. An empty
     table gives an empty result.
     """
-    i, f, own, times, one = fresh(docs, "__id", "__fp", "__own", "__times", "__time")
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias(i), F.col("fp").alias(f)).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    plan = plan.select(i, f, F.floor(F.col("copies") / F.col("rows")).cast("int").alias(times)).filter(F.col(times) > 0)
-    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(f)))
-    return joined.select(*own_columns(docs), F.explode(F.array_repeat(F.lit(1), F.col(times))).alias(one)).select(*own_columns(docs))
+    rows = Rows(docs, text_col, {"id": F.col(id_col).cast("long"), "fp": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("of"), "fp").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = table(plan.select("of", "fp", F.floor(F.col("copies") / F.col("rows")).cast("int").alias("times")).filter("times > 0"), "plan")
+    at = meta_rows(rows.batches, "id long, fp long")
+    taken = at.join(plan.withColumnRenamed("fp", "print"), F.col("id").eqNullSafe(F.col("of")) & (F.col("fp") == F.col("print"))).select("batch_id", "row", "times")
+
+    def change(held, told):
+        import pyarrow as pa
+
+        return held.take(pa.array(np.repeat(told.column("row").to_numpy(), told.column("times").to_numpy())))
+
+    return rows.mapped(table(taken, "taken"), change)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

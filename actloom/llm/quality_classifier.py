@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import column, each_batch, meta_rows, pack_batches, rows_of, text_bytes, with_replies
-from .common import drop_table, fresh, load, own_columns, small_batches, table
+from .batches import Rows, column, each_batch, meta_rows, pack_batches, rows_of, text_bytes, with_replies
+from .common import drop_table, load, small_batches, table
 
 ORDER = 5  # 7 at most, as an n-gram is a positive long
 BATCH_BYTES = 32 << 20
@@ -126,7 +126,8 @@ def _score(order: int):
         sizes = ends - starts
         with np.errstate(divide="ignore", invalid="ignore"):
             value = np.round(np.exp(-total / sizes), 6)
-        return meta.append_column("size", pa.array(sizes)).append_column("perplexity", pa.array(value, pa.float64(), mask=sizes == 0))
+        place = {"batch_id": pa.array(np.full(len(sizes), batch_id, np.int64)), "row": pa.array(np.arange(len(sizes), dtype=np.int32))}
+        return pa.table(place | {c: meta.column(c) for c in ("id", "fp", "lang")} | {"size": pa.array(sizes), "perplexity": pa.array(value, pa.float64(), mask=sizes == 0)})
 
     return step
 
@@ -222,11 +223,21 @@ def quality_scores(
     text is kept. Null ids are never trusted; repeated ids share their label. A very long text is worked through in
     pieces. Extra columns are ignored and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), text_bytes(F.col(text_col)))
-    kept_columns = "id long, fp long, lang string"
-    texts = pack_batches(src, batch_bytes)
+    small_batches(docs.sparkSession)
+    texts = pack_batches(docs.select(*[c.alias(n) for n, c in _known(id_col, text_col, lang_col).items()], text_bytes(F.col(text_col))), batch_bytes)
+    out = _judged(texts, labels, quantile, slack, order)
+    drop_table(texts)
+    return out.select("id", "fp", "lang", "trusted", "perplexity", "limit", "kept")
+
+
+def _known(id_col: str, text_col: str, lang_col: str) -> dict:
+    """What is known of a row beside its text."""
+    return {"id": F.col(id_col).cast("long"), "fp": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("\0"))}
+
+
+def _judged(texts: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER) -> DataFrame:
+    """The columns of :func:`quality_scores`, and batch_id and row, for batches with what :func:`_known` gives."""
+    spark, kept_columns = texts.sparkSession, "id long, fp long, lang string"
     good = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("id is not null and q = 1 and x = 0").select("id")
     good = table(good.withColumn("held", is_held("id")), "trusted")
     marks = meta_rows(texts, kept_columns).select("batch_id", "row", "id").join(good.filter("not held"), "id").select("batch_id", "row")
@@ -235,9 +246,8 @@ def quality_scores(
     p = table(probabilities(wanted, model, order), "p")
     replies = table(wanted.join(p, "code").select("batch_id", "code", F.col("p").cast("float").alias("p")), "replies")
     drop_table(wanted)
-    scored = table(with_replies(texts, replies, _score(order), kept_columns + ", size long, perplexity double"), "scores")
+    scored = table(with_replies(texts, replies, _score(order), f"batch_id long, row int, {kept_columns}, size long, perplexity double"), "scores")
     drop_table(replies)
-    drop_table(texts)
     kind = sum(((F.col("size") >= c).cast("int") for c in CLASSES), F.lit(0))
     scored = scored.withColumn("class", kind).join(good, "id", "left").withColumn("trusted", F.col("held").isNotNull())
     own, every = _limits(scored.filter("held and perplexity is not null"), quantile)
@@ -247,7 +257,7 @@ def quality_scores(
     # a (language, length) may hold a third of all rows: they are met by AQE's skew join, as both sides are written
     limit = F.coalesce("own", F.lit(most)) * slack
     out = scored.join(own, ["lang", "class"], "left").withColumn("limit", limit)
-    return out.select("id", "fp", F.nullif("lang", F.lit("\0")).alias("lang"), "trusted", "perplexity", "limit", (F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.col("limit"))).alias("kept"))
+    return out.select("batch_id", "row", "id", "fp", F.nullif("lang", F.lit("\0")).alias("lang"), "trusted", "perplexity", "limit", (F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.col("limit"))).alias("kept"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,13 +266,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), "lang", "perplexity", "limit", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that the classifier keeps, with their columns, whatever their names.
 
     Null and empty texts have no perplexity and go; rows of one id and text have one verdict. A very long text is scored
     whole. An empty table gives an empty result.
     """
-    i, f, ki, kf = fresh(docs, "__id", "__fp", "__kept_id", "__kept_fp")
-    kept = quality_scores(docs, labels, id_col, text_col).filter("kept").select(F.col("id").alias(ki), F.col("fp").alias(kf)).distinct()
-    keyed = docs.withColumns({i: F.col(id_col).cast("long"), f: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return keyed.join(kept, F.col(i).eqNullSafe(F.col(ki)) & (F.col(f) == F.col(kf)), "left_semi").select(*own_columns(docs))
+    small_batches(docs.sparkSession)
+    rows = Rows(docs, text_col, _known(id_col, text_col, lang_col))
+    return rows.without(table(_judged(rows.batches, labels).filter("NOT kept").select("batch_id", "row"), "rejected"))
