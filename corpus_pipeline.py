@@ -1,6 +1,7 @@
 """The corpus pipeline: classify, drop repeated lines, drop near-duplicates, mix, pack.
 
-Each stage reads what its predecessor wrote; all but the last return the columns of ``documents``.
+Each stage reads what its predecessor wrote; all but the last return the columns of ``documents``. In every stage a very
+long text is a batch alone and worked through whole, and columns keep their values whatever their names.
 """
 
 from __future__ import annotations
