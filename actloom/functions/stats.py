@@ -94,27 +94,59 @@ def claim_supported(kind: Column, p: Column, alpha: float = 0.05) -> Column:
     return F.when(kind == "significant", p < alpha).when(kind.isNotNull(), p >= alpha)
 
 
+TOGETHER = 1 << 20  # resampled values that are at hand at once
+
+
+def _resampled(samples: list, n_boot: int, seed: int, stat: str):
+    """A row of ``n_boot`` resampled means or medians for each of some samples of one size.
+
+    Every group starts the same stream, so samples of one size share their drawn positions, in blocks of bounded size.
+    """
+    import numpy as np
+
+    rng, f, n = np.random.default_rng(seed), np.median if stat == "median" else np.mean, len(samples[0])
+    out, step = np.empty((len(samples), n_boot)), max(1, TOGETHER // n)
+    for begin in range(0, n_boot, step):
+        drawn = rng.integers(0, n, size=(min(step, n_boot - begin), n))
+        some = max(1, TOGETHER // drawn.size)
+        for at in range(0, len(samples), some):
+            x = np.array(samples[at : at + some])
+            out[at : at + some, begin : begin + step] = f(x.take(drawn, axis=1), axis=2)  # in rows, so that sums are those of one group alone
+    return out
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0, stat: str = "mean", places: int = 6) -> DataFrame:
     """Percentile interval of resampled means or medians, one group in one task, numpy's PCG64 stream by group.
 
-    The group's values are taken in the order of ``order``, as the resampled positions depend on it. For
-    groups too large for a task use :func:`bootstrap_ci_distributed`.
+    The group's values are taken in the order of ``order``, nulls last, as the resampled positions depend on it; they reach
+    Python as one array a group, and groups of one size are resampled together. For groups too large for a task use
+    :func:`bootstrap_ci_distributed`.
     """
-    import numpy as np
-    import pandas as pd
-
-    def one(key, pdf):
-        x = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        if len(x) < 2:
-            return pd.DataFrame([[*key, "missing", None, None]], columns=names)
-        rng, f = np.random.default_rng(seed), np.median if stat == "median" else np.mean
-        drawn = [float(f(x[rng.integers(0, len(x), size=len(x))])) for _ in range(n_boot)]
-        ends = np.percentile(drawn, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        return pd.DataFrame([[*key, "ok", round(float(ends[0]), places), round(float(ends[1]), places)]], columns=names)
-
-    names = [*keys, "status", "lower", "upper"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists, by_size = batch.column(len(keys)), {}
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            lower, upper = np.full(len(lists), np.nan), np.full(len(lists), np.nan)
+            for i, n in enumerate(np.diff(ends).tolist()):
+                if n >= 2:
+                    by_size.setdefault(n, []).append(i)
+            for at in by_size.values():
+                drawn = _resampled([flat[ends[i] : ends[i + 1]] for i in at], n_boot, seed, stat)
+                low, high = np.percentile(drawn, [100 * alpha / 2, 100 * (1 - alpha / 2)], axis=1)
+                lower[at], upper[at] = [round(x, places) for x in low.tolist()], [round(x, places) for x in high.tolist()]
+            some = np.diff(ends) >= 2
+            sides = [pa.array(x, pa.float64(), mask=~some) for x in (lower, upper)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(np.where(some, "ok", "missing"), pa.string()), *sides], names=[*keys, "status", "lower", "upper"])
+
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(*keys, value, order).groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "status string, lower double, upper double"]))
+    x = F.col(value).cast("double")
+    kept = F.when(x.isNotNull() & ~F.isnan(x), F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"), x.alias("x")))
+    groups = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["x"]).alias("x"))
+    return groups.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "status string, lower double, upper double"]))
 
 
 def bootstrap_ci_distributed(df: DataFrame, keys: list[str], value: str, unit: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:

@@ -1,5 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
+from actloom.functions import stats
 from actloom.queries.numbers import QUERIES
 
 
@@ -17,3 +19,22 @@ def test_effect_with_ci_runs_over_all_lines(spark, sf_dir):
     assert set(got) == set(want)
     for k, (mean, effect) in want.items():
         assert abs(got[k].effect_size - effect) < 1e-5 and got[k].status == "ok" and got[k].lower < mean < got[k].upper
+
+
+def test_bootstrap_resamples_many_groups_at_once(spark):
+    """Groups reach Python in batches, not one by one, with the very intervals of a loop over each group's draws."""
+    rows = [(g if g else None, i, None if i % 7 == 6 else (g * 31 + i * i * 17) % 101 / 3) for g in range(60) for i in range(g % 23)]
+    df = spark.createDataFrame(rows, "g long, i long, x double").repartition(5)
+    for stat, f in (("mean", np.mean), ("median", np.median)):
+        out = stats.bootstrap_ci(df, ["g"], "x", "i", n_boot=50, seed=7, stat=stat)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: r for r in out.collect()}
+        assert set(got) == {g for g, _, _ in rows}
+        for g, r in got.items():
+            x = np.array([v for k, _, v in rows if k == g and v is not None])
+            if len(x) < 2:
+                assert r[1:] == ("missing", None, None)
+                continue
+            rng = np.random.default_rng(7)
+            ends = np.percentile([float(f(x[rng.integers(0, len(x), size=len(x))])) for _ in range(50)], [2.5, 97.5])
+            assert r[1:] == ("ok", *(round(float(e), 6) for e in ends))
