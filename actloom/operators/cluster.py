@@ -20,9 +20,29 @@ def hash_tokens(text) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(*STOPWORDS))
 
 
+KNOWN = 50_000  # words whose digests a task keeps
+PIECE = 1 << 20  # bytes of text that are worked on at once
+
+
+def _pieces(texts):
+    """Slices of an array of texts, each of about PIECE bytes or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        stop = min(stop, begin + 2048)
+        yield begin, texts.slice(begin, stop - begin)
+        begin = stop
+
+
 def _fingerprints(bits: int):
-    """Texts to group keys, an Arrow batch at a time: words are split and numbered in Arrow, each distinct word is
-    digested once, and a text's votes are sums over its words' numbers."""
+    """Texts to group keys, a piece of an Arrow batch at a time: words are split and numbered in Arrow, each distinct word
+    is digested once, and a text's votes are sums over its words' numbers. A task holds a batch, a piece's words and
+    KNOWN digests, whatever the table's size."""
     import hashlib
 
     import numpy as np
@@ -32,9 +52,11 @@ def _fingerprints(bits: int):
 
     def digest(word: str) -> bytes:
         if (found := known.get(word)) is None:
-            if len(known) > 500_000:
+            found = hashlib.md5(word.encode()).digest()[:8]
+            if len(known) >= KNOWN:
                 known.clear()
-            found = known[word] = hashlib.md5(word.encode()).digest()[:8]
+            if len(word) <= 64:
+                known[word] = found
         return found
 
     def votes(words) -> np.ndarray:
@@ -45,13 +67,12 @@ def _fingerprints(bits: int):
         return out
 
     def run(texts):
-        import pandas as pd
         import pyarrow as pa
         import pyarrow.compute as pc
 
         out = np.zeros(len(texts), np.int64)
-        for begin in range(0, len(texts), 2048):
-            part = pa.array(texts.iloc[begin : begin + 2048], pa.string(), from_pandas=True).fill_null("")
+        for begin, part in _pieces(texts):
+            part = part.fill_null("")
             split = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(part), "[^a-z0-9]+", " "), " "), " ")
             numbered = pc.list_flatten(split).dictionary_encode()
             table, code = votes(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
@@ -59,7 +80,8 @@ def _fingerprints(bits: int):
             total = np.add.reduceat(table[code], starts, axis=0, dtype=np.int32)
             some = np.add.reduceat(table.any(axis=1)[code], starts, dtype=np.int32) > 0
             out[begin : begin + len(part)] = np.where(some, (total >= 0) @ weights, 0)
-        return pd.Series(out)
+        pa.default_memory_pool().release_unused()
+        return pa.array(out)
 
     return run
 
@@ -73,7 +95,7 @@ def with_group_key(df: DataFrame, text: str = "text", bits: int = 12, name: str
         raise ValueError("bits must be 1 to 63")
     from pyspark.sql.types import LongType
 
-    return df.withColumn(name, F.pandas_udf(_fingerprints(bits), LongType())(F.col(text)))
+    return df.withColumn(name, F.arrow_udf(_fingerprints(bits), LongType())(F.col(text)))
 
 
 def representatives(df: DataFrame, key: list[str], text: str, pos: str, reps: int = 1, seed: int = 42) -> DataFrame:
