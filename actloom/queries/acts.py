@@ -8,6 +8,7 @@ from ..functions import core
 from ..operators import cluster, gate, kmeans
 from ..plans import specs
 from ..sources import markdown, readers
+from ..sources.scratch import written
 from ..views import view
 
 QUERIES, ORACLES = {}, {}
@@ -312,7 +313,8 @@ def _reps(s, d):
 WITH k AS ({KEYED}), t AS (SELECT group_key, count(*) AS size, arg_min(doc_id, (-length(text), doc_id)) AS top FROM k GROUP BY group_key)
 SELECT group_key, size, doc_id, text, rank FROM (SELECT k.group_key, size, doc_id, text, row_number() OVER (PARTITION BY k.group_key ORDER BY doc_id <> top, md5(doc_id || ':42'), doc_id)::INTEGER AS rank FROM k JOIN t USING (group_key)) WHERE rank <= 3""")
 def _reps3(s, d):
-    return cluster.representatives(cluster.with_group_key(view(s, d, "documents").select("doc_id", "text")), ["group_key"], "text", "doc_id", 3)
+    keyed = written(cluster.with_group_key(view(s, d, "documents").select("doc_id", "text")), "keyed")  # read twice, keyed once
+    return cluster.representatives(keyed, ["group_key"], "text", "doc_id", 3)
 
 
 @query("g06_l2_normalize", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
@@ -413,7 +415,7 @@ _SIZES = f"(SELECT group_key, count(*) AS size FROM ({KEYED}) GROUP BY group_key
 
 @query("g12_propagate", f"SELECT k.doc_id, s.size FROM ({KEYED}) k JOIN {_SIZES} s USING (group_key)")
 def _propagate(s, d):
-    k = cluster.with_group_key(view(s, d, "documents").select("doc_id", "text"))
+    k = written(cluster.with_group_key(view(s, d, "documents").select("doc_id", "text")).select("doc_id", "group_key"), "keyed")  # read twice, keyed once
     return k.join(cluster.cluster_sizes(k, ["group_key"]), "group_key").select("doc_id", "size")
 
 
