@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.scratch import files
+
 #: The hint deals lines by order, which serves the grouping by line and every later grouping by context, so
 #: one shuffle does for both. DuckDB takes it for a comment.
 #: (ctx, id, text): segments of paper-like prose, in which every extraction pattern is met and missed.
@@ -103,6 +105,17 @@ FROM (SELECT doc_id, text, obj, concat('[1, "{", {"other": []}, ', obj, ', {"lab
     FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)))
 """
 
+#: Bytes of a table's files for a shuffle partition of its views, so that a task's memory does not grow with the table.
+PART_BYTES = 4 << 20
+
+
+def parts(spark: SparkSession, sf_dir: str, table: str, size: int = PART_BYTES) -> int:
+    """Shuffle partitions for a table: one a ``size`` bytes of its files, no fewer than there are cores or partitions set."""
+    fs, path = files(spark, f"{sf_dir}/{table}.parquet")
+    few = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(few, fs.getContentSummary(path).getLength() // size)
+
+
 VIEWS = {"replies": REPLIES, "papers": PAPERS, "acts": ACTS, "moves": MOVES, "turns": TURNS, "meta": META}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -116,6 +129,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f"FROM {t}" in text:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
             bound[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    if "lineitem" in bound:  # the hint is given a number, which is not coalesced; without a hint the lines are dealt here
+        n, hint = parts(spark, sf_dir, "lineitem"), "REPARTITION(l_orderkey)"
+        if hint in text:
+            text = text.replace(hint, f"REPARTITION({n}, l_orderkey)")
+        else:
+            bound["lineitem"] = bound["lineitem"].repartition(n, "l_orderkey")
     return spark.sql(text, **bound)
 
 
