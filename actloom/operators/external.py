@@ -17,11 +17,15 @@ def url_key(url) -> Column:
 
 
 def lookup(requests: DataFrame, snapshots: DataFrame, url: str = "url") -> DataFrame:
-    """Requests with their payload and reason: null where found, cache_miss, or not_found for a stored 404."""
-    held = snapshots.select(F.col("url_sha256").alias("__k"), F.col("payload"))
-    out = requests.join(held, url_key(F.col(url)) == F.col("__k"), "left")
-    reason = F.when(F.col("__k").isNull(), F.lit("cache_miss")).when(F.col("payload").isNull(), F.lit("not_found"))
-    return out.withColumn("reason", reason).drop("__k")
+    """Requests with their payload and reason: null where found, cache_miss, or not_found for a stored 404.
+
+    Snapshots grow with the requests, so they are sorted and merged, not held in a task's memory. Whether there is a payload is
+    told before the join: who asks for the reason alone moves no payloads.
+    """
+    held = snapshots.select(F.col("url_sha256").alias("__k"), F.col("payload"), F.col("payload").isNull().alias("__none"))
+    out = requests.join(held.hint("merge"), url_key(F.col(url)) == F.col("__k"), "left")
+    reason = F.when(F.col("__k").isNull(), F.lit("cache_miss")).when(F.col("__none"), F.lit("not_found"))
+    return out.withColumn("reason", reason).drop("__k", "__none")
 
 
 def works_url(key, mailto=None) -> Column:

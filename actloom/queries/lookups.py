@@ -39,8 +39,8 @@ def _snapshots(s, d):
     return rows.select(external.url_key(_url(k)).alias("url_sha256"), F.when(k % 15 != 0, doc).alias("payload"))
 
 
-def _found(s, d):
-    return external.lookup(view(s, d, "part").select("p_partkey", _url(F.col("p_partkey")).alias("url")), _snapshots(s, d))
+def _found(s, d, *more):
+    return external.lookup(view(s, d, "part").select("p_partkey", _url(F.col("p_partkey")).alias("url"), *more), _snapshots(s, d))
 
 
 _REASON = "CASE WHEN p_partkey % 15 = 0 THEN 'not_found' WHEN p_partkey % 3 = 0 THEN 'cache_miss' END"
@@ -144,8 +144,7 @@ def _backbone(s, d):
 
 @query("k15_existence_batch", "SELECT p_brand AS key, bool_and(p_partkey % 3 <> 0) AS exists_all, count(*) AS n FROM part GROUP BY p_brand")
 def _batch(s, d):
-    found = _found(s, d).join(view(s, d, "part").select("p_partkey", F.col("p_brand").alias("key")), "p_partkey")
-    return external.exists_batch(found)
+    return external.exists_batch(_found(s, d, F.col("p_brand").alias("key")))
 
 
 @query("k18_smoke_run", "SELECT page_id % 20 AS key, bool_or(u.ok) AS supported FROM pages JOIN (SELECT url, bool_or(200 + page_id % 3 * 150 BETWEEN 200 AND 399) AS ok FROM pages GROUP BY url) u USING (url) GROUP BY 1")
