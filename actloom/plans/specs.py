@@ -98,7 +98,7 @@ def normalized_spec(payload: Column, fallback: Column) -> Column:
 
     Unknown actions become accept and unknown kinds primitive; name and summary may stand under their other keys, and a
     missing name is the fallback, that of the nth nested specification being <name>_Primitive_<n>. Nested ones are
-    always primitives.
+    always primitives. The payload is named often: what is costly to make ought to be a column of its own.
     """
     own = _normal(payload, fallback)
     name = F.coalesce(F.nullif(payload["name"], F.lit("")), F.nullif(payload["label"], F.lit("")), fallback)

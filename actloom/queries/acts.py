@@ -9,7 +9,7 @@ from ..operators import cluster, gate, kmeans
 from ..plans import specs
 from ..sources import markdown, readers
 from ..sources.scratch import written
-from ..views import view
+from ..views import parts, view
 
 QUERIES, ORACLES = {}, {}
 
@@ -160,11 +160,12 @@ def _normalise(s, d):
           'candidate_kind', CASE p_partkey % 3 WHEN 0 THEN ' Skill' END, 'name', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('N', p_partkey) END, 'label', CASE WHEN p_partkey % 10 = 0 THEN concat('L', p_partkey) END,
           'need_summary', CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN p_brand END, 'summary', CASE WHEN p_partkey % 7 > 0 THEN p_brand END, 'dependencies', array('numpy', '', NULL),
           'primitive_specs', array(named_struct('kind', 'skill', 'name', ''), named_struct('kind', 'skill', 'name', 'own')))) AS payload FROM {part}""",
-        part=view(s, d, "part"),
+        part=view(s, d, "part").repartition(parts(s, d, "part", 1 << 18), "p_partkey"),  # a row costs far more than its bytes
     )
-    out = payload.select("p_partkey", specs.normalized_spec(F.from_json("payload", specs.PAYLOAD), F.concat(F.lit("F"), F.col("p_partkey").cast("string"))).alias("x"))
-    first = F.get("x.primitive_specs", F.lit(0))
-    return out.select("p_partkey", "x.action", "x.kind", "x.name", "x.need_summary", F.when(F.col("x.spec.dag").isNotNull(), F.size("x.spec.dag")).alias("n_steps"), F.size("x.dependencies").alias("n_dependencies"), first["name"].alias("first_nested"), first["kind"].alias("nested_kind"), F.size("x.primitive_specs").alias("n_nested"))
+    read = payload.select("p_partkey", F.from_json("payload", specs.PAYLOAD).alias("p"))  # parsed once, named often
+    out = read.select("p_partkey", specs.normalized_spec(F.col("p"), F.concat(F.lit("F"), F.col("p_partkey").cast("string"))).alias("x")).select("p_partkey", "x.*")
+    first = F.get("primitive_specs", F.lit(0))
+    return out.select("p_partkey", "action", "kind", "name", "need_summary", F.when(F.col("spec.dag").isNotNull(), F.size("spec.dag")).alias("n_steps"), F.size("dependencies").alias("n_dependencies"), first["name"].alias("first_nested"), first["kind"].alias("nested_kind"), F.size("primitive_specs").alias("n_nested"))
 
 
 @query("p12_dag_primitives", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'A,' || p_brand ELSE p_brand END AS primitives FROM part")

@@ -1,6 +1,8 @@
 """Steps whose work for a row does not multiply, and whose tasks do not grow with the table."""
 
-from actloom.queries import lookups
+import re
+
+from actloom.queries import acts, lookups
 
 
 def plans(df):
@@ -8,6 +10,13 @@ def plans(df):
     return told.optimizedPlan().toString(), told.executedPlan().toString()
 
 
+def test_a_specification_is_parsed_once_and_dealt_by_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(acts, "parts", lambda *_: 37)
+    logical, physical = plans(acts.QUERIES["p10_spec_normalise"](spark, sf_dir))
+    assert logical.count("from_json(") == 1
+    assert re.findall(r"hashpartitioning\(p_partkey#\d+L?, (\d+)\)", physical) == ["37"]
+
+
 def test_existence_moves_no_payloads_and_holds_no_snapshots(spark, sf_dir):
     logical, physical = plans(lookups.QUERIES["k15_existence_batch"](spark, sf_dir))
     assert "Broadcast" not in physical and physical.count("Join") == 1
