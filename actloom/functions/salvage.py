@@ -13,8 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of a value that is made once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """A text without white space at its ends, which alone are looked at."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_json(c: Column) -> Column:
@@ -39,30 +45,34 @@ def between(c: Column, opens: str, closes: str) -> Column:
 
 
 def _first(*candidates: Column) -> Column:
-    return F.coalesce(*[F.when(is_json(c), c) for c in candidates])
+    return F.coalesce(*[bound(c, lambda x: F.when(is_json(x), x)) for c in candidates])
 
 
 def reply_json(c: Column) -> Column:
     """What a fence holds, else the whole text if it starts like JSON, else the widest array, else the widest object."""
-    t = trimmed(c)
-    fence = trimmed(F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1))
-    whole = F.when(F.substring(t, 1, 1).isin("{", "["), t)
-    return _first(F.nullif(fence, F.lit("")), whole, between(t, "[", "]"), between(t, "{", "}"))
+
+    def found(t):
+        fence = F.when(F.contains(t, F.lit("```")), trimmed(F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1)))
+        whole = F.when(F.substring(t, 1, 1).isin("{", "["), t)
+        return _first(F.nullif(fence, F.lit("")), whole, between(t, "[", "]"), between(t, "{", "}"))
+
+    return bound(trimmed(c), found)
 
 
 def object_json(c: Column) -> Column:
     """The widest object, after back-quotes at both ends of a fenced text are taken away."""
-    t = trimmed(c)
-    t = F.when(t.startswith("```"), trimmed(F.btrim(t, F.lit("`")))).otherwise(t)
-    return _first(between(t, "{", "}"))
+    bare = bound(trimmed(c), lambda t: F.when(t.startswith("```"), trimmed(F.btrim(t, F.lit("`")))).otherwise(t))
+    return bound(bare, lambda t: _first(between(t, "{", "}")))
 
 
 def any_json(c: Column) -> Column:
     """The whole text, or of a fenced text what the fence holds, as any JSON value; else the widest object there."""
-    t = trimmed(c)
-    inner = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    t = F.when(t.startswith("```") & F.rlike(t, F.lit(r"(?s)```.*```")), trimmed(inner)).otherwise(t)
-    return _first(t, between(t, "{", "}"))
+
+    def held(t):
+        inner = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+        return F.when(t.startswith("```") & F.rlike(t, F.lit(r"(?s)```.*```")), trimmed(inner)).otherwise(t)
+
+    return bound(bound(trimmed(c), held), lambda t: _first(t, between(t, "{", "}")))
 
 
 _MARKS = re.compile(r'["\\\[\]{}]')
@@ -150,5 +160,5 @@ def label_payload(v: Column) -> Column:
     """
     is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
     has = lambda x, key: F.try_variant_get(x, f"$.{key}", "variant").isNotNull()
-    told = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: is_object(x) & (has(x, "label") | has(x, "action")))
-    return F.when(is_object(v), v).otherwise(F.get(told, F.lit(0)))
+    told = lambda x: F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda y: is_object(y) & (has(y, "label") | has(y, "action")))
+    return bound(v, lambda x: F.when(is_object(x), x).otherwise(F.get(told(x), F.lit(0))))

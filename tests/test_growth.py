@@ -2,6 +2,10 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from actloom.functions import salvage
 from actloom.queries import acts, lookups
 
 
@@ -17,6 +21,18 @@ def test_a_specification_is_parsed_once_and_dealt_by_size(spark, sf_dir, monkeyp
     assert re.findall(r"hashpartitioning\(p_partkey#\d+L?, (\d+)\)", physical) == ["37"]
 
 
+@pytest.mark.parametrize("form", [salvage.reply_json, salvage.object_json, salvage.any_json, lambda c: salvage.label_payload(salvage.variant(c))])
+def test_a_reply_is_read_once(spark, form):
+    df = spark.createDataFrame([("x",)], "reply string").select(form(F.col("reply")).alias("found"))
+    assert len(re.findall(r"(?<!\w)reply#\d+", plans(df)[0])) == 2  # the table's column and one use of it
+
+
+def test_white_space_at_both_ends_is_trimmed(spark):
+    texts = ["", " ", "\n\t a b\x0b\f\r\n", "a  b", "  a  ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(salvage.trimmed(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == ["", "", "a b", "a  b", " a ", None]
+
+
 def test_existence_moves_no_payloads_and_holds_no_snapshots(spark, sf_dir):
     logical, physical = plans(lookups.QUERIES["k15_existence_batch"](spark, sf_dir))
     assert "Broadcast" not in physical and physical.count("Join") == 1
