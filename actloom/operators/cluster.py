@@ -150,12 +150,13 @@ def assign(vectors: DataFrame, centers: DataFrame, id_col: str, vector: str, cen
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42, max_iter: int = 50) -> DataFrame:
     """k-means clusters of the whole table by Spark's own KMeans (k-means|| start), which iterates over partial sums by
-    partition."""
+    partition. Its block solver compares blocks of vectors with all centers; the row solver sends the k * k distances between
+    centers to the driver in every round."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__v", predictionCol="cluster_id").fit(data)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, solver="block", featuresCol="__v", predictionCol="cluster_id").fit(data)
     return model.transform(data).drop("__v")
 
 

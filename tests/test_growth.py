@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actloom.functions import salvage
+from actloom.operators import cluster
 from actloom.queries import acts, lookups
 
 
@@ -37,3 +38,12 @@ def test_existence_moves_no_payloads_and_holds_no_snapshots(spark, sf_dir):
     logical, physical = plans(lookups.QUERIES["k15_existence_batch"](spark, sf_dir))
     assert "Broadcast" not in physical and physical.count("Join") == 1
     assert "AS payload" not in logical
+
+
+def test_whole_table_kmeans_sends_no_distances_between_centers(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    solvers, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: solvers.append(self.getSolver()) or fit(self, df))
+    df = spark.createDataFrame([([float(i % 3), 1.0],) for i in range(30)], "v array<float>")
+    assert cluster.kmeans(df, "v", 3).select("cluster_id").distinct().count() == 3 and solvers == ["block"]
