@@ -186,7 +186,8 @@ def kmeans_scoped(df: DataFrame, scope: str, vector: str, pos: str, k: int, seed
     for i in range(1, max_iter + 1):
         rows, near = joined(centers)
         old = near("before") if i > 1 else F.lit(0)
-        dims = rows.select(scope, near("centroid").alias("cluster_id"), old.alias("old"), F.posexplode(vector).alias("i", "x"))
+        told = rows.select(scope, near("centroid").alias("cluster_id"), old.alias("old"), vector)  # a row is labelled before it is exploded
+        dims = told.select(scope, "cluster_id", "old", F.posexplode(vector).alias("i", "x"))
         changed = F.sum(((F.col("i") == 0) & (F.col("cluster_id") != F.col("old"))).cast("int"))
         long = dims.groupBy(scope, "cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), changed.alias("c"))
         means = written(long.groupBy(scope, "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"), F.sum("c").alias("c")), "means")

@@ -47,3 +47,12 @@ def test_whole_table_kmeans_sends_no_distances_between_centers(spark, monkeypatc
     monkeypatch.setattr(KMeans, "fit", lambda self, df: solvers.append(self.getSolver()) or fit(self, df))
     df = spark.createDataFrame([([float(i % 3), 1.0],) for i in range(30)], "v array<float>")
     assert cluster.kmeans(df, "v", 3).select("cluster_id").distinct().count() == 3 and solvers == ["block"]
+
+
+def test_a_row_is_labelled_before_it_is_exploded(spark, monkeypatch):
+    told, write = [], cluster.written
+    monkeypatch.setattr(cluster, "written", lambda df, name: told.append((name, plans(df)[0])) or write(df, name))
+    df = spark.createDataFrame([(i, "ab"[i % 2], [float(i), 1.0]) for i in range(12)], "id long, s string, v array<double>")
+    cluster.kmeans_scoped(df, "s", "v", "id", 2, max_iter=2).collect()
+    means = [plan for name, plan in told if name == "means"]
+    assert means and all("zip_with" not in plan.split("Generate")[0] and "zip_with" in plan.split("Generate")[1] for plan in means)
