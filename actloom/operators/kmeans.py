@@ -7,12 +7,13 @@ broadcast. Every draw is the smallest of seeded MD5 values, so any engine can re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-EVERY = 8  # starts after which the distances to the nearest of them are written
+EVERY = 32  # starts that a pass over the rows serves at most
+HELD = 16  # rows fetched for each of them
 _TOP = 2.0**52
 
 
@@ -22,32 +23,103 @@ def uniform(row: Column, *what) -> Column:
     return (F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("double") + 1) / _TOP
 
 
-def _squared(v, center) -> Column:
-    """Squared distance to a center that the driver holds."""
-    there = F.array(*[F.lit(float(x)) for x in center])
-    return F.aggregate(F.zip_with(v, there, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+def _drawn(u, d):
+    """What rows draw for a start: the smaller, the farther they are from the starts before."""
+    import numpy as np
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(d == 0, np.inf, -np.log(u) / d)
+
+
+def _smallest(draws: list[int], first: bool):
+    """Rows (row, v, d, u of each draw) to the HELD smallest of each draw, a task's: (draw, key, u, row, v, d)."""
+
+    def best(table):
+        import numpy as np
+
+        draw, key, u = (table.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((u, key, draw))
+        ranked = draw[order]
+        return table.take(order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < HELD])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kept = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            d, us = batch.column(2).to_numpy(zero_copy_only=False), _points(batch.column(3))
+            keys = us if first else _drawn(us, d[:, None])
+            least = np.partition(keys, min(HELD, n) - 1, axis=0)[min(HELD, n) - 1]
+            at = [np.flatnonzero(~(keys[:, i] > least[i])) for i in range(len(draws))]
+            at = [some[np.lexsort((us[some, i], keys[some, i]))[:HELD]] for i, some in enumerate(at)]
+            which, rows = np.repeat(np.arange(len(draws)), [len(some) for some in at]), np.concatenate(at)
+            told = [pa.array(np.array(draws, np.int32)[which]), pa.array(keys[rows, which]), pa.array(us[rows, which]), *[batch.column(i).take(pa.array(rows)) for i in range(3)]]
+            table = pa.Table.from_arrays(told, names=["draw", "key", "u", "row", "v", "d"])
+            kept = best(table if kept is None else pa.concat_tables([kept, table]))
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+
+    return run
+
+
+def _nearer(new: list):
+    """Rows (row, v, d) with d to the nearest of some more starts."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                d, points = batch.column(2).to_numpy(zero_copy_only=False), _points(batch.column(1))
+                for center in new:
+                    d = np.fmin(d, ((points - np.asarray(center)) ** 2).sum(axis=1))  # passes over NaN, for none so far
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["row", "v", "d"])
+
+    return run
 
 
 def dsquared_starts(df: DataFrame, row: str, vector: str, k: int, seed: int = 42) -> list[tuple]:
     """(row, vector) of k starts: the first by chance, each other with a chance in proportion to its squared distance to the
     nearest start before.
 
-    The draw takes the smallest -ln(u) / distance, an aggregate of one row a task. A row's distance is kept as a column, written every
-    EVERY starts. Where every distance is 0 all rows have the same chance, as they have when k is more than the
-    distinct vectors.
+    The draw takes the smallest -ln(u) / distance. A pass serves up to EVERY starts: distances only fall, so what a row draws
+    over its distance now is a bound for every later start. Of each start to come the HELD rows of smallest bounds are
+    fetched and drawn over the starts found since; the smallest is exact if no row left out has a smaller bound, else the
+    next pass begins with that start. Where every distance is 0 all rows have the same chance, as they have when k is
+    more than the distinct vectors.
     """
+    import numpy as np
+
     rows = df.filter(F.col(vector).isNotNull()).select(F.col(row).alias("row"), F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("double").alias("d"))
+    kind = dict(rows.dtypes)["row"]
+    by_rank = Window.partitionBy("draw").orderBy("key", "u", "row")
     found: list[tuple] = []
-    for i in range(k):
-        u = uniform(F.col("row"), seed, i)
-        key = F.when(F.col("d").isNull(), u).when(F.col("d") > 0, -F.log(u) / F.col("d")).otherwise(F.lit(float("inf")))
-        drawn = rows.agg(F.min_by(F.struct("row", "v"), F.struct(key.alias("key"), u.alias("u"), F.col("row"))).alias("s")).first().s
-        if drawn is None:
-            break
-        found.append((drawn.row, list(drawn.v)))
-        rows = rows.withColumn("d", F.least(F.col("d"), _squared(F.col("v"), drawn.v)))  # least passes over null
-        if (i + 1) % EVERY == 0 and i + 1 < k:
-            rows = written(rows, "distances")
+    while len(found) < k:
+        draws = list(range(len(found), min(len(found) + EVERY, k))) if found else [0]
+        asked = rows.select("row", "v", "d", F.array(*[uniform(F.col("row"), seed, i) for i in draws]).alias("u"))
+        small = asked.mapInArrow(_smallest(draws, not found), f"draw int, key double, u double, row {kind}, v array<double>, d double")
+        held: dict[int, list] = {i: [] for i in draws}
+        for r in small.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= HELD).collect():
+            held[r.draw].append(r)
+        new: list[list] = []
+        for i in draws:
+            order = lambda key, r: (bool(np.isnan(key)), float(key), r.u, r.row)
+            nearest_of = lambda r: min([r.d, *[float(((np.array(r.v) - np.array(c)) ** 2).sum()) for c in new]])
+            told = [(order(_drawn(r.u, nearest_of(r)) if new else r.key, r), r) for r in held[i]]
+            if not told:
+                return found
+            key, best = min(told, key=lambda x: x[0])
+            if new and len(told) == HELD and key > max(order(r.key, r) for r in held[i]):
+                break
+            found.append((best.row, list(best.v)))
+            new.append(list(best.v))
+        if len(found) < k:
+            rows = written(rows.mapInArrow(_nearer(new), f"row {kind}, v array<double>, d double"), "distances")
     return found
 
 

@@ -1,12 +1,15 @@
 """Steps whose work for a row does not multiply, and whose tasks do not grow with the table."""
 
+import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from actloom.functions import salvage
-from actloom.operators import cluster
+from actloom.operators import cluster, kmeans
 from actloom.queries import acts, lookups
 
 
@@ -56,3 +59,24 @@ def test_a_row_is_labelled_before_it_is_exploded(spark, monkeypatch):
     cluster.kmeans_scoped(df, "s", "v", "id", 2, max_iter=2).collect()
     means = [plan for name, plan in told if name == "means"]
     assert means and all("zip_with" not in plan.split("Generate")[0] and "zip_with" in plan.split("Generate")[1] for plan in means)
+
+
+def starts_one_by_one(points, k, seed):
+    d, found = None, []
+    for i in range(k):
+        u = [(int(hashlib.md5(f"{row}:{seed}:{i}".encode()).hexdigest()[:13], 16) + 1) / 2**52 for row in range(len(points))]
+        key = [u[r] if d is None else -math.log(u[r]) / d[r] if d[r] > 0 else math.inf for r in range(len(points))]
+        found.append(min(range(len(points)), key=lambda r: (key[r], u[r], r)))
+        new = ((points - points[found[-1]]) ** 2).sum(axis=1)
+        d = new if d is None else np.minimum(d, new)
+    return found
+
+
+@pytest.mark.parametrize("n, distinct, k", [(300, 300, 45), (40, 4, 6)])
+def test_a_pass_over_the_rows_serves_many_starts(spark, n, distinct, k):
+    points = np.random.default_rng(1).normal(0, 1, (distinct, 5))[np.arange(n) % distinct]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>").repartition(3)
+    spark.sparkContext.setJobGroup(f"starts-{n}", "starts")
+    got = [r for r, _ in kmeans.dsquared_starts(df, "id", "v", k)]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"starts-{n}"))
+    assert got == starts_one_by_one(points, k, 42) and (jobs < k or distinct < k)
