@@ -76,29 +76,41 @@ def summaries(moves: DataFrame, key: str = "thread_id", order: list[str] | None
         def handleInputRows(self, k, rows, timers):
             import pandas as pd
 
-            phase, budget_left, last_role, count = self.head.get() if self.head.exists() else ("Open", budget, None, 0)
-            for move in pd.concat(list(rows)).sort_values(order).itertuples(index=False):
-                if phase == "Closed":
-                    break
-                ok = move.status == "ok"
-                if ok:
-                    self.lists["observations"].appendValue((move.observation,))
-                if ok and move.role == "Author":
-                    self.lists["requests"].clear()
-                new = {n: [(t,) for t in (getattr(move, n) if getattr(move, n) is not None else ()) if t] for n in LISTS[1:]}
-                if new["requests"] and not (ok and move.role == "Author"):
-                    self.lists["requests"].appendList(new["requests"])
-                if new["commitments"]:
-                    self.lists["commitments"].appendList(new["commitments"])
-                phase, budget_left, _, _, _, last_role, count = step((phase, budget_left, 0, 0, 0, last_role, count), move.role, move.status, move.action_type, 0, 0)
-            self.head.update((phase, int(budget_left), last_role, int(count)))
-            told = {n: [[r[0] for r in self.lists[n].get()] if self.lists[n].exists() else []] for n in LISTS}
+            held = self.head.get()  # each call of the store is a message: a new thread has no lists to ask for
+            phase, budget_left, last_role, count = held or ("Open", budget, None, 0)
+            before = {n: [r[0] for r in self.lists[n].get()] if held else [] for n in LISTS}
+            new: dict[str, list] = {n: [] for n in LISTS}
+            cleared = False
+            if phase != "Closed":
+                moves = pd.concat(list(rows))
+                for move in moves.sort_values(order).itertuples(index=False):
+                    if phase == "Closed":
+                        break
+                    ok = move.status == "ok"
+                    told = {n: [t for t in (getattr(move, n) if getattr(move, n) is not None else ()) if t] for n in LISTS[1:]}
+                    if ok:
+                        new["observations"].append(move.observation)
+                    if ok and move.role == "Author":
+                        cleared, new["requests"] = True, []
+                    else:
+                        new["requests"] += told["requests"]
+                    new["commitments"] += told["commitments"]
+                    phase, budget_left, _, _, _, last_role, count = step((phase, budget_left, 0, 0, 0, last_role, count), move.role, move.status, move.action_type, 0, 0)
+                self.head.update((phase, int(budget_left), last_role, int(count)))
+            if cleared and before["requests"]:
+                self.lists["requests"].clear()
+                before["requests"] = []
+            for n in LISTS:
+                if new[n]:
+                    self.lists[n].appendList([(t,) for t in new[n]])
+            told = {n: [before[n] + new[n]] for n in LISTS}
             yield pd.DataFrame({key: [k[0]], "phase": [phase], "budget": [int(budget_left)], **told, "last_role": [last_role], "moves": [int(count)]})
 
         def close(self) -> None:
             pass
 
-    return moves.groupBy(key).transformWithStateInPandas(Ledger(), f"{key} {kind}, {SUMMARY}", "Update", "None")
+    used = dict.fromkeys([key, *order, "role", "status", "action_type", "observation", *LISTS[1:]])  # each column of each move goes to Python
+    return moves.select(*used).groupBy(key).transformWithStateInPandas(Ledger(), f"{key} {kind}, {SUMMARY}", "Update", "None")
 
 
 def kept_by_batch(states: DataFrame, number: int, path: str) -> None:

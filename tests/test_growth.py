@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from actloom.functions import salvage
 from actloom.operators import cluster, kmeans
 from actloom.queries import acts, lookups
+from actloom.streaming import ledger
 
 
 def plans(df):
@@ -80,3 +81,10 @@ def test_a_pass_over_the_rows_serves_many_starts(spark, n, distinct, k):
     got = [r for r, _ in kmeans.dsquared_starts(df, "id", "v", k)]
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"starts-{n}"))
     assert got == starts_one_by_one(points, k, 42) and (jobs < k or distinct < k)
+
+
+def test_only_columns_that_are_read_go_to_the_stateful_operator(spark, tmp_path):
+    kinds = "thread_id string, event_id long, noise string, role string, status string, action_type string, observation string, requests array<string>, commitments array<string>"
+    stream = ledger.summaries(spark.readStream.schema(kinds).parquet(str(tmp_path)))
+    projects = [x for x in stream._jdf.queryExecution().analyzed().toString().splitlines() if "Project [" in x]
+    assert projects and any("observation" in x and "noise" not in x for x in projects)
