@@ -15,60 +15,75 @@ def before_appendix(segments: DataFrame, heading: str = r"(?i)^(appendix|supplem
     return segments.join(cut, "ctx", "left").filter("__cut is null or id < __cut").drop("__cut")
 
 
-LEVELS = 8  # blocks of a word's postings, by impact
 MARGIN = 1e-4  # below a threshold, as scores are rounded to 1e-5
+SHARE = 0.5  # of the goal, that the words may add through which no document is met; any value gives the same result
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 3, terms: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Best documents of each query (item_id, text) over its distinct words, or its first ``terms`` words.
 
-    A posting is a word's part of a document's score. A word's postings lie in blocks by their impact, relative to the
-    word's largest. The documents of each word's ``top`` largest postings are scored first; the ``top``-th best of these scores is
-    reached by so many documents, so one that cannot reach it is out: of each word only the blocks are joined whose
-    bound, with the largest postings of the query's other words, gets there. Common words have small bounds, so most
-    of their documents are never met. The documents left are scored on all words.
+    A posting is a word's part of a document's score. The documents of the ``top`` largest postings of each query's rarer
+    words are scored first; the ``top``-th best of these scores, the goal, is reached by so many documents, so one that
+    cannot reach it is out. A query's words of smallest bounds that together miss half the goal lead to no document: common
+    words have small bounds, so most postings are never met. Of the documents met through the other words, those stay
+    whose parts of these, with the bounds of the rest, reach the goal; they are scored on all words.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
-    of = words(F.col("text"))
-    asked = queries.select("item_id", F.explode(F.array_distinct(F.slice(of, 1, terms) if terms else of)).alias("t"))
-    split = docs.select("doc_id", of.alias("w")).withColumn("len", F.size("w"))
-    size = split.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tf = split.select("doc_id", "len", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").groupBy("doc_id", "t", "len").agg(F.count(F.lit(1)).alias("tf"))
+    of = F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "")
+    asked = queries.select("item_id", F.explode(F.array_distinct(F.slice(of, 1, terms) if terms else of)).alias("word"))
+    # the empty word stands for the document itself, so that one pass gives words, number and lengths
+    itself = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("t"))
+    named = written(asked.select("word").distinct().withColumn("t", F.monotonically_increasing_id()).union(itself), "words")
+    asked = written(asked.join(named, "word").select("item_id", "t"), "asked")
+    split = docs.select("doc_id", of.alias("w")).select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("len"), F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit(""))).alias("w"))
+    tf = split.select("doc_id", "len", F.explode("w").alias("word")).join(named, "word").groupBy("doc_id", "t", "len").agg(F.count(F.lit(1)).alias("tf"))
     tf = written(tf, "tf")
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("len") / F.col("avg_len")))
-    weighed = tf.join(df, "t").crossJoin(F.broadcast(size)).select("t", "doc_id", weight.alias("s"))  # one row
-    bounds = weighed.groupBy("t").agg(F.max("s").alias("most"))
-    level = F.least(F.floor(F.col("s") / F.col("most") * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    postings = written(weighed.join(bounds, "t").select("t", "doc_id", "s", "most", level.alias("level")), "postings")
-    scores = _scored(_candidates(asked, postings, top), asked, postings)
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    by_id = tf.filter("t = -1").groupBy("doc_id").agg(F.sum("tf").alias("n"), F.sum(F.when(F.col("len").isNotNull(), F.col("tf"))).alias("texts"), F.sum(F.col("tf") * F.col("len")).alias("words"), F.count(F.lit(1)).alias("rows"))
+    size = by_id.agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("texts")).alias("avg_len"), F.max("rows").alias("rows"))
+    tf = tf.filter("t >= 0")
+    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))  # one row
+    idf = written(df.select("t", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len", "rows"), "idf")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("len") / F.col("avg_len")))
+    postings = written(tf.join(idf, "t").select("t", "doc_id", weight.alias("s")), "postings")
+    scores = _scored(_candidates(asked, postings, idf, top), asked, postings)
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def _scored(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score) of pairs, over all words of the query."""
-    parts = pairs.join(asked, "item_id").join(postings.select("t", "doc_id", "s"), ["t", "doc_id"])
+    """(item_id, doc_id, score) of pairs, over all words of the query; postings of other documents are left first."""
+    near = postings.select("t", F.col("doc_id").alias("__doc"), "s")
+    near = near.join(pairs.select("doc_id").distinct(), F.col("__doc").eqNullSafe(F.col("doc_id")), "left_semi")
+    wanted = pairs.join(asked, "item_id").withColumnRenamed("t", "__t")
+    parts = wanted.join(near, (F.col("__t") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     return parts.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 5).alias("score"))
 
 
-def _candidates(asked: DataFrame, postings: DataFrame, top: int) -> DataFrame:
+def _candidates(asked: DataFrame, postings: DataFrame, idf: DataFrame, top: int) -> DataFrame:
     """(item_id, doc_id) of the documents that may be among the best."""
-    nth = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("s"), "doc_id"))
-    first = postings.select("t", "doc_id", nth.alias("r")).filter(F.col("r") <= top)
-    seeds = _scored(asked.join(first, "t").select("item_id", "doc_id").distinct(), asked, postings)
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
-    goals = written(seeds.withColumn("r", place).filter(F.col("r") <= top).filter(F.col("r") == top).select("item_id", (F.col("score") - MARGIN).alias("goal")), "goals")
-    bounds = asked.join(postings.select("t", "most").distinct(), "t")
     of_query = Window.partitionBy("item_id")
-    known = bounds.join(goals, "item_id", "left").withColumn("goal", F.coalesce("goal", F.lit(0.0))).withColumn("others", F.sum("most").over(of_query) - F.col("most"))
-    # a document of small words only is met through none of them: from the smallest bound up, words whose bounds together miss the goal
-    small = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    essential = known.withColumn("small", small).filter(F.col("small") >= F.col("goal"))
-    levels = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.col("most") * (i + 1) / LEVELS + F.col("others") >= F.col("goal"))
-    blocks = essential.select("item_id", "t", "goal", "others", F.explode(levels).alias("level"))
-    met = blocks.join(postings, ["t", "level"]).filter(F.col("s") + F.col("others") >= F.col("goal"))
-    return met.select("item_id", "doc_id").distinct()
+    place = F.row_number().over(of_query.orderBy(F.desc("idf"), "t"))
+    rare = asked.join(idf, "t").withColumn("r", place).withColumn("all", F.count(F.lit(1)).over(of_query))
+    rare = written(rare.filter((F.col("r") <= top) | (F.col("r") <= F.col("all") / 2)).select("item_id", "t"), "rare")
+    nth = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("s"), "doc_id"))
+    first = postings.join(rare.select("t").distinct(), "t", "left_semi").withColumn("r", nth).filter(F.col("r") <= top)
+    seeds = _scored(written(rare.join(first, "t").select("item_id", "doc_id").distinct(), "seeds"), asked, postings)
+    place = F.row_number().over(of_query.orderBy(F.desc("score")))
+    goals = seeds.withColumn("r", place).filter(F.col("r") == top).select("item_id", (F.col("score") - MARGIN).alias("goal"))
+    # an id with several documents of different lengths has a posting for each
+    bounds = postings.groupBy("t").agg(F.max("s").alias("most")).join(idf, "t").select("t", (F.col("most") * F.col("rows")).alias("most"))
+    # from the smallest bound up, words whose bounds together miss a share of the goal lead to no document
+    small = F.sum("most").over(of_query.orderBy("most", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = asked.join(bounds, "t").join(goals, "item_id", "left").withColumn("goal", F.coalesce("goal", F.lit(0.0))).withColumn("small", small)
+    minor = F.col("small") < F.col("goal") * SHARE
+    rest = F.sum(F.when(minor, F.col("most")).otherwise(0.0)).over(of_query)
+    essential = written(ranked.withColumn("rest", rest).filter(~minor).select("item_id", "t", "goal", "rest"), "essential")
+    met = essential.join(postings, "t").groupBy("item_id", "doc_id").agg(F.sum("s").alias("part"), F.max("goal").alias("goal"), F.max("rest").alias("rest"))
+    met = written(met.filter(F.col("part") + F.col("rest") >= F.col("goal") - MARGIN), "met")
+    # the parts are lower bounds of scores, so their top-th largest is a goal too
+    place = F.row_number().over(of_query.orderBy(F.desc("part")))
+    higher = met.withColumn("r", place).filter(F.col("r") == top).select("item_id", (F.col("part") - MARGIN).alias("higher"))
+    near = met.join(higher, "item_id", "left").filter(F.col("part") + F.col("rest") >= F.coalesce("higher", F.lit(0.0)) - MARGIN)
+    return written(near.select("item_id", "doc_id"), "candidates")
 
 
 def severity(forums: DataFrame, by: str = "score_change", key: str = "forum_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from actloom.functions import salvage
 from actloom.operators import cluster, kmeans
+from actloom.plans import retrieval
 from actloom.queries import acts, lookups
 from actloom.streaming import ledger
 
@@ -88,3 +89,45 @@ def test_only_columns_that_are_read_go_to_the_stateful_operator(spark, tmp_path)
     stream = ledger.summaries(spark.readStream.schema(kinds).parquet(str(tmp_path)))
     projects = [x for x in stream._jdf.queryExecution().analyzed().toString().splitlines() if "Project [" in x]
     assert projects and any("observation" in x and "noise" not in x for x in projects)
+
+
+def best_by_all_pairs(docs, queries, top):
+    split = [(i, re.findall("[a-z0-9]+", t.lower())) for i, t in docs if t is not None]
+    avg, tf, found = sum(len(w) for _, w in split) / len(split), {}, []
+    for i, w in split:
+        for t in w:
+            tf[i, t, len(w)] = tf.get((i, t, len(w)), 0) + 1
+    df = {}
+    for _, t, _ in tf:
+        df[t] = df.get(t, 0) + 1
+    for item, text in queries:
+        scores, asked = {}, set(re.findall("[a-z0-9]+", text.lower()))
+        for (i, t, n), c in tf.items():
+            if t in asked:
+                scores[i] = scores.get(i, 0) + math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / avg))
+        best = sorted((-round(s, 5), 10**9 if i is None else i) for i, s in scores.items())[:top]
+        found += [(item, i, -s, r + 1) for r, (s, i) in enumerate(best)]
+    return sorted(found)
+
+
+def of_zipf(n, seed, ids):
+    rng = np.random.default_rng(seed)
+    return [(ids(i), " ".join(f"w{min(x, 900)}" for x in rng.zipf(1.3, rng.integers(20, 60)))) for i in range(n)]
+
+
+def test_few_documents_are_scored_on_all_words(spark, monkeypatch):
+    docs, seen, scored = of_zipf(400, 1, lambda i: i), [], retrieval._scored
+    queries = [(i, docs[i * 7][1] + " W1, w2") for i in range(20)]
+    monkeypatch.setattr(retrieval, "_scored", lambda pairs, *rest: seen.append(pairs.count()) or scored(pairs, *rest))
+    out = retrieval.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string"))
+    got = sorted((r.item_id, r.doc_id, r.score, r["rank"]) for r in out.collect())
+    assert got == best_by_all_pairs(docs, queries, 3)
+    assert seen[-1] < 20 * 400 / 10, seen
+
+
+def test_best_documents_with_repeated_and_null_ids(spark):
+    docs = of_zipf(120, 2, lambda i: i // 3 if i else None) + [(500, None), (501, ""), (7, "w1"), (502, " W3-w4_w3 ÄW5\n")]
+    queries = [(i, docs[i * 5][1]) for i in range(12)] + [(50, "w3 w4"), (51, "nowhere"), (52, None)]
+    out = retrieval.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string"))
+    got = sorted((r.item_id, 10**9 if r.doc_id is None else r.doc_id, r.score, r["rank"]) for r in out.collect())
+    assert got == best_by_all_pairs(docs, [q for q in queries if q[1]], 3)
