@@ -45,18 +45,30 @@ def contains_any(text: Column, words) -> Column:
 # --- references, queries and routing -------------------------------------------------------------------
 
 
+#: A trimmed reference that says that there is none. Fixed value.
+VOID = r"(?i)^(?:n/a|na )|^(?:na|none|not_required)\z|not[_ ]required"
+
+
+def _trimmed(c) -> Column:
+    return F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+
+
 def clean_ref(c) -> Column:
     """A reference, or '' where it says that there is none."""
-    c = F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
-    low = F.lower(c)
-    void = low.isin("n/a", "na", "none", "not_required") | low.startswith("n/a") | low.startswith("na ") | contains_any(low, ["not_required", "not required"])
-    return F.when(void, F.lit("")).otherwise(c)
+    c = _trimmed(c)
+    return F.when(F.rlike(c, F.lit(VOID)), F.lit("")).otherwise(c)
+
+
+def _given(c) -> Column:
+    """A reference, or null where it is blank or says that there is none; tested once."""
+    c = _trimmed(c)
+    return F.when((c != "") & ~F.rlike(c, F.lit(VOID)), c)
 
 
 def derive_query(ref, action, intent, operation, target, has_calls) -> Column:
     """What to look for: reference, action or intent, else the first call's operation and target, else 'evidence'."""
-    parts = F.trim(F.concat_ws(" ", F.nullif(clean_ref(operation), F.lit("")), F.nullif(clean_ref(target), F.lit(""))))
-    return F.coalesce(*[F.nullif(clean_ref(c), F.lit("")) for c in (ref, action, intent)], F.when(has_calls, parts), F.lit("evidence"))
+    parts = F.trim(F.concat_ws(" ", _given(operation), _given(target)))
+    return F.coalesce(*[_given(c) for c in (ref, action, intent)], F.when(has_calls, parts), F.lit("evidence"))
 
 
 #: Tests in order: words, the operator they lead to, its argument and the pattern of its number. Fixed values.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import derive_query, observation_id, route
+from ..sources.scratch import written
 
 
 def routed(acts: DataFrame) -> DataFrame:
@@ -14,10 +15,11 @@ def routed(acts: DataFrame) -> DataFrame:
     return acts.withColumn("query", query).withColumn("call", route("query"))
 
 
-#: Whether a segment answers a call, by the operator; the identifiers are those the router took from a query.
+#: Whether a segment answers a call, by the operator; the identifiers are the digits the router took from a query. All numbers
+#: behind a word are taken by a fixed pattern, which is compiled once, not once for each pair.
 def _answers():
     value, text = F.col("value"), F.col("text")
-    numbered = lambda words, a="", b="": F.rlike(text, F.concat(F.lit(rf"(?i)\b(?:{words})\s*{a}"), value, F.lit(rf"{b}\b")))
+    numbered = lambda words, a="", b="": F.array_contains(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{words})\s*{a}([0-9]+){b}\b"), 1), value)
     return (
         F.when(F.col("skill") == "Extract_Table", numbered(r"Table|Tab\.?"))
         .when(F.col("skill") == "Extract_Figure_Caption", numbered(r"Figure|Fig\.?"))
@@ -31,10 +33,11 @@ def reground(acts: DataFrame, segments: DataFrame, max_matches: int = 5) -> Data
     """Acts with status, provenance (first matching segments) and observation id.
 
     The distinct questions of a context meet its segments by an equi-join; a context is one paper, so no pair
-    across papers is formed, and only ids come out of the join.
+    across papers is formed, and only ids come out of the join. Acts are routed once; one dealing by context serves the
+    distinct questions, the join and the grouping of its matches.
     """
-    calls = routed(acts).select("act_id", "forum_id", "query", "call.*")
-    asked = calls.select("forum_id", "skill", "value").distinct()
+    calls = written(routed(acts).select("act_id", "forum_id", "query", "call.*"), "calls")
+    asked = calls.select("forum_id", "skill", "value").repartition("forum_id").distinct()
     hit = asked.join(segments.select(F.col("ctx").cast("string").alias("forum_id"), F.col("id").alias("seg"), "text"), "forum_id").filter(_answers())
     found = hit.groupBy("forum_id", "skill", "value").agg(F.slice(F.array_sort(F.collect_set("seg")), 1, max_matches).alias("prov"))
     out = calls.join(found, ["forum_id", "skill", "value"], "left").withColumn("prov", F.coalesce("prov", F.array().cast("array<int>")))

@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from actloom.functions import salvage
+from actloom.functions import core, salvage
 from actloom.operators import cluster, kmeans
-from actloom.plans import retrieval
-from actloom.queries import acts, lookups
+from actloom.plans import grounding, retrieval
+from actloom.queries import acts, corpus, lookups
 from actloom.streaming import ledger
 
 
@@ -131,3 +131,31 @@ def test_best_documents_with_repeated_and_null_ids(spark):
     out = retrieval.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string"))
     got = sorted((r.item_id, 10**9 if r.doc_id is None else r.doc_id, r.score, r["rank"]) for r in out.collect())
     assert got == best_by_all_pairs(docs, [q for q in queries if q[1]], 3)
+
+
+def test_acts_are_routed_once_for_their_observations(spark, sf_dir, monkeypatch):
+    routes, route = [], grounding.routed
+    monkeypatch.setattr(grounding, "routed", lambda df: routes.append(plans(route(df))[0]) or route(df))
+    logical, physical = plans(corpus.QUERIES["r01_reground"](spark, sf_dir))
+    assert physical.count("l_orderkey#") and "l_suppkey) + " not in physical and "min(l_suppkey#" in physical  # segments, no acts
+    assert len(routes) == 1 and routes[0].count("not[_ ]required") == 5  # a test for each of the five columns
+    assert "RLIKE" not in logical
+
+
+def test_fixed_patterns_find_what_patterns_of_numbers_find(spark):
+    words = {"Extract_Table": (r"Table|Tab\.?", "", ""), "Extract_Figure_Caption": (r"Figure|Fig\.?", "", ""), "Extract_Equation": (r"Eq\.?,?|Equation", r"\(?", r"\)?"), "Extract_Algorithm": (r"Algorithm|Alg\.?", "", "")}
+    heads = ["Table", "tab.", "Tab", "tables", "xTable", "Table Table", "fig.", "FIGURE", "Eq", "Eq.,", "eq,", "Equation", "Alg.", "algorithm", "Tab.1 Tab."]
+    texts = [h + gap + n + tail for h in heads for gap in ("", " ", "  (", "\n", "(") for n in ("1", "12", "21", "1.2", "1 2", "") for tail in ("", ")", ")x", "x", ").", " and Table 2", "-2")]
+    pairs = spark.createDataFrame([(t,) for t in texts], "text string").crossJoin(spark.createDataFrame([(s, v) for s in words for v in ("1", "2", "12", "21")], "skill string, value string"))
+    old = F.lit(None).cast("boolean")
+    for skill, (w, a, b) in words.items():
+        old = F.when(F.col("skill") == skill, F.rlike("text", F.concat(F.lit(rf"(?i)\b(?:{w})\s*{a}"), F.col("value"), F.lit(rf"{b}\b")))).otherwise(old)
+    seen = pairs.select(grounding._answers().alias("new"), old.alias("old")).groupBy("new", "old").count().collect()
+    assert {(r.new, r.old) for r in seen} == {(True, True), (False, False)}
+
+
+def test_references_that_say_that_there_is_none(spark):
+    void = ["n/a", "N/A", " NA ", "none", "None", "not_required", "n/a, see below", "na table", "is not required here", "x NOT_REQUIRED", "", "  ", None]
+    kept = ["nah", "nan", "na\n", "none of these", "nonesuch", "not  required", "see n/a", "\nna table", "not_requ\u0130red", "Table 3"]
+    rows = spark.createDataFrame([(x,) for x in void + kept], "c string").select(core.clean_ref("c").alias("c"), core._given("c").alias("g")).collect()
+    assert [r.c for r in rows] == [""] * len(void) + kept and [r.g for r in rows] == [None] * len(void) + kept
