@@ -110,13 +110,27 @@ def open_texts(lens: bytes, body: bytes):
     return np.cumsum(np.frombuffer(lens, np.int64)), np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
 
 
+def _opened(batches, i: int):
+    """(batch_id, meta, ends, buf) of a batch, whose cells are read in place."""
+    meta, lens, body = (batches.column(c)[i].as_buffer() for c in COLUMNS[1:])
+    return batches.column(COLUMNS[0])[i].as_py(), read_meta(meta), *open_texts(lens, body)
+
+
+def release() -> None:
+    """Gives what Arrow keeps of freed memory back to the system: workers stay between the stages of all that runs."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def each_batch(step):
     """mapInArrow function from ``step(batch_id, meta, ends, buf)``, which gives an Arrow table."""
 
     def run(batches):
         for batch in batches:
-            for batch_id, meta, lens, body in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
-                yield from step(batch_id, read_meta(meta), *open_texts(lens, body)).to_batches(max_chunksize=100_000)
+            for i in range(batch.num_rows):
+                yield from step(*_opened(batch, i)).to_batches(max_chunksize=100_000)
+                release()
 
     return run
 
@@ -142,8 +156,8 @@ def with_replies(texts: DataFrame, replies: DataFrame, step, schema: str) -> Dat
     """``step(batch_id, meta, ends, buf, replies)`` over each batch and the rows of ``replies`` for it, maybe none."""
 
     def run(left, right):
-        batch_id, meta, lens, body = (left.column(c)[0].as_py() for c in COLUMNS)
-        return step(batch_id, read_meta(meta), *open_texts(lens, body), right)
+        release()  # what the batch before has left
+        return step(*_opened(left, 0), right)
 
     return texts.groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(run, schema)
 
@@ -175,6 +189,14 @@ def fetched(texts: DataFrame, asked: DataFrame, schema: str) -> DataFrame:
     return texts.groupBy("batch_id").cogroup(asked.groupBy("batch_id")).applyInArrow(run, schema)
 
 
+def in_slices(rows, size: int = 1 << 20):
+    """The same Arrow table in chunks of about ``size`` bytes, each of which is sent and held by the JVM apart; a longer row is a chunk alone."""
+    import pyarrow as pa
+
+    n = max(1, rows.num_rows * size // max(1, rows.nbytes))
+    return pa.concat_tables([rows.slice(i, n) for i in range(0, max(1, rows.num_rows), n)])
+
+
 class Rows:
     """Rows of any columns in batches, their text apart from the rest.
 
@@ -183,7 +205,7 @@ class Rows:
     """
 
     def __init__(self, docs: DataFrame, text_col: str, more: dict):
-        small_batches(docs.sparkSession)
+        small_batches(docs.sparkSession, "2m")
         self.schema, self.text = docs.schema, docs.columns.index(text_col)
         own = [c.alias(f"c{i}") for i, c in enumerate(own_columns(docs)) if i != self.text]
         text = F.col(text_col).cast("string")
@@ -202,7 +224,7 @@ class Rows:
             kind, width = (pa.LargeStringArray, np.int64) if offsets[-1] >= 1 << 31 else (pa.StringArray, np.int32)
             body = kind.from_buffers(meta.num_rows, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(buf))
             body = pc.if_else(meta.column("no_text"), pa.scalar(None, body.type), body)
-            return change(pa.Table.from_arrays([body if i == text else meta.column(f"c{i}") for i in range(len(names))], names=names), told)
+            return in_slices(change(pa.Table.from_arrays([body if i == text else meta.column(f"c{i}") for i in range(len(names))], names=names), told))
 
         return with_replies(self.batches, replies, step, self.schema)
 

@@ -81,6 +81,16 @@ def apportion(votes, seats: int, caps=None) -> list[int]:
     return got.tolist()
 
 
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows, sent as Arrow: a list would start Python workers of another kind on all executors."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    cells = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, cells, strict=True)}), schema)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """One row per input row: id, fp (hash of the text), size, source_size, target, taken, copies.
 
@@ -103,7 +113,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     seats = apportion(aims, round(sum(aims) / block), [math.ceil(REPEAT * s / block) for s in sizes])
     shards = [max(1, math.ceil(s / (SHARD_BLOCKS * block))) for s in sizes]
     # a row a source, and a row a shard: both are broadcast or dealt by their size, as the planner sees it
-    plan = spark.createDataFrame(
+    plan = _small(
+        spark,
         [(i, name, s, t, k) for i, ((name, s), t, k) in enumerate(zip(found, aims, shards, strict=True))],
         "number int, source string, source_size long, target double, shards int",
     )
@@ -122,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         whole = aims[number] >= REPEAT * sizes[number]  # all of it, last part blocks included
         got = apportion([s for _, s in held], seats[number], [math.floor(REPEAT * s / block) for _, s in held])
         quotas += [(number, shard, s, *selected(s, REPEAT * s if whole else q * block, block, (number, shard, seed))) for (shard, s), q in zip(held, got, strict=True)]
-    quotas = spark.createDataFrame(quotas, "number int, shard int, shard_size long, passes int, begin long, stop long")
+    quotas = _small(spark, quotas, "number int, shard int, shard_size long, passes int, begin long, stop long")
     order = Window.partitionBy("number", "shard").orderBy(F.xxhash64("id", "fp", F.lit(seed + 1)), "id", "fp", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
     # each row of a group has its own place: a group is opened in runs of bounded length

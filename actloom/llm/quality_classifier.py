@@ -37,7 +37,7 @@ SLACK = 1.05
 CLASSES = (200, 1000)  # bytes from which a text is of the next class of length
 FEW = 100  # held-out documents below which a limit also looks at all languages and lengths together
 GRID = 1000  # bins of perplexity for a unit of its logarithm
-PIECE = 1 << 20
+PIECE = 1 << 17  # bytes that are worked on at once: an array of them as longs is 1 MB
 SEED = 31
 PAD = 10  # texts start after line ends
 
@@ -65,10 +65,23 @@ def pieces(ends: np.ndarray, buf: np.ndarray, order: int = ORDER):
             owner_end = np.repeat(ends[np.searchsorted(ends, inside, side="right")] if len(inside) else inside, k) - begin
             at = at[(at >= 0) & (at < stop - begin) & (at < owner_end)]
             back[at] = PAD
-            code |= back << np.uint64(8 * k)
+            code |= np.left_shift(back, np.uint64(8 * k), out=back)
         yield begin, code.view(np.int64)
 
 
+def merged(parts, merge):
+    """All of ``parts`` merged, as far as there are any; they are merged as they come, so that about twice what is left is held."""
+    found, held, most = [], 0, PIECE
+    for part in parts:
+        found.append(part)
+        held += len(part)
+        if held > most:
+            found = [merge(found)]
+            held = len(found[0])
+            most = 2 * held + PIECE
+    return merge(found)
+
+
 def _counts(order: int):
     """n-grams of the rows that ``marks`` (row) names."""
 
@@ -77,15 +90,11 @@ def _counts(order: int):
 
         rows = np.unique(column(marks, "row"))
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        found = []
-        if len(rows):
-            some = np.concatenate([buf[starts[i] : ends[i]] for i in rows.tolist()])
-            for _, code in pieces(np.cumsum((ends - starts)[rows]), some, order):
-                values, n = np.unique(code, return_counts=True)
-                found.append(pa.table({"code": values, "c": n.astype(np.int64)}))
-        if not found:
-            return pa.table({"code": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        return pa.concat_tables(found).group_by("code").aggregate([("c", "sum")]).rename_columns(["code", "c"])
+        some = np.concatenate([buf[:0], *(buf[starts[i] : ends[i]] for i in rows.tolist())])
+        none = pa.table({"code": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        counted = (np.unique(code, return_counts=True) for _, code in pieces(np.cumsum((ends - starts)[rows]), some, order))
+        parts = (pa.table({"code": values, "c": n.astype(np.int64)}) for values, n in counted)
+        return merged(parts, lambda x: pa.concat_tables([none, *x]).group_by("code").aggregate([("c", "sum")]).rename_columns(["code", "c"]))
 
     return step
 
@@ -97,8 +106,8 @@ def _wanted(order: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        found = [pc.unique(pa.array(code)) for _, code in pieces(ends, buf, order)]
-        codes = pc.unique(pa.chunked_array(found, pa.int64())).to_numpy()
+        found = (pc.unique(pa.array(code)) for _, code in pieces(ends, buf, order))
+        codes = merged(found, lambda x: pc.unique(pa.chunked_array(x, pa.int64()))).to_numpy()
         return rows_of({"batch_id": np.full(len(codes), batch_id, np.int64), "code": codes})
 
     return step
@@ -109,15 +118,15 @@ def _score(order: int):
 
     def step(batch_id, meta, ends, buf, replies):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        log_p = np.log(replies.column("p").to_numpy().astype(np.float64))
-        known = pc.SetLookupOptions(value_set=replies.column("code").combine_chunks())
+        known = column(replies, "code")
+        by_code = np.argsort(known)
+        known, log_p = known[by_code], np.log(replies.column("p").to_numpy()[by_code].astype(np.float64))
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         total = np.zeros(len(ends), np.float64)
         for begin, code in pieces(ends, buf, order):
-            at = pc.index_in(pa.array(code), options=known).to_numpy()
-            run = np.concatenate([[0.0], np.cumsum(log_p[at])])
+            asked = pa.array(code).dictionary_encode()  # every n-gram of the batch has a reply
+            run = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(known, asked.dictionary)][asked.indices])])
             first = np.searchsorted(ends, begin, side="right")
             last = np.searchsorted(starts, begin + len(code), side="left")
             a = np.clip(starts[first:last] - begin, 0, len(code))
